@@ -75,67 +75,68 @@ def measure_rows(df: DataFrame, measures: list[str], keys=KEYS) -> DataFrame:
     return df.select(*keys, F.explode(usable).alias("m")).select(*keys, "m.measure", "m.value")
 
 
-def winsor_limits(rows: DataFrame, p: float, year: str = YEAR) -> tuple[Small, Small]:
-    """(split bounds, low/high limits) per year and measure."""
-    group = [year, "measure"]
-    grid = ranking.value_grid(rows, group)
-    return grid, ranking.quantile_pairs(rows, grid, group, p)
-
-
 def clamped(value: Column, lo: Column, hi: Column) -> Column:
     return F.when(value < lo, lo).when(value > hi, hi).otherwise(value)
 
 
-def winsorize_by_year(df: DataFrame, cols: list[str], p: float = 0.01, year: str = YEAR) -> DataFrame:
+def winsorize_by_year(
+    df: DataFrame, cols: list[str], p: float = 0.01, year: str = YEAR, plain_rows: int = ranking.PLAIN_ROWS
+) -> DataFrame:
     """Clamp each column to its p and 1-p quantiles within the year (the row itself is not shuffled)."""
-    _, limits = winsor_limits(measure_rows(df, cols, keys=[year]), p, year)
-    per_year = limits.df.groupBy(year).agg(
+    group = [year, "measure"]
+    rows = measure_rows(df, cols, keys=[year])
+    grid = ranking.value_grid(rows, group)
+    limits = ranking.quantile_pairs(rows, grid, group, p, plain_rows=plain_rows)
+    per_year = limits.groupBy(year).agg(
         *[
             F.max(F.when(F.col("measure") == c, F.col(side))).alias(f"{c}__{side}")
             for c in cols
             for side in ("lo", "hi")
         ]
     )
-    joined = df.join(Small(per_year, limits.proven).hinted(), year, "left")
-    out = joined.withColumns(
-        {c: F.when(F.col(f"{c}__lo").isNull(), F.col(c)).otherwise(
-            clamped(F.col(c), F.col(f"{c}__lo"), F.col(f"{c}__hi"))) for c in cols}
+    joined = df.join(F.broadcast(per_year) if grid.proven else per_year, year, "left")
+    clamp = lambda c: F.when(F.col(f"{c}__lo").isNull(), F.col(c)).otherwise(
+        clamped(F.col(c), F.col(f"{c}__lo"), F.col(f"{c}__hi"))
     )
-    return out.select(*df.columns)
+    return joined.withColumns({c: clamp(c) for c in cols}).select(*df.columns)
 
 
-def _scores(rows: DataFrame, grid: Small, measures: dict[str, bool], year: str, keys) -> DataFrame:
-    group = [year, "measure"]
+def _scores(rows, grid: Small, measures: dict[str, bool], year: str, keys, plain_rows: int) -> DataFrame:
     spread = [k for k in keys if k != year] or list(keys)
-    ranked = ranking.rank_below(rows, grid, group, spread)
+    ranked = ranking.rank_below(rows, grid, [year, "measure"], spread, plain_rows=plain_rows)
     share = F.col("below_rows") / F.col("n") * 100.0
     lower_better = [m for m, up in measures.items() if not up]
     score = F.when(F.col("measure").isin(lower_better), 100.0 - share).otherwise(share)
     return ranked.withColumn("score", score)
 
 
-def rank_score_by_year(df: DataFrame, measures: dict[str, bool], keys=KEYS, year: str = YEAR) -> DataFrame:
+def rank_score_by_year(
+    df: DataFrame, measures: dict[str, bool], keys=KEYS, year: str = YEAR, plain_rows: int = ranking.PLAIN_ROWS
+) -> DataFrame:
     """Per key and measure: percent of the year's rows strictly below (100 minus that if lower is better)."""
     rows = measure_rows(df, list(measures), keys)
     grid = ranking.value_grid(rows, [year, "measure"])
-    return _scores(rows, grid, measures, year, keys).select(*keys, "measure", "value", "score")
+    return _scores(rows, grid, measures, year, keys, plain_rows).select(*keys, "measure", "value", "score")
 
 
-def winsorized_rank_scores(df: DataFrame, measures: dict[str, bool], p: float, keys=KEYS, year: str = YEAR) -> DataFrame:
+def winsorized_rank_scores(
+    df: DataFrame, measures: dict[str, bool], p: float, keys=KEYS, year: str = YEAR, plain_rows: int = ranking.PLAIN_ROWS
+) -> DataFrame:
     """Winsorise, then rank. The limits join the split bounds, so the clamped tails are point buckets."""
     group = [year, "measure"]
     rows = measure_rows(df, list(measures), keys)
-    grid, limits = winsor_limits(rows, p, year)
-    both = grid.df.join(limits.df, group).withColumn(
+    grid = ranking.value_grid(rows, group)
+    limits = ranking.quantile_pairs(rows, grid, group, p, plain_rows=plain_rows)
+    both = grid.df.join(limits, group).withColumn(
         "bounds", F.array_sort(F.array_distinct(F.concat("bounds", F.array("lo", "hi"))))
     )
-    ready = ranking.Small(both.select(*group, "bounds"), grid.proven and limits.proven)
     cut_rows = (
-        rows.join(limits.hinted(), group)
+        rows.join(limits, group)
         .withColumn("value", clamped(F.col("value"), F.col("lo"), F.col("hi")))
         .drop("lo", "hi")
     )
-    return _scores(cut_rows, ready, measures, year, keys).select(*keys, "measure", "score")
+    ready = Small(both.select(*grid.df.columns), grid.local)
+    return _scores(cut_rows, ready, measures, year, keys, plain_rows).select(*keys, "measure", "score")
 
 
 def growth_prev_year(financials: DataFrame) -> DataFrame:
@@ -173,12 +174,13 @@ def health_score(
     companies: DataFrame | None = None,
     spec: ScoreSpec = ScoreSpec(),
     now=None,
+    plain_rows: int = ranking.PLAIN_ROWS,
 ) -> DataFrame:
     """Score every company year from 0 to 100; years are scored together, companies unknown to the master not."""
     known = financials if companies is None else financials.join(companies.select("orgnr"), "orgnr", "left_semi")
     base = growth_prev_year(financial_ratios(known)).select(*KEYS, *MEASURES, "growth")
     measures = {**MEASURES, "growth": True}
-    scored = winsorized_rank_scores(base, measures, spec.winsor_p)
+    scored = winsorized_rank_scores(base, measures, spec.winsor_p, plain_rows=plain_rows)
     # One empty row per key keeps companies that lack every measure.
     every_key = base.select(*KEYS, F.lit("none").alias("measure"), F.lit(None).cast("double").alias("score"))
     wide = (

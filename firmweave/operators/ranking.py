@@ -9,7 +9,8 @@ group is cut at bounds taken from its own approximate quantiles:
   ``1/buckets`` of the rows is always one of the bounds, so no open bucket can be heavy.
 
 Counting the buckets gives each one's offset; the rank inside a bucket is a window of bounded size.
-The bounds only steer the split. They never influence the result, which is exact.
+The bounds only steer the split. They never influence the result, which is exact. Groups whose measured
+size is at most ``PLAIN_ROWS`` take the plain window instead, which has fewer stages.
 """
 
 from __future__ import annotations
@@ -24,32 +25,44 @@ from firmweave.session import Small, small_table
 
 BUCKETS = 256
 MAX_GROUPS = 20_000
+PLAIN_ROWS = 1_000_000
 MAX_BUCKET_ROWS = 2_000_000
-_STEP = 16
+_STEPS = (256, 128, 64, 32, 16, 8, 4, 2, 1)  # reaches 511 bounds
 _SALTS = 64
 
 
 def value_grid(rows: DataFrame, group: Sequence[str], value: str = "value", buckets: int = BUCKETS) -> Small:
-    """Per group, the sorted distinct bounds (``bounds``). One pass with map-side summaries."""
+    """Per group, the sorted distinct bounds (``bounds``) and the row count. One pass with map-side summaries."""
     shares = [i / buckets for i in range(1, buckets)]
-    found = rows.groupBy(*group).agg(F.percentile_approx(value, shares, 10_000).alias("bounds"))
-    return small_table(found.select(*group, F.array_sort(F.array_distinct("bounds")).alias("bounds")), MAX_GROUPS)
+    found = rows.groupBy(*group).agg(
+        F.percentile_approx(value, shares, 10_000).alias("bounds"), F.count(value).alias("group_rows")
+    )
+    return small_table(
+        found.select(*group, F.array_sort(F.array_distinct("bounds")).alias("bounds"), "group_rows"), MAX_GROUPS
+    )
+
+
+def all_plain(grid: Small, plain_rows: int) -> bool:
+    """Is every group known to be small enough for one task?"""
+    return grid.proven and max(grid.local.column("group_rows").to_pylist(), default=0) <= plain_rows
 
 
-def bucket_of(value: Column, bounds: Column) -> Column:
-    """2 x (number of bounds below the value), plus 1 if the value is itself a bound. Two short scans."""
-    coarse = F.filter(bounds, lambda b, i: i % _STEP == 0)
-    passed = F.size(F.filter(coarse, lambda b: b < value))
-    start = F.greatest(passed - 1, F.lit(0)) * _STEP
-    below = start + F.size(F.filter(F.slice(bounds, start + 1, _STEP), lambda b: b < value))
-    on_bound = F.coalesce(F.get(bounds, below) == value, F.lit(False))
-    return below * 2 + on_bound.cast("int")
+def add_bucket(df: DataFrame, value: str, bounds: Column) -> DataFrame:
+    """Adds ``bucket``: twice the number of bounds below the value, plus 1 if the value is itself a bound.
+
+    A binary search, one projection per step, so that it stays inside generated code.
+    """
+    out = df.withColumn("bucket", F.lit(0))
+    for step in _STEPS:
+        passed = F.coalesce(F.get(bounds, F.col("bucket") + (step - 1)) < F.col(value), F.lit(False))
+        out = out.withColumn("bucket", F.col("bucket") + F.when(passed, step).otherwise(0))
+    on_bound = F.coalesce(F.get(bounds, F.col("bucket")) == F.col(value), F.lit(False))
+    return out.withColumn("bucket", F.col("bucket") * 2 + on_bound.cast("int"))
 
 
 def with_bucket(rows: DataFrame, grid: Small, group: Sequence[str], value: str = "value") -> DataFrame:
-    kept = [c for c in grid.df.columns if c not in group]
     joined = rows.join(grid.hinted(), list(group))
-    return joined.withColumn("bucket", bucket_of(F.col(value), F.col("bounds"))).drop(*kept)
+    return add_bucket(joined, value, F.col("bounds")).drop("bounds", "group_rows")
 
 
 def bucket_offsets(bucketed: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -67,15 +80,19 @@ def bucket_offsets(bucketed: DataFrame, group: Sequence[str]) -> DataFrame:
 
 def _hint_offsets(offsets: DataFrame, grid: Small) -> DataFrame:
     """At most two buckets per bound plus one exist, so the table's size follows from the grid's."""
-    if grid.proven and grid.df.count() * (2 * BUCKETS + 7) <= MAX_BUCKET_ROWS:
+    if grid.proven and grid.local.num_rows * (2 * BUCKETS + 7) <= MAX_BUCKET_ROWS:
         return F.broadcast(offsets)
     return offsets
 
 
 def quantile_pairs(
-    rows: DataFrame, grid: Small, group: Sequence[str], p: float, value: str = "value"
-) -> Small:
+    rows: DataFrame, grid: Small, group: Sequence[str], p: float, value: str = "value", plain_rows: int = PLAIN_ROWS
+) -> DataFrame:
     """Per group the exact p and 1-p quantiles (``lo``, ``hi``), linear between neighbours."""
+    if all_plain(grid, plain_rows):
+        pair = rows.groupBy(*group).agg(F.percentile(value, [p, 1.0 - p]).alias("q"))
+        # One row per group, and the groups were counted.
+        return F.broadcast(pair.select(*group, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")))
     bucketed = with_bucket(rows, grid, group, value)
     last = F.col("n") - 1
     places = {"lo": last * F.lit(p), "hi": last * F.lit(1.0 - p)}
@@ -122,13 +139,25 @@ def quantile_pairs(
         a, b, w = F.col(f"{name}_a"), F.col(f"{name}_b"), F.col(f"{name}_w")
         return F.when(w == 0, a).otherwise(a * (1 - w) + b * w).alias(name)
 
-    return small_table(found.select(*group, mixed("lo"), mixed("hi")), MAX_GROUPS)
+    return small_table(found.select(*group, mixed("lo"), mixed("hi")), MAX_GROUPS).hinted()
 
 
 def rank_below(
-    rows: DataFrame, grid: Small, group: Sequence[str], spread_by: Sequence[str], value: str = "value"
+    rows: DataFrame,
+    grid: Small,
+    group: Sequence[str],
+    spread_by: Sequence[str],
+    value: str = "value",
+    plain_rows: int = PLAIN_ROWS,
 ) -> DataFrame:
     """Adds ``below_rows`` (rows of the group strictly below the value) and ``n`` (rows of the group)."""
+    if all_plain(grid, plain_rows):
+        return rows.withColumns(
+            {
+                "below_rows": F.rank().over(W.partitionBy(*group).orderBy(value)) - 1,
+                "n": F.count(value).over(W.partitionBy(*group)),
+            }
+        )
     bucketed = with_bucket(rows, grid, group, value)
     offsets = _hint_offsets(bucket_offsets(bucketed, group).select(*group, "bucket", "below", "n"), grid)
     salt = F.when(F.col("bucket") % 2 == 1, F.pmod(F.hash(*spread_by), F.lit(_SALTS))).otherwise(F.lit(0))
@@ -150,7 +179,7 @@ def ordered_position(df: DataFrame, key: str, name: str = "position") -> DataFra
     if not cuts:
         return df.withColumn(name, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(key)).cast("bigint") - 1)
     bounds = F.array(*[F.lit(k) for k in cuts])
-    bucketed = df.withColumn("bucket", bucket_of(F.col(key), bounds)).withColumn("g", F.lit(0))
+    bucketed = add_bucket(df, key, bounds).withColumn("g", F.lit(0))
     # At most two buckets per cut plus one, hence a bounded table.
     offsets = F.broadcast(bucket_offsets(bucketed.select("g", "bucket"), ["g"]).select("bucket", "below"))
     inside = F.row_number().over(W.partitionBy("bucket").orderBy(key)) - 1

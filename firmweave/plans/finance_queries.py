@@ -60,6 +60,12 @@ def health_score(spark, sf_dir):
     return rounded(keyed(df), ["score_current", "score_growth", "score_total"])
 
 
+def health_score_split(spark, sf_dir):
+    """The same scores by the path for years too large for one task."""
+    df = fin.health_score(adapter(spark, sf_dir, "company_financials"), plain_rows=0)
+    return rounded(keyed(df), ["score_current", "score_growth", "score_total"])
+
+
 def _scores(spark, sf_dir):
     """A score table of mixed age: one company in three has a score as new as its facts."""
     df = adapter(spark, sf_dir, "company_financials")
@@ -103,6 +109,7 @@ QUERIES = {
         rank_score_by_year,
         growth_prev_year,
         health_score,
+        health_score_split,
         stale_score_filter,
         size_class_trend,
         latest_financial_snapshot,
@@ -203,3 +210,5 @@ SELECT orgnr, fiscal_year_end_date::VARCHAR AS financial_latest_year_end, revenu
   round(score_total, 6) AS financial_score_total, round(pct, 6) AS financial_revenue_trend_pct,
   CASE WHEN pct > 0 THEN 'up' WHEN pct < 0 THEN 'down' WHEN pct = 0 THEN 'same' ELSE 'unknown' END AS financial_revenue_trend FROM x""",
 }
+
+ORACLES["health_score_split"] = ORACLES["health_score"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ def build_session(app: str = "firmweave", master: str | None = None, **conf: obj
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for key, value in settings.items():
@@ -53,10 +55,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Small(NamedTuple):
-    """A table plus whether its size was proven to be at most the asked bound."""
+    """A table, plus its rows if they were proven to be few."""
 
     df: DataFrame
-    proven: bool
+    local: pa.Table | None = None
+
+    @property
+    def proven(self) -> bool:
+        return self.local is not None
 
     def hinted(self) -> DataFrame:
         return F.broadcast(self.df) if self.proven else self.df
@@ -67,10 +73,10 @@ def small_table(df: DataFrame, max_rows: int) -> Small:
 
     Either way later jobs see the very same rows, also after an executor is lost.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return Small(df.sparkSession.createDataFrame(rows, df.schema), True)
-    return Small(cut(df), False)
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows <= max_rows:
+        return Small(df.sparkSession.createDataFrame(rows, df.schema), rows)
+    return Small(cut(df))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
