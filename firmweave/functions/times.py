@@ -37,5 +37,6 @@ def minus(c: Column, *, days: int = 0, hours: int = 0) -> Column:
 
 
 def iso_z(c: Column) -> Column:
-    """UTC, second precision, ``Z`` suffix."""
-    return F.date_format(F.date_trunc("second", c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """UTC whatever the session's zone, second precision, ``Z`` suffix."""
+    utc = F.to_utc_timestamp(F.date_trunc("second", c), F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -46,68 +46,69 @@ def scaled(value: Column, scale: Column) -> Column:
     return F.when(power.isNull(), value).otherwise(value * F.pow(F.lit(10.0), power))
 
 
-def filing_fact_extract(filings: DataFrame, facts: Mapping[str, str] = fv.FILING_FACTS) -> DataFrame:
-    """Financial rows: whole kronor by half-even rounding, the equity ratio in percent."""
-    step = filings.withColumns({f"_t_{c}": _tag(F.col("xhtml"), "nonFraction", tag) for c, tag in facts.items()})
+def filing_read(filings: DataFrame, facts: Mapping[str, str] = fv.FILING_FACTS) -> DataFrame:
+    """One pass over the documents: each becomes a narrow row of its facts and of what it says about itself.
+
+    Whole kronor by half-even rounding, the equity ratio in percent. Nothing after this touches document text.
+    """
+    doc = F.col("xhtml")
+    step = filings.withColumns({f"_t_{c}": _tag(doc, "nonFraction", tag) for c, tag in facts.items()})
     cols = {}
     for c in facts:
         tag = F.col(f"_t_{c}")
         value = scaled(number_text(_text(tag)), _attribute(tag, "scale"))
         cols[c] = value * 100.0 if c == "solidity_pct" else F.rint(value).cast("bigint")
+    says = lambda name: _text(_tag(doc, "nonNumeric", name))
     return step.select(
+        "orgnr", "end_date", "source_file",
+        digits_only(F.coalesce(says(fv.FILING_ORGNR), F.lit(""))).alias("doc_orgnr"),
+        F.coalesce(says(fv.FILING_END), F.lit("")).alias("doc_end"),
+        doc.contains("xmlns:ix=").alias("has_tags"),
+        *[v.alias(k) for k, v in cols.items()],
+    )
+
+
+def filing_fact_extract(filings: DataFrame, facts: Mapping[str, str] = fv.FILING_FACTS) -> DataFrame:
+    """Documents (or rows already read) -> financial rows."""
+    rows = filing_read(filings, facts) if "xhtml" in filings.columns else filings
+    return rows.select(
         "orgnr", F.col("end_date").try_cast("date").alias("fiscal_year_end_date"),
-        F.left("end_date", F.lit(4)).try_cast("int").alias("fiscal_year_end_year"),
-        *[v.alias(k) for k, v in cols.items()], "source_file",
+        F.left("end_date", F.lit(4)).try_cast("int").alias("fiscal_year_end_year"), *facts, "source_file",
     )
 
 
 def filing_validate(
     filings: DataFrame, companies: DataFrame, loaded: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(accepted documents, rejects with reason, counts per reason, unknown companies in order).
+    """(accepted rows with their facts, rejects with reason, counts per reason, unknown companies in order).
 
     ``loaded``: orgnr, end_date. Of several documents with one key the first by source file is accepted.
     """
-    key_ok = F.col("orgnr").rlike("^[0-9]{10}$")
-    doc = F.col("xhtml")
-    doc_key, doc_end = _tag(doc, "nonNumeric", fv.FILING_ORGNR), _tag(doc, "nonNumeric", fv.FILING_END)
-    # What the document says is reduced to a few values before any join.
-    step = filings.withColumns(
-        {
-            "_key": digits_only(F.coalesce(_text(doc_key), F.lit(""))),
-            "_end": F.coalesce(_text(doc_end), F.lit("")),
-            "_ix": doc.contains("xmlns:ix="),
-        }
-    )
+    rows = filing_read(filings) if "xhtml" in filings.columns else filings
     known = companies.select("orgnr").distinct().withColumn("_known", F.lit(True))
     done = loaded.select("orgnr", "end_date").distinct().withColumn("_done", F.lit(True))
     verdict = (
-        F.when(~key_ok, "bad_key")
+        F.when(~F.col("orgnr").rlike("^[0-9]{10}$"), "bad_key")
         .when(F.col("_known").isNull(), "unknown_company")
         .when(F.col("_done").isNotNull(), "already_loaded")
-        .when(~F.col("_ix"), "parse_error")
-        .when((F.col("_key") != "") & (F.col("_key") != F.col("orgnr")), "key_mismatch")
-        .when((F.col("_end") != "") & (F.col("_end") != F.col("end_date")), "date_mismatch")
+        .when(~F.col("has_tags"), "parse_error")
+        .when((F.col("doc_orgnr") != "") & (F.col("doc_orgnr") != F.col("orgnr")), "key_mismatch")
+        .when((F.col("doc_end") != "") & (F.col("doc_end") != F.col("end_date")), "date_mismatch")
     )
-    # The verdict needs no document text, so only narrow rows are joined and grouped.
-    narrow = (
-        step.select("orgnr", "end_date", "source_file", "_key", "_end", "_ix")
-        .join(known, "orgnr", "left")
-        .join(done, ["orgnr", "end_date"], "left")
-        .withColumn("reason", verdict)
-    )
-    first = (
-        narrow.where(F.col("reason").isNull())
-        .groupBy("orgnr", "end_date")
-        .agg(F.min("source_file").alias("source_file"))
-        .withColumn("_first", F.lit(True))
+    checked = (
+        rows.join(known, "orgnr", "left").join(done, ["orgnr", "end_date"], "left")
+        .withColumn("reason", verdict).drop("_known", "_done")
     )
     key = ["orgnr", "end_date", "source_file"]
-    judged = narrow.join(first, key, "left").withColumn(
-        "reason",
-        F.coalesce("reason", F.when(F.col("_first").isNull(), "already_loaded").otherwise("accepted")),
+    # The first document per key by an aggregate; the three-column join spreads the copies of one key.
+    first = (
+        checked.where(F.col("reason").isNull()).groupBy("orgnr", "end_date")
+        .agg(F.min("source_file").alias("source_file")).withColumn("_first", F.lit(True))
     )
-    accepted = filings.join(judged.where("reason = 'accepted'").select(*key), key, "left_semi")
+    judged = checked.join(first, key, "left").withColumn(
+        "reason", F.coalesce("reason", F.when(F.col("_first").isNull(), "already_loaded").otherwise("accepted"))
+    ).drop("_first")
+    accepted = judged.where("reason = 'accepted'").drop("reason")
     rejects = judged.where("reason <> 'accepted'").select(*key, "reason")
     counts = judged.groupBy("reason").agg(F.count("*").alias("n"))
     unknown = judged.where("reason = 'unknown_company'").select("orgnr").distinct().orderBy("orgnr")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from firmweave.functions import fixed_values as fv
 from firmweave.functions.text import blank_to_null, full_strip, int_or_null, is_blank
-from firmweave.functions.times import at, instant, plus
+from firmweave.functions.times import at, instant, iso_z, plus
 from firmweave.operators.standardize import ownership_bucket, span_of_code
 
 
@@ -147,7 +147,7 @@ def apply_feed(master: DataFrame, feed: DataFrame, rule: FeedRule) -> tuple[Data
         to: F.when(F.col("_newer"), F.col(f"_m.{frm}").cast(types[to])).otherwise(F.col(to))
         for frm, to in rule.marker.items()
     }
-    stamp = F.col("_m._ts") if types[rule.marker_ts] != "string" else F.date_format("_m._ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    stamp = F.col("_m._ts") if types[rule.marker_ts] != "string" else iso_z(F.col("_m._ts"))
     changes[rule.marker_ts] = F.when(F.col("_newer"), stamp).otherwise(F.col(rule.marker_ts))
     if rule.value:
         changes[rule.value_target] = F.when(F.col("_filled"), F.col("_v")).otherwise(F.col(rule.value_target))

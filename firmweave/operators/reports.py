@@ -123,17 +123,22 @@ def reputation_verdict(messages: DataFrame, events: DataFrame, dns_facts: DataFr
     ``dns_facts``: one row (spf, dmarc, listed).
     """
     recent = lambda days: F.col("created_at") >= minus(at(now), days=days)
+    one = lambda test: test.cast("bigint")
     sent_like = F.col("status").isin(*fv.SENT_LIKE)
-    sent = messages.agg(
-        F.count_if(recent(7) & sent_like).alias("sent_7d"), F.count_if(recent(30) & sent_like).alias("sent_30d")
+    sent = messages.select(one(recent(7) & sent_like).alias("sent_7d"), one(recent(30) & sent_like).alias("sent_30d"))
+    bad = events.select(
+        one(recent(7) & F.col("type").isin("bounced", "bounce")).alias("bounces_7d"),
+        one(recent(30) & (F.col("type") == "complaint")).alias("complaints_30d"),
     )
-    bad = events.agg(
-        F.count_if(recent(7) & F.col("type").isin("bounced", "bounce")).alias("bounces_7d"),
-        F.count_if(recent(30) & (F.col("type") == "complaint")).alias("complaints_30d"),
-    )
-    dns = dns_facts.agg(
-        F.coalesce(F.bool_and("spf"), F.lit(False)).alias("spf"), F.coalesce(F.bool_and("dmarc"), F.lit(False)).alias("dmarc"),
-        F.coalesce(F.bool_or("listed"), F.lit(False)).alias("listed"),
+    # The three inputs in one aggregation: missing columns are NULL and do not count.
+    counts = ("sent_7d", "sent_30d", "bounces_7d", "complaints_30d")
+    row = (
+        sent.unionByName(bad, allowMissingColumns=True)
+        .unionByName(dns_facts.select("spf", "dmarc", "listed"), allowMissingColumns=True)
+        .agg(
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts],
+            *[F.coalesce(f(c), F.lit(False)).alias(c) for c, f in (("spf", F.bool_and), ("dmarc", F.bool_and), ("listed", F.bool_or))],
+        )
     )
     rate = lambda n, total: F.when(F.col(total) > 0, F.col(n) / F.col(total)).otherwise(F.lit(0.0))
 
@@ -148,10 +153,8 @@ def reputation_verdict(messages: DataFrame, events: DataFrame, dns_facts: DataFr
         severity("bounce_rate_7d", "sent_7d", fv.BOUNCE_RATE_7D),
         severity("complaint_rate_30d", "sent_30d", fv.COMPLAINT_RATE_30D),
     )
-    # Three single rows side by side.
     return (
-        sent.crossJoin(F.broadcast(bad)).crossJoin(F.broadcast(dns))
-        .withColumn("bounce_rate_7d", rate("bounces_7d", "sent_7d"))
+        row.withColumn("bounce_rate_7d", rate("bounces_7d", "sent_7d"))
         .withColumn("complaint_rate_30d", rate("complaints_30d", "sent_30d"))
         .withColumn("verdict", F.when(worst == 2, "DEAD").when(worst == 1, "WARNING").otherwise("OK"))
     )

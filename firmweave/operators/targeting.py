@@ -274,9 +274,12 @@ def lead_campaign_load(
     )
     all_links = insert_if_absent(links, link_rows, ["lead_id", "campaign_id"], "_o")
     fresh = link_rows.join(links.select("lead_id", "campaign_id"), ["lead_id", "campaign_id"], "left_anti")
-    counted = ready.agg(
-        F.count("*").alias("matched_after_filters"), F.count("*").alias("upserted_leads"),
+    tally = ready.select("tier", F.lit(0).alias("linked")).unionByName(
+        fresh.select(F.lit(None).cast("int").alias("tier"), F.lit(1).alias("linked"))
+    )
+    summary = tally.agg(
+        F.count("tier").alias("matched_after_filters"), F.count("tier").alias("upserted_leads"),
         *[F.count_if(F.col("tier") == t).alias(f"t{t}") for t in range(1, 6)],
+        F.count_if(F.col("linked") == 1).alias("new_campaign_links"),
     )
-    summary = counted.crossJoin(F.broadcast(fresh.agg(F.count("*").alias("new_campaign_links"))))  # one row each
     return new_leads, all_links, summary

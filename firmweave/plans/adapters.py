@@ -5,6 +5,8 @@ Money stays in integer units so that sums are exact in both engines.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 NOW = "2024-01-31 00:00:00"
@@ -111,13 +113,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Run SQL over the driver tables it names."""
-    words = set(text.replace("(", " ").replace(")", " ").replace(",", " ").split())
-    for name in TABLES:
-        if name in words:
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(text)
+def sql(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) -> DataFrame:
+    """Run SQL over the driver tables it names (and the given frames), leaving no view behind."""
+    names = "|".join([*TABLES, *frames])
+    braces = text.replace("{", "{{").replace("}", "}}")
+    marked = re.sub(rf"\b(FROM|JOIN)\s+({names})\b", r"\1 {\2}", braces)
+    used = {n for _, n in re.findall(rf"\b(FROM|JOIN) \{{({names})\}}", marked)}
+    inputs = {n: frames[n] if n in frames else table(spark, sf_dir, n) for n in used}
+    return spark.sql(marked, **inputs)
 
 
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

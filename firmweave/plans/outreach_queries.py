@@ -45,18 +45,12 @@ SPEC = tg.TargetSpec(
 FOUNDED = tg.TargetSpec(founded_min="2023-09-01", founded_max="2023-12-31", tech=True, limit=400)
 
 
-def _view(spark, sf_dir, name, text):
-    sql(spark, sf_dir, text).createOrReplaceTempView(name)
-
-
 def _targets(spark, sf_dir):
-    _companies(spark, sf_dir).createOrReplaceTempView("companies")
-    return spark.sql(TARGETS)
+    return sql(spark, sf_dir, TARGETS, companies=_companies(spark, sf_dir))
 
 
 def _events(spark, sf_dir):
-    adapter(spark, sf_dir, "outcome_events").createOrReplaceTempView("outcome_events")
-    df = spark.sql(MANUAL_STOPS)
+    df = sql(spark, sf_dir, MANUAL_STOPS, outcome_events=adapter(spark, sf_dir, "outcome_events"))
     return df.withColumn("created_at", F.col("created_at").cast("timestamp"))
 
 

@@ -151,8 +151,7 @@ FROM (SELECT *, cast(fiscal_year_end_date AS string) AS end_date, cast(orgnr AS
 
 
 def _filings(spark, sf_dir):
-    adapter(spark, sf_dir, "company_financials").createOrReplaceTempView("company_financials")
-    return spark.sql(FILINGS)
+    return sql(spark, sf_dir, FILINGS, company_financials=adapter(spark, sf_dir, "company_financials"))
 
 
 def filing_fact_extract(spark, sf_dir):
@@ -170,7 +169,11 @@ def _validated(spark, sf_dir):
 
 def filing_validate(spark, sf_dir):
     accepted, rejects, _, _ = _validated(spark, sf_dir)
-    return accepted.select("orgnr", "end_date", "source_file", F.lit("accepted").alias("reason")).unionByName(rejects)
+    shown = ["orgnr", "end_date", "source_file"]
+    return (
+        accepted.select(*shown, F.lit("accepted").alias("reason"), "revenue_sek")
+        .unionByName(rejects.withColumn("revenue_sek", F.lit(0).cast("bigint")))
+    )
 
 
 def filing_validate_counts(spark, sf_dir):
@@ -295,7 +298,7 @@ def _filing_value(col: str) -> str:
 _K = f"{ctes('company_financials')}, f AS (SELECT *, fiscal_year_end_date::VARCHAR AS end_date, orgnr::BIGINT * 7 + fiscal_year_end_year AS k FROM company_financials), d AS (SELECT *, 'container/' || (k % 2)::VARCHAR || '_' || orgnr || '_' || end_date || '.xhtml' AS source_file, CASE WHEN k % 50 = 7 THEN '' ELSE orgnr END AS o FROM f)"
 _JUDGED = f"""{_K}, u AS (SELECT *, false AS again FROM d UNION ALL SELECT * REPLACE ('z/' || source_file AS source_file), true FROM d WHERE o LIKE '%5'),
 v AS (SELECT o AS orgnr, end_date, source_file, CASE WHEN o = '' THEN 'bad_key' WHEN o LIKE '%8' THEN 'unknown_company' WHEN end_date = '1995-12-31' AND o LIKE '%4' THEN 'already_loaded' WHEN k % 40 = 9 THEN 'parse_error'
-  WHEN k % 31 = 3 THEN 'key_mismatch' WHEN k % 37 = 5 THEN 'date_mismatch' WHEN again THEN 'already_loaded' ELSE 'accepted' END AS reason FROM u)"""
+  WHEN k % 31 = 3 THEN 'key_mismatch' WHEN k % 37 = 5 THEN 'date_mismatch' WHEN again THEN 'already_loaded' ELSE 'accepted' END AS reason, {_filing_value('revenue_sek')} FROM u)"""
 
 ORACLES = {
     "page_text_extract": f"WITH {_LOW} SELECT page_order, t AS text, {_count_words('t')} AS n_words FROM txt",
@@ -353,6 +356,6 @@ z AS (SELECT *, row_number() OVER (PARTITION BY role_id ORDER BY w DESC, i) AS r
 s AS (SELECT orgnr, arg_min('https://' || domain, rank) FILTER (good) AS url, bool_or(pk) AS pk, bool_or(coalesce(err = 'timeout', false)) AS tm, arg_max(err, rank) FILTER (err IS NOT NULL) AS le FROM e GROUP BY 1)
 SELECT orgnr, coalesce(url, '') AS found_website, CASE WHEN url IS NOT NULL THEN 'found' WHEN pk THEN 'parked' ELSE 'not_found' END AS status, CASE WHEN url IS NOT NULL THEN '' ELSE coalesce(le, '') END AS err_reason FROM s WHERE url IS NOT NULL OR NOT tm""",
     "filing_fact_extract": f"""WITH {_K} SELECT o AS orgnr, end_date AS fiscal_year_end_date, fiscal_year_end_year, {', '.join(_filing_value(c) for c in _FACT_COLUMNS)}, round(solidity_pct * 0.01 * 100.0, 6) AS solidity_pct, source_file FROM d""",
-    "filing_validate": f"WITH {_JUDGED} SELECT orgnr, end_date, source_file, reason FROM v",
+    "filing_validate": f"WITH {_JUDGED} SELECT orgnr, end_date, source_file, reason, CASE WHEN reason = 'accepted' THEN revenue_sek ELSE 0 END AS revenue_sek FROM v",
     "filing_validate_counts": f"WITH {_JUDGED} SELECT reason, count(*) AS n FROM v GROUP BY 1",
 }

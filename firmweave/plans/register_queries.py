@@ -126,8 +126,7 @@ def _companies(spark, sf_dir):
 
 
 def _wide(spark, sf_dir):
-    _companies(spark, sf_dir).createOrReplaceTempView("companies")
-    return spark.sql(WIDE)
+    return sql(spark, sf_dir, WIDE, companies=_companies(spark, sf_dir))
 
 
 # ---- sources and sinks ----
@@ -191,8 +190,8 @@ FROM company_financials"""
 
 def filing_scan(spark, sf_dir):
     path = _run_dir(spark, "filings")
-    adapter(spark, sf_dir, "company_financials").createOrReplaceTempView("company_financials")
-    spark.sql(FILING_NAMES).write.parquet(path)
+    docs = sql(spark, sf_dir, FILING_NAMES, company_financials=adapter(spark, sf_dir, "company_financials"))
+    docs.write.parquet(path)
     return filings.packed_filing_scan(spark, path)
 
 
@@ -221,9 +220,12 @@ def master_projection(spark, sf_dir):
 
 
 def timestamp_standardize(spark, sf_dir):
-    rows, counts = std.timestamp_standardize(_in(spark, sf_dir, "spellings"), ["seen_at"])
-    n = F.broadcast(counts)  # one row
-    return rows.select("event_id", "seen_at").crossJoin(n)
+    rows, _ = std.timestamp_standardize(_in(spark, sf_dir, "spellings"), ["seen_at"])
+    return rows.select("event_id", "seen_at")
+
+
+def timestamp_standardize_counts(spark, sf_dir):
+    return std.timestamp_standardize(_in(spark, sf_dir, "spellings"), ["seen_at"])[1]
 
 
 def size_class_span(spark, sf_dir):
@@ -307,8 +309,8 @@ UNION ALL SELECT orgnr, name || ' II', 'Later', '2022-02-02', 'OTHER', CASE WHEN
 
 
 def register_upsert(spark, sf_dir):
-    std.register_standardize(_in(spark, sf_dir, "bulk")).createOrReplaceTempView("s")
-    return merge.register_upsert(_register_master(spark, sf_dir), spark.sql(REGISTER_ROWS))
+    rows = sql(spark, sf_dir, REGISTER_ROWS, s=std.register_standardize(_in(spark, sf_dir, "bulk")))
+    return merge.register_upsert(_register_master(spark, sf_dir), rows)
 
 
 def insert_if_absent(spark, sf_dir):
@@ -447,7 +449,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         feed_scan, feed_write, register_bulk_scan, filing_scan, table_snapshot,
-        register_standardize, master_projection, timestamp_standardize, size_class_span, code_table_fill,
+        register_standardize, master_projection, timestamp_standardize, timestamp_standardize_counts, size_class_span, code_table_fill,
         industry_code_extract, payload_flatten, ownership_bucket,
         fill_if_blank_merge, newest_wins_merge, signal_feeds_apply, signal_feeds_counters, register_upsert,
         insert_if_absent, keyed_upsert, checks_unpivot, change_log_diff, enrichment_merge, enrichment_run_stats,
@@ -539,6 +541,10 @@ def _shard_sql(n: int) -> str:
 _LINES = f"""{_in_sql('feed_website')}, lines AS (SELECT *, CASE WHEN feed_order % 23 = 0 THEN 'blank' WHEN feed_order % 29 = 0 OR feed_order % 31 = 0 OR feed_order % 37 = 0 THEN 'error'
   WHEN feed_order % 19 = 0 THEN 'skipped' ELSE 'row' END AS kind FROM feed_website)"""
 
+_SPELLED = f"""{_in_sql('spellings')}, x AS (SELECT event_id, seen_at, CASE event_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN 0 END AS off,
+  (d || ' ' || t)::TIMESTAMP AS naive FROM spellings),
+y AS (SELECT event_id, CASE WHEN off IS NULL THEN seen_at ELSE strftime(naive - off * INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%SZ') END AS seen_at, off, seen_at AS raw FROM x)"""
+
 ORACLES = {
     "feed_scan": f"WITH {_LINES} SELECT kind, CASE WHEN kind = 'row' THEN trim(orgnr) ELSE '' END AS orgnr, count(*) AS n FROM lines WHERE kind <> 'blank' GROUP BY 1, 2",
     "feed_write": f"WITH {_CO} SELECT orgnr, name, line_of_work, {_shard_sql(4)} AS shard_id FROM companies",
@@ -551,10 +557,9 @@ ORACLES = {
     "master_projection": f"""WITH {_in_sql('old_master')} SELECT orgnr, trim(name) AS name, coalesce({_nb('scb_municipality')}, {_nb('city')}) AS kommun, scb_region AS region, NULL::VARCHAR AS postort,
   CASE WHEN regexp_full_match(trim(employees), '[0-9]+') THEN trim(employees)::BIGINT END AS employees, sni_codes, NULL::VARCHAR AS website, hiring_status,
   TRY_CAST(line_of_work_conf AS DOUBLE) AS line_of_work_conf, NULL::VARCHAR AS legal_form FROM old_master""",
-    "timestamp_standardize": f"""WITH {_in_sql('spellings')}, x AS (SELECT event_id, seen_at, CASE event_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN 0 END AS off,
-  (d || ' ' || t)::TIMESTAMP AS naive FROM spellings),
-y AS (SELECT event_id, CASE WHEN off IS NULL THEN seen_at ELSE strftime(naive - off * INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%SZ') END AS seen_at, off, seen_at AS raw FROM x)
-SELECT event_id, seen_at, (SELECT count(*) FROM y WHERE off IS NULL AND trim(raw) <> '') AS seen_at_skipped, (SELECT count(*) FROM y WHERE off IS NOT NULL AND trim(raw) <> seen_at) AS seen_at_changed FROM y""",
+    "timestamp_standardize": f"WITH {_SPELLED} SELECT event_id, seen_at FROM y",
+    "timestamp_standardize_counts": f"""WITH {_SPELLED} SELECT count(*) FILTER (off IS NULL AND trim(raw) <> '') AS seen_at_skipped,
+  count(*) FILTER (off IS NOT NULL AND trim(raw) <> seen_at) AS seen_at_changed FROM y""",
     "size_class_span": f"""WITH {_in_sql('sizes')}, x AS (SELECT *, nullif(regexp_extract(coalesce(employees_class_code, ''), '[0-9]+'), '')::INT AS n, replace(lower(trim(coalesce(employees_class, ''))), '–', '-') AS s,
   employees_min IS NULL AND employees_max IS NULL AS open_span FROM sizes),
 z AS (SELECT *, CASE WHEN n BETWEEN 0 AND 8 THEN [0,1,5,10,20,50,100,200,500][n + 1] WHEN starts_with(s, '0') THEN 0 ELSE nullif(regexp_extract(s, '([0-9]+)\\s*[-+]', 1), '')::INT END AS lo,

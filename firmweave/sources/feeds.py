@@ -15,25 +15,39 @@ from firmweave.sources import schemas
 _EMPTY_OBJECT = r"^\{\s*\}$"
 
 
-def feed_lines(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
-    """Raw lines with their place: pattern rank, file, position in the file.
+def list_files(spark: SparkSession, patterns: Sequence[str]) -> list[list[str]]:
+    """Per pattern its files (names only); a file two patterns match belongs to the first."""
+    seen: set[str] = set()
+    out = []
+    for pattern in patterns:
+        path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = []
+        for status in fs.globStatus(path) or []:
+            inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+            found += [s.getPath().toString() for s in inside if s.isFile() and s.getPath().getName()[0] not in "._"]
+        fresh = [f for f in sorted(found) if f not in seen]
+        seen.update(fresh)
+        out.append(fresh)
+    return out
+
 
-    A file matched by two patterns is read once, under the first.
-    """
+def feed_lines(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
+    """Raw lines with their place: pattern rank, file, position in the file."""
     parts = []
-    for rank, pattern in enumerate(patterns):
-        lines = spark.read.text(pattern).select(
+    for rank, files in enumerate(list_files(spark, patterns)):
+        if not files:
+            continue
+        lines = spark.read.text(files).select(
             "value",
             F.lit(rank).alias("pattern_rank"),
             F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.file_block_start").alias("block_start"),
         )
         parts.append(lines.withColumn("line_no", F.monotonically_increasing_id()))
-    lines = reduce(DataFrame.unionByName, parts)
-    if len(patterns) > 1:
-        first = lines.groupBy("file_path").agg(F.min("pattern_rank").alias("pattern_rank"))
-        lines = lines.join(first, ["file_path", "pattern_rank"], "left_semi")
-    return lines
+    if not parts:
+        raise FileNotFoundError(", ".join(patterns))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def parse_lines(lines: DataFrame, schema: str, needs_time: bool) -> DataFrame:
