@@ -6,7 +6,7 @@ each document whole.
 
 from __future__ import annotations
 
-from typing import Mapping
+from typing import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,34 +16,43 @@ from firmweave.functions.html import unescape
 from firmweave.functions.text import SPACES, digits_only, full_strip
 
 
-def _tag(doc: Column, kind: str, name: str) -> Column:
-    """First element of the kind with that name -> struct(attrs, body); NULL when there is none."""
-    pattern = (
-        rf"""(?s)<ix:{kind}(\s[^>]*?\bname\s*=\s*["']{name}["'][^>]*?)(?:/>|>(.*?)</ix:{kind}>)"""
-    )
-    attrs = F.regexp_extract(doc, pattern, 1)
-    return F.when(
-        attrs != "", F.struct(attrs.alias("attrs"), F.regexp_extract(doc, pattern, 2).alias("body"))
+def _tags(doc: Column, kind: str, names: Iterable[str]) -> Column:
+    """All elements of the kind with one of the names, in document order: one pass, array<struct(name, scale, body)>."""
+    wanted = "|".join(names)
+    pattern = rf"""(?s)<ix:{kind}\s[^>]*?\bname\s*=\s*["'](?:{wanted})["'][^>]*?(?:/>|>.*?</ix:{kind}>)"""
+    attribute = lambda e, a: F.regexp_extract(e, rf"""^<[^>]*?\b{a}\s*=\s*["']([^"']*)["']""", 1)
+
+    def text(element: Column) -> Column:
+        body = F.regexp_replace(element, "<[^>]*>", "")
+        return full_strip(F.when(element.contains("&"), unescape(body)).otherwise(body))
+
+    return F.transform(
+        F.regexp_extract_all(doc, F.lit(pattern), F.lit(0)),
+        lambda e: F.struct(
+            attribute(e, "name").alias("name"), attribute(e, "scale").alias("scale"),
+            text(e).alias("text"),
+        ),
     )
 
 
-def _text(tag: Column) -> Column:
-    return full_strip(unescape(F.regexp_replace(tag["body"], "<[^>]*>", "")))
+def _first(tags: Column, name: str) -> Column:
+    """The first element with that name; NULL when there is none."""
+    return F.get(F.filter(tags, lambda t: t["name"] == name), F.lit(0))
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag["attrs"], rf"""\b{name}\s*=\s*["']([^"']*)["']""", 1)
+def compact_number(raw: Column) -> Column:
+    """Number text without blanks, with a decimal point."""
+    return F.replace(F.regexp_replace(raw, f"[{SPACES}]+", ""), F.lit(","), F.lit("."))
 
 
-def number_text(raw: Column) -> Column:
-    """Number with blanks between digits and a decimal comma -> double; NULL for any other text."""
-    s = F.replace(F.regexp_replace(raw, f"[{SPACES}]+", ""), F.lit(","), F.lit("."))
-    return F.when(s.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), s.try_cast("double"))
+def plain_number(compact: Column) -> Column:
+    return F.when(compact.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), compact.try_cast("double"))
 
 
-def scaled(value: Column, scale: Column) -> Column:
-    power = F.when(full_strip(scale).rlike("^[+-]?[0-9]+$"), full_strip(scale).try_cast("int"))
-    return F.when(power.isNull(), value).otherwise(value * F.pow(F.lit(10.0), power))
+def power_of_ten(scale: Column) -> Column:
+    """10 to the scale; 1 when the scale is no whole number."""
+    power = F.when(scale.rlike("^[+-]?[0-9]+$"), scale.try_cast("int"))
+    return F.pow(F.lit(10.0), F.coalesce(power, F.lit(0)))
 
 
 def filing_read(filings: DataFrame, facts: Mapping[str, str] = fv.FILING_FACTS) -> DataFrame:
@@ -52,17 +61,24 @@ def filing_read(filings: DataFrame, facts: Mapping[str, str] = fv.FILING_FACTS)
     Whole kronor by half-even rounding, the equity ratio in percent. Nothing after this touches document text.
     """
     doc = F.col("xhtml")
-    step = filings.withColumns({f"_t_{c}": _tag(doc, "nonFraction", tag) for c, tag in facts.items()})
-    cols = {}
-    for c in facts:
-        tag = F.col(f"_t_{c}")
-        value = scaled(number_text(_text(tag)), _attribute(tag, "scale"))
-        cols[c] = value * 100.0 if c == "solidity_pct" else F.rint(value).cast("bigint")
-    says = lambda name: _text(_tag(doc, "nonNumeric", name))
+    step = filings.withColumns(
+        {
+            "_numbers": _tags(doc, "nonFraction", facts.values()),
+            "_words": _tags(doc, "nonNumeric", (fv.FILING_ORGNR, fv.FILING_END)),
+        }
+    ).withColumns({f"_t_{c}": _first(F.col("_numbers"), tag) for c, tag in facts.items()})
+    # One projection per step, so that no pattern runs twice for a value.
+    step = step.withColumns({f"_s_{c}": compact_number(F.col(f"_t_{c}.text")) for c in facts})
+    step = step.withColumns(
+        {f"_v_{c}": plain_number(F.col(f"_s_{c}")) * power_of_ten(F.trim(f"_t_{c}.scale")) for c in facts}
+    )
+    cols = {
+        c: F.col(f"_v_{c}") * 100.0 if c == "solidity_pct" else F.rint(f"_v_{c}").cast("bigint") for c in facts
+    }
+    says = lambda name: F.coalesce(_first(F.col("_words"), name)["text"], F.lit(""))
     return step.select(
         "orgnr", "end_date", "source_file",
-        digits_only(F.coalesce(says(fv.FILING_ORGNR), F.lit(""))).alias("doc_orgnr"),
-        F.coalesce(says(fv.FILING_END), F.lit("")).alias("doc_end"),
+        digits_only(says(fv.FILING_ORGNR)).alias("doc_orgnr"), says(fv.FILING_END).alias("doc_end"),
         doc.contains("xmlns:ix=").alias("has_tags"),
         *[v.alias(k) for k, v in cols.items()],
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from firmweave.functions.text import blank_to_null, col, full_strip
 from firmweave.functions.times import at
 from firmweave.operators import ranking
-from firmweave.session import Small
+from firmweave.session import Small, staged
 
 KEYS = ("orgnr", "fiscal_year_end_date", "fiscal_year_end_year")
 YEAR = "fiscal_year_end_year"
@@ -144,17 +144,13 @@ def growth_prev_year(financials: DataFrame) -> DataFrame:
 
     Of two year ends in one calendar year the later one is the base.
     """
-    previous = (
-        financials.groupBy("orgnr", (F.col(YEAR) + 1).alias(YEAR))
-        .agg(
-            F.max_by(
-                F.struct(F.col("revenue_sek").alias("revenue"), F.col("profit_sek").alias("profit")),
-                F.col("fiscal_year_end_date"),
-            ).alias("prev")
-        )
+    # Plain numbers in the buffers keep this a hash aggregate.
+    previous = financials.groupBy("orgnr", (F.col(YEAR) + 1).alias(YEAR)).agg(
+        F.max_by("revenue_sek", "fiscal_year_end_date").alias("prev_revenue"),
+        F.max_by("profit_sek", "fiscal_year_end_date").alias("prev_profit"),
     )
     change = lambda now, then: signed_log(F.col(now)) - signed_log(F.col(then))
-    growth = 0.5 * change("revenue_sek", "prev.revenue") + 0.5 * change("profit_sek", "prev.profit")
+    growth = 0.5 * change("revenue_sek", "prev_revenue") + 0.5 * change("profit_sek", "prev_profit")
     return (
         financials.join(previous, ["orgnr", YEAR], "left")
         .withColumn("growth", growth)
@@ -178,7 +174,7 @@ def health_score(
 ) -> DataFrame:
     """Score every company year from 0 to 100; years are scored together, companies unknown to the master not."""
     known = financials if companies is None else financials.join(companies.select("orgnr"), "orgnr", "left_semi")
-    base = growth_prev_year(financial_ratios(known)).select(*KEYS, *MEASURES, "growth")
+    base = staged(growth_prev_year(financial_ratios(known)).select(*KEYS, *MEASURES, "growth"))
     measures = {**MEASURES, "growth": True}
     scored = winsorized_rank_scores(base, measures, spec.winsor_p, plain_rows=plain_rows)
     # One empty row per key keeps companies that lack every measure.

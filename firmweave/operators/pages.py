@@ -61,8 +61,9 @@ def link_extract(pages: DataFrame, words: LinkWords = LinkWords()) -> DataFrame:
     """
     links = pages.select(
         "site_key", "page_order", H.url_host(F.col("url")).alias("_host"),
-        F.posexplode(_absolute_links(F.col("url"), _lower(pages))).alias("pos", "link"),
-    )
+        # The outer form: the plain one would also compute the links in an inferred filter.
+        F.posexplode_outer(_absolute_links(F.col("url"), _lower(pages))).alias("pos", "link"),
+    ).where(F.col("pos").isNotNull())
     links = links.withColumn("link_host", H.url_host(F.col("link")))
     same = F.col("link_host") == F.col("_host")
     hint = same & _is_web(F.col("link")) & any_contains(F.lower(H.url_path(F.col("link"))), words.hints)
@@ -177,7 +178,9 @@ def _priority(address: Column) -> Column:
 
 def contact_extract(pages: DataFrame, keep: int = 3) -> DataFrame:
     """site_key, emails: the best ``keep`` addresses by priority, then first seen."""
-    found = address_sources(pages).select("site_key", "page_order", F.posexplode("_sources").alias("pos", "raw"))
+    # The outer form: the plain one would also compute the sources in an inferred filter.
+    found = address_sources(pages).select("site_key", "page_order", F.posexplode_outer("_sources").alias("pos", "raw"))
+    found = found.where(F.col("raw").isNotNull())
     clean = found.select("site_key", "page_order", "pos", _clean_address(F.col("raw")).alias("email"))
     first = (
         clean.where(_allowed(F.col("email")))

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from firmweave.session import spread_scan
+
 NOW = "2024-01-31 00:00:00"
 
 ADAPTERS: dict[str, str] = {}
@@ -109,8 +111,13 @@ TABLES = (
 ).split()
 
 
+# Text tables: little data for the reader, much work per row.
+HEAVY = ("pages", "documents")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_scan(df) if name in HEAVY else df
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) -> DataFrame:

@@ -151,7 +151,9 @@ FROM (SELECT *, cast(fiscal_year_end_date AS string) AS end_date, cast(orgnr AS
 
 
 def _filings(spark, sf_dir):
-    return sql(spark, sf_dir, FILINGS, company_financials=adapter(spark, sf_dir, "company_financials"))
+    # The documents are made up from narrow rows; spread those as a scan of real documents would be.
+    rows = adapter(spark, sf_dir, "company_financials").repartition(spark.sparkContext.defaultParallelism)
+    return sql(spark, sf_dir, FILINGS, company_financials=rows)
 
 
 def filing_fact_extract(spark, sf_dir):

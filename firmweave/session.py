@@ -7,6 +7,7 @@ Only size-checked, small results ever reach the driver: ``small_table`` reads at
 from __future__ import annotations
 
 import tempfile
+import uuid
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -54,6 +55,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: computed once, however often it is used."""
+    path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Small(NamedTuple):
     """A table, plus its rows if they were proven to be few."""
 
@@ -82,3 +90,12 @@ def small_table(df: DataFrame, max_rows: int) -> Small:
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast ``df`` when it is known to have at most ``max_rows`` rows; else leave the join to AQE."""
     return small_table(df, max_rows).hinted()
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Spread a file scan that has fewer splits than cores, for work that is heavy per row.
+
+    A scan of any size has more splits than that and stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
