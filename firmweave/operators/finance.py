@@ -263,10 +263,10 @@ def size_class_trend(companies: DataFrame, history: DataFrame, now) -> tuple[Dat
 
 def latest_financial_snapshot(financials: DataFrame, scores: DataFrame) -> DataFrame:
     """Per company: latest year end, its revenue and score, revenue change in percent and direction."""
+    end = "fiscal_year_end_date"
     latest = financials.groupBy("orgnr").agg(
-        F.max_by(F.struct("fiscal_year_end_date", YEAR, "revenue_sek"), F.col("fiscal_year_end_date")).alias("l")
+        F.max_by(YEAR, end).alias(YEAR), F.max_by("revenue_sek", end).alias("revenue_sek"), F.max(end).alias(end)
     )
-    latest = latest.select("orgnr", "l.*")
     previous = financials.groupBy("orgnr", (F.col(YEAR) + 1).alias(YEAR)).agg(
         F.max_by("revenue_sek", "fiscal_year_end_date").alias("prev_revenue")
     )

@@ -15,7 +15,7 @@ from firmweave.functions.text import is_blank, string_array
 from firmweave.functions.times import at, instant, plus
 from firmweave.operators.merge import insert_if_absent, keyed_upsert
 from firmweave.operators.ranking import ordered_position
-from firmweave.session import small_table
+from firmweave.session import small_table, staged
 
 FILTERS = ("city", "sni", "employees", "founded", "tech", "review")
 CANDIDATE_COLUMNS = (
@@ -243,7 +243,8 @@ def lead_campaign_load(
         picked = suppression_anti_join(picked, do_not_contact, leads, events)
     if spec.limit is not None and spec.limit_stage == "last":
         picked = picked.orderBy("orgnr").limit(spec.limit)
-    ready = stagger_schedule(tier_score(picked, active), now, spec.stagger_minutes)
+    # Read by the leads, the links and the summary: computed once.
+    ready = staged(stagger_schedule(tier_score(picked, active), now, spec.stagger_minutes))
 
     stamp = at(now)
     rows = ready.select(
@@ -265,7 +266,10 @@ def lead_campaign_load(
     flags = F.to_json(F.struct(
         *[F.col(f"flags.{f}_ok").alias(f"{f}_ok") for f in FILTERS], *[v.alias(k) for k, v in constants.items()]
     ))
-    link_rows = ready.join(new_leads.select("orgnr", F.col("id").alias("lead_id")), "orgnr").select(
+    # A known lead keeps its id, a new one has the id it was just given.
+    known = leads.select("orgnr", F.col("id").alias("_known_id"))
+    with_id = ready.join(known, "orgnr", "left").withColumn("lead_id", F.coalesce("_known_id", stable_id("orgnr")))
+    link_rows = with_id.select(
         F.conv(F.substring(F.md5(F.concat_ws("/", F.col("lead_id").cast("string"), F.lit(str(campaign.id))).cast("binary")), 1, 15), 16, 10)
         .cast("bigint").alias("id"),
         "lead_id", F.lit(campaign.id).alias("campaign_id"), F.lit(1).alias("current_step"),
