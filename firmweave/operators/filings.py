@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from firmweave.functions import fixed_values as fv
 from firmweave.functions.html import unescape
 from firmweave.functions.text import SPACES, digits_only, full_strip
+from firmweave.session import lookup_join
 
 
 def _tags(doc: Column, kind: str, names: Iterable[str]) -> Column:
@@ -111,10 +112,10 @@ def filing_validate(
         .when((F.col("doc_orgnr") != "") & (F.col("doc_orgnr") != F.col("orgnr")), "key_mismatch")
         .when((F.col("doc_end") != "") & (F.col("doc_end") != F.col("end_date")), "date_mismatch")
     )
-    checked = (
-        rows.join(known, "orgnr", "left").join(done, ["orgnr", "end_date"], "left")
-        .withColumn("reason", verdict).drop("_known", "_done")
-    )
+    # One company, or copies of one document, may be a large part of all documents.
+    checked = lookup_join(rows, known, ["orgnr"], ["source_file"])
+    checked = lookup_join(checked, done, ["orgnr", "end_date"], ["source_file"])
+    checked = checked.withColumn("reason", verdict).drop("_known", "_done")
     key = ["orgnr", "end_date", "source_file"]
     # The first document per key by an aggregate; the three-column join spreads the copies of one key.
     first = (

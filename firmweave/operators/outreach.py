@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from firmweave.functions.text import full_strip, list_items
 from firmweave.functions.times import at, plus
-from firmweave.session import broadcast_if_small
+from firmweave.session import lookup_join
 
 
 def due_send_queue(
@@ -35,28 +35,23 @@ def template_pick(queue: DataFrame, campaign_templates: DataFrame) -> DataFrame:
 
     Rows whose step has no template keep NULL, so the caller sees them.
     """
-    step = F.coalesce(F.col("current_step"), F.lit(1))
-    exact = broadcast_if_small(
-        campaign_templates.select(
-            F.col("campaign_id").alias("_c"), F.col("step").alias("_s"), F.col("variant").alias("_v"), F.col("template_id").alias("_t")
-        )
-    )
-    first = broadcast_if_small(
-        campaign_templates.groupBy(F.col("campaign_id").alias("_c2"), F.col("step").alias("_s2")).agg(
-            F.min(F.struct("variant", "template_id")).alias("_first")
-        )
+    # Every row of a campaign shares its few steps, so these are lookups with hot keys.
+    exact = campaign_templates.groupBy("campaign_id", F.col("step").alias("_step"), F.col("variant").alias("current_variant")).agg(
+        F.max("template_id").alias("_exact")
     )
-    return (
-        queue.join(exact, (F.col("campaign_id") == F.col("_c")) & (step == F.col("_s")) & (F.col("current_variant") == F.col("_v")), "left")
-        .join(first, (F.col("campaign_id") == F.col("_c2")) & (step == F.col("_s2")), "left")
-        .withColumns(
-            {
-                "variant": F.coalesce("_v", "_first.variant"),
-                "template_id": F.coalesce("_t", "_first.template_id"),
-            }
-        )
-        .drop("_c", "_s", "_v", "_t", "_c2", "_s2", "_first")
+    first = campaign_templates.groupBy("campaign_id", F.col("step").alias("_step")).agg(
+        F.min(F.struct("variant", "template_id")).alias("_first")
     )
+    step = queue.withColumn("_step", F.coalesce("current_step", F.lit(1)))
+    step = lookup_join(step, exact, ["campaign_id", "_step", "current_variant"], ["lead_id"])
+    step = lookup_join(step, first, ["campaign_id", "_step"], ["lead_id"])
+    known = F.col("_exact").isNotNull()
+    return step.withColumns(
+        {
+            "variant": F.when(known, F.col("current_variant")).otherwise(F.col("_first.variant")),
+            "template_id": F.when(known, F.col("_exact")).otherwise(F.col("_first.template_id")),
+        }
+    ).select(*queue.columns, "variant", "template_id")
 
 
 # Fixed value: the placeholder form, {{key}} or {{key | default:"text"}}.
@@ -88,7 +83,7 @@ def message_render(
     signature_html: str = "", signature_text: str = "",
 ) -> DataFrame:
     """One queued message per queue row that has an address and a template."""
-    bodies = broadcast_if_small(templates.select(F.col("id").alias("template_id"), "subject", "body"), 10_000)
+    bodies = templates.select(F.col("id").alias("template_id"), "subject", "body", F.lit(True).alias("_has"))
     filled = lambda c: F.coalesce(F.col(c), F.lit(""))
     context = {
         "orgnr": F.col("orgnr"), "company_name": filled("company_name"), "city": filled("city"),
@@ -98,10 +93,10 @@ def message_render(
     stamp = at(now)
     body = render(F.coalesce(F.col("body"), F.lit("")), context)
     signed = lambda sep, sig: F.concat(F.col("_body"), F.lit(sep + sig)) if sig else F.col("_body")
+    addressed = queue.withColumn("to_email", primary_address("emails")).where(F.col("to_email").isNotNull())
     return (
-        queue.withColumn("to_email", primary_address("emails"))
-        .where(F.col("to_email").isNotNull())
-        .join(bodies, "template_id")
+        lookup_join(addressed, bodies, ["template_id"], ["lead_id"], max_rows=10_000)
+        .where(F.col("_has"))
         .withColumn("_body", body)
         .select(
             "lead_id", "campaign_id", "template_id", F.coalesce("current_step", F.lit(1)).alias("step"), "variant", "to_email",

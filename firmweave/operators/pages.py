@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from firmweave.functions import fixed_values as fv
 from firmweave.functions import html as H
 from firmweave.functions.text import any_contains, full_strip, hit_count, string_array
+from firmweave.session import lookup_join, staged
 
 
 def _lower(pages: DataFrame) -> Column:
@@ -78,6 +79,8 @@ def link_extract(pages: DataFrame, words: LinkWords = LinkWords()) -> DataFrame:
         .groupBy("site_key", "kind", F.col("link").alias("url"))
         .agg(F.min(F.struct("page_order", "pos")).alias("first"))
     )
+    # Both lists below come from the deduplicated links; the pages are read once.
+    seen = staged(seen)
     jobs = seen.where("kind = 'internal_job'").select("site_key", "kind", F.lit(None).cast("int").alias("rank"), "url")
     # A rank filter on row_number: each task keeps its own first n per group before the shuffle.
     ranked = seen.where("kind <> 'internal_job'").withColumn(
@@ -431,7 +434,8 @@ def probe_result_pick(candidates: DataFrame, probes: DataFrame) -> DataFrame:
 
     The first reachable, non-parked candidate wins. Nothing found after a timeout gives no row (retried later).
     """
-    rows = candidates.join(probes, "domain")
+    # A common name part makes one domain a candidate of very many companies.
+    rows = lookup_join(candidates, probes, ["domain"], ["orgnr"]).where(F.col("ok").isNotNull())
     failed = ~F.col("ok") & F.coalesce(F.col("err") != "", F.lit(False))
     word = F.when(F.col("err").isin("403", "429", "timeout"), F.col("err")).otherwise("other")
     good = F.col("ok") & ~F.col("parked")

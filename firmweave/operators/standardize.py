@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from firmweave.functions import fixed_values as fv
 from firmweave.functions.text import blank_to_null, col, digits_only, full_strip, int_or_null, is_blank
 from firmweave.functions.times import instant, iso_z
-from firmweave.session import broadcast_if_small
+from firmweave.session import lookup_join
 
 
 def _cell(name: str) -> Column:
@@ -177,10 +177,11 @@ def size_class_span(
 
 def code_table_fill(df: DataFrame, codes: DataFrame, code: str, text: str) -> DataFrame:
     """Fill a blank text column from its code. ``codes``: (code, label), one row per code."""
-    lookup = broadcast_if_small(codes.groupBy(full_strip("code").alias("_code")).agg(F.max_by("label", "label").alias("_label")))
-    joined = df.join(lookup, full_strip(F.col(code).cast("string")) == F.col("_code"), "left")
+    lookup = codes.groupBy(full_strip("code").alias("_code")).agg(F.max("label").alias("_label"))
+    keyed = df.withColumn("_code", full_strip(F.col(code).cast("string")))
+    spread = [c for c in df.columns if c != code]
     filled = F.coalesce(blank_to_null(text), blank_to_null("_label"))
-    return joined.withColumn(text, filled).select(*df.columns)
+    return lookup_join(keyed, lookup, ["_code"], spread).withColumn(text, filled).select(*df.columns)
 
 
 _CODE_ITEM = "struct<kod:string,code:string,klartext:string,text:string,beskrivning:string>"

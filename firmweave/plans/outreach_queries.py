@@ -377,8 +377,8 @@ SELECT feed, CASE WHEN feed = 'websites' THEN 3::BIGINT ELSE 0::BIGINT END AS fi
     "delivery_class": f"""WITH {ctes('email_messages', 'outcome_events')}, {_FLAGS}, c AS (SELECT CASE WHEN coalesce(f, false) OR status IN ('failed','error') OR trim(coalesce(error, '')) <> '' THEN 'FAILED' WHEN coalesce(d, false) THEN 'DELIVERED'
   WHEN coalesce(a, false) OR status IN ('sent','accepted') THEN 'ACCEPTED' WHEN status IN ('queued','scheduled') AND f IS NULL THEN 'QUEUED' ELSE 'UNKNOWN' END AS k FROM email_messages m LEFT JOIN em ON em.id = m.id)
 SELECT x.k AS delivery_class, count(c.k) AS n, round(count(c.k) * 100.0::DOUBLE / (SELECT count(*) FROM c), 1) AS pct FROM (SELECT unnest(['FAILED','DELIVERED','ACCEPTED','QUEUED','UNKNOWN']) AS k) x LEFT JOIN c ON c.k = x.k GROUP BY 1""",
-    "stale_accepted": f"""WITH {ctes('email_messages', 'outcome_events')}, {_FLAGS} SELECT h::INTEGER AS older_than_hours, count(*) FILTER (coalesce(sent_at, created_at) < TIMESTAMP '2024-01-20 00:00:00' - h * INTERVAL 1 HOUR) AS n
-FROM email_messages m JOIN em ON em.id = m.id, (SELECT unnest([6, 24]) AS h) WHERE a AND NOT d AND NOT f GROUP BY 1""",
+    "stale_accepted": f"""WITH {ctes('email_messages', 'outcome_events')}, {_FLAGS}, w AS (SELECT coalesce(sent_at, created_at) AS age FROM email_messages m JOIN em ON em.id = m.id WHERE a AND NOT d AND NOT f)
+SELECT h::INTEGER AS older_than_hours, (SELECT count(*) FROM w WHERE age < TIMESTAMP '2024-01-20 00:00:00' - h * INTERVAL 1 HOUR) AS n FROM (SELECT unnest([6, 24]) AS h)""",
     "reputation_verdict": f"""WITH {ctes('email_messages', 'outcome_events')}, n AS (SELECT TIMESTAMP '{NOW}' AS now),
 s AS (SELECT count(*) FILTER (created_at >= now - INTERVAL 7 DAY) AS s7, count(*) FILTER (created_at >= now - INTERVAL 30 DAY) AS s30 FROM email_messages, n WHERE status IN ('sent','accepted','queued','scheduled','failed','error')),
 b AS (SELECT count(*) FILTER (type IN ('bounced','bounce') AND created_at >= now - INTERVAL 7 DAY) AS b7, count(*) FILTER (type = 'complaint' AND created_at >= now - INTERVAL 30 DAY) AS c30 FROM outcome_events, n),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from typing import NamedTuple
+from typing import NamedTuple, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -87,9 +87,20 @@ def small_table(df: DataFrame, max_rows: int) -> Small:
     return Small(cut(df))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` when it is known to have at most ``max_rows`` rows; else leave the join to AQE."""
-    return small_table(df, max_rows).hinted()
+def lookup_join(
+    rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread_by: Sequence[str], max_rows: int = 100_000, salts: int = 16
+) -> DataFrame:
+    """Left join to a lookup with one row per key, whatever the skew of ``rows``.
+
+    A lookup shown to have at most ``max_rows`` rows is broadcast. A larger one is repeated once per salt and
+    the rows are salted by columns that differ within a key, so a hot key is shared by ``salts`` tasks.
+    """
+    few = lookup.limit(max_rows + 1).toArrow()
+    if few.num_rows <= max_rows:
+        return rows.join(F.broadcast(lookup.sparkSession.createDataFrame(few, lookup.schema)), list(on), "left")
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.hash(*spread_by), F.lit(salts)))
+    return salted.join(repeated, [*on, "_salt"], "left").drop("_salt")
 
 
 def spread_scan(df: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from firmweave.session import broadcast_if_small, shared_dir, small_table, spread_scan, staged
+from firmweave.session import lookup_join, shared_dir, small_table, spread_scan, staged
 
 
 def test_small_table_proves_its_size(spark):
@@ -9,9 +9,17 @@ def test_small_table_proves_its_size(spark):
     assert few.proven and sorted(map(tuple, few.df.collect())) == sorted(map(tuple, df.collect()))
     many = small_table(df, 4)
     assert not many.proven and many.df.count() == 5
+
+
+def test_lookup_join_both_ways(spark):
+    rows = spark.range(300).selectExpr("id", "IF(id % 3 = 0, 'hot', CAST(id % 40 AS STRING)) AS k")
+    lookup = spark.range(30).selectExpr("CAST(id AS STRING) AS k", "id * 10 AS v").union(spark.sql("SELECT 'hot', -1L"))
+    want = sorted(map(str, rows.join(lookup, "k", "left").select("id", "k", "v").collect()))
     plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan(df.join(broadcast_if_small(spark.range(3)), "id"))
-    assert "broadcast" not in plan(df.join(broadcast_if_small(spark.range(9), 3), "id"))
+    for limit, hinted in ((100, True), (5, False)):
+        out = lookup_join(rows, lookup, ["k"], ["id"], max_rows=limit).select("id", "k", "v")
+        assert sorted(map(str, out.collect())) == want
+        assert ("broadcast" in plan(out)) is hinted
 
 
 def test_staged_goes_to_the_shared_folder(spark):
