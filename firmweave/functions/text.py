@@ -8,8 +8,11 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the characters that count as white space in a full (Unicode) strip.
-SPACES = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# The characters that count as white space in a full (Unicode) strip, as class and as list.
+SPACES = r"\s\p{Z}\x{1c}-\x{1f}\x{85}"
+SPACE_CHARS = "".join(
+    chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 
 
 def col(c: Column | str) -> Column:
@@ -18,7 +21,7 @@ def col(c: Column | str) -> Column:
 
 def full_strip(c: Column | str) -> Column:
     """Strip all Unicode white space on both sides."""
-    return F.regexp_replace(col(c), f"^[{SPACES}]+|[{SPACES}]+$", "")
+    return F.btrim(col(c), F.lit(SPACE_CHARS))
 
 
 def squeeze(c: Column | str) -> Column:

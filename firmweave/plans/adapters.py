@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from firmweave.session import spread_scan
 
@@ -111,12 +112,17 @@ TABLES = (
 ).split()
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
 # Text tables: little data for the reader, much work per row.
 HEAVY = ("pages", "documents")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:  # reading a schema costs a job
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
     return spread_scan(df) if name in HEAVY else df
 
 

@@ -18,6 +18,15 @@ def test_blank_rules(spark):
     assert one(spark, "__NO_SNI__", T.blank_to_null) == "__NO_SNI__"
 
 
+def test_strip_is_the_unicode_one(spark):
+    import sys
+
+    spaces = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
+    assert sorted(T.SPACE_CHARS) == sorted(spaces)
+    assert one(spark, spaces + " a\u00a0b " + spaces, T.full_strip) == "a\u00a0b"
+    assert one(spark, "a" + spaces + "b" + spaces, T.squeeze) == "a b"
+
+
 def test_int_or_null(spark):
     assert [one(spark, v, T.int_or_null) for v in (" 12 ", "-3", "4.0", "", None, "many")] == [12, None, None, None, None, None]
 
