@@ -35,10 +35,12 @@ def build_session(app: str = "firmweave", master: str | None = None, **conf: obj
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where the cluster names none (tests)."""
+    """The shared folder the cluster names; a private one only in local mode where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
     made = spark.conf.get("spark.firmweave.fallback.dir", None)
     if not made:
         made = tempfile.mkdtemp(prefix="firmweave-")
