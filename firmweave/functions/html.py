@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from firmweave.functions.text import SPACES, full_strip, squeeze
+from firmweave.functions.text import full_strip, squeeze
 
 WORD = r"\p{L}\p{N}_"
 NOT_BEFORE = rf"(?<![{WORD}])"

@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmweave.functions.text import full_strip, list_items
+from firmweave.functions.text import list_items
 from firmweave.functions.times import at, plus
 from firmweave.session import lookup_join
 

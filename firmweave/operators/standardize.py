@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmweave.functions import fixed_values as fv
-from firmweave.functions.text import blank_to_null, col, digits_only, full_strip, int_or_null, is_blank
+from firmweave.functions.text import blank_to_null, col, digits_only, full_strip, int_or_null
 from firmweave.functions.times import instant, iso_z
 from firmweave.session import lookup_join
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from firmweave.operators import outreach, reports, targeting as tg
 from firmweave.plans.adapters import NOW, adapter, ctes, sql
-from firmweave.plans.register_queries import WIDE, _companies, _text_time, _ts, _wide, _write_website_feed, INPUTS
+from firmweave.plans.register_queries import _companies, _text_time, _ts, _write_website_feed
 from firmweave.sources.feeds import feed_lines
 
 # Companies as targeting reads them, with the optional columns.

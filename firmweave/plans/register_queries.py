@@ -6,12 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from firmweave.functions.text import is_blank
 from firmweave.operators import merge, queues, standardize as std
-from firmweave.plans.adapters import ADAPTERS, NOW, adapter, ctes, sql
+from firmweave.plans.adapters import NOW, adapter, ctes, sql
 from firmweave.plans.finance_queries import KEYS as YEAR_KEYS, keyed
 from firmweave.session import shared_dir
-from firmweave.sources import feeds, filings, register, schemas, snapshots
+from firmweave.sources import feeds, filings, register, snapshots
 from firmweave.streaming.feed_stream import incremental_feed_apply
 
 # Inputs in SQL that Spark and DuckDB both run.

@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from firmweave.operators.merge import SIGNAL_FEEDS, apply_feed
 from firmweave.sources.feeds import feed_scan
 from firmweave.sources.snapshots import TableSnapshots
