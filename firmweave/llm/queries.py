@@ -5,14 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmweave.llm import bpe, jaccard, langmodel, quality
-from firmweave.llm.common import fold, table
+from firmweave.llm import bpe, decontaminate, jaccard, langmodel, licenses, linededup, quality, urlfilter
+from firmweave.llm.common import fold, lower_ascii, table
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small labelled table is what rules decide; the model judges the rest."""
+    pages = urlfilter.parsed(table(spark, sf_dir, "pages"))
+    verdicts = {v: [r for r, own in urlfilter.RULES.items() if own == v] for v in ("allow", "block")}
+    rule = urlfilter.rule_for()
+    labelled = pages.withColumn("verdict", F.coalesce(*(F.when(rule.isin(rules), v) for v, rules in verdicts.items())))
+    return urlfilter.judge(pages, urlfilter.train(labelled)).select("page_id", "host", "path", "rule", "verdict", "p_block")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 7, 2))
     model = langmodel.train(docs, ~F.col("held_out"))
@@ -36,6 +57,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible lines of ``pages`` by host."""
+    pages = table(spark, sf_dir, "pages")
+    host = F.regexp_extract(lower_ascii(F.col("url")), "://([^/?#]*)", 1)
+    found = linededup.drop_boilerplate(pages, host, linededup.page_lines("html"))
+    return found.select(
+        "page.page_id", "host", F.size("lines").cast("bigint").alias("n_lines"), F.size("kept").cast("bigint").alias("n_kept"),
+        F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"),
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(docs, labels, ~fold("doc_id", 5, 0))
@@ -45,5 +77,47 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_jaccard_join, op6_lm_score, op8_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_jaccard_join, op5_decontaminate, op6_lm_score, op8_bpe, op9_line_dedup, op10_quality)}
+
+
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {}
+
+ORACLES["op3_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 1), i -> array_to_string(ws[i:i + 2], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM i JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * common >= 90 * (nx.n + ny.n - common)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) c USING (doc_id)
+"""
+
+ORACLES["op5_decontaminate"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '{_ALNUM}') AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format('text')}, '{_ALNUM}') AS ws FROM benchmark),
+k AS (SELECT item, least(len(ws), 10) AS n, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), i -> array_to_string(ws[i:i + 9], ' '))) AS words
+      FROM b WHERE len(ws) > 0),
+p AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i, ws FROM d, (SELECT DISTINCT n FROM k) WHERE len(ws) >= n),
+q AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS words FROM p),
+h AS (SELECT doc_id, i, n, item FROM q JOIN (SELECT DISTINCT item, n, words FROM k) USING (n, words)),
+c AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS w FROM (SELECT DISTINCT doc_id, i, n FROM h)) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+ORACLES["op9_line_dedup"] = rf"""
+WITH p AS (SELECT page_id, {_LOWER.format("regexp_extract(url, '://([^/?#]*)', 1)")} AS host,
+  list_filter(list_transform(regexp_split_to_array(html, '{linededup.BREAKS}'), x -> trim(x, chr(32) || chr(9) || chr(13) || chr(10))), x -> x <> '') AS lines FROM pages),
+c AS (SELECT host, line, count(*) AS uses FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),
+t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+g AS (SELECT host, list(line) AS gone FROM c JOIN t USING (host) WHERE uses >= 3 AND uses > 0.2 * pages GROUP BY host),
+k AS (SELECT page_id, host, lines, list_filter(lines, x -> NOT coalesce(list_contains(gone, x), false)) AS kept FROM p LEFT JOIN g USING (host))
+SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(kept) AS BIGINT) AS n_kept, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM k
+"""
