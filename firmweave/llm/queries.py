@@ -88,7 +88,7 @@ ORACLES: dict[str, str] = {}
 ORACLES["op3_jaccard_join"] = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-        ELSE list_transform(range(1, len(ws) - 1), i -> array_to_string(ws[i:i + 2], ' ')) END) AS g FROM w),
+        ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 e AS (SELECT x, y FROM i JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * common >= 90 * (nx.n + ny.n - common)),
@@ -100,7 +100,7 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_
 ORACLES["op5_decontaminate"] = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '{_ALNUM}') AS ws FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format('text')}, '{_ALNUM}') AS ws FROM benchmark),
-k AS (SELECT item, least(len(ws), 10) AS n, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), i -> array_to_string(ws[i:i + 9], ' '))) AS words
+k AS (SELECT item, least(len(ws), 10) AS n, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: array_to_string(ws[i:i + 9], ' '))) AS words
       FROM b WHERE len(ws) > 0),
 p AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i, ws FROM d, (SELECT DISTINCT n FROM k) WHERE len(ws) >= n),
 q AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS words FROM p),
@@ -114,10 +114,10 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
 
 ORACLES["op9_line_dedup"] = rf"""
 WITH p AS (SELECT page_id, {_LOWER.format("regexp_extract(url, '://([^/?#]*)', 1)")} AS host,
-  list_filter(list_transform(regexp_split_to_array(html, '{linededup.BREAKS}'), x -> trim(x, chr(32) || chr(9) || chr(13) || chr(10))), x -> x <> '') AS lines FROM pages),
+  list_filter(list_transform(regexp_split_to_array(html, '{linededup.BREAKS}'), lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(10))), lambda x: x <> '') AS lines FROM pages),
 c AS (SELECT host, line, count(*) AS uses FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),
 t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 g AS (SELECT host, list(line) AS gone FROM c JOIN t USING (host) WHERE uses >= 3 AND uses > 0.2 * pages GROUP BY host),
-k AS (SELECT page_id, host, lines, list_filter(lines, x -> NOT coalesce(list_contains(gone, x), false)) AS kept FROM p LEFT JOIN g USING (host))
+k AS (SELECT page_id, host, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(gone, x), false)) AS kept FROM p LEFT JOIN g USING (host))
 SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(kept) AS BIGINT) AS n_kept, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM k
 """
