@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmweave.llm import bpe, decontaminate, jaccard, langmodel, licenses, linededup, quality, urlfilter
+from firmweave.llm import bm25, bpe, decontaminate, jaccard, langmodel, licenses, linededup, quality, urlfilter
 from firmweave.llm.common import fold, lower_ascii, table
 
 
@@ -47,6 +47,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 20, taken whole as a query."""
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(bm25.build_index(docs), docs.where(bm25.every_twentieth()))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
     done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -77,7 +83,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_jaccard_join, op5_decontaminate, op6_lm_score, op8_bpe, op9_line_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_jaccard_join, op5_decontaminate, op6_lm_score, op7_topk_search, op8_bpe, op9_line_dedup, op10_quality)}
 
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -121,3 +127,15 @@ g AS (SELECT host, list(line) AS gone FROM c JOIN t USING (host) WHERE uses >= 3
 k AS (SELECT page_id, host, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(gone, x), false)) AS kept FROM p LEFT JOIN g USING (host))
 SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(kept) AS BIGINT) AS n_kept, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM k
 """
+
+ORACLES["op7_topk_search"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '{_ALNUM}') AS ws FROM documents WHERE doc_id IS NOT NULL),
+f AS (SELECT doc_id, len(ws) AS dl, t, count(*) AS f FROM (SELECT doc_id, ws, unnest(ws) AS t FROM d) GROUP BY ALL),
+g AS (SELECT count(*) AS n, greatest(sum(len(ws)), 1) / count(*) AS mean FROM d),
+df AS (SELECT t, count(*) AS df FROM f GROUP BY t),
+q AS (SELECT doc_id AS query_id, t FROM f WHERE doc_id % 20 = 0),
+s AS (SELECT query_id, f.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+      FROM q JOIN f USING (t) JOIN df USING (t), g GROUP BY query_id, f.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
