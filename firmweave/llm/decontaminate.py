@@ -119,16 +119,20 @@ def matches(index: DataFrame, wanted: DataFrame, slop: int = 2, share: float = 0
         .where(F.col("start") > -F.col("length")).distinct()
     )
     at = staged(at)
-    own = index.join(at.select("text_key").distinct(), "text_key", "left_semi").select("text_key", "postings").dropDuplicates(["text_key"])
-    own = staged(own.select("text_key", F.explode("postings").alias("p")).select("text_key", "p.term", "p.positions"))
 
     def close(place: str):
         expected = F.col("start") + F.col(place)
         return F.exists("positions", lambda x: F.abs(x - expected) <= slop)
 
-    pairs = at.join(own.withColumnRenamed("term", "term2"), ["text_key", "term2"]).where(close("place2"))
+    rare = lists.join(second.select(F.col("term2").alias("term")).distinct(), "term", "left_semi").withColumnRenamed("term", "term2")
+    pairs = at.join(rare, ["text_key", "term2"]).where(close("place2"))
     alone = at.where("term2 is null")
     left = pairs.select("text_key", "window", "length", "start").union(alone.select("text_key", "window", "length", "start"))
+    left = staged(left.distinct())
+    # Only texts that are left are taken whole; their keys are written first, so that Spark knows their size.
+    texts = staged(left.select("text_key").distinct())
+    own = index.join(texts, "text_key", "left_semi").select("text_key", "postings").dropDuplicates(["text_key"])
+    own = own.select("text_key", F.explode("postings").alias("p")).select("text_key", "p.term", "p.positions")
     each = left.join(places.select("window", "term", "place"), "window").join(own, ["text_key", "term"])
     counted = each.groupBy("text_key", "window", "length", "start").agg(
         F.sum(F.array_contains("positions", F.col("start") + F.col("place")).cast("int")).alias("exactly"), F.sum(close("place").cast("int")).alias("closely")
