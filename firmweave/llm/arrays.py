@@ -177,15 +177,19 @@ def build(
     dtypes: tuple[str, ...],
     totals: Callable[[np.ndarray, list[np.ndarray]], list[int]],
     extra: Callable[[np.ndarray, list[np.ndarray]], Iterator[pa.RecordBatch]] | None = None,
+    keep: Callable[[list[np.ndarray]], np.ndarray] | None = None,
 ) -> tuple[Sorted, DataFrame]:
     """Sum blocks by key and write one sorted file set for each range of keys.
 
-    ``totals`` are summed over all files. ``extra`` may derive further blocks from each finished range; they come back as a DataFrame. The range of one
+    ``keep`` picks the sums that are written. ``totals`` are summed over all files. ``extra`` may derive further blocks from each finished range; they come back as a DataFrame. The range of one
     task is bounded (``PER_FILE`` keys on average, and hashes spread evenly), whatever the frequency of a key.
     """
 
     def task(table: pa.Table) -> pa.Table:
         keys, values = merge_blob_rows(table.column("blob").to_pylist())
+        if keep:
+            kept = keep(values)
+            keys, values = keys[kept], [v[kept] for v in values]
         shard = table.column("shard")[0].as_py()
         names = [save(uri, x.astype(d)) for x, d in zip([keys, *values], dtypes)]
         parts = list(extra(keys, values)) if extra else []

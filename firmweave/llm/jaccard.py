@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,8 +123,32 @@ def links(keys: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[
 
 
 def groups(sketched: DataFrame) -> DataFrame:
-    """``pivot``, ``key``: the members of every group of at least two classes."""
-    rows = sketched.select("key", F.explode("signatures").alias("signature"))
+    """``pivot``, ``key``: the members of every group of at least two classes.
+
+    Signatures are counted first, as blocks; only those that occur twice become rows.
+    """
+    bits = arrays.bits_for(sketched.agg(F.sum(F.size("signatures"))).first()[0] or 0)
+
+    def count(batches):
+        sums = arrays.Sums(bits, 1)
+        for batch in batches:
+            keys = batch.column(0).flatten().to_numpy().view(np.uint64)
+            yield from sums.add(keys, [np.ones(len(keys), dtype=np.int64)])
+        yield from sums.rest()
+
+    repeated, _ = arrays.build(
+        sketched.select("signatures").mapInArrow(count, arrays.BLOCKS), bits, arrays.shared_uri(sketched.sparkSession, "signatures"), ("<u8",),
+        lambda k, v: [], keep=lambda v: v[0] > 1,
+    )
+
+    def pick(batches):
+        for batch in batches:
+            key = np.repeat(batch.column(0).to_numpy(), pc.list_value_length(batch.column(1)).to_numpy())
+            signature = batch.column(1).flatten().to_numpy()
+            again = repeated.find(signature.view(np.uint64))[0] >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(key[again]), pa.array(signature[again])], names=["key", "signature"])
+
+    rows = sketched.select("key", "signatures").mapInArrow(pick, "key bigint, signature bigint")
     shared = rows.groupBy("signature").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot <> last")
     return rows.join(shared.select("signature", "pivot"), "signature").select("pivot", "key").distinct()
 
