@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmweave.llm import bm25, bpe, decontaminate, jaccard, langmodel, licenses, linededup, quality, urlfilter
+from firmweave.llm import bm25, bpe, decontaminate, jaccard, langmodel, licenses, linededup, quality, suffixes, urlfilter
 from firmweave.llm.common import fold, lower_ascii, table
 
 
@@ -26,6 +26,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -83,7 +87,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_jaccard_join, op5_decontaminate, op6_lm_score, op7_topk_search, op8_bpe, op9_line_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_jaccard_join, op4_suffix_dedup, op5_decontaminate, op6_lm_score, op7_topk_search, op8_bpe, op9_line_dedup, op10_quality)}
 
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
