@@ -1,10 +1,10 @@
 """Exact Jaccard self-join of word shingles by a token-group matrix, and the components it links.
 
-1. Every text becomes the set of its hashed shingles; texts with equal sets form one class.
-2. Similar sets are put into groups. The token space is cut into D + 1 slices, where D is the largest symmetric
-   difference that a pair of the size class may have; a linked pair must then agree on a whole slice. Sets that agree
-   on a slice share a signature, and the smallest class among them names their group. So any linked pair
-   meets in some group, while two texts that only share a frequent passage hardly ever do.
+1. Every text becomes the set of its hashed shingles; texts with equal sets form one class. Tokens are counted over
+   all texts (by a hash prefix that grows with the corpus, so a count may only be too high) as blocks, not rows.
+2. Similar sets are put into groups. Two sets of similarity t share a token among the rarest n - ceil(t n) + 1 of
+   either, in any fixed order of tokens. Sets that share such a rare token, rarest first, meet in a group named by the
+   smallest class that holds it. Tokens that occur once make no group, so a text without near copies has none.
 3. A group stores the union of its members' tokens with the number of holders. A member's overlap with the
    others' union bounds its overlap with each of them: a member below the threshold isn't opened.
 4. Opened members are compared exactly. A group is split into chunks and each pair of chunks is a task of its
@@ -19,11 +19,8 @@ and links with nothing; equal rows are copies; a null id never becomes a compone
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +31,7 @@ from firmweave.llm.words import NOT_SPACE, chain, mix, words
 from firmweave.session import staged
 
 CHUNK = 256  # members of a group that one side of a task holds
+TOKENS_PER_PARTITION = 4_000_000
 
 
 def shingle_sets(column: pa.Array, size: int):
@@ -56,33 +54,11 @@ def class_key(tokens: np.ndarray) -> np.int64:
         return mix(mix(tokens).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(tokens))).view(np.int64)[0]
 
 
-@lru_cache(maxsize=None)
-def size_classes(num: int, den: int) -> np.ndarray:
-    """First sizes of the classes: sets of sizes that may link are in the same class or in neighbours."""
-    found = [1]
-    while found[-1] < 1 << 40:
-        found.append(found[-1] * den // num + 1)
-    return np.array(found)
-
-
-@lru_cache(maxsize=4096)
-def slice_starts(n: int) -> np.ndarray:
-    return np.array([-(-(j << 64) // n) for j in range(1, n)], dtype=np.uint64)
-
-
-def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """One number per slice, for the pairs with the class below and for those with the class above."""
-    starts = size_classes(num, den)
-    own = int(np.searchsorted(starts, len(tokens), side="right")) - 1
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-        out = []
-        for label in (own, own + 1):
-            n = int(2 * (starts[label + 1] - 1) * (den - num) // (den + num)) + 1
-            cut = np.concatenate([[0], np.searchsorted(tokens, slice_starts(n)), [len(tokens)]])
-            place = np.arange(n, dtype=np.uint64) + np.uint64(label << 40)
-            out.append(chain([sums[cut[1:]] - sums[cut[:-1]], place, np.diff(cut).astype(np.uint64)]))
-        return np.concatenate(out).view(np.int64)
+def rarest(tokens: np.ndarray, uses: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The repeated ones among the tokens of which a linked set must share one."""
+    n = len(tokens)
+    first = np.lexsort((tokens, uses))[: n - (-(-n * num // den)) + 1]
+    return tokens[first[uses[first] > 1]]
 
 
 def links(keys: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -122,35 +98,10 @@ def links(keys: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[
     return out
 
 
-def groups(sketched: DataFrame) -> DataFrame:
-    """``pivot``, ``key``: the members of every group of at least two classes.
-
-    Signatures are counted first, as blocks; only those that occur twice become rows.
-    """
-    bits = arrays.bits_for(sketched.agg(F.sum(F.size("signatures"))).first()[0] or 0)
-
-    def count(batches):
-        sums = arrays.Sums(bits, 1)
-        for batch in batches:
-            keys = batch.column(0).flatten().to_numpy().view(np.uint64)
-            yield from sums.add(keys, [np.ones(len(keys), dtype=np.int64)])
-        yield from sums.rest()
-
-    repeated, _ = arrays.build(
-        sketched.select("signatures").mapInArrow(count, arrays.BLOCKS), bits, arrays.shared_uri(sketched.sparkSession, "signatures"), ("<u8",),
-        lambda k, v: [], keep=lambda v: v[0] > 1,
-    )
-
-    def pick(batches):
-        for batch in batches:
-            key = np.repeat(batch.column(0).to_numpy(), pc.list_value_length(batch.column(1)).to_numpy())
-            signature = batch.column(1).flatten().to_numpy()
-            again = repeated.find(signature.view(np.uint64))[0] >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(key[again]), pa.array(signature[again])], names=["key", "signature"])
-
-    rows = sketched.select("key", "signatures").mapInArrow(pick, "key bigint, signature bigint")
-    shared = rows.groupBy("signature").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot <> last")
-    return rows.join(shared.select("signature", "pivot"), "signature").select("pivot", "key").distinct()
+def groups(rare: DataFrame) -> DataFrame:
+    """``pivot``, ``key``: the members of every group of at least two classes, given ``key`` and ``token`` rows."""
+    shared = rare.groupBy("token").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot <> last")
+    return rare.join(shared.select("token", "pivot"), "token").select("pivot", "key").distinct()
 
 
 def cluster(
@@ -163,18 +114,54 @@ def cluster(
     rows = docs.select(text.alias("text"), F.xxhash64(text).alias("text_key"), F.col(id_col).alias("id"))
     id_type = rows.schema["id"].dataType.simpleString()
 
+    # Tokens are counted by 5 bits more than their number has; files have a few hundred thousand keys.
+    tokens = rows.rdd.getNumPartitions() * TOKENS_PER_PARTITION
+    count_bits = min(64, 5 + int(np.ceil(np.log2(tokens))))
+    mask, bits = np.uint64(((1 << count_bits) - 1) << (64 - count_bits)), arrays.bits_for(tokens)
+
     def sketch(batches):
+        sums = arrays.Sums(bits, 1)
+
+        def blocks(found):
+            for b in found:
+                none = pa.nulls(b.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, own_type), none, none, none, *b.columns], names=[*names, "shard", "blob"])
+
+        names, own_type = ["id", "text_key", "n", "key"], None
         for batch in batches:
-            found = [(len(s), int(class_key(s)), signatures(s, num, den) if len(s) else None) for s in shingle_sets(batch.column(0), shingle)]
-            if found:
-                n, key, sig = zip(*found)
+            own_type = batch.schema.types[2]
+            sets = list(shingle_sets(batch.column(0), shingle))
+            if sets:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(2), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sig, pa.list_(pa.int64()))],
-                    names=["id", "text_key", "n", "key", "signatures"],
+                    [batch.column(2), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(class_key(s)) for s in sets], pa.int64()),
+                     pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.list_(pa.binary()))],
+                    names=[*names, "shard", "blob"],
                 )
+                keys = np.concatenate(sets) & mask
+                for part in range(0, len(keys), arrays.PENDING):
+                    some = keys[part : part + arrays.PENDING]
+                    yield from blocks(sums.add(some, [np.ones(len(some), dtype=np.int64)]))
+        if own_type is not None:
+            yield from blocks(sums.rest())
+
+    both = staged(rows.mapInArrow(sketch, f"id {id_type}, text_key bigint, n bigint, key bigint, {arrays.BLOCKS}"))
+    sketched = both.where("shard is null").select("id", "text_key", "n", "key")
+    uses, _ = arrays.build(
+        both.where("shard is not null").select("shard", "blob"), bits, arrays.shared_uri(spark, "jaccard-tokens"), ("<u8", "<u4"), lambda k, v: [],
+        keep=lambda v: v[0] > 1,
+    )
 
-    sketched = staged(rows.mapInArrow(sketch, f"id {id_type}, text_key bigint, n bigint, key bigint, signatures array<bigint>"))
-    grouped = staged(groups(sketched.where("n > 0")))
+    def pick(batches):
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(0), shingle))
+            if sets:
+                found = np.maximum(uses.find(np.concatenate(sets) & mask, (1,))[1][0], 1)
+                ends = np.cumsum([len(s) for s in sets])
+                few = [rarest(s, found[e - len(s) : e], num, den) for s, e in zip(sets, ends)]
+                keys = np.repeat(np.array([class_key(s) for s in sets]), [len(f) for f in few])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(few).view(np.int64))], names=["key", "token"])
+
+    grouped = staged(groups(staged(rows.select("text").mapInArrow(pick, "key bigint, token bigint"))))
 
     # One text for each class in a group; workers look its hash up in a sorted array.
     asked = grouped.select("key").distinct().join(sketched.groupBy("key").agg(F.min("text_key").alias("text_key")), "key")
