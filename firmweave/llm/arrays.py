@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from firmweave.session import shared_dir, staged
 
-PENDING = 2_000_000  # keys a task holds before it passes them on
+PENDING = 1_200_000  # keys a task holds before it passes them on
 PER_FILE = 700_000  # keys a file should have
 
 _OPEN: dict[str, np.ndarray] = {}

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from firmweave.llm.common import prepare
 
 END = "\n"  # stands for the end-of-word suffix; no byte-level symbol is a line break
-CACHED_WORDS, CACHED_PAIRS, LONG = 250_000, 500_000, 64
+CACHED_WORDS, CACHED_PAIRS, LONG = 80_000, 80_000, 64
 # Fixed value: white space of the pattern language that the vocabulary's file uses.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -48,7 +48,6 @@ class Encoder:
             spec = json.load(f)
         model = spec["model"]
         suffix = model["end_of_word_suffix"]
-        self.tokens = {i: t for t, i in model["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
         special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.special = special
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -136,6 +135,11 @@ class Encoder:
                 self.words[word] = found
         return found
 
+    def forget(self) -> None:
+        """Give back what was kept for a task: its worker goes on to other work."""
+        self.words.clear()
+        self.pairs.clear()
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for part in self.split_special.split(text) if self.split_special else [text]:
@@ -148,12 +152,9 @@ class Encoder:
                     out.extend(self.word(word))
         return out
 
-    def table(self) -> pa.Array:
-        """Token strings by id: one buffer of characters and the offsets in it."""
-        return pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.large_string())
-
 
 _ENCODERS: dict[str, Encoder] = {}
+_TABLES: dict[str, pa.Array] = {}
 
 
 def encoder(path: str) -> Encoder:
@@ -162,41 +163,60 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def token_table(path: str) -> pa.Array:
+    """Token strings by id: one buffer of characters and the offsets in it. All that decoding needs."""
+    if path not in _TABLES:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        named = {i: t for t, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+        _TABLES[path] = pa.array([named.get(i) for i in range(max(named) + 1)], pa.large_string())
+    return _TABLES[path]
+
+
 def _fields(schema) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema)
 
 
-def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """One row per input row: the carried columns and ``ids``."""
+def _encoded(own: Encoder, texts: pa.Array) -> pa.Array:
+    return pa.array((own.encode(t.as_py() or "") for t in texts), pa.list_(pa.int32()), size=len(texts))
+
+
+def _decoded(table: pa.Array, ids: pa.Array) -> pa.Array:
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    known = (flat >= 0) & (flat < len(table))
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(known)])[ends]
+    lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), table.take(pa.array(flat[known], pa.int64())))
+    return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+
+def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """One row per input row: the carried columns and ``ids``; with ``decoded`` also what they decode to."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), *carry)
-    kept = rows.drop("text").schema
+    rows = docs.select(F.col(text_col).cast("string").alias("_text"), *carry)
+    kept = rows.drop("_text").schema
 
     def work(batches):
-        own = encoder(path)
+        own, table = encoder(path), token_table(path) if decoded else None
         for batch in batches:
-            ids = pa.array((own.encode(t.as_py() or "") for t in batch.column(0)), pa.list_(pa.int32()), size=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids], names=[*kept.names, "ids"])
+            ids = _encoded(own, batch.column(0))
+            found = {"ids": ids} | ({"decoded": _decoded(table, ids)} if decoded else {})
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *found.values()], names=[*kept.names, *found])
+        own.forget()
 
-    return rows.mapInArrow(work, f"{_fields(kept)}ids array<int>")
+    return rows.mapInArrow(work, f"{_fields(kept)}ids array<int>{', decoded string' if decoded else ''}")
 
 
 def decode(encoded: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
     """One row per input row: the carried columns, the ids and the ``decoded`` text."""
+    prepare(encoded.sparkSession)
     rows = encoded.select(F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"), *carry)
     kept = rows.drop("ids").schema
 
     def work(batches):
-        table = encoder(path).table()
+        table = token_table(path)
         for batch in batches:
             ids = batch.column(0)
-            flat = ids.flatten().to_numpy(zero_copy_only=False)
-            known = (flat >= 0) & (flat < len(table))
-            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(known)])[ends]
-            lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), table.take(pa.array(flat[known], pa.int64())))
-            text = pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids, text.cast(pa.string())], names=[*kept.names, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids, _decoded(table, ids)], names=[*kept.names, "ids", "decoded"])
 
     return rows.mapInArrow(work, f"{_fields(kept)}ids array<int>, decoded string")
-

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import firmweave
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
