@@ -106,12 +106,15 @@ def job_url_text(external: Column, evidence: Column) -> Column:
 def prepare_feed(feed: DataFrame, rule: FeedRule) -> DataFrame:
     """Feed rows as the rule reads them: clean key, parsed time (``_ts``), cleaned columns.
 
-    A row whose time is present but cannot be parsed has no usable time.
+    A row whose time is present but cannot be parsed has no usable time. Lists become compact JSON; job addresses
+    are put together from the feed's own columns where they are not given.
     """
-    cols = {}
+    if "hiring_urls" in rule.marker and "hiring_urls" not in feed.columns:
+        feed = feed.withColumn("hiring_urls", job_url_text(F.col("external_job_urls"), F.col("evidence_url")))
+    cols, types = {}, dict(feed.dtypes)
     for c in list(rule.marker) + ([rule.value] if rule.value else []):
         if c in rule.raw:
-            cols[c] = F.col(c)
+            cols[c] = F.to_json(c) if types[c].startswith("array") else F.col(c)
         elif c in rule.defaults:
             cols[c] = F.coalesce(F.lower(blank_to_null(c)), F.lit(rule.defaults[c]))
         elif c in rule.keep_blank:

@@ -207,7 +207,7 @@ def sequence_catalog(templates: DataFrame, audiences: Sequence[str] = ("supplier
 
     Review mails belong to no sequence. A follow-up's step is one more than the number in its file name.
     """
-    path = F.lower(F.substring("name", 7, 10_000))
+    path = F.lower(F.expr("substring(name, 7)"))
     stem = F.upper(F.regexp_extract("name", r"([^/]*?)(?:\.[^./]*)?$", 1))
     number = F.coalesce(
         F.regexp_extract(path, "fu([0-9]+)", 1).try_cast("int"),

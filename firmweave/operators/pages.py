@@ -19,6 +19,10 @@ from firmweave.functions import html as H
 from firmweave.functions.text import any_contains, full_strip, hit_count, string_array
 from firmweave.session import lookup_join, staged
 
+# The address pattern in linear time: a run of address characters is entered at its start (or where the last match
+# ended) and never given back.
+_EMAIL = r"(?:\G|(?<![a-zA-Z0-9._%+\-]))" + fv.EMAIL_PATTERN.replace("+@", "++@", 1)
+
 
 def _lower(pages: DataFrame) -> Column:
     return F.lower(F.coalesce(F.col("html"), F.lit("")))
@@ -116,7 +120,7 @@ def _allowed(address: Column) -> Column:
 
 def _addresses(text: Column) -> Column:
     """Plain addresses, then spelled-out ones, each in order."""
-    plain = F.regexp_extract_all(text, F.lit(fv.EMAIL_PATTERN), F.lit(0))
+    plain = F.regexp_extract_all(text, F.lit(_EMAIL), F.lit(0))
     spelled = F.regexp_extract_all(text, F.lit(fv.SPELLED_ADDRESS_PATTERN), F.lit(0))
 
     def join(m: Column) -> Column:
@@ -216,7 +220,7 @@ def site_quality_score(pages: DataFrame, words: QualityWords = QualityWords()) -
     """Adds ``site_score`` (1 to 10) and ``site_flags`` (failed checks, in check order)."""
     low = _lower(pages)
     has_contact = (
-        low.rlike(fv.EMAIL_PATTERN) | low.rlike(fv.PHONE_PATTERN) | low.contains("<form") | low.contains(words.contact)
+        low.rlike(_EMAIL) | low.rlike(fv.PHONE_PATTERN) | low.contains("<form") | low.contains(words.contact)
     )
     service_links = F.size(F.filter(H.hrefs(low), lambda h: any_contains(h, words.services)))
     has_number = low.rlike(rf"{H.NOT_BEFORE}[0-9]{{6}}-[0-9]{{4}}{H.NOT_AFTER}")
@@ -344,7 +348,7 @@ def role_phrases(text: Column, words: HiringWords = HiringWords()) -> Column:
     def role(c: Column) -> Column:
         return (
             F.length(c).between(3, 60) & ~c.isin(*words.generic) & ~any_contains(c, ("cookie", "integritet", "privacy"))
-            & ~c.rlike(fv.EMAIL_PATTERN) & c.rlike("[a-zåäö]")
+            & ~c.rlike(_EMAIL) & c.rlike("[a-zåäö]")
         )
 
     return F.array_distinct(F.filter(F.transform(raw, clean), role))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from firmweave.functions import fixed_values as fv
 from firmweave.functions.text import is_blank, string_array
-from firmweave.functions.times import at, instant, plus
+from firmweave.functions.times import at, instant
 from firmweave.operators.merge import insert_if_absent, keyed_upsert
 from firmweave.operators.ranking import PLAIN_ROWS, ordered_position
 from firmweave.session import small_table, staged
@@ -216,7 +216,7 @@ def stagger_schedule(df: DataFrame, base, minutes: int, key: str = "orgnr", at_m
     else:
         placed = ordered_position(df, key)
     return placed.withColumn(
-        "next_send_at", plus(at(base), minutes=(F.col("position") * max(minutes, 0)).cast("int"))
+        "next_send_at", F.timestamp_seconds(F.unix_seconds(at(base)) + F.col("position").cast("bigint") * (60 * max(minutes, 0)))
     ).drop("position")
 
 

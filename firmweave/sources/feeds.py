@@ -5,8 +5,9 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from firmweave.functions.text import blank_to_null, full_strip
 from firmweave.sources import schemas
@@ -53,8 +54,10 @@ def feed_lines(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
 def parse_lines(lines: DataFrame, schema: str, needs_time: bool) -> DataFrame:
     """Blank lines dropped, the rest parsed; ``reject`` is NULL, ``error`` or ``skipped``."""
     text = full_strip("value")
-    bad = "_bad string"
-    parsed = F.from_json(text, f"{schema}, {bad}", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    # Every field is read as text first, so that a value of another type costs its field only, not the line.
+    wanted = StructType.fromDDL(schema)
+    loose = StructType([StructField(f.name, StringType()) for f in wanted] + [StructField("_bad", StringType())])
+    parsed = F.from_json(text, loose, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     step = lines.where(text != "").withColumn("_line", text).withColumn("_r", parsed)
     not_object = F.col("_r").isNull() | F.col("_r._bad").isNotNull() | ~F.col("_line").startswith("{")
     no_key = blank_to_null(F.col("_r.orgnr")).isNull()
@@ -66,8 +69,20 @@ def parse_lines(lines: DataFrame, schema: str, needs_time: bool) -> DataFrame:
     names = [c for c in step.columns if c not in ("_r", "_line", "value")]
     order = [c for c in ("pattern_rank", "file_path", "block_start", "line_no") if c in step.columns]
     return step.withColumn("reject", reject).select(
-        *names, F.struct(*order).alias("feed_order"), "reject", "_line", "_r.*"
-    ).drop("_bad")
+        *names, F.struct(*order).alias("feed_order"), "reject", "_line", *(_typed(f).alias(f.name) for f in wanted)
+    )
+
+
+def _typed(field: StructField) -> Column:
+    """A field read as text in the type of the schema; NULL where the text doesn't fit."""
+    text = F.col(f"_r.{field.name}")
+    kind = field.dataType
+    if isinstance(kind, StringType):
+        return text
+    if isinstance(kind, ArrayType):
+        return F.when(F.startswith(text, F.lit("[")), F.from_json(text, kind))
+    number = text.try_cast("double")
+    return number if kind.simpleString() == "double" else F.coalesce(text.try_cast(kind), number.try_cast(kind))
 
 
 def feed_scan(spark: SparkSession, patterns: Sequence[str], kind: str) -> tuple[DataFrame, DataFrame]:
