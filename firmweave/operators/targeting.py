@@ -40,8 +40,8 @@ class TargetSpec:
     founded_max: str | None = None
     tech: bool = False
     review: bool = False
-    limit: int | None = 10_000
-    limit_stage: str = "sql"  # before the founded/tech/review/suppression filters; "last": after all of them
+    limit: int | None = None
+    limit_stage: str = "last"  # after all filters; "sql": before the founded/tech/review/suppression filters
     stagger_minutes: int = 2
 
     def active(self, patterns: Sequence[str]) -> dict[str, bool]:
@@ -138,6 +138,12 @@ def founded_at(df: DataFrame) -> Column:
 
 def target_filter(companies: DataFrame, spec: TargetSpec, patterns: Sequence[str] = ()) -> DataFrame:
     """Companies that meet the spec, ordered by key. With a limit this is a distributed top-n, else no sort."""
+    df = _eligible(companies, spec, patterns)
+    return df.orderBy("orgnr").limit(spec.limit) if spec.limit is not None and spec.limit_stage == "last" else df
+
+
+def _eligible(companies: DataFrame, spec: TargetSpec, patterns: Sequence[str]) -> DataFrame:
+    """As ``target_filter``, but for a limit that comes last."""
     df = _candidates(companies)
     keep = (
         (F.col("website_status") == spec.require_website_status)
@@ -246,7 +252,7 @@ def lead_campaign_load(
     """(leads, campaign links, summary row) after loading the spec's companies into the campaign."""
     patterns = [*spec.codes, *group_patterns]
     active = spec.active(patterns)
-    picked = target_filter(companies, spec, group_patterns)
+    picked = _eligible(companies, spec, group_patterns)
     if spec.exclude_do_not_contact:
         picked = suppression_anti_join(picked, do_not_contact, leads, events)
     if spec.limit is not None and spec.limit_stage == "last":

@@ -40,9 +40,9 @@ FROM part"""
 
 SPEC = tg.TargetSpec(
     cities=("NATION_1", "NATION_2", "NATION_3", "NATION_4", "NATION_5", "NATION_6", "NATION_7"),
-    codes=("62", "68"), employees=("0-49", "100-199", "250+"), limit=300,
+    codes=("62", "68"), employees=("0-49", "100-199", "250+"), limit=300, limit_stage="sql",
 )
-FOUNDED = tg.TargetSpec(founded_min="2023-09-01", founded_max="2023-12-31", tech=True, limit=400)
+FOUNDED = tg.TargetSpec(founded_min="2023-09-01", founded_max="2023-12-31", tech=True)
 
 
 def _targets(spark, sf_dir):
@@ -322,7 +322,7 @@ def _picked_template(source: str) -> str:
 
 ORACLES = {
     "target_filter": f"WITH {_TG}, {_PICKED} SELECT orgnr, city, employees, sni_codes FROM picked",
-    "target_filter_founded": f"""WITH {_TG}, p AS (SELECT * FROM targets WHERE {_BASE} ORDER BY orgnr LIMIT 400)
+    "target_filter_founded": f"""WITH {_TG}, p AS (SELECT * FROM targets WHERE {_BASE})
 SELECT orgnr, started_at FROM p WHERE {_BORN} >= TIMESTAMP '2023-09-01' AND {_BORN} <= TIMESTAMP '2023-12-31' AND trim(coalesce(tech_footprint_status, '')) <> ''""",
     "industry_code_match": f"""WITH {_CO}, x AS (SELECT orgnr, CASE WHEN orgnr::BIGINT % 2 = 0 THEN '["' || replace(sni_codes, ',', '", "') || '"]' ELSE sni_codes END AS sni_codes FROM companies)
 SELECT orgnr, sni_codes, 'exact' AS mode FROM x WHERE {' OR '.join(f"trim(sni_codes) = '{p}' OR sni_codes LIKE '{p},%' OR sni_codes LIKE '%,{p},%' OR sni_codes LIKE '%,{p}' OR sni_codes LIKE '%" + '"' + p + '"' + "%'" for p in ('65000', '69003'))}

@@ -46,8 +46,9 @@ def test_optional_filters(spark):
 def test_limit_stage(spark):
     df = companies(spark, ("1", {}), ("2", {"started_at": "2024-01-01"}), ("3", {"started_at": "2024-01-01"}))
     spec = dict(founded_min="2023-01-01", limit=2)
-    assert keys(tg.target_filter(df, tg.TargetSpec(**spec))) == ["2"]  # the limit came first
-    assert keys(tg.target_filter(df, tg.TargetSpec(**spec, limit_stage="last"))) == ["2", "3"]
+    assert keys(tg.target_filter(df, tg.TargetSpec(**spec, limit_stage="sql"))) == ["2"]  # the limit came first
+    assert keys(tg.target_filter(df, tg.TargetSpec(**spec))) == ["2", "3"]
+    assert keys(tg.target_filter(df, tg.TargetSpec(founded_min="2023-01-01", limit=1))) == ["2"]
 
 
 @pytest.mark.parametrize("mode,pattern,text,want", [
