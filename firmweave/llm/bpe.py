@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from firmweave.llm.common import prepare
 
 END = "\n"  # stands for the end-of-word suffix; no byte-level symbol is a line break
-CACHED_WORDS, CACHED_PAIRS, LONG = 80_000, 80_000, 64
+CACHED_WORDS, CACHED_PAIRS, LONG = 150_000, 150_000, 64
 # Fixed value: white space of the pattern language that the vocabulary's file uses.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
