@@ -97,14 +97,20 @@ def resolve(base: Column, href: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Numeric characters and the named ones that matter for addresses."""
-    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([xX]?[0-9a-fA-F]{1,6});"), F.lit(1)))
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([xX][0-9a-fA-F]+|[0-9]+);"), F.lit(1)))
+
+    def units(*values: Column) -> Column:
+        return F.decode(F.unhex(F.concat(*[F.lpad(F.hex(v), 4, "0") for v in values])), "UTF-16BE")
 
     def char(code: Column) -> Column:
-        hexa = F.conv(F.substring(code, 2, 6), 16, 10)
+        hexa = F.conv(F.substring(code, F.lit(2), F.length(code)), 16, 10)
         n = F.when(code.rlike("^[xX]"), hexa).otherwise(code).try_cast("int")
-        # UTF-16 units from the number: enough for all characters below U+10000.
-        unit = F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
-        return F.when((n > 0) & (n < 65536), unit).otherwise("")
+        rest = n - 65536
+        pair = units(F.lit(0xD800) + F.shiftright(rest, 10), F.lit(0xDC00) + rest.bitwiseAND(0x3FF))
+        return (
+            F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0xFFFF), units(n))
+            .when(n.between(0x10000, 0x10FFFF), pair).otherwise("\ufffd")
+        )
 
     out = F.aggregate(
         numbers, text, lambda acc, m: F.replace(acc, F.concat(F.lit("&#"), m, F.lit(";")), char(m))

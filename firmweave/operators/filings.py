@@ -1,12 +1,12 @@
 """Annual-report documents: facts and validation.
 
-Tags are found by pattern, not by an XML parser: it tolerates broken markup, stays inside the JVM and reads
-each document whole.
+Tags are found by pattern and paired by depth, not by an XML parser: it tolerates broken markup, stays inside the
+JVM and reads each document whole. Comments do not count.
 """
 
 from __future__ import annotations
 
-from typing import Iterable, Mapping
+from typing import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,31 +14,57 @@ from pyspark.sql import functions as F
 from firmweave.functions import fixed_values as fv
 from firmweave.functions.html import unescape
 from firmweave.functions.text import SPACES, digits_only, full_strip
-from firmweave.session import lookup_join
+from firmweave.session import lookup_join, staged
 
 
-def _tags(doc: Column, kind: str, names: Iterable[str]) -> Column:
-    """All elements of the kind with one of the names, in document order: one pass, array<struct(name, scale, body)>."""
-    wanted = "|".join(names)
-    pattern = rf"""(?s)<ix:{kind}\s[^>]*?\bname\s*=\s*["'](?:{wanted})["'][^>]*?(?:/>|>.*?</ix:{kind}>)"""
-    attribute = lambda e, a: F.regexp_extract(e, rf"""^<[^>]*?\b{a}\s*=\s*["']([^"']*)["']""", 1)
+# Attribute values may hold ">"; possessive, so a broken tag costs one pass.
+_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+_TAG = rf"</?ix:non(?:Fraction|Numeric)(?:\s{_ATTRIBUTES})?/?>"
+_ANY_TAG = rf"</?[a-zA-Z_]{_ATTRIBUTES}>"
+_ROOT = r"""^(?:[^<]++|<[?!][^>]*+>)*+<[a-zA-Z_](?:[^>"']|"[^"]*"|'[^']*')*?\sxmlns:ix\s*="""
 
-    def text(element: Column) -> Column:
-        body = F.regexp_replace(element, "<[^>]*>", "")
-        return full_strip(F.when(element.contains("&"), unescape(body)).otherwise(body))
 
-    return F.transform(
-        F.regexp_extract_all(doc, F.lit(pattern), F.lit(0)),
-        lambda e: F.struct(
-            attribute(e, "name").alias("name"), attribute(e, "scale").alias("scale"),
-            text(e).alias("text"),
-        ),
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute; other values that look like it do not count. Empty when there is none."""
+    pattern = rf"""^<[^\s>]+(?:\s+[^\s=>"']+\s*=\s*(?:"[^"]*"|'[^']*'))*?\s+{name}\s*=\s*("[^"]*"|'[^']*')"""
+    quoted = F.regexp_extract(tag, pattern, 1)
+    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+
+
+def _with_tags(filings: DataFrame) -> DataFrame:
+    """Adds the fact tags in document order (_tags), the text around them (_parts, one more), names and depth steps."""
+    doc = F.col("xhtml")
+    bare = F.when(doc.contains("<!--"), F.regexp_replace(doc, "(?s)<!--.*?-->", "")).otherwise(doc)
+    step = filings.withColumn("_doc", bare).withColumns(
+        {"_tags": F.regexp_extract_all("_doc", F.lit(_TAG), F.lit(0)), "_parts": F.split("_doc", _TAG, -1)}
     )
+    kind = lambda t: F.regexp_extract(t, "^<ix:([a-zA-Z]+)", 1)
+    return step.withColumns(
+        {
+            "_names": F.transform("_tags", lambda t: F.concat(kind(t), F.lit(" "), _attribute(t, "name"))),
+            "_steps": F.transform("_tags", lambda t: F.when(t.startswith("</"), -1).when(t.endswith("/>"), 0).otherwise(1)),
+        }
+    )
+
 
+def _first(kind: str, name: str) -> Column:
+    """The first element of that kind and name as struct(scale, text); NULL when there is none.
 
-def _first(tags: Column, name: str) -> Column:
-    """The first element with that name; NULL when there is none."""
-    return F.get(F.filter(tags, lambda t: t["name"] == name), F.lit(0))
+    The end tag is the one at which the depth falls below that of the start, so the text of nested elements
+    belongs to it. An element that is never closed has no text.
+    """
+    at = F.array_position("_names", f"{kind} {name}").cast("int")
+    after = F.slice("_steps", at + 1, F.size("_steps"))
+    counted = F.aggregate(
+        after, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")),
+        lambda acc, s: F.when(acc["depth"] == 0, acc).otherwise(F.struct((acc["depth"] + s).alias("depth"), (acc["n"] + 1).alias("n"))),
+        lambda acc: F.when(acc["depth"] == 0, acc["n"]),
+    )
+    n = F.when(F.get("_steps", at - 1) == 0, 0).when(F.get("_steps", at) == -1, 1).otherwise(counted)
+    tag = F.get("_tags", at - 1)
+    body = F.regexp_replace(F.array_join(F.slice("_parts", at + 1, n), ""), _ANY_TAG, "")
+    text = full_strip(F.when(body.contains("&"), unescape(body)).otherwise(body))
+    return F.when(at > 0, F.struct(_attribute(tag, "scale").alias("scale"), text.alias("text")))
 
 
 def compact_number(raw: Column) -> Column:
@@ -61,13 +87,7 @@ def filing_read(filings: DataFrame, facts: Mapping[str, str] = fv.FILING_FACTS)
 
     Whole kronor by half-even rounding, the equity ratio in percent. Nothing after this touches document text.
     """
-    doc = F.col("xhtml")
-    step = filings.withColumns(
-        {
-            "_numbers": _tags(doc, "nonFraction", facts.values()),
-            "_words": _tags(doc, "nonNumeric", (fv.FILING_ORGNR, fv.FILING_END)),
-        }
-    ).withColumns({f"_t_{c}": _first(F.col("_numbers"), tag) for c, tag in facts.items()})
+    step = _with_tags(filings).withColumns({f"_t_{c}": _first("nonFraction", tag) for c, tag in facts.items()})
     # One projection per step, so that no pattern runs twice for a value.
     step = step.withColumns({f"_s_{c}": compact_number(F.col(f"_t_{c}.text")) for c in facts})
     step = step.withColumns(
@@ -76,11 +96,11 @@ def filing_read(filings: DataFrame, facts: Mapping[str, str] = fv.FILING_FACTS)
     cols = {
         c: F.col(f"_v_{c}") * 100.0 if c == "solidity_pct" else F.rint(f"_v_{c}").cast("bigint") for c in facts
     }
-    says = lambda name: F.coalesce(_first(F.col("_words"), name)["text"], F.lit(""))
+    says = lambda name: F.coalesce(_first("nonNumeric", name)["text"], F.lit(""))
     return step.select(
         "orgnr", "end_date", "source_file",
         digits_only(says(fv.FILING_ORGNR)).alias("doc_orgnr"), says(fv.FILING_END).alias("doc_end"),
-        doc.contains("xmlns:ix=").alias("has_tags"),
+        F.col("_doc").rlike(_ROOT).alias("has_tags"),
         *[v.alias(k) for k, v in cols.items()],
     )
 
@@ -101,30 +121,30 @@ def filing_validate(
 
     ``loaded``: orgnr, end_date. Of several documents with one key the first by source file is accepted.
     """
-    rows = filing_read(filings) if "xhtml" in filings.columns else filings
+    rows = staged(filing_read(filings)) if "xhtml" in filings.columns else filings
     known = companies.select("orgnr").distinct().withColumn("_known", F.lit(True))
     done = loaded.select("orgnr", "end_date").distinct().withColumn("_done", F.lit(True))
-    verdict = (
+    before_reading = (
         F.when(~F.col("orgnr").rlike("^[0-9]{10}$"), "bad_key")
         .when(F.col("_known").isNull(), "unknown_company")
         .when(F.col("_done").isNotNull(), "already_loaded")
-        .when(~F.col("has_tags"), "parse_error")
+    )
+    own = (
+        F.when(~F.col("has_tags"), "parse_error")
         .when((F.col("doc_orgnr") != "") & (F.col("doc_orgnr") != F.col("orgnr")), "key_mismatch")
         .when((F.col("doc_end") != "") & (F.col("doc_end") != F.col("end_date")), "date_mismatch")
     )
     # One company, or copies of one document, may be a large part of all documents.
     checked = lookup_join(rows, known, ["orgnr"], ["source_file"])
     checked = lookup_join(checked, done, ["orgnr", "end_date"], ["source_file"])
-    checked = checked.withColumn("reason", verdict).drop("_known", "_done")
+    checked = staged(checked.withColumn("reason", F.coalesce(before_reading, own)).withColumn("_early", before_reading.isNotNull()).drop("_known", "_done"))
     key = ["orgnr", "end_date", "source_file"]
-    # The first document per key by an aggregate; the three-column join spreads the copies of one key.
-    first = (
-        checked.where(F.col("reason").isNull()).groupBy("orgnr", "end_date")
-        .agg(F.min("source_file").alias("source_file")).withColumn("_first", F.lit(True))
-    )
-    judged = checked.join(first, key, "left").withColumn(
-        "reason", F.coalesce("reason", F.when(F.col("_first").isNull(), "already_loaded").otherwise("accepted"))
-    ).drop("_first")
+    # Documents after the first accepted one of their key are not read, whatever they hold.
+    first = checked.where(F.col("reason").isNull()).groupBy("orgnr", "end_date").agg(F.min("source_file").alias("_first"))
+    late = ~F.col("_early") & (F.col("source_file") > F.col("_first"))
+    judged = lookup_join(checked, first, ["orgnr", "end_date"], ["source_file"]).withColumn(
+        "reason", F.when(late, "already_loaded").otherwise(F.coalesce("reason", F.lit("accepted")))
+    ).drop("_first", "_early")
     accepted = judged.where("reason = 'accepted'").drop("reason")
     rejects = judged.where("reason <> 'accepted'").select(*key, "reason")
     counts = judged.groupBy("reason").agg(F.count("*").alias("n"))

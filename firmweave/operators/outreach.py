@@ -13,10 +13,10 @@ from firmweave.session import lookup_join
 
 
 def due_send_queue(
-    links: DataFrame, leads: DataFrame, campaign_id: int, now, n: int,
+    links: DataFrame, leads: DataFrame, campaign_id: int, now, n: int | None = None,
     prioritize_tier: bool = True, prioritize_score: bool = True,
 ) -> DataFrame:
-    """The first n links to send: running, due, lead not suppressed. A distributed top-n."""
+    """The links to send: running, due, lead not suppressed. With n the first n of them in order, a distributed top-n."""
     open_links = links.where(
         (F.col("campaign_id") == campaign_id)
         & F.col("stopped_reason").isNull()
@@ -25,6 +25,8 @@ def due_send_queue(
     usable = leads.where(F.col("status") != "do_not_contact").withColumnsRenamed({"id": "_lead", "status": "lead_status"})
     clash = [c for c in usable.columns if c in open_links.columns]
     joined = open_links.join(usable.drop(*clash), F.col("lead_id") == F.col("_lead")).drop("_lead")
+    if n is None:
+        return joined
     order = [F.col("tier").asc_nulls_last()] if prioritize_tier else []
     order += [F.col("score").desc_nulls_last()] if prioritize_score else []
     return joined.orderBy(*order, F.col("next_send_at").asc_nulls_first(), F.col("id").asc()).limit(n)

@@ -357,13 +357,14 @@ def role_phrases(text: Column, words: HiringWords = HiringWords()) -> Column:
 def hiring_signal(pages: DataFrame, words: HiringWords = HiringWords()) -> DataFrame:
     """Per site: hiring_status yes / maybe_external / no / unknown, roles, count, evidence, external links.
 
-    The first page (in order, the marked home page excepted) with a hiring keyword and either role phrases or
-    an internal job link decides. Sites with a timeout give no row.
+    The first page (in order, the home page excepted) with a hiring keyword and either role phrases or an internal
+    job link decides. The home page is the first one marked, else the first of the site; it supplies the external
+    links. A site gives no row if its home page timed out, or a page before the deciding one (any, when none decides).
     """
     read = _read_pages(pages)
     low = F.when(F.col("err") == "", _lower(read)).otherwise("")
     step = read.withColumn("low", low).withColumn("text", H.visible_text(F.col("low")))
-    relevant = any_contains(F.col("text"), words.keywords) & ~F.coalesce(F.col("home"), F.lit(False))
+    relevant = any_contains(F.col("text"), words.keywords)
     step = step.withColumn("links", _absolute_links(F.col("url"), F.col("low"))).select(
         "site_key", "page_order", "url", "err", "home",
         F.when(relevant, role_phrases(F.col("text"), words)).alias("roles"),
@@ -378,7 +379,11 @@ def hiring_signal(pages: DataFrame, words: HiringWords = HiringWords()) -> DataF
             1, words.links.max_external,
         ).alias("ext"),
     )
-    yes = (F.size("roles") > 0) | (F.col("jobs") > 0)
+    homes = read.groupBy("site_key").agg(F.coalesce(F.min(F.when(F.col("home"), F.col("page_order"))), F.min("page_order")).alias("home_order"))
+    step = lookup_join(step.drop("home"), homes, ["site_key"], ["page_order"])
+    at_home = F.col("page_order") == F.col("home_order")
+    yes = ~at_home & ((F.size("roles") > 0) | (F.col("jobs") > 0))
+    of_home = lambda c: F.min_by(c, F.when(at_home, F.col("page_order")))
     decision = F.struct(
         "page_order", "url",
         F.substring(F.array_join(F.slice("roles", 1, 12), "; "), 1, 500).alias("what"),
@@ -386,12 +391,13 @@ def hiring_signal(pages: DataFrame, words: HiringWords = HiringWords()) -> DataF
     )
     site = step.groupBy("site_key").agg(
         F.min_by(decision, F.when(yes, F.col("page_order"))).alias("d"),
-        F.coalesce(F.min_by("ext", F.when(F.col("home"), F.col("page_order"))), F.min_by("ext", "page_order")).alias("ext"),
-        F.bool_or(F.col("err") == "timeout").alias("timeout"), _home_error().alias("home_err"),
+        of_home("ext").alias("ext"), of_home("err").alias("home_err"),
+        F.min(F.when(~at_home & (F.col("err") == "timeout"), F.col("page_order"))).alias("late"),
     )
     unreadable, hit, external = F.col("home_err") != "", F.col("d").isNotNull(), F.size("ext") > 0
     error = F.when(F.col("home_err").isin("", "403", "429", "not_html"), F.col("home_err")).otherwise("other")
-    return site.where(~F.col("timeout")).select(
+    in_time = F.col("late").isNull() | (hit & (F.col("d.page_order") < F.col("late")))
+    return site.where((F.col("home_err") != "timeout") & (unreadable | in_time)).select(
         "site_key", error.alias("err_reason"),
         F.when(unreadable, "unknown").when(hit, "yes").when(external, "maybe_external").otherwise("no").alias("hiring_status"),
         F.when(~unreadable & hit, F.col("d.what")).otherwise("").alias("hiring_what_text"),

@@ -152,7 +152,7 @@ def lead_campaign_summary(spark, sf_dir):
 # ---- send queue and outcomes ----
 
 
-def _queue(spark, sf_dir, campaign_id=1, n=500):
+def _queue(spark, sf_dir, campaign_id=1, n=None):
     leads = adapter(spark, sf_dir, "leads").withColumn("website", F.concat(F.lit("https://w"), "id")).withColumn("sni_codes", F.lit(None).cast("string"))
     return outreach.due_send_queue(_links(spark, sf_dir), leads, campaign_id, NOW, n)
 
@@ -167,8 +167,8 @@ def template_pick(spark, sf_dir):
     )
 
 
-def _rendered(spark, sf_dir, n=500):
-    queue = outreach.template_pick(_queue(spark, sf_dir, n=n), spark.sql(CAMPAIGN_TEMPLATES))
+def _rendered(spark, sf_dir):
+    queue = outreach.template_pick(_queue(spark, sf_dir), spark.sql(CAMPAIGN_TEMPLATES))
     return outreach.message_render(
         queue, spark.sql(TEMPLATES), NOW, from_name="Firm", from_email="me@firm.example.com", signature_html="<b>Me</b>", signature_text="Me"
     )
@@ -179,7 +179,7 @@ def message_render(spark, sf_dir):
 
 
 def sequence_advance(spark, sf_dir):
-    sent = _rendered(spark, sf_dir, n=100).select("lead_id", "campaign_id", "step", "variant")
+    sent = _rendered(spark, sf_dir).select("lead_id", "campaign_id", "step", "variant")
     out = outreach.sequence_advance(_links(spark, sf_dir), sent, NOW)
     return out.select("id", "current_step", "current_variant", "next_send_at").withColumns(_text_time("next_send_at"))
 
@@ -310,7 +310,8 @@ _FLAGS = """em AS (SELECT message_id AS id, bool_or(type IN ('bounced','complain
 _QUEUE = f"""{ctes('lead_campaigns', 'leads')},
 queue AS (SELECT lc.id, lc.lead_id, lc.campaign_id, lc.current_step, lc.current_variant, lc.next_send_at, lc.tier, lc.score, l.orgnr, l.company_name, l.city, l.emails, 'https://w' || l.id::VARCHAR AS website
   FROM lead_campaigns lc JOIN leads l ON l.id = lc.lead_id WHERE lc.campaign_id = 1 AND lc.stopped_reason IS NULL AND (lc.next_send_at IS NULL OR lc.next_send_at <= TIMESTAMP '{NOW}')
-  AND l.status <> 'do_not_contact' ORDER BY lc.tier ASC NULLS LAST, lc.score DESC, lc.next_send_at ASC NULLS FIRST, lc.id LIMIT {{n}})"""
+  AND l.status <> 'do_not_contact'{{order}})"""
+_FIRST = " ORDER BY lc.tier ASC NULLS LAST, lc.score DESC, lc.next_send_at ASC NULLS FIRST, lc.id LIMIT 200"
 _CT = f"""ct AS ({CAMPAIGN_TEMPLATES}), cf AS (SELECT campaign_id, step, min(variant) AS variant, arg_min(template_id, variant) AS template_id FROM ct GROUP BY 1, 2)"""
 
 
@@ -340,13 +341,13 @@ SELECT orgnr, least(1 + misses, 5) AS tier, (6 - least(1 + misses, 5)) * 100 + g
   CASE WHEN ol.id IS NULL AND nl.tier IS NOT NULL THEN 'true' END AS city_ok FROM nl LEFT JOIN ol ON ol.lead_id = nl.id""",
     "lead_campaign_summary": f"""WITH {_LOAD} SELECT count(*) AS matched_after_filters, count(*) AS upserted_leads, count(*) AS t1, 0::BIGINT AS t2, 0::BIGINT AS t3, 0::BIGINT AS t4, 0::BIGINT AS t5,
   count(*) FILTER (ol.id IS NULL) AS new_campaign_links FROM nl LEFT JOIN ol ON ol.lead_id = nl.id WHERE nl.tier IS NOT NULL""",
-    "due_send_queue": f"WITH {_QUEUE.format(n=200)} SELECT id, orgnr, tier, score, {_ts('next_send_at')} AS next_send_at FROM queue",
+    "due_send_queue": f"WITH {_QUEUE.format(order=_FIRST)} SELECT id, orgnr, tier, score, {_ts('next_send_at')} AS next_send_at FROM queue",
     "template_pick": f"WITH {ctes('lead_campaigns')}, {_CT}, x AS ({_picked_template('lead_campaigns')}) SELECT id, campaign_id, current_step, current_variant, variant, template_id FROM x",
-    "message_render": f"""WITH {_QUEUE.format(n=500)}, {_CT}, x AS ({_picked_template('queue')})
+    "message_render": f"""WITH {_QUEUE.format(order='')}, {_CT}, x AS ({_picked_template('queue')})
 SELECT lead_id, current_step AS step, variant, emails AS to_email,
   CASE template_id WHEN 1 THEN 'Hello ' || company_name WHEN 2 THEN 'Again ' || orgnr WHEN 3 THEN 'Firm' ELSE 'Last' END AS subject_rendered, b || '<br><br><b>Me</b>' AS body_rendered, b || chr(10) || chr(10) || 'Me' AS text_rendered, 'queued' AS status
 FROM (SELECT *, CASE template_id WHEN 1 THEN 'Dear  in ' || city || ', n/a ' || website WHEN 2 THEN 'No placeholder' WHEN 3 THEN emails || '|me@firm.example.com' ELSE city || city END AS b FROM x) WHERE emails <> '' AND template_id IS NOT NULL""",
-    "sequence_advance": f"""WITH {_QUEUE.format(n=100)}, {_CT}, x AS ({_picked_template('queue')}), s AS (SELECT lead_id, campaign_id, current_step AS step, variant FROM x WHERE emails <> '' AND template_id IS NOT NULL)
+    "sequence_advance": f"""WITH {_QUEUE.format(order='')}, {_CT}, x AS ({_picked_template('queue')}), s AS (SELECT lead_id, campaign_id, current_step AS step, variant FROM x WHERE emails <> '' AND template_id IS NOT NULL)
 SELECT lc.id, CASE WHEN s.step IS NOT NULL THEN s.step + 1 ELSE lc.current_step END AS current_step, CASE WHEN s.step IS NOT NULL THEN s.variant ELSE lc.current_variant END AS current_variant,
   {_ts(f"CASE WHEN s.step IS NOT NULL THEN TIMESTAMP '{NOW}' + INTERVAL 24 HOUR ELSE lc.next_send_at END")} AS next_send_at FROM lead_campaigns lc LEFT JOIN s ON s.lead_id = lc.lead_id AND s.campaign_id = lc.campaign_id""",
     "outcome_fold": f"""WITH {_EV}, {ctes('leads', 'lead_campaigns')},

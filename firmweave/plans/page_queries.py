@@ -85,8 +85,13 @@ def tech_signal(spark, sf_dir):
     return pg.tech_signal(df, dns, TECH)
 
 
+HOME = "substr(md5(site_key), 1, 1) < '8' AND page_order % 3 = 0"
+ERROR = "CASE WHEN page_order % 41 = 0 THEN 'timeout' WHEN page_order % 13 = 0 THEN '403' ELSE '' END"
+
+
 def hiring_signal(spark, sf_dir):
-    out = pg.hiring_signal(_pages(spark, sf_dir), HIRING)
+    pages = _pages(spark, sf_dir).withColumns({"is_home": F.expr(HOME), "fetch_error": F.expr(ERROR)})
+    out = pg.hiring_signal(pages, HIRING)
     return out.withColumns({"external_job_urls": F.array_join("external_job_urls", ","), "hiring_count": F.coalesce("hiring_count", F.lit(-1))})
 
 
@@ -127,13 +132,14 @@ def probe_result_pick(spark, sf_dir):
 
 # ---- filings ----
 
-_N = """concat('<ix:nonFraction contextRef="c1" name="{name}" unitRef="{unit}"', CASE WHEN {k} % 3 = 0 THEN ' scale="3"' WHEN {k} % 3 = 1 THEN ' scale="0"' ELSE '' END, '>', {body}, '</ix:nonFraction>')"""
+_N = """concat('<ix:nonFraction contextRef="', CASE WHEN {k} % 7 = 0 THEN 'c>1' ELSE 'c1' END, '" name="{name}" unitRef="{unit}"', CASE WHEN {k} % 3 = 0 THEN ' scale="3"' WHEN {k} % 3 = 1 THEN ' scale="0"' ELSE '' END, '>', {body}, '</ix:nonFraction>')"""
 _FACT_COLUMNS = [c for c in fv.FILING_FACTS if c != "solidity_pct"]
 
 
 def _fact_sql(col: str) -> str:
     body = (
-        f"CASE WHEN k % 5 = 0 THEN concat('<b>', cast({col} AS string), '</b>') WHEN k % 5 = 1 THEN concat(' ', cast({col} AS string), ',50') ELSE cast({col} AS string) END"
+        f"CASE WHEN k % 5 = 0 THEN concat('<b>', cast({col} AS string), '</b>') WHEN k % 5 = 1 THEN concat(' ', cast({col} AS string), ',50') "
+        f"WHEN k % 5 = 2 THEN concat(left(cast({col} AS string), 1), '<ix:nonFraction name=\"x:part\">', substr(cast({col} AS string), 2), '</ix:nonFraction>') ELSE cast({col} AS string) END"
     )
     return _N.format(name=fv.FILING_FACTS[col], unit="SEK", k="k", body=body)
 
@@ -143,6 +149,7 @@ SELECT CASE WHEN k % 50 = 7 THEN '' ELSE orgnr END AS orgnr, end_date, concat('c
   concat('<html', CASE WHEN k % 40 = 9 THEN '' ELSE ' xmlns:ix="http://www.xbrl.org/2013/inlineXBRL"' END, '><body><ix:nonNumeric name="{fv.FILING_ORGNR}" contextRef="c">',
     CASE WHEN k % 31 = 3 THEN '5599999999' WHEN k % 2 = 0 THEN concat(substr(orgnr, 1, 6), '-', substr(orgnr, 7, 4)) ELSE orgnr END, '</ix:nonNumeric>',
     CASE WHEN k % 37 = 5 THEN '<ix:nonNumeric name="{fv.FILING_END}">1990-01-01</ix:nonNumeric>' ELSE '' END,
+    CASE WHEN k % 6 = 0 THEN '<!-- <ix:nonFraction name="{fv.FILING_FACTS['revenue_sek']}">1</ix:nonFraction> -->' ELSE '' END,
     {', '.join(_fact_sql(c) for c in _FACT_COLUMNS if c != 'result_after_fin_sek')},
     CASE WHEN result_after_fin_sek IS NULL THEN '<ix:nonFraction name="{fv.FILING_FACTS['result_after_fin_sek']}" xsi:nil="true"/>' ELSE {_fact_sql('result_after_fin_sek')} END,
     CASE WHEN solidity_pct IS NULL THEN '' ELSE concat('<ix:nonFraction name="{fv.FILING_FACTS['solidity_pct']}" unitRef="procent" scale="-2">', cast(cast(solidity_pct AS int) AS string), '</ix:nonFraction>') END,
@@ -165,7 +172,9 @@ def _validated(spark, sf_dir):
     docs = _filings(spark, sf_dir)
     known = adapter(spark, sf_dir, "companies").where("orgnr NOT LIKE '%8'")
     loaded = docs.where("end_date = '1995-12-31' AND orgnr LIKE '%4'")
-    twice = docs.unionByName(docs.where("orgnr LIKE '%5'").withColumn("source_file", F.concat(F.lit("z/"), "source_file")))
+    broken = F.substring("end_date", 1, 4).cast("int") % 2 == 0
+    again = docs.where("orgnr LIKE '%5'").withColumns({"source_file": F.concat(F.lit("z/"), "source_file"), "xhtml": F.when(broken, "<html>").otherwise(F.col("xhtml"))})
+    twice = docs.unionByName(again)
     return filings.filing_validate(twice, known, loaded)
 
 
@@ -299,8 +308,9 @@ def _filing_value(col: str) -> str:
 
 _K = f"{ctes('company_financials')}, f AS (SELECT *, fiscal_year_end_date::VARCHAR AS end_date, orgnr::BIGINT * 7 + fiscal_year_end_year AS k FROM company_financials), d AS (SELECT *, 'container/' || (k % 2)::VARCHAR || '_' || orgnr || '_' || end_date || '.xhtml' AS source_file, CASE WHEN k % 50 = 7 THEN '' ELSE orgnr END AS o FROM f)"
 _JUDGED = f"""{_K}, u AS (SELECT *, false AS again FROM d UNION ALL SELECT * REPLACE ('z/' || source_file AS source_file), true FROM d WHERE o LIKE '%5'),
-v AS (SELECT o AS orgnr, end_date, source_file, CASE WHEN o = '' THEN 'bad_key' WHEN o LIKE '%8' THEN 'unknown_company' WHEN end_date = '1995-12-31' AND o LIKE '%4' THEN 'already_loaded' WHEN k % 40 = 9 THEN 'parse_error'
-  WHEN k % 31 = 3 THEN 'key_mismatch' WHEN k % 37 = 5 THEN 'date_mismatch' WHEN again THEN 'already_loaded' ELSE 'accepted' END AS reason, {_filing_value('revenue_sek')} FROM u)"""
+v AS (SELECT o AS orgnr, end_date, source_file, CASE WHEN o = '' THEN 'bad_key' WHEN o LIKE '%8' THEN 'unknown_company' WHEN end_date = '1995-12-31' AND o LIKE '%4' THEN 'already_loaded' WHEN again AND NOT (k % 40 = 9 OR k % 31 = 3 OR k % 37 = 5) THEN 'already_loaded'
+  WHEN k % 40 = 9 OR (again AND substr(end_date, 1, 4)::INT % 2 = 0) THEN 'parse_error'
+  WHEN k % 31 = 3 THEN 'key_mismatch' WHEN k % 37 = 5 THEN 'date_mismatch' ELSE 'accepted' END AS reason, {_filing_value('revenue_sek')} FROM u)"""
 
 ORACLES = {
     "page_text_extract": f"WITH {_LOW} SELECT page_order, t AS text, {_count_words('t')} AS n_words FROM txt",
@@ -328,19 +338,22 @@ n AS (SELECT *, {' + '.join(f'c{i}::INT' for i in range(4))} AS n, he <> '' AS b
 SELECT site_key, he AS err_reason, CASE WHEN bad THEN 'unknown' WHEN n >= 2 OR dns OR mail OR n = 1 THEN 'yes' ELSE 'no' END AS microsoft_status, CASE WHEN bad THEN NULL WHEN n >= 2 THEN 'strong' WHEN dns OR mail OR n = 1 THEN 'weak' END AS microsoft_strength,
   CASE WHEN bad THEN 'low' WHEN n >= 2 THEN CASE WHEN cloud OR n >= 3 THEN 'high' ELSE 'medium' END WHEN dns THEN 'high' WHEN mail THEN 'medium' ELSE 'low' END AS microsoft_confidence,
   CASE WHEN bad THEN 'unknown' WHEN strong OR medium THEN 'yes' ELSE 'no' END AS it_support_signal, CASE WHEN bad THEN 'low' WHEN strong THEN 'high' WHEN medium THEN 'medium' ELSE 'low' END AS it_support_confidence FROM n""",
-    "hiring_signal": f"""WITH {_LINKS}, rel AS (SELECT site_key, page_order, url, t FROM txt WHERE {_any('t', HIRING.keywords)}),
+    "hiring_signal": f"""WITH {_LINKS}, er AS (SELECT site_key, page_order, {HOME} AS home, {ERROR} AS err FROM site_pages),
+h0 AS (SELECT site_key, coalesce(min(page_order) FILTER (home), min(page_order)) AS page_order FROM er GROUP BY 1), h AS (SELECT h0.*, er.err FROM h0 JOIN er USING (site_key, page_order)),
+tm AS (SELECT er.site_key, min(er.page_order) AS late FROM er JOIN h ON h.site_key = er.site_key AND h.page_order <> er.page_order WHERE er.err = 'timeout' GROUP BY 1),
+rel AS (SELECT txt.site_key, txt.page_order, txt.url, t FROM txt JOIN er USING (page_order) JOIN h ON h.site_key = txt.site_key WHERE er.err = '' AND txt.page_order <> h.page_order AND {_any('t', HIRING.keywords)}),
 ro AS (SELECT page_order, unnest(x) AS c, generate_subscripts(x, 1) AS p FROM (SELECT page_order, {_TRIGGERS} AS x FROM rel)),
 rc AS (SELECT page_order, p, trim(regexp_replace(' ' || replace(trim(regexp_replace(regexp_extract(trim(c), '^([^.!?|;:()\\[\\]{{\\\\/]*)', 1), '\\s+', ' ', 'g')), ' ', '  ') || ' ', {_FILL}, '\\1\\2', 'g')) AS c FROM ro),
 rd AS (SELECT page_order, min(p) AS p, c FROM (SELECT page_order, p, trim(regexp_replace(c, '\\s+', ' ', 'g')) AS c FROM rc) WHERE length(c) BETWEEN 3 AND 60 AND regexp_matches(c, '[a-zåäö]') AND NOT regexp_matches(c, {_EMAIL}) AND NOT {_any('c', ('cookie', 'integritet', 'privacy'))} GROUP BY page_order, c),
 rr AS (SELECT page_order, count(*) AS n, list(c ORDER BY p) AS l FROM rd GROUP BY 1),
 jb AS (SELECT page_order, count(DISTINCT link) AS n FROM a WHERE {_any('path', LINKS.job_paths)} AND NOT contains(path, 'spontan') GROUP BY 1),
 y AS (SELECT rel.site_key, rel.page_order, rel.url, substr(array_to_string(rr.l[1:12], '; '), 1, 500) AS what, CASE WHEN rr.n > 0 THEN rr.n ELSE jb.n END AS n FROM rel LEFT JOIN rr USING (page_order) LEFT JOIN jb USING (page_order) WHERE rr.n > 0 OR jb.n > 0),
-d AS (SELECT site_key, arg_min(url, page_order) AS url, arg_min(coalesce(what, ''), page_order) AS what, arg_min(n, page_order) AS n FROM y GROUP BY 1),
-h AS (SELECT site_key, min(page_order) AS page_order FROM site_pages GROUP BY 1),
-x0 AS (SELECT h.site_key, a.link, min(pos) AS p FROM h JOIN a ON a.page_order = h.page_order WHERE {_any('host', LINKS.job_domains)} GROUP BY 1, 2), x1 AS (SELECT *, row_number() OVER (PARTITION BY site_key ORDER BY p) AS rn FROM x0),
+d AS (SELECT site_key, min(page_order) AS at, arg_min(url, page_order) AS url, arg_min(coalesce(what, ''), page_order) AS what, arg_min(n, page_order) AS n FROM y GROUP BY 1),
+x0 AS (SELECT h.site_key, a.link, min(pos) AS p FROM h JOIN a ON a.page_order = h.page_order WHERE h.err = '' AND {_any('host', LINKS.job_domains)} GROUP BY 1, 2), x1 AS (SELECT *, row_number() OVER (PARTITION BY site_key ORDER BY p) AS rn FROM x0),
 x AS (SELECT site_key, string_agg(link, ',' ORDER BY rn) AS ext, max(link) FILTER (rn = 1) AS one FROM x1 WHERE rn <= 5 GROUP BY 1)
-SELECT h.site_key, '' AS err_reason, CASE WHEN d.url IS NOT NULL THEN 'yes' WHEN x.ext IS NOT NULL THEN 'maybe_external' ELSE 'no' END AS hiring_status, coalesce(d.what, '') AS hiring_what_text,
-  CASE WHEN d.url IS NOT NULL THEN d.n WHEN x.ext IS NOT NULL THEN -1 ELSE 0 END::INTEGER AS hiring_count, CASE WHEN d.url IS NOT NULL THEN d.url ELSE coalesce(x.one, '') END AS evidence_url, coalesce(x.ext, '') AS external_job_urls FROM h LEFT JOIN d USING (site_key) LEFT JOIN x USING (site_key)""",
+SELECT h.site_key, h.err AS err_reason, CASE WHEN h.err <> '' THEN 'unknown' WHEN d.url IS NOT NULL THEN 'yes' WHEN x.ext IS NOT NULL THEN 'maybe_external' ELSE 'no' END AS hiring_status, CASE WHEN h.err = '' THEN coalesce(d.what, '') ELSE '' END AS hiring_what_text,
+  CASE WHEN h.err <> '' THEN -1 WHEN d.url IS NOT NULL THEN d.n WHEN x.ext IS NOT NULL THEN -1 ELSE 0 END::INTEGER AS hiring_count, CASE WHEN h.err <> '' THEN '' WHEN d.url IS NOT NULL THEN d.url ELSE coalesce(x.one, '') END AS evidence_url, coalesce(x.ext, '') AS external_job_urls
+FROM h LEFT JOIN d USING (site_key) LEFT JOIN x USING (site_key) LEFT JOIN tm USING (site_key) WHERE h.err <> 'timeout' AND (h.err <> '' OR tm.late IS NULL OR coalesce(d.at < tm.late, false))""",
     "industry_text_classify": f"WITH {_CLASSIFY} SELECT doc_id, w_label, w_raw, round(w_conf, 6) AS w_conf FROM cl",
     "industry_label_reconcile": f"""WITH {_CLASSIFY}, k AS (SELECT *, lower(trim(coalesce(register_text, ''))) AS t FROM cl), m AS (SELECT *, t NOT IN ('', '__no_sni__', 'okänd', '""') AS known, coalesce({_SECTOR_CASE} = {_KEYWORD_CASE}, false) AS same FROM k),
 f AS (SELECT *, CASE WHEN w_label = '' THEN CASE WHEN known THEN 0.30 ELSE 0.10 END WHEN w_conf >= 0.80 THEN w_conf WHEN w_conf >= 0.50 AND known THEN CASE WHEN same THEN w_conf ELSE 0.35 END WHEN w_conf < 0.50 AND known THEN 0.25 ELSE w_conf END::DOUBLE AS fc,

@@ -89,19 +89,39 @@ def small_table(df: DataFrame, max_rows: int) -> Small:
     return Small(cut(df))
 
 
+#: Broadcast lookups are at most this large as text and numbers; keys with more rows than HOT_ROWS are salted.
+BROADCAST_BYTES, HOT_ROWS = 64 << 20, 1_000_000
+
+
+def _is_small(df: DataFrame, max_rows: int) -> bool:
+    """At most ``max_rows`` rows and BROADCAST_BYTES bytes? Measured without moving a row to the driver."""
+    text = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    size = sum(text, F.lit(8 * len(df.columns)))
+    n, total = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()
+    return n <= max_rows and total <= BROADCAST_BYTES
+
+
 def lookup_join(
-    rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread_by: Sequence[str], max_rows: int = 100_000, salts: int = 16
+    rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread_by: Sequence[str], max_rows: int = 100_000, salts: int = 16,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Left join to a lookup with one row per key, whatever the skew of ``rows``.
 
-    A lookup shown to have at most ``max_rows`` rows is broadcast. A larger one is repeated once per salt and
-    the rows are salted by columns that differ within a key, so a hot key is shared by ``salts`` tasks.
+    A lookup measured to be small in rows and bytes is broadcast. Otherwise the join is a plain one, in which only
+    keys measured to have more than ``hot_rows`` rows are salted, by columns that differ within a key, and only
+    their lookup rows repeated. All three give the same rows.
     """
-    few = lookup.limit(max_rows + 1).toArrow()
-    if few.num_rows <= max_rows:
-        return rows.join(F.broadcast(lookup.sparkSession.createDataFrame(few, lookup.schema)), list(on), "left")
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.hash(*spread_by), F.lit(salts)))
+    on = list(on)
+    if _is_small(lookup, max_rows):
+        return rows.join(F.broadcast(lookup.sparkSession.createDataFrame(lookup.toArrow(), lookup.schema)), on, "left")
+    known = rows.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("_n"))
+    hot = small_table(known.where(F.col("_n") > hot_rows).select(*on, F.lit(True).alias("_hot")), max_rows)
+    if hot.proven and not hot.local.num_rows:
+        return rows.join(lookup, on, "left")
+    is_hot = F.col("_hot").isNotNull()
+    numbers = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = lookup.join(hot.hinted(), on, "left").withColumn("_salt", F.explode(numbers)).drop("_hot")
+    salted = rows.join(hot.hinted(), on, "left").withColumn("_salt", F.when(is_hot, F.pmod(F.hash(*spread_by), F.lit(salts))).otherwise(0)).drop("_hot")
     return salted.join(repeated, [*on, "_salt"], "left").drop("_salt")
 
 

@@ -26,6 +26,38 @@ def test_facts(spark):
     assert str(r.fiscal_year_end_date) == "2023-12-31" and r.fiscal_year_end_year == 2023
 
 
+def test_facts_of_legal_documents(spark):
+    tag = fv.FILING_FACTS
+    body = "<?xml version='1.0'?><!DOCTYPE html>" + HEAD + (
+        f'<!-- <ix:nonFraction name="{tag["revenue_sek"]}">1</ix:nonFraction> -->'
+        f'<ix:nonFraction name="{tag["revenue_sek"]}">12<ix:nonFraction name="{tag["profit_sek"]}" sign="a>b">3</ix:nonFraction>4</ix:nonFraction>'
+        f"""<ix:nonFraction contextRef='x>y "' title="name='{tag["cash_sek"]}'" name='{tag["assets_total_sek"]}'>5<br title="a>b"/>6</ix:nonFraction>"""
+        f'<ix:nonNumeric name="{fv.FILING_ORGNR}"><span>55<ix:nonNumeric name="o">66</ix:nonNumeric></span>77-8899</ix:nonNumeric>'
+        f'<ix:nonFraction name="{tag["equity_total_sek"]}">7'
+    )
+    r = fl.filing_read(docs(spark, ("1", "2023-12-31", "f", body))).first()
+    assert (r.revenue_sek, r.profit_sek, r.assets_total_sek, r.cash_sek, r.equity_total_sek) == (1234, 3, 56, None, None)
+    assert r.doc_orgnr == "5566778899" and r.has_tags
+    late = "<html><body><p xmlns:ix='u'>" + fact("revenue_sek", "5")
+    none = [fl.filing_read(docs(spark, ("1", "2023-12-31", "f", d))).first() for d in (late, "", None)]
+    assert [bool(x.has_tags) for x in none] == [False] * 3 and none[1].revenue_sek is None
+
+
+def test_many_facts_in_one_document(spark):
+    filler = '<ix:nonFraction name="x">1</ix:nonFraction>'
+    body = HEAD + f'<ix:nonNumeric name="{fv.FILING_END}">' + filler * 50_000 + "</ix:nonNumeric>" + fact("revenue_sek", "8") + "</body>"
+    r = fl.filing_read(docs(spark, ("1", "2023-12-31", "f", body))).first()
+    assert r.revenue_sek == 8 and len(r.doc_end) == 50_000
+
+
+def test_documents_after_the_accepted_one_are_not_read(spark):
+    key, end = "5566778899", "2023-12-31"
+    good = HEAD + fact("revenue_sek", "5")
+    df = docs(spark, (key, end, "a", "<html>"), (key, end, "b", good), (key, end, "c", "<html>"), (key, end, "d", good))
+    _, rejects, _, _ = fl.filing_validate(df, spark.createDataFrame([(key,)], "orgnr string"), df.select("orgnr", "end_date").limit(0))
+    assert {r.source_file: r.reason for r in rejects.collect()} == {"a": "parse_error", "c": "already_loaded", "d": "already_loaded"}
+
+
 def test_validation(spark):
     key, end = "5566778899", "2023-12-31"
     says = lambda k="", e="": HEAD + "".join(

@@ -1,3 +1,4 @@
+from html import unescape
 from urllib.parse import urljoin, urlsplit
 
 from pyspark.sql import functions as F
@@ -80,6 +81,8 @@ def test_url_parts(spark):
 
 def test_unescape_and_unquote(spark):
     assert one(spark, "a&#64;b&#x2E;se &amp;amp; &commat;", H.unescape) == "a@b.se &amp; @"
+    for raw in ("&#128512;", "&#x1F600;&#x41;", "&#0;", "&#xD800;", "&#00000000065;", "&#99999999999999999999;", "&#x110000;"):
+        assert one(spark, raw, H.unescape) == unescape(raw), raw
     assert one(spark, "100% a%40b.se c+d %zz", H.unquote) == "100% a@b.se c+d %zz"
 
 

@@ -103,7 +103,10 @@ def test_hiring_signal(spark):
             ("yes", 2, "https://yes.se/b", "karriär", False, ""),
             ("links", 1, "https://links.se/", "hem", True, ""), ("links", 2, "https://links.se/jobs/", 'jobs <a href="/jobs/1"><a href="/jobs/1"><a href="/jobs/2"><a href="/jobs/spontan">', False, ""),
             ("maybe", 1, "https://maybe.se/", ext, True, ""), ("no", 1, "https://no.se/", "hem", True, ""), ("wall", 1, "https://w.se/", None, True, "403"),
-            ("late", 1, "https://l.se/", "x", True, ""), ("late", 2, "https://l.se/", None, False, "timeout"),
+            ("late", 1, "https://l.se/", "x", True, ""), ("late", 2, "https://l.se/", None, False, "timeout"), ("late", 3, "https://l.se/c", "vi söker kockar.", False, ""),
+            ("soon", 1, "https://s.se/", "x", True, ""), ("soon", 2, "https://s.se/c", "vi söker kockar.", False, ""), ("soon", 3, "https://s.se/d", None, False, "timeout"),
+            ("first", 1, "https://f.se/", "vi söker kockar.", None, ""), ("first", 2, "https://f.se/c", "hem", None, ""), ("gone", 1, "https://g.se/", None, None, "timeout"),
+            ("wall2", 1, "https://v.se/", None, None, "429"), ("wall2", 2, "https://v.se/", None, None, "timeout"),
         ],
         "site_key string, page_order int, url string, html string, is_home boolean, fetch_error string",
     )
@@ -112,6 +115,7 @@ def test_hiring_signal(spark):
         "yes": ("", "yes", "svetsare; rörmokare", 2, "https://yes.se/c", ["https://x.teamtailor.com/1"]),
         "links": ("", "yes", "", 2, "https://links.se/jobs/", []),
         "maybe": ("", "maybe_external", "", None, "https://x.teamtailor.com/1", ["https://x.teamtailor.com/1"]),
+        "soon": ("", "yes", "kockar", 1, "https://s.se/c", []), "first": ("", "no", "", 0, "", []), "wall2": ("429", "unknown", "", None, "", []),
         "no": ("", "no", "", 0, "", []), "wall": ("403", "unknown", "", None, "", []),
     }
 
