@@ -38,10 +38,11 @@ def _with_tags(filings: DataFrame) -> DataFrame:
     step = filings.withColumn("_doc", bare).withColumns(
         {"_tags": F.regexp_extract_all("_doc", F.lit(_TAG), F.lit(0)), "_parts": F.split("_doc", _TAG, -1)}
     )
-    kind = lambda t: F.regexp_extract(t, "^<ix:([a-zA-Z]+)", 1)
+    named = lambda kind, t: F.concat(F.lit(f"{kind} "), _attribute(t, "name"))
     return step.withColumns(
         {
-            "_names": F.transform("_tags", lambda t: F.concat(kind(t), F.lit(" "), _attribute(t, "name"))),
+            "_names": F.transform("_tags", lambda t: F.when(t.startswith("</"), "").when(
+                t.startswith("<ix:nonFraction"), named("nonFraction", t)).otherwise(named("nonNumeric", t))),
             "_steps": F.transform("_tags", lambda t: F.when(t.startswith("</"), -1).when(t.endswith("/>"), 0).otherwise(1)),
         }
     )

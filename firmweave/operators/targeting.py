@@ -16,7 +16,7 @@ from firmweave.functions.text import is_blank, string_array
 from firmweave.functions.times import at, instant
 from firmweave.operators.merge import insert_if_absent, keyed_upsert
 from firmweave.operators.ranking import PLAIN_ROWS, ordered_position
-from firmweave.session import small_table, staged
+from firmweave.session import lookup_join, small_table, staged
 
 FILTERS = ("city", "sni", "employees", "founded", "tech", "review")
 CANDIDATE_COLUMNS = (
@@ -67,17 +67,21 @@ def employee_ranges(column: Column, ranges: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def code_match(column: str, patterns: Sequence[str], mode: str = "prefix") -> Column:
-    """Does any code of a comma- or JSON-shaped text equal (start with) one of the patterns? ASCII case ignored."""
-    wanted = [p.strip().lower() for p in patterns if p.strip()]
+def _code_pool(column: str, mode: str) -> Column:
+    """The texts of a comma- or JSON-shaped text that a code may be (exact) or start (prefix), lower-case."""
     text = F.lower(F.coalesce(F.col(column), F.lit("")))
     tokens = F.array_append(F.split(text, ",", -1), F.trim(text))
     quoted = F.split(text, '"', -1)
+    shown = 2 if mode == "exact" else 1  # an exact code has a closing quote
+    return F.concat(tokens, F.slice(quoted, 2, F.greatest(F.size(quoted) - shown, F.lit(0))))
+
+
+def code_match(column: str, patterns: Sequence[str], mode: str = "prefix") -> Column:
+    """Does any code of a comma- or JSON-shaped text equal (start with) one of the patterns? ASCII case ignored."""
+    wanted = [p.strip().lower() for p in patterns if p.strip()]
+    pool = _code_pool(column, mode)
     if mode == "exact":
-        inner = F.slice(quoted, 2, F.greatest(F.size(quoted) - 2, F.lit(0)))
-        return F.arrays_overlap(F.concat(tokens, inner), string_array(wanted))
-    after_quote = F.slice(quoted, 2, F.greatest(F.size(quoted) - 1, F.lit(0)))
-    pool = F.concat(tokens, after_quote)
+        return F.arrays_overlap(pool, string_array(wanted))
     by_length = defaultdict(list)
     for p in wanted:
         by_length[len(p)].append(p)
@@ -106,13 +110,37 @@ def industry_group_patterns(groups: DataFrame, items: DataFrame, keys: Sequence[
     )
 
 
+def industry_group_match(
+    df: DataFrame, groups: DataFrame, items: DataFrame, keys: Sequence[str], mode: str = "prefix", column: str = "sni_codes",
+    key: str = "orgnr",
+) -> DataFrame:
+    """The rows with a code of the groups, by a join: for any number of patterns. Without keys all rows.
+
+    The same rows as ``industry_code_match`` with the patterns of ``industry_group_expand``; groups without
+    patterns match nothing.
+    """
+    if not keys:
+        return df
+    pattern = F.lower(F.trim("pattern"))
+    wanted = industry_group_patterns(groups, items, keys).select(pattern.alias("_code"), F.lit(True).alias("_hit")).where("_code <> ''").distinct()
+    pool = _code_pool(column, mode)
+    if mode != "exact":
+        longest = wanted.agg(F.max(F.length("_code"))).first()[0] or 0  # no longer start can match
+        heads = lambda t: F.transform(F.sequence(F.lit(1), F.least(F.length(t), F.lit(max(longest, 1)))), lambda n: F.left(t, n))
+        pool = F.flatten(F.transform(F.filter(pool, lambda t: t != ""), heads))
+    codes = df.select(key, F.explode(F.array_distinct(pool)).alias("_code"))
+    hits = lookup_join(codes, wanted, ["_code"], [key]).where("_hit").select(key).distinct()
+    return df.join(hits, key, "left_semi")
+
+
 def industry_group_expand(groups: DataFrame, items: DataFrame, keys: Sequence[str]) -> list[str]:
-    """The patterns as filter values. Raises when the groups have none, or more than a filter can hold."""
+    """The patterns as filter values. Raises when the groups have none, or more than a filter should hold:
+    ``industry_group_match`` takes any number."""
     if not keys:
         return []
     found = small_table(industry_group_patterns(groups, items, keys).orderBy("group_key", "pattern"), MAX_PATTERNS)
     if not found.proven:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns in groups {list(keys)}")
+        raise ValueError(f"more than {MAX_PATTERNS} patterns in groups {list(keys)}: use industry_group_match")
     patterns = found.local.column("pattern").to_pylist()
     if not patterns:
         raise ValueError(f"no patterns found for groups {list(keys)}")

@@ -97,6 +97,11 @@ def industry_group_expand(spark, sf_dir):
     return row.select(F.explode(cells).alias("x")).select("x.*")
 
 
+def industry_group_match(spark, sf_dir):
+    df = _companies(spark, sf_dir).select("orgnr", "sni_codes")
+    return tg.industry_group_match(df, spark.sql(GROUPS), spark.sql(ITEMS), ["office", "tech"])
+
+
 def suppression_anti_join(spark, sf_dir):
     return tg.suppression_anti_join(
         _companies(spark, sf_dir).select("orgnr"), adapter(spark, sf_dir, "do_not_contact"),
@@ -269,7 +274,7 @@ def tier_summary(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        target_filter, target_filter_founded, industry_code_match, industry_group_expand, suppression_anti_join, tier_score,
+        target_filter, target_filter_founded, industry_code_match, industry_group_expand, industry_group_match, suppression_anti_join, tier_score,
         stagger_schedule, lead_campaign_load, lead_campaign_summary,
         due_send_queue, template_pick, message_render, sequence_advance, outcome_fold, outcome_fold_messages,
         sequence_catalog, sequence_coverage,
@@ -330,6 +335,8 @@ SELECT orgnr, sni_codes, 'exact' AS mode FROM x WHERE {' OR '.join(f"trim(sni_co
 UNION ALL SELECT orgnr, sni_codes, 'prefix' FROM x WHERE {' OR '.join(f"trim(sni_codes) LIKE '{p}%' OR sni_codes LIKE '%,{p}%' OR sni_codes LIKE '%" + '"' + p + "%'" for p in ('63', '6900'))}""",
     "industry_group_expand": f"""WITH {_CO}, g AS ({GROUPS}), i AS ({ITEMS}), p AS (SELECT pattern FROM g JOIN i ON g.id = i.group_id WHERE group_key IN ('office', 'tech') AND pattern IS NOT NULL)
 SELECT pattern, count(*) FILTER (sni_codes LIKE pattern || '%' OR sni_codes LIKE '%,' || pattern || '%') AS n FROM p, companies GROUP BY pattern""",
+    "industry_group_match": f"""WITH {_CO}, g AS ({GROUPS}), i AS ({ITEMS}), p AS (SELECT pattern FROM g JOIN i ON g.id = i.group_id WHERE group_key IN ('office', 'tech') AND pattern IS NOT NULL)
+SELECT orgnr, sni_codes FROM companies WHERE EXISTS (SELECT 1 FROM p WHERE sni_codes LIKE pattern || '%' OR sni_codes LIKE '%,' || pattern || '%')""",
     "suppression_anti_join": f"WITH {_CO}, {_BLOCKED} SELECT orgnr FROM companies WHERE orgnr NOT IN (SELECT orgnr FROM blocked)",
     "tier_score": f"""WITH {_TG}, x AS (SELECT orgnr, trim(coalesce(city, '')) <> '' AS c, trim(coalesce(sni_codes, '')) <> '' AS s, employees IS NOT NULL AS e, {_BORN} IS NOT NULL AS f,
   trim(coalesce(tech_footprint_status, '')) <> '' AS t FROM targets), m AS (SELECT *, (NOT c)::INT + (NOT s)::INT + (NOT e)::INT + (NOT f)::INT + (NOT t)::INT AS misses FROM x)

@@ -71,6 +71,20 @@ def test_groups(spark):
         tg.industry_group_expand(g, i, ["zzz"])
 
 
+def test_group_match_takes_any_number_of_patterns(spark):
+    g = spark.createDataFrame([(1, "a"), (2, "b"), (3, "none")], "id int, group_key string")
+    i = spark.createDataFrame([(1, "62"), (1, " "), (1, None), (2, "41A")], "group_id int, pattern string")
+    i = i.union(spark.range(20_000).selectExpr("1", "concat('9', lpad(id, 6, '0'))"))
+    texts = ["62010,1", "1,62", '["10", "623"]', "162", "", None, "41a20", "9000007", "x" * 50_000, "62010,1"]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "orgnr string, sni_codes string")
+    keys = lambda out: sorted(int(r.orgnr) for r in out.collect())
+    assert keys(tg.industry_group_match(df, g, i, ["a", "b"])) == [0, 1, 2, 6, 7, 9]
+    assert keys(tg.industry_group_match(df, g, i, ["a"], "exact")) == [1, 7]
+    assert keys(tg.industry_group_match(df, g, i, ["none"])) == [] and tg.industry_group_match(df, g, i, []) is df
+    for mode in ("exact", "prefix"):
+        assert keys(tg.industry_group_match(df, g, i.where("pattern < '9'"), ["a", "b"], mode)) == keys(tg.industry_code_match(df, ["62", "41A"], mode))
+
+
 def tables(spark):
     leads = spark.createDataFrame(
         [(10, "1", "new"), (11, "2", "do_not_contact"), (12, "3", None), (13, "4", "new")], "id bigint, orgnr string, status string"
