@@ -21,8 +21,8 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 HEADLINE = (
-    "health_score winsorize_by_year rank_score_by_year latest_financial_snapshot filing_fact_extract "
-    "signal_feeds_apply newest_wins_merge keyed_upsert register_upsert enrichment_merge "
+    "health_score health_score_split winsorize_by_year rank_score_by_year latest_financial_snapshot filing_fact_extract filing_validate "
+    "signal_feeds_apply signal_feeds_counters incremental_feed_apply register_bulk_scan newest_wins_merge keyed_upsert register_upsert enrichment_merge "
     "due_queue_topk stable_hash_shard lead_campaign_load target_filter suppression_anti_join "
     "due_send_queue message_render outcome_fold delivery_class value_distribution feed_reconciliation "
     "page_text_extract link_extract contact_extract site_quality_score tech_signal hiring_signal "

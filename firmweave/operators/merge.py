@@ -128,53 +128,71 @@ def prepare_feed(feed: DataFrame, rule: FeedRule) -> DataFrame:
     return known.withColumns(cols).select("orgnr", "_ts", "feed_order", *cols)
 
 
-def apply_feed(master: DataFrame, feed: DataFrame, rule: FeedRule) -> tuple[DataFrame, DataFrame]:
-    """One feed into the master; also (key, value changed, marker changed) for the counters.
+def _reduced(feeds: Mapping[str, DataFrame], rules: Mapping[str, FeedRule]) -> DataFrame:
+    """One row per key: per feed its newest marker (``_m_<feed>``) and first value (``_v_<feed>``), in one shuffle."""
+    rows, aggs = None, []
+    for name, feed in feeds.items():
+        rule, ready = rules[name], prepare_feed(feed, rules[name])
+        rank = F.struct((-F.unix_micros("_ts")).alias("t"), F.col("feed_order").alias("o"))
+        cols = {f"_m_{name}": F.struct(*rule.marker, "_ts"), f"_r_{name}": F.when(F.col("_ts").isNotNull(), rank)}
+        aggs.append(F.min_by(f"_m_{name}", f"_r_{name}").alias(f"_m_{name}"))
+        if rule.value:
+            cols |= {f"_v_{name}": F.col(rule.value), f"_o_{name}": F.when(~is_blank(rule.value), F.col("feed_order"))}
+            aggs.append(F.min_by(f"_v_{name}", f"_o_{name}").alias(f"_v_{name}"))
+        own = ready.select("orgnr", *[v.alias(k) for k, v in cols.items()])
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    return rows.groupBy("orgnr").agg(*aggs)
+
+
+def _apply(
+    master: DataFrame, feeds: Mapping[str, DataFrame], rules: Mapping[str, FeedRule]
+) -> tuple[DataFrame, DataFrame]:
+    """All feeds into the master by one join, and one row per company and feed that changed it.
 
-    Value and marker are two independent decisions taken from one aggregation of the feed.
+    Value and marker are two independent decisions. The feeds set different columns, so their order does not matter.
     """
-    ready = prepare_feed(feed, rule)
-    aggs = [newest(list(rule.marker), "_ts", "feed_order").alias("_m")]
-    if rule.value:
-        aggs.append(first_filled(rule.value, "feed_order").alias("_v"))
-    best = ready.groupBy("orgnr").agg(*aggs)
-    stored = instant(rule.marker_ts)
-    step = master.join(best, "orgnr", "left")
-    newer = F.coalesce(F.col("_m._ts") > stored, F.col("_m._ts").isNotNull() & stored.isNull())
-    step = step.withColumn("_newer", F.coalesce(newer, F.lit(False)))
-    step = step.withColumn(
-        "_filled", (is_blank(rule.value_target) & F.col("_v").isNotNull()) if rule.value else F.lit(False)
-    )
+    targets = [t for n in feeds for t in (*rules[n].marker.values(), rules[n].marker_ts, rules[n].value_target) if t]
+    if len(targets) != len(set(targets)):
+        raise ValueError(f"feeds must set different columns, not {sorted({t for t in targets if targets.count(t) > 1})}")
     types = dict(master.dtypes)
-    changes = {
-        to: F.when(F.col("_newer"), F.col(f"_m.{frm}").cast(types[to])).otherwise(F.col(to))
-        for frm, to in rule.marker.items()
-    }
-    stamp = F.col("_m._ts") if types[rule.marker_ts] != "string" else iso_z(F.col("_m._ts"))
-    changes[rule.marker_ts] = F.when(F.col("_newer"), stamp).otherwise(F.col(rule.marker_ts))
-    if rule.value:
-        changes[rule.value_target] = F.when(F.col("_filled"), F.col("_v")).otherwise(F.col(rule.value_target))
-    changed = step.where(F.col("_newer") | F.col("_filled")).select(
-        F.lit(rule.name).alias("feed"), "_filled", "_newer"
-    )
+    decided, changes = {}, {}
+    for name in feeds:
+        rule, m, newer, filled = rules[name], f"_m_{name}", f"_newer_{name}", f"_filled_{name}"
+        stored, stamp = instant(rule.marker_ts), F.col(f"{m}._ts")
+        decided[newer] = F.coalesce(stamp > stored, stamp.isNotNull() & stored.isNull(), F.lit(False))
+        for frm, to in rule.marker.items():
+            changes[to] = F.when(F.col(newer), F.col(f"{m}.{frm}").cast(types[to])).otherwise(F.col(to))
+        stamp = stamp if types[rule.marker_ts] != "string" else iso_z(stamp)
+        changes[rule.marker_ts] = F.when(F.col(newer), stamp).otherwise(F.col(rule.marker_ts))
+        decided[filled] = F.lit(False)
+        if rule.value:
+            decided[filled] = is_blank(rule.value_target) & F.col(f"_v_{name}").isNotNull()
+            changes[rule.value_target] = F.when(F.col(filled), F.col(f"_v_{name}")).otherwise(F.col(rule.value_target))
+    step = master.join(_reduced(feeds, rules), "orgnr", "left").withColumns(decided)
+    marks = F.array(*[
+        F.struct(F.lit(n).alias("feed"), F.col(f"_filled_{n}").alias("_filled"), F.col(f"_newer_{n}").alias("_newer")) for n in feeds
+    ])
+    changed = step.select(F.explode(F.filter(marks, lambda x: x["_filled"] | x["_newer"])).alias("c")).select("c.*")
     return step.withColumns(changes).select(*master.columns), changed
 
 
+def apply_feed(master: DataFrame, feed: DataFrame, rule: FeedRule) -> tuple[DataFrame, DataFrame]:
+    """One feed into the master; also (feed, value changed, marker changed) per changed company for the counters."""
+    return _apply(master, {rule.name: feed}, {rule.name: rule})
+
+
 def signal_feeds_apply(
     master: DataFrame, feeds: Mapping[str, DataFrame], rules: Mapping[str, FeedRule] = SIGNAL_FEEDS
 ) -> tuple[DataFrame, DataFrame]:
-    """All feeds in turn (name -> rows), plus one counter row per feed.
+    """All feeds (name -> rows) into the master, plus one counter row per feed that changed anything.
 
-    The master is shuffled once by key; each feed is shuffled once, already reduced on the map side.
+    The feeds are reduced by key in one shuffle and joined to the master once; the counters come from that join.
     """
-    counters = None
-    for name, feed in feeds.items():
-        master, changed = apply_feed(master, feed, rules[name])
-        counters = changed if counters is None else counters.unionByName(changed)
-    summary = counters.groupBy("feed").agg(
+    merged, changed = _apply(master, feeds, rules)
+    summary = changed.groupBy("feed").agg(
         F.count_if("_filled").alias("applied_value"), F.count_if("_newer").alias("applied_marker")
     )
-    return master, summary
+    return merged, summary
 
 
 def register_upsert(master: DataFrame, standardized: DataFrame, order: str = "row_order") -> DataFrame:

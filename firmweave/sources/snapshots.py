@@ -39,13 +39,43 @@ class TableSnapshots:
             version = self.versions()[-1]
         return self.spark.read.parquet(self._dir(version))
 
+    def _claim(self, version: int) -> None:
+        """Only one writer gets a version: the claim file is made if absent, by the file system."""
+        fs, claim = self._fs(f"{self.path}/claim-{version}")
+        if not fs.createNewFile(claim):
+            raise FileExistsError(f"version {version} is being written by another writer; name it to replace an abandoned write")
+
+    def _release(self, version: int) -> None:
+        fs, claim = self._fs(f"{self.path}/claim-{version}")
+        fs.delete(claim, False)
+
     def write(self, df: DataFrame, version: int | None = None) -> int:
-        """Write the next (or the given) version. Writing the same version again replaces an unfinished one."""
+        """Write the next (or the given) version. A committed version is never written again.
+
+        Of several writers of the next version one goes on and the others fail before they write. A version given by
+        number replaces what an unfinished write left, so its callers must be one at a time (as a stream is).
+        """
         if version is None:
             done = self.versions()
             version = done[-1] + 1 if done else 0
+            self._claim(version)
+        elif self.has(version):
+            raise FileExistsError(f"version {version} is committed")
         writer = df.write.mode("overwrite")
         if self.partition_by:
             writer = writer.partitionBy(*self.partition_by)
-        writer.parquet(self._dir(version))
+        try:
+            writer.parquet(self._dir(version))
+        except Exception:
+            self._release(version)
+            raise
         return version
+
+    def expire(self, keep: int) -> list[int]:
+        """Delete all but the newest ``keep`` (at least one) versions; returns those deleted."""
+        gone = self.versions()[: -max(keep, 1)]
+        for v in gone:
+            fs, folder = self._fs(self._dir(v))
+            fs.delete(folder, True)
+            self._release(v)
+        return gone

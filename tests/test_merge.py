@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from firmweave.operators import merge
@@ -110,6 +111,17 @@ def test_feeds_that_need_a_time_and_counters(spark):
     assert {r.feed: (r.applied_value, r.applied_marker) for r in summary.collect()} == {"site_review": (0, 1), "website": (1, 0)}
 
 
+def test_feeds_join_the_master_once_and_set_different_columns(spark):
+    feeds = {"website": web(spark, (1, "1", "https://a.se", "x", "2024-01-01"))}
+    review = spark.createDataFrame([(1, "2", "2024-01-01", 5, "[]", None)], "feed_order int, orgnr string, checked_at string, site_score int, site_flags string, err_reason string")
+    out, _ = merge.signal_feeds_apply(master(spark, "1", "2"), {**feeds, "site_review": review})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Aggregate ") == 1
+    clash = merge.FeedRule("other", "emails_checked_at", {"status": "website_status"})
+    with pytest.raises(ValueError, match="website_status"):
+        merge.signal_feeds_apply(master(spark, "1"), {**feeds, "other": feeds["website"]}, {**merge.SIGNAL_FEEDS, "other": clash})
+
+
 def test_job_url_text(spark):
     df = spark.createDataFrame([([" a ", "b", "a"], "b"), (None, " "), (None, "e")], "x array<string>, e string")
     assert [r[0] for r in df.select(merge.job_url_text(F.col("x"), F.col("e"))).collect()] == ['["a","b"]', None, '["e"]']

@@ -74,3 +74,18 @@ def test_snapshots(spark, tmp_path):
     (tmp_path / "t" / "v=2").mkdir()  # unfinished: no commit mark
     assert store.versions() == [0, 1]
     assert store.read().count() == 2 and store.read(0).count() == 3
+
+
+def test_snapshot_versions_are_written_once(spark, tmp_path):
+    first, second = (snapshots.TableSnapshots(spark, str(tmp_path / "t")) for _ in range(2))
+    first.write(spark.range(1))
+    second._claim(1)  # another writer is at work on the next version
+    with pytest.raises(FileExistsError):
+        first.write(spark.range(9))
+    assert first.write(spark.range(2), 1) == 1  # an abandoned write is replaced by number
+    with pytest.raises(FileExistsError):
+        second.write(spark.range(9), 1)
+    assert second.write(spark.range(3)) == 2
+    assert first.expire(2) == [0] and first.versions() == [1, 2] and first.read().count() == 3
+    assert first.expire(0) == [1] and first.versions() == [2]
+    assert first.write(spark.range(4)) == 3
