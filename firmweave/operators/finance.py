@@ -80,13 +80,14 @@ def clamped(value: Column, lo: Column, hi: Column) -> Column:
 
 
 def winsorize_by_year(
-    df: DataFrame, cols: list[str], p: float = 0.01, year: str = YEAR, plain_rows: int = ranking.PLAIN_ROWS
+    df: DataFrame, cols: list[str], p: float = 0.01, year: str = YEAR, target_rows: int = ranking.TARGET_ROWS
 ) -> DataFrame:
     """Clamp each column to its p and 1-p quantiles within the year (the row itself is not shuffled)."""
     group = [year, "measure"]
+    df = staged(df)  # read by the count, the bounds, the limits and the result
     rows = measure_rows(df, cols, keys=[year])
-    grid = ranking.value_grid(rows, group)
-    limits = ranking.quantile_pairs(rows, grid, group, p, plain_rows=plain_rows)
+    grid = ranking.value_grid(rows, group, target_rows=target_rows)
+    limits = ranking.quantile_pairs(rows, grid, group, p)
     per_year = limits.groupBy(year).agg(
         *[
             F.max(F.when(F.col("measure") == c, F.col(side))).alias(f"{c}__{side}")
@@ -94,16 +95,16 @@ def winsorize_by_year(
             for side in ("lo", "hi")
         ]
     )
-    joined = df.join(F.broadcast(per_year) if grid.proven else per_year, year, "left")
+    joined = df.join(F.broadcast(per_year) if grid.few else per_year, year, "left")
     clamp = lambda c: F.when(F.col(f"{c}__lo").isNull(), F.col(c)).otherwise(
         clamped(F.col(c), F.col(f"{c}__lo"), F.col(f"{c}__hi"))
     )
     return joined.withColumns({c: clamp(c) for c in cols}).select(*df.columns)
 
 
-def _scores(rows, grid: Small, measures: dict[str, bool], year: str, keys, plain_rows: int) -> DataFrame:
+def _scores(rows, grid: ranking.Grid, measures: dict[str, bool], year: str, keys) -> DataFrame:
     spread = [k for k in keys if k != year] or list(keys)
-    ranked = ranking.rank_below(rows, grid, [year, "measure"], spread, plain_rows=plain_rows)
+    ranked = ranking.rank_below(rows, grid, [year, "measure"], spread)
     share = F.col("below_rows") / F.col("n") * 100.0
     lower_better = [m for m, up in measures.items() if not up]
     score = F.when(F.col("measure").isin(lower_better), 100.0 - share).otherwise(share)
@@ -111,32 +112,35 @@ def _scores(rows, grid: Small, measures: dict[str, bool], year: str, keys, plain
 
 
 def rank_score_by_year(
-    df: DataFrame, measures: dict[str, bool], keys=KEYS, year: str = YEAR, plain_rows: int = ranking.PLAIN_ROWS
+    df: DataFrame, measures: dict[str, bool], keys=KEYS, year: str = YEAR, target_rows: int = ranking.TARGET_ROWS
 ) -> DataFrame:
     """Per key and measure: percent of the year's rows strictly below (100 minus that if lower is better)."""
-    rows = measure_rows(df, list(measures), keys)
-    grid = ranking.value_grid(rows, [year, "measure"])
-    return _scores(rows, grid, measures, year, keys, plain_rows).select(*keys, "measure", "value", "score")
+    rows = staged(measure_rows(df, list(measures), keys))  # read by the count, the bounds and the ranks
+    grid = ranking.value_grid(rows, [year, "measure"], target_rows=target_rows)
+    return _scores(rows, grid, measures, year, keys).select(*keys, "measure", "value", "score")
 
 
 def winsorized_rank_scores(
-    df: DataFrame, measures: dict[str, bool], p: float, keys=KEYS, year: str = YEAR, plain_rows: int = ranking.PLAIN_ROWS
+    df: DataFrame, measures: dict[str, bool], p: float, keys=KEYS, year: str = YEAR, target_rows: int = ranking.TARGET_ROWS
 ) -> DataFrame:
-    """Winsorise, then rank. The limits join the split bounds, so the clamped tails are point buckets."""
+    """Winsorise, then rank. The limits join the split bounds, so the clamped tails are point buckets.
+
+    ``df`` is read by every step: hand in a stored table.
+    """
     group = [year, "measure"]
     rows = measure_rows(df, list(measures), keys)
-    grid = ranking.value_grid(rows, group)
-    limits = ranking.quantile_pairs(rows, grid, group, p, plain_rows=plain_rows)
-    both = grid.df.join(limits, group).withColumn(
-        "bounds", F.array_sort(F.array_distinct(F.concat("bounds", F.array("lo", "hi"))))
-    )
+    grid = ranking.value_grid(rows, group, target_rows=target_rows)
+    limits = ranking.quantile_pairs(rows, grid, group, p)
     cut_rows = (
         rows.join(limits, group)
         .withColumn("value", clamped(F.col("value"), F.col("lo"), F.col("hi")))
         .drop("lo", "hi")
     )
-    ready = Small(both.select(*grid.df.columns), grid.local)
-    return _scores(cut_rows, ready, measures, year, keys, plain_rows).select(*keys, "measure", "score")
+    if grid.table is not None:
+        bounds = F.array_sort(F.array_distinct(F.concat("bounds", F.array("lo", "hi"))))
+        both = grid.table.df.join(limits, group).withColumn("bounds", bounds).select(*grid.table.df.columns)
+        grid = grid._replace(table=Small(both, grid.table.local))
+    return _scores(cut_rows, grid, measures, year, keys).select(*keys, "measure", "score")
 
 
 def growth_prev_year(financials: DataFrame) -> DataFrame:
@@ -170,13 +174,13 @@ def health_score(
     companies: DataFrame | None = None,
     spec: ScoreSpec = ScoreSpec(),
     now=None,
-    plain_rows: int = ranking.PLAIN_ROWS,
+    target_rows: int = ranking.TARGET_ROWS,
 ) -> DataFrame:
     """Score every company year from 0 to 100; years are scored together, companies unknown to the master not."""
     known = financials if companies is None else financials.join(companies.select("orgnr"), "orgnr", "left_semi")
     base = staged(growth_prev_year(financial_ratios(known)).select(*KEYS, *MEASURES, "growth"))
     measures = {**MEASURES, "growth": True}
-    scored = winsorized_rank_scores(base, measures, spec.winsor_p, plain_rows=plain_rows)
+    scored = winsorized_rank_scores(base, measures, spec.winsor_p, target_rows=target_rows)
     # One empty row per key keeps companies that lack every measure.
     every_key = base.select(*KEYS, F.lit("none").alias("measure"), F.lit(None).cast("double").alias("score"))
     wide = (

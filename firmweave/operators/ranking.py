@@ -8,14 +8,15 @@ group is cut at bounds taken from its own approximate quantiles:
 * all other values lie in an *open* bucket between two bounds. A value with more than about
   ``1/buckets`` of the rows is always one of the bounds, so no open bucket can be heavy.
 
-Counting the buckets gives each one's offset; the rank inside a bucket is a window of bounded size.
-The bounds only steer the split. They never influence the result, which is exact. Groups whose measured
-size is at most ``PLAIN_ROWS`` take the plain window instead, which has fewer stages.
+The number of buckets follows from the measured size of the largest group, so that an open bucket has about
+``TARGET_ROWS`` rows at any size; groups of at most that size are one bucket each and need no bounds. Counting the buckets gives each one's offset; the rank inside a bucket is a
+window over its rows. The bounds only steer the split. They never influence the result, which is exact. Rows
+of a group that is NULL have no rank.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import NamedTuple, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,46 +24,58 @@ from pyspark.sql import functions as F
 
 from firmweave.session import Small, small_table
 
-BUCKETS = 256
+TARGET_ROWS, LEAST_BUCKETS = 1_000_000, 16  # the least number where a group is cut at all
 MAX_GROUPS = 20_000
-PLAIN_ROWS = 1_000_000
 MAX_BUCKET_ROWS = 2_000_000
-_STEPS = (256, 128, 64, 32, 16, 8, 4, 2, 1)  # reaches 511 bounds
 _SALTS = 64
 
 
-def value_grid(rows: DataFrame, group: Sequence[str], value: str = "value", buckets: int = BUCKETS) -> Small:
-    """Per group, the sorted distinct bounds (``bounds``) and the row count. One pass with map-side summaries."""
-    shares = [i / buckets for i in range(1, buckets)]
-    found = rows.groupBy(*group).agg(
-        F.percentile_approx(value, shares, 10_000).alias("bounds"), F.count(value).alias("group_rows")
-    )
-    return small_table(
-        found.select(*group, F.array_sort(F.array_distinct("bounds")).alias("bounds"), "group_rows"), MAX_GROUPS
-    )
+def buckets_for(largest: int, target_rows: int = TARGET_ROWS) -> int:
+    """So many buckets that one of them has about ``target_rows`` of the rows of the largest group."""
+    return max(LEAST_BUCKETS, -(-largest // target_rows))
 
 
-def all_plain(grid: Small, plain_rows: int) -> bool:
-    """Is every group known to be small enough for one task?"""
-    return grid.proven and max(grid.local.column("group_rows").to_pylist(), default=0) <= plain_rows
+class Grid(NamedTuple):
+    """Per group the sorted distinct bounds (``bounds``), and the number of buckets they were made for.
 
+    No table: every group is one bucket. ``few``: the groups are at most MAX_GROUPS.
+    """
 
-def add_bucket(df: DataFrame, value: str, bounds: Column) -> DataFrame:
+    table: Small | None
+    buckets: int
+    few: bool
+
+
+def value_grid(rows: DataFrame, group: Sequence[str], value: str = "value", target_rows: int = TARGET_ROWS) -> Grid:
+    """Counts the groups and, if one has over ``target_rows`` rows, takes bounds of all by another summary pass."""
+    sizes = rows.groupBy(*group).agg(F.count(value).alias("n"))
+    largest, groups = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
+    if largest <= target_rows and groups <= MAX_GROUPS:
+        return Grid(None, 1, True)
+    buckets = buckets_for(largest, target_rows)
+    shares = [i / buckets for i in range(1, buckets)]
+    found = rows.groupBy(*group).agg(F.percentile_approx(value, shares, max(10_000, 10 * buckets)).alias("bounds"))
+    table = small_table(found.select(*group, F.array_sort(F.array_distinct("bounds")).alias("bounds")), MAX_GROUPS)
+    return Grid(table, buckets, table.proven)
+
+
+def add_bucket(df: DataFrame, value: str, bounds: Column, most: int) -> DataFrame:
     """Adds ``bucket``: twice the number of bounds below the value, plus 1 if the value is itself a bound.
 
-    A binary search, one projection per step, so that it stays inside generated code.
+    A binary search among at most ``most`` bounds, one projection per step, so that it stays inside generated code.
     """
     out = df.withColumn("bucket", F.lit(0))
-    for step in _STEPS:
+    for step in (1 << k for k in reversed(range(most.bit_length()))):
         passed = F.coalesce(F.get(bounds, F.col("bucket") + (step - 1)) < F.col(value), F.lit(False))
         out = out.withColumn("bucket", F.col("bucket") + F.when(passed, step).otherwise(0))
     on_bound = F.coalesce(F.get(bounds, F.col("bucket")) == F.col(value), F.lit(False))
     return out.withColumn("bucket", F.col("bucket") * 2 + on_bound.cast("int"))
 
 
-def with_bucket(rows: DataFrame, grid: Small, group: Sequence[str], value: str = "value") -> DataFrame:
-    joined = rows.join(grid.hinted(), list(group))
-    return add_bucket(joined, value, F.col("bounds")).drop("bounds", "group_rows")
+def with_bucket(rows: DataFrame, grid: Grid, group: Sequence[str], value: str = "value") -> DataFrame:
+    joined = rows.join(grid.table.hinted(), list(group))
+    # Two limits may stand among the bounds.
+    return add_bucket(joined, value, F.col("bounds"), grid.buckets + 1).drop("bounds")
 
 
 def bucket_offsets(bucketed: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -78,19 +91,17 @@ def bucket_offsets(bucketed: DataFrame, group: Sequence[str]) -> DataFrame:
     )
 
 
-def _hint_offsets(offsets: DataFrame, grid: Small) -> DataFrame:
+def _hint_offsets(offsets: DataFrame, grid: Grid) -> DataFrame:
     """At most two buckets per bound plus one exist, so the table's size follows from the grid's."""
-    if grid.proven and grid.local.num_rows * (2 * BUCKETS + 7) <= MAX_BUCKET_ROWS:
+    if grid.table.proven and grid.table.local.num_rows * (2 * grid.buckets + 7) <= MAX_BUCKET_ROWS:
         return F.broadcast(offsets)
     return offsets
 
 
-def quantile_pairs(
-    rows: DataFrame, grid: Small, group: Sequence[str], p: float, value: str = "value", plain_rows: int = PLAIN_ROWS
-) -> DataFrame:
+def quantile_pairs(rows: DataFrame, grid: Grid, group: Sequence[str], p: float, value: str = "value") -> DataFrame:
     """Per group the exact p and 1-p quantiles (``lo``, ``hi``), linear between neighbours."""
-    if all_plain(grid, plain_rows):
-        pair = rows.groupBy(*group).agg(F.percentile(value, [p, 1.0 - p]).alias("q"))
+    if grid.table is None:
+        pair = rows.where(F.concat(*group).isNotNull()).groupBy(*group).agg(F.percentile(value, [p, 1.0 - p]).alias("q"))
         # One row per group, and the groups were counted.
         return F.broadcast(pair.select(*group, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")))
     bucketed = with_bucket(rows, grid, group, value)
@@ -122,42 +133,33 @@ def quantile_pairs(
         (local >= F.col("before")) & (local < F.col("before") + F.col("c"))
     )
 
-    def between(place: Column) -> Column:
+    def between(place: Column) -> tuple[Column, ...]:
         lower, upper = F.floor(place).cast("bigint"), F.ceil(place).cast("bigint")
-        w = place - lower
         v_lo = F.max(F.when(F.col("pos") == lower, F.col("v")))
         v_hi = F.max(F.when(F.col("pos") == upper, F.col("v")))
-        return v_lo, v_hi, F.max(w)
+        return v_lo, v_hi, F.max(upper - place), F.max(place - lower)
 
     aggs = []
     for name, place in places.items():
-        v_lo, v_hi, w = between(place)
-        aggs += [v_lo.alias(f"{name}_a"), v_hi.alias(f"{name}_b"), w.alias(f"{name}_w")]
+        aggs += [v.alias(f"{name}_{x}") for v, x in zip(between(place), "abvw")]
     found = picked.groupBy(*group).agg(*aggs)
 
     def mixed(name: str) -> Column:
-        a, b, w = F.col(f"{name}_a"), F.col(f"{name}_b"), F.col(f"{name}_w")
-        return F.when(w == 0, a).otherwise(a * (1 - w) + b * w).alias(name)
+        # As F.percentile has it, so that both ways give the same bits.
+        a, b, v, w = (F.col(f"{name}_{x}") for x in "abvw")
+        return F.when((w == 0) | (a == b), a).otherwise(v * a + w * b).alias(name)
 
     return small_table(found.select(*group, mixed("lo"), mixed("hi")), MAX_GROUPS).hinted()
 
 
 def rank_below(
-    rows: DataFrame,
-    grid: Small,
-    group: Sequence[str],
-    spread_by: Sequence[str],
-    value: str = "value",
-    plain_rows: int = PLAIN_ROWS,
+    rows: DataFrame, grid: Grid, group: Sequence[str], spread_by: Sequence[str], value: str = "value"
 ) -> DataFrame:
     """Adds ``below_rows`` (rows of the group strictly below the value) and ``n`` (rows of the group)."""
-    if all_plain(grid, plain_rows):
-        return rows.withColumns(
-            {
-                "below_rows": F.rank().over(W.partitionBy(*group).orderBy(value)) - 1,
-                "n": F.count(value).over(W.partitionBy(*group)),
-            }
-        )
+    if grid.table is None:
+        whole = W.partitionBy(*group)
+        known = rows.where(F.concat(*group).isNotNull())
+        return known.withColumns({"below_rows": F.rank().over(whole.orderBy(value)) - 1, "n": F.count(value).over(whole)})
     bucketed = with_bucket(rows, grid, group, value)
     offsets = _hint_offsets(bucket_offsets(bucketed, group).select(*group, "bucket", "below", "n"), grid)
     salt = F.when(F.col("bucket") % 2 == 1, F.pmod(F.hash(*spread_by), F.lit(_SALTS))).otherwise(F.lit(0))
@@ -171,15 +173,17 @@ def rank_below(
     )
 
 
-def ordered_position(df: DataFrame, key: str, name: str = "position") -> DataFrame:
-    """Global 0-based position of each row in the order of a *unique* key, computed range by range."""
-    sampled = df.select(key).orderBy(F.xxhash64(key), key).limit(BUCKETS * 8).collect()
+def ordered_position(df: DataFrame, key: str, name: str = "position", target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Global 0-based position of each row in the order of a *unique* key, computed range by range.
+
+    ``df`` is read three times: hand in a stored table.
+    """
+    buckets = buckets_for(df.count(), target_rows)
+    sampled = df.select(key).orderBy(F.xxhash64(key), key).limit(buckets * 8).collect()
     keys = sorted(r[0] for r in sampled if r[0] is not None)
     cuts = keys[8::8]
-    if not cuts:
-        return df.withColumn(name, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(key)).cast("bigint") - 1)
-    bounds = F.array(*[F.lit(k) for k in cuts])
-    bucketed = add_bucket(df, key, bounds).withColumn("g", F.lit(0))
+    bounds = F.array(*[F.lit(k) for k in cuts]).cast(f"array<{dict(df.dtypes)[key]}>")
+    bucketed = add_bucket(df, key, bounds, len(cuts)).withColumn("g", F.lit(0))
     # At most two buckets per cut plus one, hence a bounded table.
     offsets = F.broadcast(bucket_offsets(bucketed.select("g", "bucket"), ["g"]).select("bucket", "below"))
     inside = F.row_number().over(W.partitionBy("bucket").orderBy(key)) - 1

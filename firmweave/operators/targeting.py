@@ -15,7 +15,7 @@ from firmweave.functions import fixed_values as fv
 from firmweave.functions.text import is_blank, string_array
 from firmweave.functions.times import at, instant
 from firmweave.operators.merge import insert_if_absent, keyed_upsert
-from firmweave.operators.ranking import PLAIN_ROWS, ordered_position
+from firmweave.operators.ranking import ordered_position
 from firmweave.session import lookup_join, small_table, staged
 
 FILTERS = ("city", "sni", "employees", "founded", "tech", "review")
@@ -239,16 +239,9 @@ def tier_score(candidates: DataFrame, active: dict[str, bool]) -> DataFrame:
     )
 
 
-def stagger_schedule(df: DataFrame, base, minutes: int, key: str = "orgnr", at_most: int | None = None) -> DataFrame:
-    """next_send_at = base + position in key order x minutes.
-
-    ``at_most``: a row count the input is known not to exceed; a small one needs no range by range counting.
-    """
-    if at_most is not None and at_most <= PLAIN_ROWS:
-        order = W.partitionBy(F.lit(0)).orderBy(key)
-        placed = df.withColumn("position", F.row_number().over(order) - 1)
-    else:
-        placed = ordered_position(df, key)
+def stagger_schedule(df: DataFrame, base, minutes: int, key: str = "orgnr") -> DataFrame:
+    """next_send_at = base + position in key order x minutes. Hand in a stored table: it is read more than once."""
+    placed = ordered_position(df, key)
     return placed.withColumn(
         "next_send_at", F.timestamp_seconds(F.unix_seconds(at(base)) + F.col("position").cast("bigint") * (60 * max(minutes, 0)))
     ).drop("position")
@@ -286,7 +279,7 @@ def lead_campaign_load(
     if spec.limit is not None and spec.limit_stage == "last":
         picked = picked.orderBy("orgnr").limit(spec.limit)
     # Read by the leads, the links and the summary: computed once.
-    ready = staged(stagger_schedule(tier_score(picked, active), now, spec.stagger_minutes, at_most=spec.limit))
+    ready = staged(stagger_schedule(staged(tier_score(picked, active)), now, spec.stagger_minutes))
 
     stamp = at(now)
     rows = ready.select(

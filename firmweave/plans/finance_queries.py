@@ -61,8 +61,8 @@ def health_score(spark, sf_dir):
 
 
 def health_score_split(spark, sf_dir):
-    """The same scores by the path for years too large for one task."""
-    df = fin.health_score(adapter(spark, sf_dir, "company_financials"), plain_rows=0)
+    """The same scores with years cut into many small buckets."""
+    df = fin.health_score(adapter(spark, sf_dir, "company_financials"), target_rows=100)
     return rounded(keyed(df), ["score_current", "score_growth", "score_total"])
 
 
