@@ -30,8 +30,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that over a tenth of their source's documents hold; a document that had nothing else goes."""
-    found = linededup.drop_boilerplate(docs.select(*COLUMNS), F.col("source"), linededup.text_lines("text"), LINE_RATIO)
+    """Drops lines that over a tenth of their source's different documents hold; a document that had nothing else goes.
+
+    Copies count as one document here: which of them stays is for the next stage to say.
+    """
+    found = linededup.drop_boilerplate(docs.select(*COLUMNS), F.col("source"), linededup.text_lines("text"), LINE_RATIO, copies_once=True)
     text = F.array_join("kept", "\n")
     changed = F.coalesce(F.size("kept") < F.size("lines"), F.lit(False))
     rows = found.select("page.*", text.alias("_text"), changed.alias("_changed")).where(~F.col("_changed") | (F.btrim("_text", F.lit(" \t\r\n")) != ""))

@@ -2,12 +2,14 @@
 
 A line's ratio is the number of a host's pages that hold it, divided by all pages of the host. Lines above ``ratio`` on
 at least ``min_pages`` pages are boilerplate and go; everything else stays as it was. Counts are combined before
-their shuffle. The boilerplate lines of a host are at most its mean lines per page divided by the ratio, so one array
+their shuffle. The boilerplate lines of a host are at most its mean lines per counted page divided by the ratio, so one array
 per host holds them; they are written first, so that Spark knows their size and broadcasts them only below its
 threshold, else splits a large host's rows itself.
 
 Lines are compared without the white space around them, by a 64-bit hash; blank lines never go. Edge cases: a null text has
-no lines and stays null; a null host is a host of its own; repeated rows are pages like others.
+no lines and stays null; a null host is a host of its own; repeated rows are pages like others, unless ``copies_once``: then pages of a host that have
+the same non-blank lines in the same order count as one page, in a line's uses and in the host's pages, so that copies of a page
+never make its lines boilerplate.
 """
 
 from __future__ import annotations
@@ -36,13 +38,18 @@ def _hashes(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.xxhash64(F.btrim(x, F.lit(TRIMMED))))
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = 0.2, min_pages: int = 3) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = 0.2, min_pages: int = 3, copies_once: bool = False) -> DataFrame:
     """The input columns as a struct ``page``, its ``host``, its ``lines`` and those ``kept``."""
     rows = pages.select(F.struct(*(F.col(c) for c in pages.columns)).alias("page"), F.coalesce(host, F.lit("")).alias("host"), lines.alias("lines"))
     blank = F.xxhash64(F.lit(""))
-    totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    counted = rows.select("host", _hashes(F.col("lines")).alias("hashes"))
+    if copies_once:
+        own = counted.withColumn("hashes", F.filter("hashes", lambda x: x != blank))
+        own = own.groupBy("host", F.xxhash64("hashes").alias("copies")).agg(F.first("hashes").alias("hashes"))
+        counted = staged(own.select("host", "hashes"))
+    totals = counted.groupBy("host").agg(F.count("*").alias("pages"))
     counts = (
-        rows.select("host", F.explode(F.array_distinct(_hashes(F.col("lines")))).alias("line")).where(F.col("line") != blank)
+        counted.select("host", F.explode(F.array_distinct("hashes")).alias("line")).where(F.col("line") != blank)
         .groupBy("host", "line").agg(F.count("*").alias("uses"))
     )
     frequent = counts.where(F.col("uses") >= min_pages).join(totals, "host").where(F.col("uses") > F.lit(ratio) * F.col("pages"))

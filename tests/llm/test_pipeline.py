@@ -79,3 +79,16 @@ def test_empty_and_null_rows_pass_every_stage(spark):
         for name, stage in corpus_pipeline.STAGES:
             docs = staged(stage(spark, docs, SMALL))
             assert docs.count() <= len(rows), name
+
+
+def test_copies_do_not_make_their_lines_boilerplate(spark):
+    page = lambda i: f"menu\nfirst line of {i}\nsecond line of {i}"
+    copied = "clean one\nclean two\nclean three"
+    texts = [page(i) for i in range(20)] + [copied] * 9 + [copied.replace("\n", " \n\n")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SMALL).collect()}
+    assert got == {i: t.removeprefix("menu\n") for i, t in enumerate(texts)}
+    small = docs.where("doc_id < 24")  # four copies beside twenty others
+    assert {r.doc_id for r in corpus_pipeline.line_dedup(spark, small, SMALL).collect()} == set(range(24))
+    left = corpus_pipeline.near_dedup(spark, staged(corpus_pipeline.line_dedup(spark, docs, SMALL)), SMALL)
+    assert [r.text for r in left.where("doc_id >= 20").collect()] == [copied]
