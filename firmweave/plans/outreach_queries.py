@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from firmweave.operators import outreach, reports, targeting as tg
@@ -42,6 +44,7 @@ SPEC = tg.TargetSpec(
     cities=("NATION_1", "NATION_2", "NATION_3", "NATION_4", "NATION_5", "NATION_6", "NATION_7"),
     codes=("62", "68"), employees=("0-49", "100-199", "250+"), limit=300, limit_stage="sql",
 )
+SPEC_ALL = replace(SPEC, limit=None)
 FOUNDED = tg.TargetSpec(founded_min="2023-09-01", founded_max="2023-12-31", tech=True)
 
 
@@ -75,6 +78,10 @@ def target_filter(spark, sf_dir):
     return tg.target_filter(_targets(spark, sf_dir), SPEC).select("orgnr", "city", "employees", "sni_codes")
 
 
+def target_filter_all(spark, sf_dir):
+    return tg.target_filter(_targets(spark, sf_dir), SPEC_ALL).select("orgnr", "city", "employees", "sni_codes")
+
+
 def target_filter_founded(spark, sf_dir):
     return tg.target_filter(_targets(spark, sf_dir), FOUNDED).select("orgnr", "started_at")
 
@@ -121,7 +128,7 @@ def stagger_schedule(spark, sf_dir):
     return out.withColumns(_text_time("next_send_at"))
 
 
-def _load(spark, sf_dir):
+def _load(spark, sf_dir, spec=SPEC):
     leads = adapter(spark, sf_dir, "leads").where("id % 3 <> 0")
     leads = leads.select(
         "id", "orgnr", "company_name", "city", F.lit(None).cast("string").alias("sni_codes"), F.lit(None).cast("string").alias("website"),
@@ -135,13 +142,13 @@ def _load(spark, sf_dir):
     )
     return tg.lead_campaign_load(
         _targets(spark, sf_dir), leads, links, _plain_events(spark, sf_dir), adapter(spark, sf_dir, "do_not_contact"),
-        SPEC, tg.Campaign(2, "customer"), NOW,
+        spec, tg.Campaign(2, "customer"), NOW,
     )
 
 
-def lead_campaign_load(spark, sf_dir):
+def _loaded(spark, sf_dir, spec):
     """Leads joined to their links of the loaded campaign."""
-    leads, links, _ = _load(spark, sf_dir)
+    leads, links, _ = _load(spark, sf_dir, spec)
     links = links.where("campaign_id = 2").select(
         F.col("lead_id").alias("id"), F.col("tier").alias("link_tier"), F.col("score").alias("link_score"), "next_send_at",
         F.get_json_object("match_flags", "$.city_ok").alias("city_ok"),
@@ -150,10 +157,23 @@ def lead_campaign_load(spark, sf_dir):
     return out.withColumns(_text_time("created_at", "next_send_at"))
 
 
+def lead_campaign_load(spark, sf_dir):
+    """Of the first 300 companies, as its twin has it; ``lead_campaign_load_all`` loads all."""
+    return _loaded(spark, sf_dir, SPEC)
+
+
+def lead_campaign_load_all(spark, sf_dir):
+    return _loaded(spark, sf_dir, SPEC_ALL)
+
+
 def lead_campaign_summary(spark, sf_dir):
     return _load(spark, sf_dir)[2]
 
 
+def lead_campaign_summary_all(spark, sf_dir):
+    return _load(spark, sf_dir, SPEC_ALL)[2]
+
+
 # ---- send queue and outcomes ----
 
 
@@ -274,8 +294,8 @@ def tier_summary(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        target_filter, target_filter_founded, industry_code_match, industry_group_expand, industry_group_match, suppression_anti_join, tier_score,
-        stagger_schedule, lead_campaign_load, lead_campaign_summary,
+        target_filter, target_filter_all, target_filter_founded, industry_code_match, industry_group_expand, industry_group_match, suppression_anti_join, tier_score,
+        stagger_schedule, lead_campaign_load, lead_campaign_load_all, lead_campaign_summary, lead_campaign_summary_all,
         due_send_queue, template_pick, message_render, sequence_advance, outcome_fold, outcome_fold_messages,
         sequence_catalog, sequence_coverage,
         column_coverage, value_distribution, freshness_windows, top_n_groups, feed_reconciliation, delivery_class, stale_accepted,
@@ -397,6 +417,8 @@ SELECT s7 AS sent_7d, s30 AS sent_30d, b7 AS bounces_7d, c30 AS complaints_30d,
     "latest_links": f"WITH {ctes('lead_campaigns')}, c AS ({CAMPAIGNS}) SELECT l.id, lead_id, name AS campaign, current_step, current_variant, {_ts('next_send_at')} AS next_send_at, stopped_reason FROM lead_campaigns l JOIN c ON c.id = campaign_id ORDER BY l.id DESC LIMIT 10",
     "tier_summary": f"WITH {ctes('lead_campaigns')} SELECT t::INTEGER AS tier, count(l.id) AS n FROM (SELECT unnest(range(1, 6)) AS t) x LEFT JOIN lead_campaigns l ON l.tier = t GROUP BY 1",
 }
+for _name in ("target_filter", "lead_campaign_load", "lead_campaign_summary"):
+    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(_PICKED, f"picked AS (SELECT * FROM targets WHERE {_PICK})")
 ORACLES["sequence_coverage"] = (
     f"WITH cat AS ({ORACLES['sequence_catalog']}) SELECT campaign, string_agg(DISTINCT step::VARCHAR, ',' ORDER BY step::VARCHAR) AS steps, count(*) AS templates FROM cat GROUP BY 1"
 )

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from firmweave.operators import targeting as tg
+from firmweave.plans import outreach_queries
 
 BASE = "orgnr string, name string, city string, employees int, sni_codes string, website string, emails string, website_status string, email_status string, created_at string, started_at string"
 
@@ -131,3 +132,15 @@ def test_load_is_repeatable(spark, rows):
     again = tg.lead_campaign_load(c, new_leads, new_links, events, dnc, spec, campaign, "2024-01-01")
     assert rows(again[0]) == rows(new_leads) and rows(again[1]) == rows(new_links)
     assert again[2].first().new_campaign_links == 0
+
+
+def test_queries_without_a_limit_take_all_companies(spark, monkeypatch):
+    df = companies(spark, *[(f"{k:04d}", {"city": "NATION_1", "sni_codes": "62010"}) for k in range(700)])
+    leads, links, events, dnc = tables(spark)
+    given = {"leads": leads, "lead_campaigns": links, "outcome_events": events.selectExpr("*", "cast(NULL AS timestamp) AS created_at"), "do_not_contact": dnc}
+    monkeypatch.setattr(outreach_queries, "_targets", lambda *_: df)
+    monkeypatch.setattr(outreach_queries, "adapter", lambda spark, sf_dir, name: given[name])
+    run = lambda name: outreach_queries.QUERIES[name](spark, "")
+    assert run("target_filter").count() == 300 and run("target_filter_all").count() == 700
+    assert run("lead_campaign_summary_all").first().matched_after_filters == 700
+    assert run("lead_campaign_load_all").where("link_tier = 1").count() == 700
