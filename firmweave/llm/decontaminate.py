@@ -4,10 +4,11 @@
 2. One pass over the texts stores the postings of every word that some window holds: text, term, positions.
    Whether a word is such a term is looked up in a sorted hash array that workers map into memory, so neither the
    texts nor the benchmark need to be small.
-3. Terms are counted over all postings. A window's two rarest terms are intersected first, each list shifted by
-   the term's place in the window; what is left is intersected with the lists of all its terms.
-4. An *exact* match has every term at its place. A *near* match has its two rarest terms and at least ``share`` of its
-   terms within ``slop`` words of their places.
+3. Terms are counted over all postings. A match holds ``need`` = ceil(``share`` x length) of its window's places, so it holds
+   at least two (all, if fewer are needed) of the window's length - ``need`` + 2 rarest places. Texts that have as many
+   of these at all are looked at: they give the starts where as many stand close, and only those are compared whole.
+4. An *exact* match has every term at its place. A *near* match has at least ``share`` of its terms within ``slop`` words of
+   their places; starts within ``slop`` of an exact match of the same window are that match and not named again.
 
 Terms, windows and texts are 64-bit hashes. Equal texts are matched once and share their result.
 
@@ -104,31 +105,34 @@ def matches(index: DataFrame, wanted: DataFrame, slop: int = 2, share: float = 0
     lists = index.select("text_key", F.explode("postings").alias("p")).select("text_key", "p.term", "p.positions")
     rarity = lists.groupBy("term").agg(F.sum(F.size("positions")).alias("uses"))
     places = wanted.select("window", "terms").distinct().select("window", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
-    places = staged(places.join(rarity, "term"))  # a term no text holds drops out, and its windows with it where it would be needed
+    places = staged(places.join(rarity, "term"))  # a term no text holds is at no place, and its windows go where too few are left
+    need = F.ceil(F.lit(share) * F.col("length")).cast("int")
+    some = F.least(need, F.lit(2))
     rank = F.row_number().over(W.partitionBy("window").orderBy("uses", "term", "place"))
-    ranked = places.withColumn("rank", rank)
-    whole = F.count("*").over(W.partitionBy("window"))
-    ranked = ranked.withColumn("held", whole).where(F.col("held") >= F.ceil(F.lit(share) * F.col("length")))
-    first = ranked.where("rank = 1").select("window", "length", "term", "place")
-    second = ranked.where("rank = 2").select("window", F.col("term").alias("term2"), F.col("place").alias("place2"))
-    anchors = staged(first.join(second, "window", "left"))
-
-    at = (
-        lists.join(anchors, "term").withColumn("at", F.explode("positions"))
-        .select("text_key", "window", "length", "term2", "place2", (F.col("at") - F.col("place")).alias("start"))
-        .where(F.col("start") > -F.col("length")).distinct()
-    )
-    at = staged(at)
+    held = F.count("*").over(W.partitionBy("window"))
+    ranked = places.withColumn("rank", rank).withColumn("held", held).where((F.col("held") >= need) & (F.col("rank") <= F.col("held") - need + some))
+    anchors = staged(ranked.select("window", "length", "term", "place", some.alias("some"), F.expr("shiftleft(1L, rank - 1)").alias("bit")))
+
+    def enough(rows: DataFrame, *keys: str) -> DataFrame:
+        found = rows.groupBy("window", "length", "some", *keys).agg(F.bit_or("bit").alias("bits"))
+        return found.where(F.bit_count("bits") >= F.col("some")).select("window", "length", *keys)
 
     def close(place: str):
         expected = F.col("start") + F.col(place)
         return F.exists("positions", lambda x: F.abs(x - expected) <= slop)
 
-    rare = lists.join(second.select(F.col("term2").alias("term")).distinct(), "term", "left_semi").withColumnRenamed("term", "term2")
-    pairs = at.join(rare, ["text_key", "term2"]).where(close("place2"))
-    alone = at.where("term2 is null")
-    left = pairs.select("text_key", "window", "length", "start").union(alone.select("text_key", "window", "length", "start"))
-    left = staged(left.distinct())
+    by_term = anchors.groupBy("term", "window", "length", "some").agg(F.bit_or("bit").alias("bit"))  # one row for the places of a repeated term
+    pairs = staged(enough(lists.select("text_key", "term").join(by_term, "term"), "text_key"))
+    # Copies of a text have one list of a term together.
+    single = lists.join(by_term.select("term").distinct(), "term", "left_semi").groupBy("text_key", "term").agg(F.first("positions").alias("positions"))
+    shifts = F.array(*(F.lit(d) for d in range(-slop, slop + 1)))
+    starts = (
+        pairs.select("text_key", "window").join(anchors, "window").join(single, ["text_key", "term"])
+        .select("text_key", "window", "length", "some", "place", "bit", "positions").repartition("text_key", "window")  # before rows become many
+        .withColumn("at", F.explode("positions")).withColumn("shift", F.explode(shifts))
+        .withColumn("start", F.col("at") - F.col("place") + F.col("shift"))
+    )
+    left = staged(enough(starts, "text_key", "start"))
     # Only texts that are left are taken whole; their keys are written first, so that Spark knows their size.
     texts = staged(left.select("text_key").distinct())
     own = index.join(texts, "text_key", "left_semi").select("text_key", "postings").dropDuplicates(["text_key"])
@@ -136,25 +140,33 @@ def matches(index: DataFrame, wanted: DataFrame, slop: int = 2, share: float = 0
     each = left.join(places.select("window", "term", "place"), "window").join(own, ["text_key", "term"])
     counted = each.groupBy("text_key", "window", "length", "start").agg(
         F.sum(F.array_contains("positions", F.col("start") + F.col("place")).cast("int")).alias("exactly"), F.sum(close("place").cast("int")).alias("closely")
-    )
+    ).where(F.col("closely") >= need)
     exact = F.col("exactly") == F.col("length")
-    return counted.select(
-        "text_key", "window", "start", "length", exact.alias("exact"), (exact | (F.col("closely") >= F.ceil(F.lit(share) * F.col("length")))).alias("near")
-    ).where("near")
+    beside = F.max("exact").over(W.partitionBy("text_key", "window").orderBy("start").rangeBetween(-slop, slop))
+    found = counted.withColumn("exact", exact).withColumn("_beside", beside).where(F.col("exact") | ~F.col("_beside"))
+    return found.select("text_key", "window", "start", "length", "exact", F.lit(True).alias("near"))
+
 
+def contamination(docs: DataFrame, items: DataFrame, size: int = 10, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text", near: bool = False) -> DataFrame:
+    """One row per input row: the carried columns, ``n_words``, ``n_hit`` (words inside exact matches), ``items`` (sorted).
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 10, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """One row per input row: the carried columns, ``n_words``, ``n_hit`` (words inside exact matches), ``items`` (sorted)."""
+    With ``near`` also ``n_near`` (windows that have an exact or near match) and ``near_items`` (their items, sorted).
+    """
     wanted = staged(windows(items, size))
     index = staged(postings(docs, wanted.select(F.explode("terms").alias("term")), carry, text_col))
-    found = staged(matches(index, wanted).where("exact"))
+    every = staged(matches(index, wanted) if near else matches(index, wanted, slop=0, share=1.0))
+    found = every.where("exact")
     spans = found.select("text_key", "start", (F.col("start") + F.col("length")).alias("stop")).distinct()
     before = F.max("stop").over(W.partitionBy("text_key").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1))
     fresh = spans.select("text_key", (F.col("stop") - F.greatest("start", F.coalesce(before, F.lit(0)))).alias("fresh"))
     hits = fresh.groupBy("text_key").agg(F.sum(F.greatest("fresh", F.lit(0))).cast("bigint").alias("n_hit"))
     named = found.select("text_key", "window").distinct().join(wanted.select("window", "item"), "window")
     named = named.groupBy("text_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return (
-        index.drop("postings").join(hits.join(named, "text_key"), "text_key", "left").drop("text_key")
-        .withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("bigint"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    )
+    none = F.array().cast("array<string>")
+    out = index.drop("postings").join(hits.join(named, "text_key"), "text_key", "left")
+    out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("bigint"))).withColumn("items", F.coalesce("items", none))
+    if near:
+        close = every.select("text_key", "window").distinct().join(wanted.select("window", "item"), "window")
+        close = close.groupBy("text_key").agg(F.count_distinct("window").alias("n_near"), F.array_sort(F.collect_set("item")).alias("near_items"))
+        out = out.join(close, "text_key", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("bigint"))).withColumn("near_items", F.coalesce("near_items", none))
+    return out.drop("text_key")

@@ -38,6 +38,16 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op5_decontaminate``, whose twin knows exact matches only, and those of near matches."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=True)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near", F.size("near_items").cast("bigint").alias("n_near_items"), F.sha2(F.array_join("near_items", ","), 256).alias("near_items_sha256"),
+    )
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 7, 2))
     model = langmodel.train(docs, ~F.col("held_out"))
@@ -86,7 +96,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_jaccard_join, op4_suffix_dedup, op5_decontaminate, op6_lm_score, op7_topk_search, op8_bpe, op9_line_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_jaccard_join, op4_suffix_dedup, op5_decontaminate, op5_decontaminate_near, op6_lm_score, op7_topk_search, op8_bpe, op9_line_dedup, op10_quality)}
 
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -249,6 +249,41 @@ def test_near_matches(spark):
     assert got[1] and not got[2] and 4 not in got and set(got) <= {1, 2, 3, 5}
 
 
+def test_near_matches_equal_brute_force(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    items = [item, "one two two one", "solo", "red red blue red green red blue grey red pink black"]
+    rng = np.random.default_rng(5)
+    texts = [item, item.replace("gamma", "gamma so"), item.replace("gamma ", ""), "alpha kappa", item.replace("delta", "x"), "gamma delta " * 9]
+    for _ in range(60):
+        w = " ".join(rng.choice(items, 2)).split()
+        for _ in range(int(rng.integers(0, 5))):
+            k = int(rng.integers(0, len(w)))
+            w[k : k + 1] = [[], ["x"], [w[k], "so"], [w[0]]][int(rng.integers(0, 4))]
+        texts.append(" ".join(w))
+    rows = docs(spark, list(enumerate(texts)))
+    wanted = decontaminate.windows(spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string"))
+    terms = {r.window: [t % 2**64 for t in r.terms] for r in wanted.collect()}
+    index = decontaminate.postings(rows, wanted.select(F.explode("terms").alias("term")))
+    ids = {r.text_key: texts[r.doc_id] for r in index.collect()}
+    for slop, share in ((2, 0.8), (0, 1.0), (1, 0.5)):
+        want = set()
+        for text in set(texts):
+            at = {}
+            for k, x in enumerate(text.split()):
+                at.setdefault(int(words.word_hash(x.encode())), []).append(k)
+            for window, ts in terms.items():
+                near = lambda s, d: sum(any(abs(x - s - p) <= d for x in at.get(t, [])) for p, t in enumerate(ts))
+                span = range(-len(ts) - slop, len(text.split()) + slop + 1)
+                exact = {s for s in span if near(s, 0) == len(ts)}
+                want |= {(text, window, s, True) for s in exact}
+                want |= {(text, window, s, False) for s in span if near(s, slop) >= math.ceil(share * len(ts)) and not any(abs(s - e) <= slop for e in exact)}
+        got = [(ids[r.text_key], r.window, r.start, r.exact) for r in decontaminate.matches(index, wanted, slop, share).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    found = decontaminate.contamination(rows, spark.createDataFrame([(7, item)], "item_id bigint, text string"), near=True)
+    got = {r.doc_id: (r.n_hit, r.n_near, r.near_items) for r in found.where("doc_id < 6").collect()}
+    assert got == {0: (10, 1, ["7"]), 1: (0, 1, ["7"]), 2: (0, 1, ["7"]), 3: (0, 0, []), 4: (0, 1, ["7"]), 5: (0, 0, [])}
+
+
 # 6 language model
 
 
