@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmweave.llm import bm25, bpe, decontaminate, jaccard, langmodel, licenses, linededup, quality, suffixes, urlfilter
+from firmweave.llm import (
+    bm25, bpe, collocations, decontaminate, jaccard, langmodel, licenses, linededup, mixing, quality, spelling, suffixes, urlfilter,
+)
 from firmweave.llm.common import fold, lower_ascii, table
 
 
@@ -96,7 +98,28 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_jaccard_join, op4_suffix_dedup, op5_decontaminate, op5_decontaminate_near, op6_lm_score, op7_topk_search, op8_bpe, op9_line_dedup, op10_quality)}
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the repeating weights 5, 2, 1 of their sources."""
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two or three words of each language."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_url_filter, op3_jaccard_join, op4_suffix_dedup, op5_decontaminate, op5_decontaminate_near, op6_lm_score, op7_topk_search,
+        op8_bpe, op9_line_dedup, op10_quality, op11_mix_sources, op12_collocations, op13_spelling_variants,
+    )
+}
 
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -152,3 +175,22 @@ s AS (SELECT query_id, f.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) *
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 10
 """
+
+ORACLES["op12_collocations"] = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format('text')}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, m, list_value(ws[i], CASE WHEN m > 1 THEN ws[i + 1] END, CASE WHEN m > 2 THEN ws[i + 2] END)[1:m] AS g
+      FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, g, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, g, f AS a FROM f WHERE m > 1 AND f >= 10),
+k AS (SELECT c.*, k, x.f AS l, y.f AS r, (1000000 * a * a) // (x.f * y.f) AS score
+      FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:c.m]),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+d AS (SELECT lang, unnest([g[1:2], g[2:3]]) AS g, a FROM c WHERE m = 3),
+e AS (SELECT lang, g, max(a) AS longer FROM d GROUP BY ALL),
+s AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN e ON e.lang = b.lang AND e.g = b.g WHERE longer IS NULL OR 100 * longer < 50 * b.a),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM t JOIN n USING (lang) WHERE rank <= 2000
+"""
