@@ -128,8 +128,9 @@ def prepare_feed(feed: DataFrame, rule: FeedRule) -> DataFrame:
     return known.withColumns(cols).select("orgnr", "_ts", "feed_order", *cols)
 
 
-def _reduced(feeds: Mapping[str, DataFrame], rules: Mapping[str, FeedRule]) -> DataFrame:
-    """One row per key: per feed its newest marker (``_m_<feed>``) and first value (``_v_<feed>``), in one shuffle."""
+def observations(feeds: Mapping[str, DataFrame], rules: Mapping[str, FeedRule] = SIGNAL_FEEDS) -> tuple[DataFrame, list[Column]]:
+    """Feed rows side by side, and the aggregates that reduce them by ``orgnr``: per feed its newest marker
+    (``_m_<feed>``) and first value (``_v_<feed>``). Both only compare rows, so parts may be reduced in any order, also as a stream."""
     rows, aggs = None, []
     for name, feed in feeds.items():
         rule, ready = rules[name], prepare_feed(feed, rules[name])
@@ -141,13 +142,21 @@ def _reduced(feeds: Mapping[str, DataFrame], rules: Mapping[str, FeedRule]) -> D
             aggs.append(F.min_by(f"_v_{name}", f"_o_{name}").alias(f"_v_{name}"))
         own = ready.select("orgnr", *[v.alias(k) for k, v in cols.items()])
         rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
-    return rows.groupBy("orgnr").agg(*aggs)
+    return rows, aggs
 
 
 def _apply(
     master: DataFrame, feeds: Mapping[str, DataFrame], rules: Mapping[str, FeedRule]
 ) -> tuple[DataFrame, DataFrame]:
-    """All feeds into the master by one join, and one row per company and feed that changed it.
+    """Feeds reduced by key in one shuffle, then applied."""
+    rows, aggs = observations(feeds, rules)
+    return apply_reduced(master, rows.groupBy("orgnr").agg(*aggs), list(feeds), rules)
+
+
+def apply_reduced(
+    master: DataFrame, reduced: DataFrame, feeds: Sequence[str], rules: Mapping[str, FeedRule] = SIGNAL_FEEDS
+) -> tuple[DataFrame, DataFrame]:
+    """Reduced feeds into the master by one join, and one row per company and feed that changed it.
 
     Value and marker are two independent decisions. The feeds set different columns, so their order does not matter.
     """
@@ -168,7 +177,7 @@ def _apply(
         if rule.value:
             decided[filled] = is_blank(rule.value_target) & F.col(f"_v_{name}").isNotNull()
             changes[rule.value_target] = F.when(F.col(filled), F.col(f"_v_{name}")).otherwise(F.col(rule.value_target))
-    step = master.join(_reduced(feeds, rules), "orgnr", "left").withColumns(decided)
+    step = master.join(reduced, "orgnr", "left").withColumns(decided)
     marks = F.array(*[
         F.struct(F.lit(n).alias("feed"), F.col(f"_filled_{n}").alias("_filled"), F.col(f"_newer_{n}").alias("_newer")) for n in feeds
     ])

@@ -11,7 +11,7 @@ from firmweave.plans.adapters import NOW, adapter, ctes, sql
 from firmweave.plans.finance_queries import KEYS as YEAR_KEYS, keyed
 from firmweave.session import shared_dir
 from firmweave.sources import feeds, filings, register, snapshots
-from firmweave.streaming.feed_stream import incremental_feed_apply
+from firmweave.streaming import feed_stream
 
 # Inputs in SQL that Spark and DuckDB both run.
 _KEY = "cast(5500000000 + c_custkey AS string)"
@@ -96,6 +96,15 @@ SELECT event_id AS feed_order, cast(5500000000 + user_id AS string) AS orgnr, CA
   CASE WHEN event_id % 5 = 0 THEN concat('https://j', cast(event_id AS string)) ELSE 'https://x' END AS external_url,
   '' AS err_reason, cast(ts AS string) AS checked_at
 FROM events WHERE event_type IN ('purchase', 'error', 'click')""",
+    "feed_line_of_work": """
+SELECT event_id AS feed_order, cast(5500000000 + user_id AS string) AS orgnr, CASE WHEN event_id % 7 = 0 THEN ' ' ELSE event_type END AS final_label,
+  concat('raw ', event_type) AS w_raw, (event_id % 4) * 0.25 AS final_conf, CASE WHEN event_id % 4 > 2 THEN 'HIGH' ELSE 'LOW' END AS final_bucket,
+  'web' AS source, cast(ts AS string) AS checked_at
+FROM events WHERE event_type <> 'signup'""",
+    "feed_segments": """
+SELECT event_id AS feed_order, cast(5500000000 + user_id AS string) AS orgnr, concat('segment_', cast(event_id % 9 AS string)) AS segment_groups_after,
+  cast(ts AS string) AS checked_at
+FROM events WHERE event_id % 3 <> 1""",
 }
 WIDE = """
 SELECT orgnr, name, website, website_status, website_checked_at, emails, email_status,
@@ -106,6 +115,11 @@ SELECT orgnr, name, website, website_status, website_checked_at, emails, email_s
   'unknown' AS hiring_status, cast(NULL AS string) AS hiring_what_text, cast(NULL AS int) AS hiring_count,
   cast(NULL AS string) AS hiring_err_reason, cast(NULL AS string) AS hiring_external_urls, cast(NULL AS timestamp) AS hiring_checked_at
 FROM companies"""
+WIDEST = WIDE.replace("\nFROM companies", """,
+  cast(NULL AS timestamp) AS line_of_work_updated_at, line_of_work, cast(NULL AS string) AS line_of_work_raw, cast(NULL AS double) AS line_of_work_conf,
+  cast(NULL AS string) AS line_of_work_bucket, cast(NULL AS string) AS line_of_work_source, 'office' AS segment_groups,
+  TIMESTAMP '2024-01-10 00:00:00' AS segment_groups_checked_at
+FROM companies""")
 
 
 def _in(spark, sf_dir, name):
@@ -293,6 +307,50 @@ def signal_feeds_counters(spark, sf_dir):
     return _apply_all(spark, sf_dir)[1]
 
 
+KINDS = ("website", "email", "tech", "site_review", "hiring", "line_of_work", "segments")
+ALL_TIMES = (*TIMES, "line_of_work_updated_at", "segment_groups_checked_at")
+
+
+def _feed_lines(spark, sf_dir, kind):
+    """A feed as the lines its writers leave behind, with torn lines, doubled ones and text behind the object among them."""
+    rows = _in(spark, sf_dir, f"feed_{kind}")
+    if kind == "site_review":
+        rows = rows.withColumn("site_flags", F.array(F.lit("no_https"), F.concat(F.lit("low_"), F.col("site_score"))))
+    if kind == "hiring":
+        rows = rows.withColumn("external_job_urls", F.array("external_url")).drop("external_url")
+    good = F.to_json(F.struct(*[c for c in rows.columns if c != "feed_order"]))
+    o = F.col("feed_order")
+    value = F.when(o % 23 == 0, F.concat(good, good)).when(o % 29 == 0, F.concat(good, F.lit(" trailing"))).when(
+        o % 31 == 0, F.left(good, F.length(good) - 1)).when(o % 37 == 0, F.concat(good, F.lit(",{}"))).otherwise(good)
+    return rows.select("feed_order", value.alias("value"))
+
+
+def _feed_portions(spark, sf_dir):
+    """The seven feeds as files in three portions; yields their folder as each portion is there."""
+    root, lines = _run_dir(spark, "feeds"), {k: _feed_lines(spark, sf_dir, k) for k in KINDS}
+    for portion in range(3):
+        for kind, df in lines.items():
+            _write_lines(df.where(F.col("feed_order") % 3 == portion), f"{root}/{kind}/portion_{portion}", files=2)
+        yield root
+
+
+def feeds_end_to_end(spark, sf_dir):
+    """Seven feeds from their files to the master."""
+    *_, root = _feed_portions(spark, sf_dir)
+    read = {k: feeds.feed_scan(spark, [f"{root}/{k}/*/part-*"], k)[0] for k in KINDS}
+    master = sql(spark, sf_dir, WIDEST, companies=_companies(spark, sf_dir))
+    return merge.signal_feeds_apply(master, read)[0].withColumns(_text_time(*ALL_TIMES))
+
+
+def incremental_feed_state(spark, sf_dir):
+    """The same feeds as they arrive in three portions, the stream restarted after each; state by company, master joined when read."""
+    checkpoint, changes = _run_dir(spark, "checkpoint"), snapshots.TableSnapshots(spark, _run_dir(spark, "changes"))
+    for root in _feed_portions(spark, sf_dir):
+        feed_stream.feed_state(spark, {k: f"{root}/{k}/*" for k in KINDS}, changes, checkpoint).awaitTermination()
+    master = sql(spark, sf_dir, WIDEST, companies=_companies(spark, sf_dir))
+    return feed_stream.current_master(master, changes, list(KINDS)).withColumns(_text_time(*ALL_TIMES))
+
+
 def _register_master(spark, sf_dir):
     return sql(spark, sf_dir, REGISTER_MASTER)
 
@@ -440,7 +498,7 @@ def incremental_feed_apply(spark, sf_dir):
     lines = _website_lines(spark, sf_dir)
     for portion in range(3):
         _write_lines(lines.where(F.col("feed_order") % 3 == portion), path)
-        run(spark, path, store, checkpoint, "website").awaitTermination()
+        feed_stream.incremental_feed_apply(spark, path, store, checkpoint, "website").awaitTermination()
     return store.read().withColumns(_text_time("website_checked_at"))
 
 
@@ -453,7 +511,7 @@ QUERIES = {
         fill_if_blank_merge, newest_wins_merge, signal_feeds_apply, signal_feeds_counters, register_upsert,
         insert_if_absent, keyed_upsert, checks_unpivot, change_log_diff, enrichment_merge, enrichment_run_stats,
         refresh_due, due_queue_topk, scheduled_queue_topk, stable_hash_shard, resume_anti_join, next_check_schedule,
-        incremental_feed_apply,
+        incremental_feed_apply, feeds_end_to_end, incremental_feed_state,
     )
 }
 
@@ -496,7 +554,8 @@ def _marker(rule: str, feed: str, status: str, target_ts: str) -> str:
   FROM (SELECT *, TRY_CAST(checked_at AS TIMESTAMP) AS ts FROM {feed}) WHERE ts IS NOT NULL) WHERE rn = 1)"""
 
 
-_FEEDS_SQL = f"""{_CO}, wide AS ({WIDE}), {_in_sql('feed_website', 'feed_email', 'feed_tech', 'feed_site_review', 'feed_hiring')},
+def _feeds_sql(wide: str, inputs: str) -> str:
+    return f"""{_CO}, wide AS ({wide}), {inputs},
 fw AS (SELECT feed_order, trim(orgnr) AS orgnr, coalesce(lower({_nb('status')}), 'checked') AS status, {_nb('found_website')} AS val, checked_at FROM feed_website),
 fe AS (SELECT feed_order, orgnr, lower(status) AS status, {_nb('emails')} AS val, checked_at FROM feed_email),
 wv AS (SELECT orgnr, arg_min(val, feed_order) AS val FROM fw WHERE val IS NOT NULL GROUP BY 1),
@@ -516,6 +575,14 @@ j AS (SELECT wide.*, coalesce(trim(wide.website), '') = '' AND wv.val IS NOT NUL
   LEFT JOIN t_m USING (orgnr) LEFT JOIN r_m USING (orgnr) LEFT JOIN h_m USING (orgnr))"""
 
 
+_FEEDS_SQL = _feeds_sql(WIDE, _in_sql(*(f"feed_{k}" for k in KINDS[:5])))
+# As written: three portions, each in order, without the lines that hold no single object.
+_WRITTEN_SQL = ", ".join(
+    f"feed_{k} AS (SELECT * REPLACE (feed_order % 3 * 1000000000 + feed_order AS feed_order) FROM ({INPUTS[f'feed_{k}']}) "
+    "WHERE feed_order % 23 <> 0 AND feed_order % 29 <> 0 AND feed_order % 31 <> 0 AND feed_order % 37 <> 0)" for k in KINDS
+)
+
+
 def _if(flag: str, new: str, old: str) -> str:
     return f"CASE WHEN {flag} THEN {new} ELSE {old} END AS {old}"
 
@@ -528,6 +595,18 @@ _MERGED_SQL = ", ".join(
     + [f"{_ts(f'CASE WHEN {f}n THEN {f}ts ELSE {c} END')} AS {c}" for f, c in zip("wetrh", TIMES)]
 )
 
+_ALL_FEEDS_SQL = f"""WITH {_feeds_sql(WIDEST, _WRITTEN_SQL)},
+{_marker('l', 'feed_line_of_work', _nb('final_label') + ' AS l1, w_raw AS l2, final_conf AS l3, final_bucket AS l4, source AS l5', '')}, {_marker('s', 'feed_segments', 'segment_groups_after AS s1', '')},
+f AS (SELECT j.*, l_m.ts IS NOT NULL AS ln, l_m.ts AS lts, l1, l2, l3, l4, l5, s_m.ts IS NOT NULL AND s_m.ts > segment_groups_checked_at AS sn, s_m.ts AS sts, s1
+  FROM j LEFT JOIN l_m USING (orgnr) LEFT JOIN s_m USING (orgnr))
+SELECT """ + ", ".join(
+    [_MERGED_SQL.replace("THEN '[\"no_https\"]' END", "THEN '[\"no_https\",\"low_' || r1 || '\"]' END")]
+    + [_if("ln", f"l{i}", c) for i, c in enumerate(["line_of_work", "line_of_work_raw", "line_of_work_conf", "line_of_work_bucket", "line_of_work_source"], 1)]
+    + [_if("sn", "s1", "segment_groups")]
+    + [f"{_ts(f'CASE WHEN {f}n THEN {f}ts ELSE {c} END')} AS {c}" for f, c in zip("ls", ALL_TIMES[5:])]
+) + " FROM f"
+
+
 def _shard_sql(n: int) -> str:
     """The 128-bit digest modulo n, digit by digit."""
     out = "0"
@@ -586,6 +665,8 @@ SELECT orgnr, CASE WHEN n THEN status ELSE website_status END AS website_status,
         f"SELECT '{n}' AS feed, count(*) FILTER ({v}) AS applied_value, count(*) FILTER ({m}) AS applied_marker FROM j HAVING count(*) FILTER ({v} OR {m}) > 0"
         for n, v, m in (("website", "wf", "wn"), ("email", "ef", "en"), ("tech", "false", "tn"), ("site_review", "false", "rn"), ("hiring", "false", "hn"))
     ),
+    "feeds_end_to_end": _ALL_FEEDS_SQL,
+    "incremental_feed_state": _ALL_FEEDS_SQL,
     "register_upsert": f"""WITH {_in_sql('bulk')}, {_STANDARD}, s AS (SELECT * FROM std), m AS ({REGISTER_MASTER}), r AS ({REGISTER_ROWS}),
 a AS (SELECT orgnr, arg_min(name, row_order) FILTER (name IS NOT NULL) AS n, arg_min(postort, row_order) FILTER (postort IS NOT NULL) AS p,
   arg_min(registration_date, row_order) FILTER (registration_date IS NOT NULL) AS d, arg_min(legal_form, row_order) FILTER (legal_form IS NOT NULL) AS f,

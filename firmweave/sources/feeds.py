@@ -12,9 +12,6 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from firmweave.functions.text import blank_to_null, full_strip
 from firmweave.sources import schemas
 
-# Any object that lacks all declared fields is empty as far as the feed is concerned.
-_EMPTY_OBJECT = r"^\{\s*\}$"
-
 
 def list_files(spark: SparkSession, patterns: Sequence[str]) -> list[list[str]]:
     """Per pattern its files (names only); a file two patterns match belongs to the first."""
@@ -51,22 +48,34 @@ def feed_lines(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def json_line(text: Column) -> Column:
+    """The VARIANT of a line that is exactly one JSON value, else NULL.
+
+    The parser stops behind the first value, so the line is parsed as the first element of an array whose second
+    is the line's own digest: whatever follows the value, or ends the array early, puts the digest out of its place.
+    """
+    mark = F.md5(text.cast("binary"))
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    return F.when(F.try_variant_get(pair, "$[1]", "string") == mark, F.try_variant_get(pair, "$[0]", "variant"))
+
+
 def parse_lines(lines: DataFrame, schema: str, needs_time: bool) -> DataFrame:
-    """Blank lines dropped, the rest parsed; ``reject`` is NULL, ``error`` or ``skipped``."""
+    """Blank lines dropped, the rest parsed; ``reject`` is NULL, ``error`` or ``skipped``.
+
+    A line must hold one JSON object that isn't empty: a torn one, two in one line, text behind it, a number that is none (NaN) make it an
+    error. Of a repeated name the last value counts. A value of another type costs its field only.
+    """
+    # Read when an expression is made; the parser would refuse repeated names otherwise.
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = full_strip("value")
-    # Every field is read as text first, so that a value of another type costs its field only, not the line.
     wanted = StructType.fromDDL(schema)
-    loose = StructType([StructField(f.name, StringType()) for f in wanted] + [StructField("_bad", StringType())])
-    parsed = F.from_json(text, loose, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    step = lines.where(text != "").withColumn("_line", text).withColumn("_r", parsed)
-    not_object = F.col("_r").isNull() | F.col("_r._bad").isNotNull() | ~F.col("_line").startswith("{")
-    no_key = blank_to_null(F.col("_r.orgnr")).isNull()
-    no_time = blank_to_null(F.col("_r.checked_at")).isNull() if needs_time else F.lit(False)
-    reject = (
-        F.when(not_object | F.col("_line").rlike(_EMPTY_OBJECT), "error")
-        .when(no_key | no_time, "skipped")
-    )
-    names = [c for c in step.columns if c not in ("_r", "_line", "value")]
+    step = lines.where(text != "").withColumn("_line", text).withColumn("_r", json_line(F.col("_line")))
+    step = step.withColumn("_type", F.schema_of_variant("_r"))
+    not_object = ~F.coalesce(F.startswith("_type", F.lit("OBJECT<")) & (F.col("_type") != "OBJECT<>"), F.lit(False))
+    no_key = blank_to_null(_typed(wanted["orgnr"])).isNull()
+    no_time = blank_to_null(_typed(wanted["checked_at"])).isNull() if needs_time else F.lit(False)
+    reject = F.when(not_object, "error").when(no_key | no_time, "skipped")
+    names = [c for c in step.columns if c not in ("_r", "_line", "_type", "value")]
     order = [c for c in ("pattern_rank", "file_path", "block_start", "line_no") if c in step.columns]
     return step.withColumn("reject", reject).select(
         *names, F.struct(*order).alias("feed_order"), "reject", "_line", *(_typed(f).alias(f.name) for f in wanted)
@@ -74,15 +83,12 @@ def parse_lines(lines: DataFrame, schema: str, needs_time: bool) -> DataFrame:
 
 
 def _typed(field: StructField) -> Column:
-    """A field read as text in the type of the schema; NULL where the text doesn't fit."""
-    text = F.col(f"_r.{field.name}")
+    """A field in the type of the schema; NULL where its value doesn't fit. Text fields take lists and numbers in their JSON form."""
+    get = lambda kind: F.try_variant_get("_r", f"$.{field.name}", kind)
     kind = field.dataType
-    if isinstance(kind, StringType):
-        return text
-    if isinstance(kind, ArrayType):
-        return F.when(F.startswith(text, F.lit("[")), F.from_json(text, kind))
-    number = text.try_cast("double")
-    return number if kind.simpleString() == "double" else F.coalesce(text.try_cast(kind), number.try_cast(kind))
+    if isinstance(kind, (StringType, ArrayType)):
+        return get(kind.simpleString())
+    return F.coalesce(get(kind.simpleString()), get("double").try_cast(kind)) if kind.simpleString() != "double" else get("double")
 
 
 def feed_scan(spark: SparkSession, patterns: Sequence[str], kind: str) -> tuple[DataFrame, DataFrame]:

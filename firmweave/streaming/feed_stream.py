@@ -1,12 +1,21 @@
-"""Feeds applied as they arrive, with the same rules as the batch merge."""
+"""Feeds applied as they arrive, with the same rules as the batch merge.
+
+``feed_state`` keeps what the feeds say about each company in Spark's state store: a micro-batch reads and writes the companies it
+names and no others, and the master is joined when it is read (``current_master``). ``incremental_feed_apply`` writes a whole new master
+for every micro-batch, for masters small enough for that.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Mapping
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from firmweave.operators.merge import SIGNAL_FEEDS, FeedRule, apply_feed
+from firmweave.operators.merge import SIGNAL_FEEDS, FeedRule, apply_feed, apply_reduced, observations
 from firmweave.sources import schemas
 from firmweave.sources.feeds import parse_lines
 from firmweave.sources.snapshots import TableSnapshots
@@ -50,3 +59,73 @@ def incremental_feed_apply(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def _line_numbers():
+    """The worker function, made here so that it travels whole and workers need no package."""
+
+    def numbered(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            numbers = []
+            for place in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                numbers.append(seen[place])
+                seen[place] += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=["value", "file_path", "block_start", "line_no"])
+
+    return numbered
+
+
+def feed_state(
+    spark: SparkSession,
+    feed_paths: Mapping[str, str],
+    changes: TableSnapshots,
+    checkpoint: str,
+    rules: Mapping[str, FeedRule] = SIGNAL_FEEDS,
+    max_files_per_trigger: int | None = None,
+) -> StreamingQuery:
+    """Fold new feed files (kind -> path) into one state row per company; each micro-batch's changed rows become a version of ``changes``.
+
+    A company's row has the newest marker and the first value of each feed over all files so far, in the order of file path and line, so
+    it is that of one batch over the same files, however they came. Rows of companies that a batch doesn't name are neither
+    read nor written. A batch that is run again after a failure finds its version written or replaces what was left of it.
+    """
+    feeds = {}
+    for kind, path in feed_paths.items():
+        reader = spark.readStream.format("text")
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+        lines = reader.load(path).select(
+            "value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start")
+        )
+        # A stream has no line numbers; a task reads its part of a file in order.
+        lines = lines.mapInArrow(_line_numbers(), "value string, file_path string, block_start bigint, line_no bigint")
+        feeds[kind] = parse_lines(lines, schemas.FEEDS[kind], kind in schemas.NEEDS_TIME).where(F.col("reject").isNull())
+    rows, aggs = observations(feeds, rules)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        if not changes.has(batch_id):
+            changes.write(batch, batch_id)
+
+    return (
+        rows.groupBy("orgnr").agg(*aggs).writeStream.outputMode("update").foreachBatch(keep)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def latest_changes(changes: TableSnapshots) -> DataFrame | None:
+    """The newest state row of each company, from the committed versions; None when there is none yet."""
+    paths = [f"{changes.path}/v={v}" for v in changes.versions()]
+    if not paths:
+        return None
+    rows = changes.spark.read.option("basePath", changes.path).parquet(*paths)
+    held = [c for c in rows.columns if c not in ("orgnr", "v")]
+    return rows.groupBy("orgnr").agg(F.max_by(F.struct(*held), "v").alias("_s")).select("orgnr", "_s.*")
+
+
+def current_master(
+    master: DataFrame, changes: TableSnapshots, kinds: list[str], rules: Mapping[str, FeedRule] = SIGNAL_FEEDS
+) -> DataFrame:
+    """The master with all that the state says, by the batch merge's rules. ``kinds`` are those of the stream."""
+    state = latest_changes(changes)
+    return master if state is None else apply_reduced(master, state, kinds, rules)[0]
