@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,14 +21,43 @@ ENTITIES = (
 )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _lower_ascii(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def without(text: Column, pattern: str, closing: str, by: str = " ", any_case: bool = False) -> Column:
+    """Replace the matches of a pattern that runs from an opening to the next ``closing``, in one pass whatever the text.
+
+    Behind the last ``closing`` nothing can match, so that part isn't searched: in the rest every opening finds its end, and
+    no place is read twice. The result is that of replacing in the whole text.
+    """
+    def cut(t: Column) -> Column:
+        behind = F.length(F.substring_index(_lower_ascii(t) if any_case else t, closing, -1))
+        return F.concat(F.regexp_replace(F.left(t, F.length(t) - behind), pattern, by), F.right(t, behind))
+
+    return bound(text, cut)
+
+
+def without_comments(text: Column, by: str = " ") -> Column:
+    return without(text, "(?s)<!--.*?-->", "-->", by)
+
+
+def without_markup(text: Column, comments: bool = True, any_case: bool = False) -> Column:
+    """Scripts, styles, (comments) and tags become one space each. Unclosed ones stay."""
+    flags = "(?is)" if any_case else "(?s)"
+    for name in ("script", "style"):
+        text = without(text, f"{flags}<{name}.*?</{name}>", f"</{name}>", any_case=any_case)
+    return without(without_comments(text) if comments else text, "<[^>]+>", ">")
+
+
 def visible_text(lower_html: Column, comments: bool = True) -> Column:
     """Lower-case HTML without scripts, styles, (comments) and tags; white space squeezed."""
-    patterns = [r"(?s)<script.*?</script>", r"(?s)<style.*?</style>"]
-    patterns += [r"(?s)<!--.*?-->"] if comments else []
-    out = lower_html
-    for p in [*patterns, r"<[^>]+>"]:
-        out = F.regexp_replace(out, p, " ")
-    return squeeze(out)
+    return squeeze(without_markup(lower_html, comments))
 
 
 def word_count(text: Column) -> Column:

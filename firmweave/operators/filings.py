@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmweave.functions import fixed_values as fv
-from firmweave.functions.html import unescape
+from firmweave.functions.html import unescape, without_comments
 from firmweave.functions.text import SPACES, digits_only, full_strip
 from firmweave.session import lookup_join, staged
 
@@ -34,7 +34,7 @@ def _attribute(tag: Column, name: str) -> Column:
 def _with_tags(filings: DataFrame) -> DataFrame:
     """Adds the fact tags in document order (_tags), the text around them (_parts, one more), names and depth steps."""
     doc = F.col("xhtml")
-    bare = F.when(doc.contains("<!--"), F.regexp_replace(doc, "(?s)<!--.*?-->", "")).otherwise(doc)
+    bare = F.when(doc.contains("<!--"), without_comments(doc, "")).otherwise(doc)
     step = filings.withColumn("_doc", bare).withColumns(
         {"_tags": F.regexp_extract_all("_doc", F.lit(_TAG), F.lit(0)), "_parts": F.split("_doc", _TAG, -1)}
     )

@@ -143,12 +143,19 @@ def _first_matches(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def mail_links(html: Column) -> Column:
+    """Addresses of mail links in order.
+
+    A start without such a link takes all up to the next ">" with it: no later start in there could find one.
+    """
+    links = _first_matches(html, r"""(?is)<a\s(?:[^>]*?href\s*=\s*("\s*mailto:[^"]*"|'\s*mailto:[^']*')|[^>]*+)""")
+    return F.transform(F.filter(links, lambda a: a != ""), lambda a: F.regexp_extract(a, r"""(?is)mailto:([^"'?]*)""", 1))
+
+
 def address_sources(df: DataFrame) -> DataFrame:
     """Adds ``_sources``: the raw addresses of each page in order of trust."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    text = html
-    for p in (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?s)<!--.*?-->", r"<[^>]+>"):
-        text = F.regexp_replace(text, p, " ")
+    text = H.without_markup(html, any_case=True)
     names = "|".join(fv.ADDRESS_ATTRIBUTES)
     attributes = _first_matches(html, rf"""(?is)\s(?:{names})\s*=\s*("[^"]*"|'[^']*')""")
     # Decoded once each, as columns of their own.
@@ -163,10 +170,9 @@ def address_sources(df: DataFrame) -> DataFrame:
         _first_matches(html, r"""data-cfemail=['"]([0-9a-fA-F]+)['"]"""),
         _first_matches(html, r"/cdn-cgi/l/email-protection#([0-9a-fA-F]+)"),
     )
-    anchors = _first_matches(html, r"""(?is)<a\s[^>]*?href\s*=\s*(?:"\s*mailto:[^"]*"|'\s*mailto:[^']*')""", 0)
     sources = F.concat(
         F.transform(masked, _unmask),
-        F.transform(anchors, lambda a: F.regexp_extract(a, r"""(?is)mailto:([^"'?]*)""", 1)),
+        mail_links(html),
         F.flatten(F.transform("_attributes", _addresses)),
         _addresses(F.col("_text")),
         _addresses(F.col("_decoded")),

@@ -1,5 +1,11 @@
+import random
+import re
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
+from firmweave.functions import html as H
 from firmweave.operators import pages as pg
 
 
@@ -142,3 +148,43 @@ def test_probe_pick(spark):
     p = spark.createDataFrame([(k + ".se", *v) for k, v in answers.items()], "domain string, ok boolean, parked boolean, err string")
     got = {r.orgnr: tuple(r)[1:] for r in pg.probe_result_pick(c, p).collect()}
     assert got == {"a": ("https://a1.se", "found", ""), "b": ("", "parked", "other"), "d": ("", "not_found", "429"), "e": ("https://e1.se", "found", "")}
+
+
+# Broken pages: linear in their length, with the result of the plain patterns.
+
+
+def test_markup_is_removed_as_plain_patterns_do(spark):
+    rng = random.Random(7)
+    bits = ["<", ">", "<script", "</script>", "<style>", "</style>", "<!--", "-->", "<!-->", "a", " ", "<b x='>'>", "<>", "é", "<SCRIPT>", "</Script>", "\n", "İ"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", H.without_markup(F.col("t")).alias("a"), H.without_markup(F.col("t"), False).alias("b"), H.without_markup(F.col("t"), any_case=True).alias("c")).collect()
+    for r in got:
+        for found, comments, flags in ((r.a, True, re.S), (r.b, False, re.S), (r.c, True, re.S | re.I)):
+            want = r.t
+            for p in ("<script.*?</script>", "<style.*?</style>"):
+                want = re.sub(p, " ", want, flags=flags | re.A)
+            want = re.sub("<!--.*?-->", " ", want, flags=re.S) if comments else want
+            assert found == re.sub("<[^>]+>", " ", want), r.t
+
+
+def test_mail_links_are_found_as_before(spark):
+    rng = random.Random(8)
+    bits = ["<a ", "<A\n", "href=", "HREF =", '"mailto:x@y.se"', "' mailto:b@c.se?s=1'", '"', "'", ">", "class=", "<a", " ", "mailto:q@r.se"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 16))) for _ in range(1500)]
+    pages_of = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "html string, page_order int")
+    plain = re.compile(r"""<a\s[^>]*?href\s*=\s*("\s*mailto:[^"]*"|'\s*mailto:[^']*')""", re.I | re.S)
+    got = {r.page_order: r.found for r in pages_of.select("page_order", pg.mail_links(F.col("html")).alias("found")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [re.search(r"""mailto:([^"'?]*)""", m[1], re.I)[1] for m in plain.finditer(t)], t
+
+
+@pytest.mark.parametrize("piece", ["<", "<script", "<!--", "<style ", "<a ", "<a href=", "<!-->", "<script></script", "x@", "&#1"])
+def test_a_broken_page_of_a_megabyte_takes_seconds(spark, piece):
+    html = piece * (1_000_000 // len(piece))
+    page = spark.createDataFrame([("s", 1, "https://s.se/", html, "")], "site_key string, page_order int, url string, html string, fetch_error string")
+    start = time.time()
+    assert pg.page_text_extract(page).count() == 1
+    pg.page_text_extract(page).select(F.length("text")).collect()
+    pg.address_sources(page).select(F.size("_sources")).collect()
+    assert time.time() - start < 40
