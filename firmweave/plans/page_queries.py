@@ -33,6 +33,13 @@ DICTIONARY = (
     classify.Category("short", "Sho", ("ti", "on", "ou")),
     classify.Category("accent", "Acc", ("é", "ü", "ó", "ñ", "ß")),
 )
+# A dictionary table of 28 categories: passages of the texts themselves, of 1 to 12 letters; some are in two categories.
+KEYWORDS = """
+SELECT DISTINCT cast(c % 28 AS int) AS position, concat('category_', cast(c % 28 AS string)) AS label, concat('Category ', cast(c % 28 AS string)) AS raw, keyword
+FROM (SELECT doc_id AS c, substring(lower(text), cast(1 + doc_id % 50 AS int), cast(5 + doc_id % 8 AS int)) AS keyword FROM documents
+  UNION ALL SELECT doc_id + 1, substring(lower(text), cast(1 + doc_id % 50 AS int), cast(5 + doc_id % 8 AS int)) FROM documents WHERE doc_id % 9 = 0
+  UNION ALL SELECT doc_id, substring(lower(text), 30, cast(1 + doc_id % 3 AS int)) FROM documents WHERE doc_id % 40 = 0) k
+WHERE keyword <> ''"""
 SECTORS = {"english": "it_sector", "french": "construction_sector", "german": "finance_sector", "spanish": "retail_sector"}
 TEXTS = """
 SELECT doc_id, lower(text) AS text, CASE doc_id % 6 WHEN 0 THEN 'Byggentreprenad' WHEN 1 THEN '__NO_SNI__' WHEN 2 THEN 'IT-drift' WHEN 3 THEN '' WHEN 4 THEN 'Handel' END AS register_text
@@ -103,6 +110,11 @@ def industry_text_classify(spark, sf_dir):
     return _classified(spark, sf_dir).select("doc_id", "w_label", "w_raw", F.round("w_conf", 6).alias("w_conf"))
 
 
+def industry_dictionary_classify(spark, sf_dir):
+    out = classify.industry_dictionary_classify(sql(spark, sf_dir, TEXTS), sql(spark, sf_dir, KEYWORDS))
+    return out.select("doc_id", "w_label", "w_raw", F.round("w_conf", 6).alias("w_conf"))
+
+
 def industry_label_reconcile(spark, sf_dir):
     out = classify.industry_label_reconcile(_classified(spark, sf_dir), sectors=SECTORS)
     return out.select("doc_id", "final_label", "final_conf", "source", "w_bucket", "final_bucket", "conflict")
@@ -195,7 +207,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_text_extract, link_extract, contact_extract, site_quality_score, parked_site_flag, tech_signal, hiring_signal,
-        industry_text_classify, industry_label_reconcile, segment_assign, role_category_tag, domain_candidates, probe_result_pick,
+        industry_text_classify, industry_dictionary_classify, industry_label_reconcile, segment_assign, role_category_tag, domain_candidates, probe_result_pick,
         filing_fact_extract, filing_validate, filing_validate_counts,
     )
 }
@@ -355,6 +367,12 @@ SELECT h.site_key, h.err AS err_reason, CASE WHEN h.err <> '' THEN 'unknown' WHE
   CASE WHEN h.err <> '' THEN -1 WHEN d.url IS NOT NULL THEN d.n WHEN x.ext IS NOT NULL THEN -1 ELSE 0 END::INTEGER AS hiring_count, CASE WHEN h.err <> '' THEN '' WHEN d.url IS NOT NULL THEN d.url ELSE coalesce(x.one, '') END AS evidence_url, coalesce(x.ext, '') AS external_job_urls
 FROM h LEFT JOIN d USING (site_key) LEFT JOIN x USING (site_key) LEFT JOIN tm USING (site_key) WHERE h.err <> 'timeout' AND (h.err <> '' OR tm.late IS NULL OR coalesce(d.at < tm.late, false))""",
     "industry_text_classify": f"WITH {_CLASSIFY} SELECT doc_id, w_label, w_raw, round(w_conf, 6) AS w_conf FROM cl",
+    "industry_dictionary_classify": f"""WITH t AS ({TEXTS}), k AS ({KEYWORDS}),
+s AS (SELECT doc_id, text, position, label, raw, count(*) AS n FROM t JOIN k ON contains(text, keyword) WHERE length(text) >= 200 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(n) OVER w, 0) AS second FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY n DESC, position))
+SELECT t.doc_id, coalesce(label, '') AS w_label, coalesce(raw, '') AS w_raw,
+  CASE WHEN n > 0 THEN round(least(1.0, 0.35 + 0.15 * n::DOUBLE + 0.10 * (n::DOUBLE / (second + 0.5))), 6) WHEN length(coalesce(t.text, '')) >= 200 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS w_conf
+FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND rn = 1""",
     "industry_label_reconcile": f"""WITH {_CLASSIFY}, k AS (SELECT *, lower(trim(coalesce(register_text, ''))) AS t FROM cl), m AS (SELECT *, t NOT IN ('', '__no_sni__', 'okänd', '""') AS known, coalesce({_SECTOR_CASE} = {_KEYWORD_CASE}, false) AS same FROM k),
 f AS (SELECT *, CASE WHEN w_label = '' THEN CASE WHEN known THEN 0.30 ELSE 0.10 END WHEN w_conf >= 0.80 THEN w_conf WHEN w_conf >= 0.50 AND known THEN CASE WHEN same THEN w_conf ELSE 0.35 END WHEN w_conf < 0.50 AND known THEN 0.25 ELSE w_conf END::DOUBLE AS fc,
   CASE WHEN w_label = '' THEN 'sni' WHEN w_conf >= 0.80 THEN 'website' WHEN w_conf >= 0.50 AND known THEN CASE WHEN same THEN 'blend' ELSE 'sni' END WHEN w_conf < 0.50 AND known THEN 'sni' ELSE 'website' END AS source FROM m)
