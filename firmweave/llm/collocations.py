@@ -334,6 +334,23 @@ def without_parts(scored: DataFrame, phrases: DataFrame, share: int) -> DataFram
     return scored.join(inside, "ids", "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a"))).drop("longer")
 
 
+SALTS = 64
+
+
+def first_of(rows: DataFrame, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each language with their ``rank``: first of each of many parts of a language, then of those."""
+    part = rows.withColumn("_part", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "lang"]), F.lit(SALTS)))
+    some = part.withColumn("_place", F.row_number().over(W.partitionBy("lang", "_part").orderBy(*order))).where(F.col("_place") <= n).drop("_part", "_place")
+    return some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("bigint")).where(F.col("rank") <= n)
+
+
+def lowest_ranked(scored: DataFrame, n: int) -> DataFrame:
+    """``lang``, ``cut``: the (score, a) at which a language has its first ``n`` phrases, ties counted; of fewer phrases the lowest."""
+    kinds = first_of(scored.groupBy("lang", "score", "a").agg(F.count("*").alias("times")), [F.desc("score"), F.desc("a")], n)
+    before = F.sum("times").over(W.partitionBy("lang").orderBy("rank")) - F.col("times")
+    return kinds.withColumn("_before", before).where(F.col("_before") < n).groupBy("lang").agg(F.min(F.struct("score", "a")).alias("cut"))
+
+
 def mine(
     docs: DataFrame, max_words: int = 3, least: int = 10, share: int = 50, first: int = 2000, lang_col: str = "lang", text_col: str = "text", budget: int = BUDGET
 ) -> DataFrame:
@@ -341,10 +358,10 @@ def mine(
     phrases, dictionary, languages = phrase_counts(docs, max_words, least, lang_col, text_col, budget)
     kept = without_parts(lowest_cut(phrases), phrases, share)
     placed = kept.join(dictionary.select(F.col("id").alias("_first"), "lang"), F.col("ids")[0] == F.col("_first")).drop("_first")
+    placed = staged(placed)
     # Ties stay until their phrases are known.
-    some = staged(placed.withColumn("place", F.rank().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("place") <= first).drop("place"))
+    some = staged(placed.join(lowest_ranked(placed, first), "lang").where(F.struct("score", "a") >= F.col("cut")).drop("cut"))
     spelled = some.select("ids", F.posexplode("ids").alias("at", "id")).join(dictionary.select("id", "word"), "id")
     spelled = spelled.groupBy("ids").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = some.join(spelled, "ids").withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= first)
+    ranked = first_of(some.join(spelled, "ids"), [F.desc("score"), F.desc("a"), "phrase"], first)
     return ranked.join(languages, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
