@@ -1,8 +1,9 @@
 """Exact byte-pair encoding by backtracking, and decoding by an offset table.
 
-Per word, an Aho-Corasick automaton finds every vocabulary token at every place in one pass. The encoder takes the
-longest token at each place, checks it against its left neighbour in a table of compatible pairs, and steps back when
-nothing fits; no place is visited again after it failed, so the time is linear in the word. Two neighbours are
+Per word, an Aho-Corasick automaton finds the longest vocabulary token at each place. The encoder takes it, checks it
+against its left neighbour in a table of compatible pairs, goes on to the token's next shorter prefixes, and steps back when
+nothing fits; no place is visited again after it failed, so the time is linear in the word. Different words of a task
+are encoded once; texts are gathered from them by index. Two neighbours are
 compatible if replaying the merges never joins pieces across their border before those pieces were used up.
 The result is what merging the lowest rank first gives.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from firmweave.llm.common import prepare
 
 END = "\n"  # stands for the end-of-word suffix; no byte-level symbol is a line break
-CACHED_WORDS, CACHED_PAIRS, LONG = 150_000, 150_000, 64
+CACHED_WORDS, CACHED_PAIRS, LONG = 300_000, 300_000, 64  # words a task keeps, pairs a worker keeps
 # Fixed value: white space of the pattern language that the vocabulary's file uses.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -55,103 +57,154 @@ class Encoder:
         self.pattern = regex.compile(pattern.replace(r"\s", SPACE))
         self.symbols = byte_symbols()
         vocab = model["vocab"]
-        self.rank = dict.fromkeys(vocab.values(), -1)
-        self.left, self.right, self.joined = {}, {}, {}
+        most = max(vocab.values()) + 1
+        self.rank: list[float] = [-1] * most
+        self.left, self.right = [-1] * most, [-1] * most
+        self.joined: dict[int, int] = {}  # rank of the merge of a pair, by left * 2^32 + right
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             made = vocab[a + b]
             self.left[made], self.right[made], self.rank[made] = vocab[a], vocab[b], rank
-            self.joined[vocab[a], vocab[b]] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.size = {}
+            self.joined[vocab[a] << 32 | vocab[b]] = rank
+        self.pairs: dict[int, bool] = {}
+        self.size, self.shorter = [0] * most, [-1] * most
         self.automaton = ahocorasick.Automaton()
-        reachable = {i: True for i, r in self.rank.items() if r < 0}
-        for made in sorted(self.left, key=self.rank.get):
+        reachable = {i: self.rank[i] < 0 for i in vocab.values()}
+        for made in sorted((i for i in vocab.values() if self.rank[i] >= 0), key=self.rank.__getitem__):
             a, b = self.left[made], self.right[made]
             reachable[made] = reachable[a] and reachable[b] and self._replay(a, b, self.rank[made])
+        own: dict[str, int] = {}
         for text, i in vocab.items():
             if reachable[i]:
-                own = text.removesuffix(suffix) + END if text.endswith(suffix) and text != suffix else text
-                self.size[i] = len(own)
-                self.automaton.add_word(own, i)
+                own[text.removesuffix(suffix) + END if text.endswith(suffix) and text != suffix else text] = i
+        for text, i in own.items():
+            self.size[i] = len(text)
+            self.shorter[i] = next((own[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in own), -1)
+            self.automaton.add_word(text, i)
         self.automaton.make_automaton()
 
     def _replay(self, a: int, b: int, limit: float) -> bool:
         """Do the merges ranked below ``limit`` leave the border between two tokens alone?"""
+        ranks, joined = self.rank, self.joined
         while True:
-            rank = self.joined.get((a, b))
+            rank = joined.get(a << 32 | b)
             if rank is not None and rank < limit:
                 return False
-            if self.rank[a] > self.rank[b]:
-                limit, a = min(limit, self.rank[a]), self.right[a]
-            elif self.rank[b] >= 0:  # at equal rank, the pair further left goes first
-                limit, b = min(limit, self.rank[b] + 1), self.left[b]
+            of_a, of_b = ranks[a], ranks[b]
+            if of_a > of_b:
+                limit, a = min(limit, of_a), self.right[a]
+            elif of_b >= 0:  # at equal rank, the pair further left goes first
+                limit, b = min(limit, of_b + 1), self.left[b]
             else:
                 return True
 
     def compatible(self, a: int, b: int) -> bool:
-        found = self.pairs.get((a, b))
+        found = self.pairs.get(a << 32 | b)
         if found is None:
             if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self._replay(a, b, float("inf"))
+            found = self.pairs[a << 32 | b] = self._replay(a, b, float("inf"))
         return found
 
     def encode_symbols(self, text: str) -> tuple[int, ...]:
         """Tokens of one word in byte-level symbols with its end mark."""
-        at: list[list[int]] = [[] for _ in text]
-        for end, i in self.automaton.iter(text):
-            at[end + 1 - self.size[i]].append(i)
+        size, shorter, known = self.size, self.shorter, self.pairs
         out: list[int] = []
-        tried: list[int] = []  # number of tokens left to try at the place of each token in out
         failed: set[int] = set()
-        pos, left = 0, len(at[0])
-        while pos < len(text):
-            while left:
-                left -= 1  # ends ascend in at[pos], so the last is the longest
-                i = at[pos][left]
-                if pos + self.size[i] not in failed and (not out or self.compatible(out[-1], i)):
-                    out.append(i)
-                    tried.append(left)
-                    pos += self.size[i]
-                    left = len(at[pos]) if pos < len(text) else 0
-                    break
+        pos, walk = 0, self.automaton.iter_long(text)  # the longest token at a place, and at its end the next
+        token = next(walk, (0, -1))[1]
+        while True:
+            longest, last = token, out[-1] if out else -1
+            while token >= 0:
+                if pos + size[token] not in failed:
+                    if last < 0:
+                        break
+                    fits = known.get(last << 32 | token)
+                    if fits or (fits is None and self.compatible(last, token)):
+                        break
+                token = shorter[token]  # the next longest token at this place
+            if token >= 0:
+                out.append(token)
+                pos += size[token]
+                if pos == len(text):
+                    return tuple(out)
+                if token != longest or walk is None:
+                    walk = self.automaton.iter_long(text, pos)
+                end, token = next(walk, (0, -1))
+                if token >= 0 and end + 1 - size[token] != pos:
+                    token = -1
             else:
                 failed.add(pos)
                 if not out:
                     raise ValueError("the vocabulary has no token for some symbol")
-                pos -= self.size[out.pop()]
-                left = tried.pop()
-        return tuple(out)
-
-    def word(self, word: str) -> tuple[int, ...]:
-        found = self.words.get(word)
-        if found is None:
-            found = self.encode_symbols("".join(map(self.symbols.__getitem__, word.encode())) + END)
-            if len(word) <= LONG:
-                if len(self.words) >= CACHED_WORDS:
-                    self.words.clear()
-                self.words[word] = found
-        return found
-
-    def forget(self) -> None:
-        """Give back what was kept for a task: its worker goes on to other work."""
-        self.words.clear()
-        self.pairs.clear()
+                token = out.pop()
+                pos -= size[token]
+                token, walk = shorter[token], None
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def split(self, text: str) -> list[str | int]:
+        """The words of a text, and the ids of special tokens written out in it."""
+        out: list[str | int] = []
         for part in self.split_special.split(text) if self.split_special else [text]:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
                 # Lower case is taken character by character, so a sigma never takes its final form.
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                for word in self.pattern.findall(part):
-                    out.extend(self.word(word))
+                out += self.pattern.findall(part)
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return [i for word in self.split(text) for i in self.ids_of(word)]
+
+    def ids_of(self, word: str | int) -> tuple[int, ...]:
+        return (word,) if isinstance(word, int) else self.encode_symbols("".join(map(self.symbols.__getitem__, word.encode())) + END)
+
+
+class Words:
+    """Different words of a task with their ids, each encoded once; texts are places in it, gathered by index."""
+
+    def __init__(self, own: Encoder) -> None:
+        self.own = own
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str | int, int] = {}
+        self.ids, self.ends = array("i"), array("q", [0])
+
+    def add(self, word: str | int) -> int:
+        self.ids.extend(self.own.ids_of(word))
+        self.ends.append(len(self.ids))
+        return len(self.ends) - 2
+
+    def places(self, text: str) -> list[int]:
+        words = self.own.split(text)
+        out = list(map(self.place.get, words))
+        if None in out:
+            for i, word in enumerate(words):
+                if out[i] is None:
+                    out[i] = self.place[word] if word in self.place else self.add(word)
+                    if isinstance(word, int) or len(word) <= LONG:
+                        self.place[word] = out[i]
         return out
 
+    def encode(self, texts: pa.Array) -> pa.Array:
+        places, counts = array("q"), array("q")
+        for t in texts:
+            found = self.places(t.as_py() or "")
+            places.extend(found)
+            counts.append(len(found))
+        at = np.frombuffer(places, dtype=np.int64) if places else np.zeros(0, dtype=np.int64)
+        ends = np.array(self.ends, dtype=np.int64)
+        size = ends[at + 1] - ends[at]
+        last = np.cumsum(size)
+        total = int(last[-1]) if len(last) else 0
+        take = np.arange(total) + np.repeat(ends[at] - (last - size), size)
+        flat = np.array(self.ids, dtype=np.int32)[take]
+        bounds = np.concatenate([[0], last])[np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64))])]
+        if len(self.place) > CACHED_WORDS or len(self.ids) > 8 * CACHED_WORDS:
+            self.clear()
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
+
 
 _ENCODERS: dict[str, Encoder] = {}
 _TABLES: dict[str, pa.Array] = {}
@@ -177,10 +230,6 @@ def _fields(schema) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema)
 
 
-def _encoded(own: Encoder, texts: pa.Array) -> pa.Array:
-    return pa.array((own.encode(t.as_py() or "") for t in texts), pa.list_(pa.int32()), size=len(texts))
-
-
 def _decoded(table: pa.Array, ids: pa.Array) -> pa.Array:
     flat = ids.flatten().to_numpy(zero_copy_only=False)
     known = (flat >= 0) & (flat < len(table))
@@ -198,11 +247,11 @@ def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), tex
 
     def work(batches):
         own, table = encoder(path), token_table(path) if decoded else None
+        words = Words(own)
         for batch in batches:
-            ids = _encoded(own, batch.column(0))
+            ids = words.encode(batch.column(0))
             found = {"ids": ids} | ({"decoded": _decoded(table, ids)} if decoded else {})
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *found.values()], names=[*kept.names, *found])
-        own.forget()
 
     return rows.mapInArrow(work, f"{_fields(kept)}ids array<int>{', decoded string' if decoded else ''}")
 
