@@ -17,7 +17,11 @@ Before that, positions that cannot repeat are left out without loss: a string of
 and the least of them is the same wherever the string stands; where it occurs once in the corpus, so does the string.
 Of equal texts, one is sorted and all go whole. Every step counts over all texts; blocks of counts, not texts, move.
 
-Edge cases: null texts are empty ones; shorter texts stay; nothing crosses the end of a text; repeated rows are copies.
+Starts that may repeat are found once and go along with the texts as runs.
+
+Edge cases: null texts are empty ones; shorter texts stay; nothing crosses the end of a text; repeated rows are copies; a text of any
+length is cut whole, one at a time; an empty table gives no rows; only id and text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +94,25 @@ def starts_of(data: np.ndarray, offsets: np.ndarray, repeated: arrays.Sorted) ->
     return np.flatnonzero((values[place] == least) & (least > 0)), name
 
 
+def runs_of(start: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
+    """Each row's starts as runs (first, number), counted from the row's own first byte; None for no starts."""
+    row = np.searchsorted(offsets, start, side="right") - 1
+    first = np.flatnonzero(np.concatenate([[True], (start[1:] != start[:-1] + 1) | (row[1:] != row[:-1])])) if len(start) else np.zeros(0, dtype=np.int64)
+    runs = np.stack([start[first] - offsets[row[first]], np.diff(np.append(first, len(start)))], axis=1)
+    bound = np.searchsorted(row[first], np.arange(len(offsets)))
+    return [runs[a:b].tobytes() if b > a else None for a, b in zip(bound[:-1], bound[1:])]
+
+
+def starts_from(runs: list[bytes | None], offsets: np.ndarray) -> np.ndarray:
+    """The inverse of ``runs_of``."""
+    own = [np.frombuffer(r or b"", dtype=np.int64).reshape(-1, 2) for r in runs]
+    if not own:
+        return np.zeros(0, dtype=np.int64)
+    first = np.concatenate([r[:, 0] + o for r, o in zip(own, offsets)])
+    size = np.concatenate([r[:, 1] for r in own])
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def long_names(name: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Names of 198 bytes."""
     return mix(_join(name[at], name[at + 81], name[at + 117]))
@@ -113,12 +137,13 @@ def _bits(df: DataFrame) -> int:
 
 
 def _count(df: DataFrame, keys_in, name: str, bits: int) -> arrays.Sorted:
-    """Sorted array of the keys that occur at least twice over all texts of ``df``'s first column."""
+    """Sorted array of the keys that occur at least twice over all texts of ``df``'s first column; a second one has the runs of starts."""
     def work(batches):
         sums = arrays.Sums(bits, 1)
         for batch in batches:
-            for _, data, offsets in text_slices(batch.column(0)):
-                keys = keys_in(data, offsets)
+            runs = batch.column(1).to_pylist() if batch.num_columns > 1 else []
+            for first, data, offsets in text_slices(batch.column(0)):
+                keys = keys_in(data, offsets, starts_from(runs[first : first + len(offsets) - 1], offsets))
                 yield from sums.add(keys, [np.ones(len(keys), dtype=np.int64)])
         yield from sums.rest()
 
@@ -135,16 +160,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(text.alias("text"), F.xxhash64(text).alias("text_key"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("place"))
     id_type = rows.schema["id"].dataType.simpleString()
 
-    copies = rows.where(F.octet_length("text") >= LENGTH).groupBy("text_key").agg(F.count("*").alias("n"), F.min("place").alias("place")).where("n > 1")
+    copies = staged(rows.where(F.octet_length("text") >= LENGTH).groupBy("text_key").agg(F.count("*").alias("n"), F.min("place").alias("place")).where("n > 1"))
+    copy_bits = arrays.bits_for(copies.count())
 
     def to_blocks(batches):
-        sums = arrays.Sums(0, 1)
+        sums = arrays.Sums(copy_bits, 1)
         for batch in batches:
             yield from sums.add(mix(batch.column(0).to_numpy().view(np.uint64)), [batch.column(1).to_numpy()])
         yield from sums.rest()
 
     copied, _ = arrays.build(
-        copies.select("text_key", "place").mapInArrow(to_blocks, arrays.BLOCKS), 0, arrays.shared_uri(spark, "suffix-copies"), ("<u8", "<i8"), lambda k, v: []
+        copies.select("text_key", "place").mapInArrow(to_blocks, arrays.BLOCKS), copy_bits, arrays.shared_uri(spark, "suffix-copies"), ("<u8", "<i8"), lambda k, v: []
     )
 
     def roles(batch) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +182,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(roles(batch)[1]))], names=["text"])
 
-    def pick(data, offsets):
+    def pick(data, offsets, _):
         name = names(data)
         return mix(name[least_names(name, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)))[1]])
 
@@ -167,35 +193,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             copy, sort = roles(batch)
             state = np.where(copy, np.where(sort, 2, 3), 0)
-            for first, data, offsets in text_slices(batch.column(0)):
-                start, _ = starts_of(data, offsets, repeated)
-                inside = np.unique(np.searchsorted(offsets, start, side="right") - 1) + first
-                state[inside[state[inside] == 0]] = 1
-            size = np.array([len(t.encode()) for t in batch.column(0).to_pylist()], dtype=np.int64)
-            sha = [hashlib.sha256(b"" if s > 1 else t.encode()).hexdigest() for s, t in zip(state, batch.column(0).to_pylist())]
-            needed = pa.array([t if s in (1, 2) else None for s, t in zip(state, batch.column(0).to_pylist())], pa.string())
+            runs: list[bytes | None] = []
+            for _, data, offsets in text_slices(batch.column(0)):
+                runs += runs_of(starts_of(data, offsets, repeated)[0], offsets)
+            state[(state == 0) & np.array([r is not None for r in runs], dtype=bool)] = 1
+            size = pc.binary_length(batch.column(0)).to_numpy().astype(np.int64)
+            sha = [b"" if s > 1 else None if s == 1 else t for s, t in zip(state, batch.column(0).cast(pa.binary()).to_pylist())]
+            sha = [None if t is None else hashlib.sha256(t).hexdigest() for t in sha]
+            needed = pc.if_else(pa.array((state == 1) | (state == 2)), batch.column(0), None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(2), pa.array(size), pa.array(np.where(state > 1, size, 0)), pa.array((state > 1).astype(np.int64)), pa.array(sha), pa.array(state), needed],
-                names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "state", "text"],
+                [batch.column(2), pa.array(size), pa.array(np.where(state > 1, size, 0)), pa.array((state > 1).astype(np.int64)), pa.array(sha, pa.string()), pa.array(state),
+                 needed, pa.array([r if s in (1, 2) else None for s, r in zip(state, runs)], pa.binary())],
+                names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "state", "text", "runs"],
             )
 
     result = f"id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    divided = staged(rows.mapInArrow(divide, f"{result}, state bigint, text string"))
+    divided = staged(rows.mapInArrow(divide, f"{result}, state bigint, text string, runs binary"))
     # Whole rows are few or many, so they are dealt evenly.
-    sorted_rows = staged(divided.where("state in (1, 2)").select("text", "id", "n_bytes", "state").repartition(max(rows.rdd.getNumPartitions(), 2)))
-    texts, bits = sorted_rows.select("text"), _bits(rows)
+    sorted_rows = staged(divided.where("state in (1, 2)").select("text", "runs", "id", "n_bytes", "state").repartition(max(rows.rdd.getNumPartitions(), 2)))
+    texts, bits = sorted_rows.select("text", "runs"), _bits(rows)
 
-    def sample(data, offsets):
-        start, name = starts_of(data, offsets, repeated)
+    def sample(data, offsets, start):
         if not len(start):
             return np.zeros(0, dtype=np.uint64)
+        name = names(data)
         residue = (start - offsets[np.searchsorted(offsets, start, side="right") - 1]) % 3
         return long_names(name, np.unique(np.concatenate([start[residue == r] + s for r in range(3) for s in SHIFTS[r]])))
 
     sampled = _count(texts, sample, "suffix-sample", bits)
 
-    def merge(data, offsets):
-        start, name = starts_of(data, offsets, repeated)
+    def merge(data, offsets, start):
+        name = names(data) if len(start) else start
         found = [key[sampled.find(long_name)[0] >= 0] for _, long_name, key in keys_of(data, offsets, start, name)] if len(start) else []
         return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
@@ -204,8 +232,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batches):
         for batch in batches:
             n_removed, n_spans, sha, kept = [], [], [], []
-            for _, data, offsets in text_slices(batch.column(0)):
-                start, name = starts_of(data, offsets, repeated)
+            runs = batch.column(1).to_pylist()
+            for first, data, offsets in text_slices(batch.column(0)):
+                start = starts_from(runs[first : first + len(offsets) - 1], offsets)
+                name = names(data) if len(start) else start
                 again = np.zeros(len(start), dtype=bool)
                 if len(start):
                     for own, _, key in keys_of(data, offsets, start, name):
@@ -222,11 +252,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     sha.append(hashlib.sha256(kept[-1]).hexdigest())
             if sha:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1), batch.column(2), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha), pa.array(kept, pa.binary())],
+                    [batch.column(2), batch.column(3), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha), pa.array(kept, pa.binary())],
                     names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
                 )
 
     done = divided.where("state <> 1").withColumn("kept", F.when(F.col("state") > 1, F.lit(b"")))
     columns = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    own = sorted_rows.where("state = 1").select("text", "id", "n_bytes").mapInArrow(cut, f"{result}, kept binary")
+    own = sorted_rows.where("state = 1").select("text", "runs", "id", "n_bytes").mapInArrow(cut, f"{result}, kept binary")
     return done.select(*columns).unionByName(own.select(*columns)).withColumnRenamed("id", id_col)
