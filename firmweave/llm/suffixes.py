@@ -20,7 +20,7 @@ Of equal texts, one is sorted and all go whole. Every step counts over all texts
 Starts that may repeat are found once and go along with the texts as runs.
 
 Edge cases: null texts are empty ones; shorter texts stay; nothing crosses the end of a text; repeated rows are copies; a text of any
-length is cut whole, one at a time; an empty table gives no rows; only id and text are read, so other
+length is cut whole, one at a time; NUL bytes are bytes like others; an empty table gives no rows; only id and text are read, so other
 columns may have any name.
 """
 
@@ -53,7 +53,7 @@ def _join(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def names(data: np.ndarray) -> np.ndarray:
     """Names of 81 bytes of all positions that have them."""
-    n = data.astype(np.uint64)
+    n = data.astype(np.uint64) + np.uint64(1)  # no byte is 0, so no name of NUL bytes is either: 0 says that another text begins
     for step in (1, 3, 9, 27):
         if len(n) <= 2 * step:
             return n[:0]

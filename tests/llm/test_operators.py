@@ -416,3 +416,15 @@ def test_quality_features_and_held_out_accuracy(spark, hard, empty):
     untrained = quality.train(empty, labels)
     assert {r.quality_score for r in quality.score(hard, untrained).collect()} == {0.5}
     assert quality.score(empty, model).count() == 0
+
+
+def test_repeats_of_nul_bytes_and_of_long_texts_equal_brute_force(spark):
+    """Runs of NUL bytes, hard texts, and texts that are cut into several slices."""
+    rng = np.random.default_rng(21)
+    letters = "".join(rng.choice(list("abcdefgh"), 150))
+    long = "".join(rng.choice(list("abcdefghij "), 700_000))
+    rows = [(100, "\0" * 90 + letters), (101, "x" + "\0" * 90 + letters + "y"), (102, "\0" * 500), (103, "a" + "\0" * 150 + "b"), (104, long + letters * 2 + long[:300]), (105, long[400:900] + "é" * 300), *HARD]
+    want = brute_repeats(rows)
+    found = suffixes.remove_repeats(docs(spark, rows).repartition(3)).collect()
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found)
+    assert got == want
