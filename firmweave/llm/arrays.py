@@ -84,16 +84,16 @@ def sum_by_key(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray,
 class Sums:
     """Sums by key that a task passes on as blocks: one row for each file's range of keys."""
 
-    def __init__(self, bits: int, values: int) -> None:
-        self.bits, self.n, self.held = bits, values, 0
+    def __init__(self, bits: int, values: int, pending: int = PENDING) -> None:
+        self.bits, self.n, self.held, self.pending = bits, values, 0, pending
         self.parts: list[tuple[np.ndarray, list[np.ndarray]]] = []
 
     def add(self, keys: np.ndarray, values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         self.parts.append(sum_by_key(keys, values))
         self.held += len(self.parts[-1][0])
-        if self.held > PENDING:
+        if self.held > self.pending:
             keys, values = self.merged()
-            if len(keys) > PENDING // 2:
+            if len(keys) > self.pending // 2:
                 yield from self.blocks(keys, values)
             else:
                 self.parts, self.held = [(keys, values)], len(keys)

@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmweave.llm import arrays
-from firmweave.llm.common import prepare
+from firmweave.llm.common import give_back, prepare
 from firmweave.llm.graph import components
 from firmweave.llm.words import NOT_SPACE, chain, mix, words
 from firmweave.session import staged
 
 CHUNK = 256  # members of a group that one side of a task holds
 TOKENS_PER_PARTITION = 4_000_000
+HELD, PENDING = 200_000, 600_000  # tokens of sets a worker holds at once, and counts before it passes them on
 
 
 def shingle_sets(column: pa.Array, size: int):
@@ -48,6 +49,20 @@ def shingle_sets(column: pa.Array, size: int):
                 yield h[:0]
 
 
+def held_sets(column: pa.Array, size: int):
+    """First row and sets of consecutive rows, as many at a time as a worker should hold."""
+    first, row, sets, held = 0, 0, [], 0
+    for s in shingle_sets(column, size):
+        sets.append(s)
+        held += len(s)
+        row += 1
+        if held > HELD:
+            yield first, sets
+            first, sets, held = row, [], 0
+    if sets:
+        yield first, sets
+
+
 def class_key(tokens: np.ndarray) -> np.int64:
     """64-bit name of a set."""
     with np.errstate(over="ignore"):
@@ -120,7 +135,7 @@ def cluster(
     mask, bits = np.uint64(((1 << count_bits) - 1) << (64 - count_bits)), arrays.bits_for(tokens)
 
     def sketch(batches):
-        sums = arrays.Sums(bits, 1)
+        sums = arrays.Sums(bits, 1, PENDING)
 
         def blocks(found):
             for b in found:
@@ -130,19 +145,19 @@ def cluster(
         names, own_type = ["id", "text_key", "n", "key"], None
         for batch in batches:
             own_type = batch.schema.types[2]
-            sets = list(shingle_sets(batch.column(0), shingle))
-            if sets:
+            for first, sets in held_sets(batch.column(0), shingle):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(2), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(class_key(s)) for s in sets], pa.int64()),
+                    [*(batch.column(c).slice(first, len(sets)) for c in (2, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(class_key(s)) for s in sets], pa.int64()),
                      pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.list_(pa.binary()))],
                     names=[*names, "shard", "blob"],
                 )
                 keys = np.concatenate(sets) & mask
-                for part in range(0, len(keys), arrays.PENDING):
-                    some = keys[part : part + arrays.PENDING]
+                for part in range(0, len(keys), PENDING):
+                    some = keys[part : part + PENDING]
                     yield from blocks(sums.add(some, [np.ones(len(some), dtype=np.int64)]))
         if own_type is not None:
             yield from blocks(sums.rest())
+        give_back()
 
     both = staged(rows.mapInArrow(sketch, f"id {id_type}, text_key bigint, n bigint, key bigint, {arrays.BLOCKS}"))
     sketched = both.where("shard is null").select("id", "text_key", "n", "key")
@@ -153,13 +168,13 @@ def cluster(
 
     def pick(batches):
         for batch in batches:
-            sets = list(shingle_sets(batch.column(0), shingle))
-            if sets:
+            for _, sets in held_sets(batch.column(0), shingle):
                 found = np.maximum(uses.find(np.concatenate(sets) & mask, (1,))[1][0], 1)
                 ends = np.cumsum([len(s) for s in sets])
                 few = [rarest(s, found[e - len(s) : e], num, den) for s, e in zip(sets, ends)]
                 keys = np.repeat(np.array([class_key(s) for s in sets]), [len(f) for f in few])
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(few).view(np.int64))], names=["key", "token"])
+        give_back()
 
     grouped = staged(groups(staged(rows.select("text").mapInArrow(pick, "key bigint, token bigint"))))
 
@@ -184,11 +199,11 @@ def cluster(
             text_key = batch.column(1).to_numpy()
             here = np.flatnonzero(wanted.find(mix(text_key.view(np.uint64)))[0] >= 0)
             new = [int(i) for i in here if not (text_key[i] in seen or seen.add(text_key[i]))]
-            found = list(shingle_sets(batch.column(0).take(pa.array(new, pa.int64())), shingle)) if new else []
-            if found:
+            for _, found in held_sets(batch.column(0).take(pa.array(new, pa.int64())), shingle):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(class_key(s)) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["key", "tokens"]
                 )
+        give_back()
 
     sets = rows.select("text", "text_key").mapInArrow(read_sets, "key bigint, tokens binary").dropDuplicates(["key"])
     chunks = grouped.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))

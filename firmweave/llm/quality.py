@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmweave.llm.common import prepare
+from firmweave.llm.common import give_back, prepare
 from firmweave.llm.words import NOT_SPACE, chain, hash_spans, spans, text_slices
 
 FEATURES = (
@@ -180,6 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, max_row
         for batch in batches:
             x = features(batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["id", "y", "x"])
+        give_back()
 
     found = texts.select("text", F.col("_id").cast("string").alias("id"), "_y").mapInArrow(work, "id string, y double, x array<double>")
     found = found.orderBy(F.xxhash64("id"), "id", F.xxhash64("x")).limit(max_rows).toArrow()
@@ -190,15 +191,18 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, max_row
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per input row: the carried columns, ``quality_score`` and ``quality_label`` (1: at or above the threshold)."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), *carry)
-    kept = rows.drop("_text").schema
+    # A text that is carried goes to the workers once.
+    rows = docs.select(F.col(text_col).cast("string").alias("_text"), *[c for c in carry if c != text_col])
+    kept = docs.select(*[F.col(c).cast("string") if c == text_col else F.col(c) for c in carry]).toDF(*carry).schema
+    places = [0 if c == text_col else rows.columns.index(c) for c in carry]
 
     def work(batches):
         for batch in batches:
             p = model.score(features(batch.column(0)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(p), pa.array(p >= threshold).cast(pa.int32())], names=[*kept.names, "quality_score", "quality_label"]
+                [*(batch.column(i) for i in places), pa.array(p), pa.array(p >= threshold).cast(pa.int32())], names=[*kept.names, "quality_score", "quality_label"]
             )
+        give_back()
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
     return rows.mapInArrow(work, f"{fields}quality_score double, quality_label int")
