@@ -25,8 +25,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops the documents that the classifier rejects."""
     docs = docs.select(*COLUMNS)
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~fold("doc_id", 5, 0))
-    scored = quality.score(docs.withColumn("_whole", F.struct(*COLUMNS)), model, carry=("_whole",))
-    return scored.where("quality_label = 1").select("_whole.*")
+    return quality.score(docs, model, carry=tuple(COLUMNS)).where("quality_label = 1").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
