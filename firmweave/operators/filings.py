@@ -1,7 +1,7 @@
 """Annual-report documents: facts and validation.
 
 Tags are found by pattern and paired by depth, not by an XML parser: it tolerates broken markup, stays inside the
-JVM and reads each document whole. Comments do not count.
+JVM and reads each document whole. Comments do not count; CDATA is text.
 """
 
 from __future__ import annotations
@@ -31,11 +31,24 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
 
 
+def _plain_markup(doc: Column) -> Column:
+    """Documents without comments, and with CDATA sections as the escaped text they stand for. Whichever begins first counts."""
+    sections = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
+
+    def text_of(section: Column) -> Column:
+        inner = F.substring(section, F.lit(10), F.length(section) - 12)
+        for raw, named in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            inner = F.replace(inner, F.lit(raw), F.lit(named))
+        return F.when(section.startswith("<!--"), "").otherwise(inner)
+
+    texts = F.transform(F.regexp_extract_all(doc, F.lit(sections), F.lit(0)), text_of)
+    unwrapped = F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(doc, sections, -1).alias("a"), texts.alias("b")), lambda x: F.array(x["a"], F.coalesce(x["b"], F.lit(""))))), "")
+    return F.when(doc.contains("<![CDATA["), unwrapped).when(doc.contains("<!--"), without_comments(doc, "")).otherwise(doc)
+
+
 def _with_tags(filings: DataFrame) -> DataFrame:
     """Adds the fact tags in document order (_tags), the text around them (_parts, one more), names and depth steps."""
-    doc = F.col("xhtml")
-    bare = F.when(doc.contains("<!--"), without_comments(doc, "")).otherwise(doc)
-    step = filings.withColumn("_doc", bare).withColumns(
+    step = filings.withColumn("_doc", _plain_markup(F.col("xhtml"))).withColumns(
         {"_tags": F.regexp_extract_all("_doc", F.lit(_TAG), F.lit(0)), "_parts": F.split("_doc", _TAG, -1)}
     )
     named = lambda kind, t: F.concat(F.lit(f"{kind} "), _attribute(t, "name"))

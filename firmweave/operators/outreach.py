@@ -129,81 +129,88 @@ def sequence_advance(links: DataFrame, sent: DataFrame, now, min_hours: int = 24
     return links.join(last, key, "left").withColumns(changes).select(*links.columns)
 
 
-def outcome_fold(
-    leads: DataFrame, links: DataFrame, messages: DataFrame, events: DataFrame
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fold an event log (lead_id, campaign_id, message_id, type, reason, created_at, id) into the three tables.
+OUTCOME_KEYS = ["level", "key", "campaign_id"]
+
+
+def outcome_state(events: DataFrame) -> DataFrame:
+    """Events (lead_id, campaign_id, message_id, type, reason, created_at, id) reduced by lead, link and message.
 
-    Closed form of replaying the events by time: aggregates with map-side combine, no per-key replay.
+    A row (``level``, ``key``, ``campaign_id``) has the last word of its key, the first guarded reason, the last time of sending and the last error, each
+    with its moment. These only compare moments, so states of any parts of a log merge to that of the whole (``merge_outcomes``).
     """
-    order = F.struct("created_at", "id")
     kind = F.col("type")
+    moment = lambda name, value, on: F.when(on, F.struct("created_at", "id", value.alias("value"))).alias(name)
+    never = F.lit(None).cast("string")
+    stop = kind.isin("complaint", "manual_stop")
     contacted = (kind == "sent") & F.col("message_id").isNull()
-    lead_status = (
-        F.when(kind.isin("bounce", "complaint", "manual_stop"), "do_not_contact")
-        .when(contacted, "contacted")
-        .when(kind.isin("booked", "won"), kind)
-    )
-    by_lead = (
-        events.withColumns({"_st": lead_status, "_g": F.when(kind.isin("complaint", "manual_stop"), kind)})
-        .where(F.col("_st").isNotNull())
-        .groupBy("lead_id")
-        .agg(
-            F.max_by("_st", order).alias("_status"),
-            F.min(F.when(F.col("_g").isNotNull(), F.struct("created_at", "id", F.col("_g").alias("reason")))).alias("_guard"),
-        )
-    )
+    status = F.when(stop | (kind == "bounce"), "do_not_contact").when(contacted, "contacted").when(kind.isin("booked", "won"), kind)
+    over = F.when(kind == "bounce", "bounced").when(kind.isin("booked", "won"), kind)
+    word = F.when(kind == "sent", "sent").when(kind == "failed", "failed").when(kind == "bounce", "bounced")
+    no = F.lit(False)
+
+    def row(level: str, key: str, campaign: Column, last: Column, first: Column, on: Column, sent: Column, failed: Column) -> Column:
+        return F.when(F.col(key).isNotNull() & (last.isNotNull() | on), F.struct(
+            F.lit(level).alias("level"), F.col(key).cast("bigint").alias("key"), campaign.cast("int").alias("campaign_id"),
+            moment("last", last, last.isNotNull()), moment("first", first, on), F.when(sent, F.col("created_at")).alias("sent_at"), moment("error", F.col("reason"), failed),
+        ))
+
+    none = F.lit(None)
+    rows = F.array_compact(F.array(
+        row("lead", "lead_id", none, status, kind, stop, no, no),
+        row("link", "lead_id", F.col("campaign_id"), over, F.lit("replied"), kind == "reply", no, no),
+        row("message", "message_id", none, word, never, no, kind == "sent", word.isin("failed", "bounced")),
+    ))
+    return _reduced_outcomes(events.select(F.explode(rows).alias("r")).select("r.*"))
+
+
+def _reduced_outcomes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*OUTCOME_KEYS).agg(F.max("last").alias("last"), F.min("first").alias("first"), F.max("sent_at").alias("sent_at"), F.max("error").alias("error"))
+
+
+def merge_outcomes(state: DataFrame, new: DataFrame) -> DataFrame:
+    """The state of both logs."""
+    return _reduced_outcomes(state.unionByName(new))
+
+
+def changed_outcomes(state: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of the merged state that new events touch; others of the stored state are only filtered, not reduced."""
+    keys = new.select(*OUTCOME_KEYS)
+    same = F.col("k.level").eqNullSafe(F.col("s.level")) & (F.col("k.key") == F.col("s.key")) & F.col("k.campaign_id").eqNullSafe(F.col("s.campaign_id"))
+    return merge_outcomes(state.alias("s").join(keys.alias("k"), same, "left_semi"), new)
+
+
+def apply_outcomes(leads: DataFrame, links: DataFrame, messages: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables with what the state of the log says about their rows."""
+    of = lambda level, *cols: state.where(F.col("level") == level).select(*cols)
+    by_lead = of("lead", F.col("key").alias("lead_id"), F.col("last.value").alias("_status"), F.col("first").alias("_guard"))
     new_leads = (
         leads.join(by_lead.select(F.col("lead_id").alias("id"), "_status"), "id", "left")
-        .withColumn("status", F.coalesce("_status", "status"))
-        .select(*leads.columns)
-    )
-
-    strong = F.when(kind == "bounce", "bounced").when(kind.isin("booked", "won"), kind)
-    by_link = (
-        events.withColumn("_over", strong)
-        .where(F.col("_over").isNotNull() | (kind == "reply"))
-        .groupBy("lead_id", "campaign_id")
-        .agg(
-            F.max_by("_over", F.when(F.col("_over").isNotNull(), order)).alias("_over"),
-            F.min(F.when(kind == "reply", F.struct("created_at", "id", F.lit("replied").alias("reason")))).alias("_reply"),
-        )
+        .withColumn("status", F.coalesce("_status", "status")).select(*leads.columns)
     )
+    by_link = of("link", F.col("key").alias("lead_id"), "campaign_id", F.col("last.value").alias("_over"), F.col("first").alias("_reply"))
     # least() skips NULLs, so this is the earlier of the two guarded reasons.
-    guarded = F.least("_reply", "_guard")
+    guarded = F.least("_reply", "_guard")["value"]
     new_links = (
-        links.join(by_link, ["lead_id", "campaign_id"], "left")
-        .join(by_lead.select("lead_id", "_guard"), "lead_id", "left")
-        .withColumn("stopped_reason", F.coalesce(F.col("_over"), F.col("stopped_reason"), guarded["reason"]))
-        .select(*links.columns)
-    )
-
-    word = F.when(kind == "sent", "sent").when(kind == "failed", "failed").when(kind == "bounce", "bounced")
-    by_message = (
-        events.where(F.col("message_id").isNotNull())
-        .withColumn("_m", word)
-        .where(F.col("_m").isNotNull())
-        .groupBy(F.col("message_id").alias("id"))
-        .agg(
-            F.max_by("_m", order).alias("_status"),
-            F.max(F.when(kind == "sent", F.col("created_at"))).alias("_sent_at"),
-            F.max(F.when(kind != "sent", F.struct("created_at", "id", "reason"))).alias("_err"),
-        )
-    )
-    new_messages = (
-        messages.join(by_message, "id", "left")
-        .withColumns(
-            {
-                "status": F.coalesce("_status", "status"),
-                "sent_at": F.coalesce("_sent_at", "sent_at"),
-                "error": F.when(F.col("_err").isNotNull(), F.col("_err.reason")).otherwise(F.col("error")),
-            }
-        )
-        .select(*messages.columns)
+        links.join(by_link, ["lead_id", "campaign_id"], "left").join(by_lead.select("lead_id", "_guard"), "lead_id", "left")
+        .withColumn("stopped_reason", F.coalesce(F.col("_over"), F.col("stopped_reason"), guarded)).select(*links.columns)
     )
+    by_message = of("message", F.col("key").alias("id"), F.col("last.value").alias("_status"), F.col("sent_at").alias("_sent_at"), F.col("error").alias("_err"))
+    new_messages = messages.join(by_message, "id", "left").withColumns(
+        {
+            "status": F.coalesce("_status", "status"), "sent_at": F.coalesce("_sent_at", "sent_at"),
+            "error": F.when(F.col("_err").isNotNull(), F.col("_err.value")).otherwise(F.col("error")),
+        }
+    ).select(*messages.columns)
     return new_leads, new_links, new_messages
 
 
+def outcome_fold(
+    leads: DataFrame, links: DataFrame, messages: DataFrame, events: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fold an event log into the three tables: closed form of replaying it by time, one shuffle with map-side combine for all three."""
+    return apply_outcomes(leads, links, messages, outcome_state(events))
+
+
 def sequence_catalog(templates: DataFrame, audiences: Sequence[str] = ("supplier", "customer")) -> DataFrame:
     """Templates (id, name = ``email_<path>``, audience) -> campaign, step, variant, template; last one wins.
 

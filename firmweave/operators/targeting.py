@@ -15,7 +15,7 @@ from firmweave.functions import fixed_values as fv
 from firmweave.functions.text import is_blank, string_array
 from firmweave.functions.times import at, instant
 from firmweave.operators.merge import insert_if_absent, keyed_upsert
-from firmweave.operators.ranking import ordered_position
+from firmweave.operators.ranking import TARGET_ROWS, add_bucket, buckets_for, ordered_position
 from firmweave.session import lookup_join, small_table, staged
 
 FILTERS = ("city", "sni", "employees", "founded", "tech", "review")
@@ -110,6 +110,33 @@ def industry_group_patterns(groups: DataFrame, items: DataFrame, keys: Sequence[
     )
 
 
+def codes_with_prefix(codes: DataFrame, patterns: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """The distinct values of ``codes`` that start with one of ``patterns`` (both with a column ``_code``, patterns not empty).
+
+    A pattern that starts with another one adds nothing. What is left are disjoint ranges of codes: a code can only be in the range of the
+    greatest pattern that isn't above it. Codes and patterns are sorted together, bucket by bucket, and each code looks at the last pattern
+    before it; a bucket begins with the greatest pattern of those before. A code is one row however long it is.
+    """
+    shorter = F.transform(F.sequence(F.lit(1), F.length("_code") - 1), lambda n: F.left("_code", n))
+    longer = patterns.where(F.length("_code") > 1).select("_code", F.explode(shorter).alias("_start"))
+    covered = longer.join(patterns.select(F.col("_code").alias("_start")), "_start", "left_semi").select("_code").distinct()
+    own = patterns.distinct().join(covered, "_code", "left_anti")
+    both = staged(own.select("_code", F.lit(True).alias("_pattern")).unionByName(codes.distinct().select("_code", F.lit(False).alias("_pattern"))))
+    buckets = buckets_for(both.count(), target_rows)
+    sampled = both.select("_code").orderBy(F.xxhash64("_code"), "_code", "_pattern").limit(buckets * 8).collect()
+    cuts = sorted({r[0] for r in sampled})[8::8]
+    placed = add_bucket(both, "_code", string_array(cuts), len(cuts))
+    # At most two buckets for a cut and one more.
+    most = placed.where("_pattern").groupBy("bucket").agg(F.max("_code").alias("_most"))
+    every = placed.select("bucket").distinct().join(most, "bucket", "left")
+    before = F.max("_most").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    begin = every.select("bucket", before.alias("_begin"))
+    inside = F.last(F.when(F.col("_pattern"), F.col("_code")), True).over(
+        W.partitionBy("bucket").orderBy("_code", F.desc("_pattern")).rowsBetween(W.unboundedPreceding, W.currentRow))
+    found = placed.withColumn("_last", inside).join(F.broadcast(begin), "bucket")
+    return found.where(~F.col("_pattern") & F.startswith("_code", F.coalesce("_last", "_begin"))).select("_code")
+
+
 def industry_group_match(
     df: DataFrame, groups: DataFrame, items: DataFrame, keys: Sequence[str], mode: str = "prefix", column: str = "sni_codes",
     key: str = "orgnr",
@@ -123,12 +150,9 @@ def industry_group_match(
         return df
     pattern = F.lower(F.trim("pattern"))
     wanted = industry_group_patterns(groups, items, keys).select(pattern.alias("_code"), F.lit(True).alias("_hit")).where("_code <> ''").distinct()
-    pool = _code_pool(column, mode)
+    codes = df.select(key, F.explode(F.array_distinct(_code_pool(column, mode))).alias("_code"))
     if mode != "exact":
-        longest = wanted.agg(F.max(F.length("_code"))).first()[0] or 0  # no longer start can match
-        heads = lambda t: F.transform(F.sequence(F.lit(1), F.least(F.length(t), F.lit(max(longest, 1)))), lambda n: F.left(t, n))
-        pool = F.flatten(F.transform(F.filter(pool, lambda t: t != ""), heads))
-    codes = df.select(key, F.explode(F.array_distinct(pool)).alias("_code"))
+        wanted = codes_with_prefix(codes.select("_code"), wanted.select("_code")).withColumn("_hit", F.lit(True))
     hits = lookup_join(codes, wanted, ["_code"], [key]).where("_hit").select(key).distinct()
     return df.join(hits, key, "left_semi")
 

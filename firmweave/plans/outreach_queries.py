@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from firmweave.operators import outreach, reports, targeting as tg
+from firmweave.session import staged
 from firmweave.plans.adapters import NOW, adapter, ctes, sql
 from firmweave.plans.register_queries import _companies, _text_time, _ts, _write_website_feed
 from firmweave.sources.feeds import feed_lines
@@ -223,6 +224,21 @@ def outcome_fold(spark, sf_dir):
     )
 
 
+def outcome_fold_in_parts(spark, sf_dir):
+    """The same fold from three parts of the log, each merged into the stored state of those before."""
+    events, state = _events(spark, sf_dir), None
+    for part in range(3):
+        new = outreach.outcome_state(events.where(F.col("id") % 3 == part))
+        if state is None:
+            state = staged(new)
+        else:
+            changed = staged(outreach.changed_outcomes(state, new))
+            same = [state[c].eqNullSafe(changed[c]) for c in outreach.OUTCOME_KEYS]
+            state = staged(state.join(changed, same[0] & same[1] & same[2], "left_anti").unionByName(changed))
+    leads, links, _ = outreach.apply_outcomes(adapter(spark, sf_dir, "leads"), _links(spark, sf_dir), _messages(spark, sf_dir), state)
+    return leads.select(F.col("id").alias("lead_id"), "status").join(links.select("lead_id", "campaign_id", "stopped_reason"), "lead_id", "left")
+
+
 def outcome_fold_messages(spark, sf_dir):
     out = _folded(spark, sf_dir)[2]
     return out.select("id", "status", "error", "sent_at").withColumns(_text_time("sent_at"))
@@ -296,7 +312,7 @@ QUERIES = {
     for f in (
         target_filter, target_filter_all, target_filter_founded, industry_code_match, industry_group_expand, industry_group_match, suppression_anti_join, tier_score,
         stagger_schedule, lead_campaign_load, lead_campaign_load_all, lead_campaign_summary, lead_campaign_summary_all,
-        due_send_queue, template_pick, message_render, sequence_advance, outcome_fold, outcome_fold_messages,
+        due_send_queue, template_pick, message_render, sequence_advance, outcome_fold, outcome_fold_in_parts, outcome_fold_messages,
         sequence_catalog, sequence_coverage,
         column_coverage, value_distribution, freshness_windows, top_n_groups, feed_reconciliation, delivery_class, stale_accepted,
         reputation_verdict, sequence_queue_report, latest_links, tier_summary,
@@ -422,3 +438,4 @@ for _name in ("target_filter", "lead_campaign_load", "lead_campaign_summary"):
 ORACLES["sequence_coverage"] = (
     f"WITH cat AS ({ORACLES['sequence_catalog']}) SELECT campaign, string_agg(DISTINCT step::VARCHAR, ',' ORDER BY step::VARCHAR) AS steps, count(*) AS templates FROM cat GROUP BY 1"
 )
+ORACLES["outcome_fold_in_parts"] = ORACLES["outcome_fold"]

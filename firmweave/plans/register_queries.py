@@ -408,6 +408,18 @@ def change_log_diff(spark, sf_dir):
     return out.withColumns(_text_time("changed_at"))
 
 
+def change_log_between(spark, sf_dir):
+    """Two versions that differ for few companies, written with their digests."""
+    old = _companies(spark, sf_dir).select("orgnr", "city", "employees")
+    number = F.col("orgnr").cast("bigint")
+    new = old.withColumn("employees", F.when(number % 97 == 0, F.col("employees") + 1).otherwise(F.col("employees")))
+    new = new.withColumn("city", F.when(number % 89 != 0, F.col("city")))
+    paths = [_run_dir(spark, name) for name in ("old", "new")]
+    for df, path in zip((old, new), paths):
+        merge.write_with_digests(df, path, ["city", "employees"], buckets=64)
+    return merge.change_log_between(spark, *paths, ["city", "employees"], NOW, "register").withColumns(_text_time("changed_at"))
+
+
 ENRICH_RECORDS = """
 SELECT cast(5500000000 + c_custkey AS string) AS orgnr, c_custkey AS record_order,
   CASE c_custkey % 6 WHEN 0 THEN 'not_found' WHEN 1 THEN 'err' ELSE 'ok' END AS status,
@@ -509,7 +521,7 @@ QUERIES = {
         register_standardize, master_projection, timestamp_standardize, timestamp_standardize_counts, size_class_span, code_table_fill,
         industry_code_extract, payload_flatten, ownership_bucket,
         fill_if_blank_merge, newest_wins_merge, signal_feeds_apply, signal_feeds_counters, register_upsert,
-        insert_if_absent, keyed_upsert, checks_unpivot, change_log_diff, enrichment_merge, enrichment_run_stats,
+        insert_if_absent, keyed_upsert, checks_unpivot, change_log_diff, change_log_between, enrichment_merge, enrichment_run_stats,
         refresh_due, due_queue_topk, scheduled_queue_topk, stable_hash_shard, resume_anti_join, next_check_schedule,
         incremental_feed_apply, feeds_end_to_end, incremental_feed_state,
     )
@@ -684,6 +696,8 @@ UNION ALL SELECT orgnr, 'tech', CASE WHEN right(orgnr, 1) = '4' THEN 'checked' E
     "change_log_diff": f"""WITH {_in_sql('old_master')}, x AS (SELECT orgnr, city, coalesce({_nb('scb_municipality')}, city) AS kommun, employees, CASE WHEN regexp_full_match(trim(employees), '[0-9]+') THEN trim(employees) END AS e FROM old_master)
 SELECT orgnr, 'kommun' AS field, city AS old_value, kommun AS new_value, '{NOW}' AS changed_at, 'migration' AS source FROM x WHERE city IS DISTINCT FROM kommun
 UNION ALL SELECT orgnr, 'employees', employees, e, '{NOW}', 'migration' FROM x WHERE employees IS DISTINCT FROM e""",
+    "change_log_between": f"""WITH {_CO} SELECT orgnr, 'employees' AS field, employees::VARCHAR AS old_value, (employees + 1)::VARCHAR AS new_value, '{NOW}' AS changed_at, 'register' AS source FROM companies WHERE orgnr::BIGINT % 97 = 0
+UNION ALL SELECT orgnr, 'city', city, NULL, '{NOW}', 'register' FROM companies WHERE orgnr::BIGINT % 89 = 0""",
     "enrichment_merge": f"""WITH {_CO}, r AS ({ENRICH_RECORDS}), x AS (SELECT c.orgnr, CASE WHEN right(c.orgnr, 1) = '2' THEN '' ELSE name END AS name, r.*, status = 'ok' AS ok FROM companies c LEFT JOIN r ON c.orgnr = r.orgnr)
 SELECT orgnr, CASE WHEN name = '' AND status IS NOT NULL THEN CASE WHEN ok THEN v_name END ELSE name END AS name, CASE WHEN ok THEN v_size END AS employees_class_code,
   CASE WHEN ok THEN [0,1,5,10,20,50,100,200,500][v_size::INT + 1] END AS employees_min, CASE WHEN ok THEN [0,4,9,19,49,99,199,499,NULL][v_size::INT + 1] END AS employees_max,

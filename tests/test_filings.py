@@ -76,3 +76,18 @@ def test_validation(spark):
     assert {r.reason: r.n for r in counts.collect()}["accepted"] == 2
     assert [r.orgnr for r in unknown.collect()] == ["5500000000", "5500000001"]
     assert {r.revenue_sek for r in fl.filing_fact_extract(accepted).collect()} == {5}
+
+
+def test_cdata_is_text_and_hides_markup(spark):
+    fact = lambda body: f'<html xmlns:ix="x"><ix:nonFraction name="se-gen-base:Nettoomsattning" scale="0">{body}</ix:nonFraction></html>'
+    bodies = {
+        "1": "<![CDATA[12]]>", "2": "1<!-- x --><![CDATA[2]]><b>3</b>", "3": "<!-- <![CDATA[9]]> -->7", "4": "<![CDATA[4<!--]]>", "5": "<![CDATA[ 5 ]]><![CDATA[6]]>",
+        "6": '<![CDATA[<ix:nonFraction name="q">]]>8', "7": "<![CDATA[7", "8": "<![CDATA[&amp;]]>",
+    }
+    names = [c for c, tag in fv.FILING_FACTS.items() if tag == "se-gen-base:Nettoomsattning"]
+    df = spark.createDataFrame([(k, "2023-12-31", "f", fact(b)) for k, b in bodies.items()], "orgnr string, end_date string, source_file string, xhtml string")
+    texts = {r.orgnr: r.t for r in fl._with_tags(df).select("orgnr", fl._first("nonFraction", "se-gen-base:Nettoomsattning")["text"].alias("t")).collect()}
+    assert texts == {"1": "12", "2": "123", "3": "7", "4": "4<!--", "5": "5 6", "6": '<ix:nonFraction name="q">8', "7": texts["7"], "8": "&amp;"}
+    if names:
+        got = {r.orgnr: r[names[0]] for r in fl.filing_fact_extract(df).collect()}
+        assert got["1"] == 12 and got["2"] == 123 and got["3"] == 7 and got["8"] is None

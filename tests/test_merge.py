@@ -1,3 +1,5 @@
+import re
+
 import random
 
 import pytest
@@ -189,3 +191,25 @@ def test_enrichment_asymmetry(spark):
     assert got["3"].scb_status is None and got["3"].name == ""
     n = {(r.stat, r.value): r.n for r in stats.collect()}
     assert n["status", "ok"] == 1 and n["error", "403"] == 1 and n["activity", "active"] == 1 and n["filled", "postort"] == 1
+
+
+def test_changes_between_versions_read_differing_buckets_only(spark, tmp_path, rows):
+    old = spark.range(500).selectExpr("CAST(id AS STRING) AS orgnr", "CAST(id % 7 AS STRING) AS city", "CAST(NULL AS INT) AS employees")
+    new = old.selectExpr("orgnr", "CASE WHEN orgnr = '77' THEN NULL ELSE city END AS city", "CASE WHEN orgnr IN ('77', '3') THEN 5 END AS employees").where("orgnr <> '400'")
+    paths = [str(tmp_path / n) for n in "ab"]
+    for df, p in zip((old, new), paths):
+        merge.write_with_digests(df, p, ["city", "employees"], buckets=32)
+    got = merge.change_log_between(spark, *paths, ["city", "employees"], "2024-01-01 00:00:00", "x")
+    assert rows(got) == rows(merge.change_log_diff(old, new, ["city", "employees"], "2024-01-01 00:00:00", "x")) and got.count() == 3
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    buckets = sorted({r[0] for r in spark.read.parquet(f"{paths[0]}/rows").where("orgnr IN ('77', '3', '400')").select("bucket").collect()})
+    scans = re.findall(r"PartitionFilters: \[([^\n]*?)\], PushedFilters", plan)
+    assert len(scans) == 2 and all("bucket" in x for x in scans), plan
+    assert merge.differing_buckets(spark, *paths) == buckets
+    assert merge.differing_buckets(spark, paths[0], paths[0]) == []
+    assert merge.change_log_between(spark, paths[0], paths[0], ["city", "employees"], "2024-01-01 00:00:00", "x").count() == 0
+
+
+def test_digests_tell_where_a_null_stands(spark):
+    of = lambda a, b: merge.bucket_digests(spark.createDataFrame([("1", a, b)], "orgnr string, x string, y string"), ["x", "y"]).first().digest
+    assert len({of("a", None), of(None, "a"), of("a", "a"), of(None, None), of("", None)}) == 5

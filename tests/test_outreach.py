@@ -124,3 +124,19 @@ def test_catalog(spark, rows):
     assert rows(cat, "campaign", "step", "variant", "template_id") == [
         ("customer_intro", 1, "A", 2), ("customer_intro", 1, "B", 3), ("customer_intro", 2, "A", 4), ("customer_intro", 3, "A", 5), ("supplier_intro", 2, "A", 7), ("supplier_intro", 3, "A", 6)]
     assert rows(out.sequence_coverage(cat)) == [("customer_intro", "1,2,3", 4), ("supplier_intro", "2,3", 2)]
+
+
+def test_states_of_any_parts_merge_to_that_of_all(spark, rows):
+    kinds = ["sent", "failed", "bounce", "complaint", "manual_stop", "reply", "booked", "won", "delivered"]
+    for seed in range(3):
+        rng = random.Random(100 + seed)
+        events = spark.createDataFrame(
+            [(i, rng.randrange(6), rng.choice([1, 2, None]), rng.choice([None, rng.randrange(8)]), rng.choice(kinds), f"r{i}", f"2024-01-{rng.randrange(1, 9):02d} 00:00:00", rng.randrange(3)) for i in range(80)],
+            "id int, lead_id int, campaign_id int, message_id int, type string, reason string, created_at string, part int")
+        whole = rows(out.outcome_state(events))
+        parts = [out.outcome_state(events.where(F.col("part") == p)) for p in range(3)]
+        for a, b, c in ((0, 1, 2), (2, 0, 1)):
+            assert rows(out.merge_outcomes(out.merge_outcomes(parts[a], parts[b]), parts[c])) == whole
+        assert rows(out.merge_outcomes(parts[0], parts[0])) == rows(parts[0])
+        changed = out.changed_outcomes(parts[0], parts[1])
+        assert changed.count() == parts[1].count() and set(rows(changed)) <= set(rows(out.merge_outcomes(parts[0], parts[1])))

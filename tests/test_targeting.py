@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,24 @@ def test_queries_without_a_limit_take_all_companies(spark, monkeypatch):
     assert run("target_filter").count() == 300 and run("target_filter_all").count() == 700
     assert run("lead_campaign_summary_all").first().matched_after_filters == 700
     assert run("lead_campaign_load_all").where("link_tier = 1").count() == 700
+
+
+@pytest.mark.parametrize("target_rows", [1_000_000, 20])
+def test_prefix_ranges_equal_brute_force(spark, target_rows):
+    """Patterns inside others, equal to codes, below and above all codes; many buckets with few patterns each."""
+    rng = random.Random(31)
+    word = lambda n: "".join(rng.choice("0123é") for _ in range(rng.randint(1, n)))
+    codes, patterns = {word(7) for _ in range(1500)} | {"", "~", "0"}, {word(5) + rng.choice(["", "9"]) for _ in range(60)} | {"2222", "~~"}
+    found = tg.codes_with_prefix(spark.createDataFrame([(c,) for c in codes] * 2, "_code string"), spark.createDataFrame([(p,) for p in patterns], "_code string"), target_rows)
+    got = [r[0] for r in found.collect()]
+    assert sorted(got) == sorted(c for c in codes if any(c.startswith(p) for p in patterns))
+    none = spark.createDataFrame([], "_code string")
+    assert tg.codes_with_prefix(spark.createDataFrame([("1",)], "_code string"), none).count() == 0 and tg.codes_with_prefix(none, none).count() == 0
+
+
+def test_many_patterns_without_more_rows(spark):
+    """300,000 patterns: no step of the plan makes rows of a code's prefixes."""
+    codes = spark.range(200_000).selectExpr("CAST(id * 7 AS STRING) AS _code")
+    patterns = spark.range(300_000).selectExpr("CAST(id * 11 + 100000 AS STRING) AS _code")
+    want = sum(any(c[:n] in seen for n in range(6, len(c) + 1)) for seen in [{str(i * 11 + 100000) for i in range(300_000)}] for c in (str(i * 7) for i in range(200_000)))
+    assert tg.codes_with_prefix(codes, patterns).count() == want
