@@ -33,6 +33,25 @@ DICTIONARY = (
     classify.Category("short", "Sho", ("ti", "on", "ou")),
     classify.Category("accent", "Acc", ("é", "ü", "ó", "ñ", "ß")),
 )
+def _pick(values, number: str) -> str:
+    """One of the values by number, in SQL of both engines."""
+    return f"CASE ({number}) % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+# Pages with the default words, in text, tags, addresses, scripts and comments.
+_WORDS = (
+    *fv.CTA_WORDS, *fv.SERVICE_HINTS, *fv.PLATFORM_MARKS, *fv.PARKED_STRONG, *fv.PARKED_WEAK, *(w for ws in fv.PRODUCT_CATEGORIES.values() for w in ws), *fv.MAIL_WORDS,
+    *fv.CLOUD_RESOURCE_HINTS, *fv.IT_SUPPORT_STRONG, *fv.IT_SUPPORT_MEDIUM,
+)
+_PATHS = tuple(f"/{h.strip('/')}/a" for h in (*fv.CAREER_PATH_HINTS, *fv.JOB_PATHS, "spontan", "jobb/spontan", "om-oss", "tjanst", "vara-tjanster"))
+SWEDISH_PAGES = f"""
+SELECT concat('s', cast(cast(floor(k / 2) AS bigint) AS string), '.se') AS site_key, k AS page_order,
+  concat(CASE WHEN k % 3 = 0 THEN 'http' ELSE 'https' END, '://s', cast(cast(floor(k / 2) AS bigint) AS string), '.se/p') AS url,
+  concat('<HTML><body>', {_pick(_WORDS, 'k')}, ' <b class="', {_pick(_WORDS, 'k * 7 + 3')}, '">', upper({_pick(_WORDS, 'k * 13 + 5')}), '</b> ', {_pick(_WORDS, 'k * 17 + 1')},
+    '<script>teams azure ', {_pick(_WORDS, 'k * 3')}, '</script><!-- ', {_pick(_WORDS, 'k * 5')}, ' -->', CASE WHEN k % 4 = 0 THEN repeat('ord ', 260) ELSE ' < ' END,
+    CASE WHEN k % 5 = 0 THEN '<img src="a"><IMG><img>' WHEN k % 5 = 1 THEN ' ring 08-123 45 67 ' ELSE '' END, CASE WHEN k % 6 = 0 THEN ' 556677-8899 ' ELSE '' END,
+    '<a href="', {_pick(_PATHS, 'k')}, '">x</a> <a HREF="', {_pick(_PATHS, 'k * 11 + 2')}, '">', {_pick(_WORDS, 'k * 29')}, '</a> <a href="#', {_pick(_PATHS, 'k')}, '">') AS html
+FROM (SELECT c_custkey AS k FROM customer) c"""
 # A dictionary table of 28 categories: passages of the texts themselves, of 1 to 12 letters; some are in two categories.
 KEYWORDS = """
 SELECT DISTINCT cast(c % 28 AS int) AS position, concat('category_', cast(c % 28 AS string)) AS label, concat('Category ', cast(c % 28 AS string)) AS raw, keyword
@@ -80,16 +99,38 @@ def site_quality_score(spark, sf_dir):
     return out.select("page_order", "site_score", F.array_join("site_flags", ",").alias("site_flags"))
 
 
+def _swedish(spark, sf_dir):
+    return sql(spark, sf_dir, SWEDISH_PAGES)
+
+
+def link_extract_default(spark, sf_dir):
+    return pg.link_extract(_swedish(spark, sf_dir)).withColumn("rank", F.coalesce("rank", F.lit(0)))
+
+
+def site_quality_default(spark, sf_dir):
+    return pg.site_quality_score(_swedish(spark, sf_dir)).select("page_order", "site_score", F.array_join("site_flags", ",").alias("site_flags"))
+
+
+def parked_site_default(spark, sf_dir):
+    return pg.parked_site_flag(_swedish(spark, sf_dir)).select("page_order", "parked")
+
+
+def _tech(df, words):
+    df = df.withColumn("fetch_error", F.when(F.col("page_order") % 41 == 0, "timeout").when(F.col("page_order") % 13 == 0, "403").otherwise(""))
+    dns = df.select("site_key", (F.substring(F.md5("site_key"), 1, 1) < "6").alias("cloud_mail")).distinct()
+    return pg.tech_signal(df, dns, words)
+
+
+def tech_signal_default(spark, sf_dir):
+    return _tech(_swedish(spark, sf_dir), pg.TechWords())
+
+
 def parked_site_flag(spark, sf_dir):
     return pg.parked_site_flag(_pages(spark, sf_dir), PARKED_STRONG, PARKED_WEAK).select("page_order", "parked")
 
 
 def tech_signal(spark, sf_dir):
-    df = _pages(spark, sf_dir).withColumn(
-        "fetch_error", F.when(F.col("page_order") % 41 == 0, "timeout").when(F.col("page_order") % 13 == 0, "403").otherwise("")
-    )
-    dns = df.select("site_key", (F.substring(F.md5("site_key"), 1, 1) < "6").alias("cloud_mail")).distinct()
-    return pg.tech_signal(df, dns, TECH)
+    return _tech(_pages(spark, sf_dir), TECH)
 
 
 HOME = "substr(md5(site_key), 1, 1) < '8' AND page_order % 3 = 0"
@@ -207,6 +248,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_text_extract, link_extract, contact_extract, site_quality_score, parked_site_flag, tech_signal, hiring_signal,
+        link_extract_default, site_quality_default, parked_site_default, tech_signal_default,
         industry_text_classify, industry_dictionary_classify, industry_label_reconcile, segment_assign, role_category_tag, domain_candidates, probe_result_pick,
         filing_fact_extract, filing_validate, filing_validate_counts,
     )
@@ -240,19 +282,33 @@ def _hits(text: str, words) -> str:
     return "(" + " + ".join(f"contains({text}, {q(w)})::INT" for w in words) + ")"
 
 
-_LOW = f"{_P}, low AS (SELECT *, lower(html) AS h FROM site_pages), txt AS (SELECT *, {_visible('h')} AS t FROM low)"
 _HREFS = "regexp_extract_all(h, 'href=[\"'']([^\"'']+)[\"'']', 1)"
-# The pages hold site-relative links only; other forms are covered by unit tests.
-_LINKS = f"""{_LOW}, l AS (SELECT site_key, page_order, url, unnest({_HREFS}) AS href, generate_subscripts({_HREFS}, 1) AS pos FROM low),
+
+
+def _low(pages: str) -> str:
+    return f"{pages}, low AS (SELECT *, lower(html) AS h FROM site_pages), txt AS (SELECT *, {_visible('h')} AS t FROM low)"
+
+
+def _links(low: str) -> str:
+    """The pages hold site-relative links only; other forms are covered by unit tests."""
+    return f"""{low}, l AS (SELECT site_key, page_order, url, unnest({_HREFS}) AS href, generate_subscripts({_HREFS}, 1) AS pos FROM low),
 a AS (SELECT site_key, page_order, url AS page_url, pos, regexp_extract(url, '^(https?://[^/?#]*)', 1) || href AS link, href, regexp_extract(href, '^([^?#]*)', 1) AS path, site_key AS host FROM l WHERE starts_with(href, '/'))"""
-_KINDS = " UNION ALL ".join(
-    f"SELECT site_key, page_order, pos, link, '{k}' AS kind FROM a WHERE {cond}"
-    for k, cond in (
-        ("internal_hint", _any("path", LINKS.hints)),
-        ("internal_job", f"({_any('path', LINKS.job_paths)} AND NOT contains(path, 'spontan'))"),
-        ("external_job", _any("host", LINKS.job_domains)),
+
+
+def _kinds(words: pg.LinkWords) -> str:
+    return " UNION ALL ".join(
+        f"SELECT site_key, page_order, pos, link, '{k}' AS kind FROM a WHERE {cond}"
+        for k, cond in (
+            ("internal_hint", _any("path", words.hints)),
+            ("internal_job", f"({_any('path', words.job_paths)} AND NOT contains(path, 'spontan'))"),
+            ("external_job", _any("host", words.job_domains)),
+        )
     )
-)
+
+
+_LOW = _low(_P)
+_LINKS, _KINDS = _links(_LOW), _kinds(LINKS)
+_LOW_SWEDISH = _low(f"site_pages AS ({SWEDISH_PAGES})")
 # The trigger words follow ASCII characters only, so the ASCII word boundary is enough here.
 _TRIGGERS = " || ".join(f"regexp_extract_all(t, {q(chr(92) + 'b' + tr + '(.{0,90})')}, 1)" for tr in HIRING.triggers)
 _FILL = q("(^|[^\\p{L}\\p{N}_])(?:" + "|".join(HIRING.fillers) + ")($|[^\\p{L}\\p{N}_])")
@@ -302,9 +358,6 @@ c3 AS (SELECT *, list_transform(list_filter(f, lambda w: length(w) >= 2), lambda
 c4 AS (SELECT orgnr, unnest(sl) AS s, generate_subscripts(sl, 1) AS p FROM (SELECT orgnr, {_SLUGS} AS sl FROM c3)),
 c5 AS (SELECT orgnr, s, min(p) AS p FROM c4 WHERE s IS NOT NULL AND length(s) <= 40 GROUP BY 1, 2), c6 AS (SELECT *, row_number() OVER (PARTITION BY orgnr ORDER BY p) - 1 AS k FROM c5),
 c7 AS (SELECT orgnr, k, s, unnest([0, 1, 2, 3]) AS j FROM c6 WHERE k < 12), cand AS (SELECT orgnr, (k * 4 + j)::INTEGER AS rank, CASE WHEN j % 2 = 1 THEN 'www.' ELSE '' END || s || CASE WHEN j < 2 THEN '.se' ELSE '.com' END AS domain FROM c7)"""
-_TECH_COLUMNS = {f"c{i}": w for i, w in enumerate(TECH.categories)} | {
-    "mail": TECH.mail, "cloud": TECH.cloud, "strong": TECH.support_strong, "medium": TECH.support_medium
-}
 _SEG_HITS = "list_filter([" + ", ".join(f"CASE WHEN contains(t, {q(w)}) THEN {q(s)} END" for s, w in fv.SEGMENT_KEYWORDS) + "], lambda x: x IS NOT NULL)"
 _SEG_LABEL = "CASE k " + " ".join(f"WHEN {q(k)} THEN [{', '.join(q(x) for x in v)}]" for k, v in fv.SEGMENTS_OF_LABEL.items()) + " ELSE [] END"
 _ROLE_WEIGHTS = ", ".join(
@@ -324,11 +377,37 @@ v AS (SELECT o AS orgnr, end_date, source_file, CASE WHEN o = '' THEN 'bad_key'
   WHEN k % 40 = 9 OR (again AND substr(end_date, 1, 4)::INT % 2 = 0) THEN 'parse_error'
   WHEN k % 31 = 3 THEN 'key_mismatch' WHEN k % 37 = 5 THEN 'date_mismatch' ELSE 'accepted' END AS reason, {_filing_value('revenue_sek')} FROM u)"""
 
+def _links_sql(links: str, kinds: str) -> str:
+    return f"""WITH {links}, k AS ({kinds}), s AS (SELECT site_key, kind, link AS url, min((page_order, pos)) AS first FROM k GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY site_key, kind ORDER BY first)::INTEGER AS rank FROM s)
+SELECT site_key, kind, CASE WHEN kind = 'internal_job' THEN 0 ELSE rank END AS rank, url FROM r WHERE kind = 'internal_job' OR rank <= CASE kind WHEN 'internal_hint' THEN 25 ELSE 5 END"""
+
+
+def _quality_sql(low: str, words: pg.QualityWords) -> str:
+    return f"""WITH {low}, w AS (SELECT *, {_visible('h', comments=False)} AS t2 FROM low),
+c AS (SELECT page_order, starts_with(url, 'https://') AS c1, regexp_matches(h, {_EMAIL}) OR regexp_matches(h, '(\\+46|0)\\s?[0-9][0-9\\s\\-]{{6,}}') OR contains(h, '<form') OR contains(h, 'kontakt') AS c2, {_hits('h', words.cta)} >= 2 AS c3,
+  len(list_filter({_HREFS}, lambda x: NOT regexp_matches(x, '^(#|mailto:|tel:)') AND {_any('x', words.services)})) >= 2 AS c4,
+  regexp_matches(h, '(^|[^\\p{{L}}\\p{{N}}_])[0-9]{{6}}-[0-9]{{4}}($|[^\\p{{L}}\\p{{N}}_])') OR {_any('h', words.address)} AS c5, len(regexp_extract_all(h, '<img')) >= 3 OR contains(h, 'og:image') AS c6, {_count_words('t2')} >= 250 AS c7, {_any('h', words.platforms)} AS c8 FROM w)
+SELECT page_order, greatest(1, least(10, c1::INT * 2 + c2::INT * 2 + c3::INT + c4::INT + c5::INT + c6::INT + c7::INT + c8::INT))::INTEGER AS site_score,
+  concat_ws(',', CASE WHEN NOT c1 THEN 'no_https' END, CASE WHEN NOT c2 THEN 'no_contact' END, CASE WHEN NOT c3 THEN 'low_cta' END, CASE WHEN NOT c4 THEN 'few_service_links' END, CASE WHEN NOT c5 THEN 'no_orgnr_or_address' END, CASE WHEN NOT c6 THEN 'few_images' END, CASE WHEN NOT c7 THEN 'thin_content' END, CASE WHEN NOT c8 THEN 'unknown_tech' END) AS site_flags FROM c"""
+
+
+def _tech_sql(low: str, words: pg.TechWords) -> str:
+    columns = {f"c{i}": w for i, w in enumerate(words.categories)} | {
+        "mail": words.mail, "cloud": words.cloud, "strong": words.support_strong, "medium": words.support_medium
+    }
+    return f"""WITH {low}, e AS (SELECT *, CASE WHEN page_order % 41 = 0 THEN 'timeout' WHEN page_order % 13 = 0 THEN '403' ELSE '' END AS err FROM txt),
+s AS (SELECT site_key, {', '.join(f"bool_or(err = '' AND {_any('t', w)}) AS {k}" for k, w in columns.items())}, bool_or(err = 'timeout') AS tm, arg_min(err, page_order) AS he, substr(md5(site_key), 1, 1) < '6' AS dns FROM e GROUP BY 1),
+n AS (SELECT *, {' + '.join(f'c{i}::INT' for i in range(4))} AS n, he <> '' AS bad FROM s WHERE NOT tm)
+SELECT site_key, he AS err_reason, CASE WHEN bad THEN 'unknown' WHEN n >= 2 OR dns OR mail OR n = 1 THEN 'yes' ELSE 'no' END AS microsoft_status, CASE WHEN bad THEN NULL WHEN n >= 2 THEN 'strong' WHEN dns OR mail OR n = 1 THEN 'weak' END AS microsoft_strength,
+  CASE WHEN bad THEN 'low' WHEN n >= 2 THEN CASE WHEN cloud OR n >= 3 THEN 'high' ELSE 'medium' END WHEN dns THEN 'high' WHEN mail THEN 'medium' ELSE 'low' END AS microsoft_confidence,
+  CASE WHEN bad THEN 'unknown' WHEN strong OR medium THEN 'yes' ELSE 'no' END AS it_support_signal, CASE WHEN bad THEN 'low' WHEN strong THEN 'high' WHEN medium THEN 'medium' ELSE 'low' END AS it_support_confidence FROM n"""
+
+
 ORACLES = {
     "page_text_extract": f"WITH {_LOW} SELECT page_order, t AS text, {_count_words('t')} AS n_words FROM txt",
-    "link_extract": f"""WITH {_LINKS}, k AS ({_KINDS}), s AS (SELECT site_key, kind, link AS url, min((page_order, pos)) AS first FROM k GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY site_key, kind ORDER BY first)::INTEGER AS rank FROM s)
-SELECT site_key, kind, CASE WHEN kind = 'internal_job' THEN 0 ELSE rank END AS rank, url FROM r WHERE kind = 'internal_job' OR rank <= CASE kind WHEN 'internal_hint' THEN 25 ELSE 5 END""",
+    "link_extract": _links_sql(_LINKS, _KINDS),
+    "link_extract_default": _links_sql(_links(_LOW_SWEDISH), _kinds(pg.LinkWords())),
     "contact_extract": f"""WITH {_P}, v AS (SELECT site_key, page_order, {_entities("trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))")} AS t,
   {_entities('html')} AS raw, list_transform(regexp_extract_all(html, '(?is)\\s(?:{'|'.join(fv.ADDRESS_ATTRIBUTES)})\\s*=\\s*("[^"]*"|''[^'']*'')', 1), lambda x: {_entities('x')}) AS att FROM site_pages),
 w AS (SELECT site_key, page_order, flatten(list_transform(att, lambda x: {_found('x')})) || {_found('t')} || {_found('raw')} AS e FROM v),
@@ -337,19 +416,12 @@ y AS (SELECT site_key, email, min((page_order, pos)) AS first, split_part(email,
   AND NOT contains(email, '@example.') AND NOT contains(email, '@test.') AND NOT contains(email, '@email.com') AND NOT regexp_matches(email, '\\.(png|jpg|jpeg|svg|webp|gif|css|js)$') GROUP BY 1, 2),
 z AS (SELECT *, CASE WHEN regexp_matches(loc, '^(it|support|helpdesk|servicedesk)') THEN 100 WHEN regexp_matches(loc, '^(info|kontakt|contact|hello|sales)') THEN 80 WHEN regexp_matches(loc, '^(admin|office|hr|ekonomi|finance)') THEN 60 ELSE 10 END AS score FROM y),
 o AS (SELECT *, row_number() OVER (PARTITION BY site_key ORDER BY score DESC, first) AS rn FROM z) SELECT site_key, string_agg(email, ',' ORDER BY rn) AS emails FROM o WHERE rn <= 3 GROUP BY 1""",
-    "site_quality_score": f"""WITH {_LOW}, w AS (SELECT *, {_visible('h', comments=False)} AS t2 FROM low),
-c AS (SELECT page_order, starts_with(url, 'https://') AS c1, regexp_matches(h, {_EMAIL}) OR regexp_matches(h, '(\\+46|0)\\s?[0-9][0-9\\s\\-]{{6,}}') OR contains(h, '<form') OR contains(h, 'kontakt') AS c2, {_hits('h', QUALITY.cta)} >= 2 AS c3,
-  len(list_filter({_HREFS}, lambda x: NOT regexp_matches(x, '^(#|mailto:|tel:)') AND {_any('x', QUALITY.services)})) >= 2 AS c4,
-  regexp_matches(h, '(^|[^\\p{{L}}\\p{{N}}_])[0-9]{{6}}-[0-9]{{4}}($|[^\\p{{L}}\\p{{N}}_])') OR {_any('h', QUALITY.address)} AS c5, len(regexp_extract_all(h, '<img')) >= 3 OR contains(h, 'og:image') AS c6, {_count_words('t2')} >= 250 AS c7, {_any('h', QUALITY.platforms)} AS c8 FROM w)
-SELECT page_order, greatest(1, least(10, c1::INT * 2 + c2::INT * 2 + c3::INT + c4::INT + c5::INT + c6::INT + c7::INT + c8::INT))::INTEGER AS site_score,
-  concat_ws(',', CASE WHEN NOT c1 THEN 'no_https' END, CASE WHEN NOT c2 THEN 'no_contact' END, CASE WHEN NOT c3 THEN 'low_cta' END, CASE WHEN NOT c4 THEN 'few_service_links' END, CASE WHEN NOT c5 THEN 'no_orgnr_or_address' END, CASE WHEN NOT c6 THEN 'few_images' END, CASE WHEN NOT c7 THEN 'thin_content' END, CASE WHEN NOT c8 THEN 'unknown_tech' END) AS site_flags FROM c""",
+    "site_quality_score": _quality_sql(_LOW, QUALITY),
+    "site_quality_default": _quality_sql(_LOW_SWEDISH, pg.QualityWords()),
+    "parked_site_default": f"WITH {_LOW_SWEDISH} SELECT page_order, {_any('h', fv.PARKED_STRONG)} OR {_hits('h', fv.PARKED_WEAK)} >= 2 AS parked FROM low",
     "parked_site_flag": f"WITH {_LOW} SELECT page_order, {_any('h', PARKED_STRONG)} OR {_hits('h', PARKED_WEAK)} >= 2 AS parked FROM low",
-    "tech_signal": f"""WITH {_LOW}, e AS (SELECT *, CASE WHEN page_order % 41 = 0 THEN 'timeout' WHEN page_order % 13 = 0 THEN '403' ELSE '' END AS err FROM txt),
-s AS (SELECT site_key, {', '.join(f"bool_or(err = '' AND {_any('t', w)}) AS {k}" for k, w in _TECH_COLUMNS.items())}, bool_or(err = 'timeout') AS tm, arg_min(err, page_order) AS he, substr(md5(site_key), 1, 1) < '6' AS dns FROM e GROUP BY 1),
-n AS (SELECT *, {' + '.join(f'c{i}::INT' for i in range(4))} AS n, he <> '' AS bad FROM s WHERE NOT tm)
-SELECT site_key, he AS err_reason, CASE WHEN bad THEN 'unknown' WHEN n >= 2 OR dns OR mail OR n = 1 THEN 'yes' ELSE 'no' END AS microsoft_status, CASE WHEN bad THEN NULL WHEN n >= 2 THEN 'strong' WHEN dns OR mail OR n = 1 THEN 'weak' END AS microsoft_strength,
-  CASE WHEN bad THEN 'low' WHEN n >= 2 THEN CASE WHEN cloud OR n >= 3 THEN 'high' ELSE 'medium' END WHEN dns THEN 'high' WHEN mail THEN 'medium' ELSE 'low' END AS microsoft_confidence,
-  CASE WHEN bad THEN 'unknown' WHEN strong OR medium THEN 'yes' ELSE 'no' END AS it_support_signal, CASE WHEN bad THEN 'low' WHEN strong THEN 'high' WHEN medium THEN 'medium' ELSE 'low' END AS it_support_confidence FROM n""",
+    "tech_signal": _tech_sql(_LOW, TECH),
+    "tech_signal_default": _tech_sql(_LOW_SWEDISH, pg.TechWords()),
     "hiring_signal": f"""WITH {_LINKS}, er AS (SELECT site_key, page_order, {HOME} AS home, {ERROR} AS err FROM site_pages),
 h0 AS (SELECT site_key, coalesce(min(page_order) FILTER (home), min(page_order)) AS page_order FROM er GROUP BY 1), h AS (SELECT h0.*, er.err FROM h0 JOIN er USING (site_key, page_order)),
 tm AS (SELECT er.site_key, min(er.page_order) AS late FROM er JOIN h ON h.site_key = er.site_key AND h.page_order <> er.page_order WHERE er.err = 'timeout' GROUP BY 1),
