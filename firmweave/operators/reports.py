@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from firmweave.functions import fixed_values as fv
 from firmweave.functions.text import is_blank, percent
 from firmweave.functions.times import at, minus
+from firmweave.session import lookup_join, staged
 
 
 def column_coverage(df: DataFrame, text: Sequence[str], numbers: Sequence[str] = ()) -> DataFrame:
@@ -23,11 +24,33 @@ def column_coverage(df: DataFrame, text: Sequence[str], numbers: Sequence[str] =
     )
 
 
+def _label(col: str) -> Column:
+    value = F.trim(F.col(col).cast("string"))
+    return F.coalesce(F.when(value != "", value), F.lit("(empty)")).alias("value")
+
+
 def value_distribution(df: DataFrame, col: str, n: int = 10) -> DataFrame:
     """The n most frequent values; blank counts as ``(empty)``; ties by value."""
-    value = F.trim(F.col(col).cast("string"))
-    label = F.coalesce(F.when(value != "", value), F.lit("(empty)"))
-    return df.groupBy(label.alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(n)
+    return df.groupBy(_label(col)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(n)
+
+
+def top_values(df: DataFrame, col: str, n: int = 10, tracked: int = 10_000) -> DataFrame:
+    """``value_distribution`` of a column with very many values, of which few are frequent: the same rows.
+
+    A sketch of bounded size finds the values that may be frequent; only those are counted, so the rare ones are never shuffled. A value that the
+    sketch does not give has at most 7 / ``tracked`` of all rows (twice the sketch's error), so the result is whole where the last count is above that, or
+    where the values found are all rows. Otherwise all values are counted.
+    """
+    rows = df.select(_label(col))
+    sketch = staged(rows.agg(F.expr(f"approx_top_k(value, {tracked}, {tracked})").alias("t"), F.count("*").alias("total")))
+    found = staged(sketch.select(F.explode("t.item").alias("value"), F.lit(True).alias("_found")))  # at most ``tracked`` rows
+    exact = staged(lookup_join(rows, found, ["value"], ["value"]).where("_found").groupBy("value").agg(F.count("*").alias("n")))
+    top = exact.orderBy(F.desc("n"), "value").limit(n)
+    total, covered = sketch.first().total, exact.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    held, least = top.agg(F.count("*"), F.min("n")).first()
+    if covered == total or (held == n and least * tracked > 7 * total):
+        return top
+    return value_distribution(df, col, n)
 
 
 def freshness_windows(df: DataFrame, ts: str, now) -> DataFrame:

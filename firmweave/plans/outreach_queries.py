@@ -271,6 +271,16 @@ def top_n_groups(spark, sf_dir):
     return reports.top_n_groups(adapter(spark, sf_dir, "leads"), "city", 10)
 
 
+TOP_PARTS = "SELECT l_partkey AS part, CASE WHEN l_orderkey % 3 = 0 THEN ' hot ' WHEN l_orderkey % 20 = 1 THEN '' WHEN l_orderkey % 20 = 2 THEN 'warm' ELSE concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string)) END AS line FROM lineitem"
+
+
+def top_values(spark, sf_dir):
+    """A column with nearly as many values as rows and one without frequent values."""
+    df = sql(spark, sf_dir, TOP_PARTS)
+    line, part = reports.top_values(df, "line", 3), reports.top_values(df, "part", 12, tracked=512)
+    return line.select(F.lit("line").alias("column"), "value", "n").unionByName(part.select(F.lit("part").alias("column"), "value", "n"))
+
+
 KINDS = {"websites": "website", "emails": "email", "tech": "tech", "site_review": "site_review", "hiring": "hiring"}
 
 
@@ -314,7 +324,7 @@ QUERIES = {
         stagger_schedule, lead_campaign_load, lead_campaign_load_all, lead_campaign_summary, lead_campaign_summary_all,
         due_send_queue, template_pick, message_render, sequence_advance, outcome_fold, outcome_fold_in_parts, outcome_fold_messages,
         sequence_catalog, sequence_coverage,
-        column_coverage, value_distribution, freshness_windows, top_n_groups, feed_reconciliation, delivery_class, stale_accepted,
+        column_coverage, value_distribution, freshness_windows, top_n_groups, top_values, feed_reconciliation, delivery_class, stale_accepted,
         reputation_verdict, sequence_queue_report, latest_links, tier_summary,
     )
 }
@@ -439,3 +449,6 @@ ORACLES["sequence_coverage"] = (
     f"WITH cat AS ({ORACLES['sequence_catalog']}) SELECT campaign, string_agg(DISTINCT step::VARCHAR, ',' ORDER BY step::VARCHAR) AS steps, count(*) AS templates FROM cat GROUP BY 1"
 )
 ORACLES["outcome_fold_in_parts"] = ORACLES["outcome_fold"]
+ORACLES["top_values"] = f"""WITH t AS ({TOP_PARTS}), c AS (
+SELECT 'line' AS "column", CASE WHEN trim(line) = '' THEN '(empty)' ELSE trim(line) END AS value, count(*) AS n FROM t GROUP BY 2 UNION ALL SELECT 'part', part::VARCHAR, count(*) FROM t GROUP BY 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rn FROM c) SELECT "column", value, n FROM r WHERE rn <= CASE WHEN "column" = 'line' THEN 3 ELSE 12 END"""

@@ -69,3 +69,16 @@ def test_reconciliation(spark):
     checks = spark.createDataFrame([("1", "website", "2024-01-01"), ("1", "website", "2024-01-02"), ("2", "website", None), ("1", "tech", "2024-01-03"), ("1", "other", "2024-01-03")], "orgnr string, check_key string, checked_at string")
     got = {r.feed: tuple(r)[1:] for r in rp.feed_reconciliation(files, checks, {"websites": "website", "emails": "email", "tech": "tech"}).collect()}
     assert got == {"websites": (2, 7, 1, "2024-01-02"), "emails": (1, 1, 0, None), "tech": (0, 0, 1, "2024-01-03")}
+
+
+def test_top_values_of_a_million_values_are_exact(spark, rows):
+    """Few frequent values among a million that occur once: counted without a full count; ties, and no frequent value at all, too."""
+    df = spark.range(2_000_000).selectExpr(
+        "CASE WHEN id % 10 < 2 THEN 'a' WHEN id % 10 = 2 THEN ' b ' WHEN id % 10 = 3 THEN 'c' WHEN id % 20 = 4 THEN NULL WHEN id % 20 = 14 THEN '  ' ELSE CAST(id AS STRING) END AS v", "CAST(id % 50000 AS STRING) AS flat")
+    for n, column in ((2, "v"), (3, "v"), (4, "v"), (6, "v"), (5, "flat")):
+        assert rows(rp.top_values(df, column, n)) == rows(rp.value_distribution(df, column, n))
+    plan = rp.top_values(df, "v", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Range" not in plan  # only what was counted is read
+    few = spark.createDataFrame([("x",), ("x",), (None,)], "v string")
+    assert rows(rp.top_values(few, "v", 5)) == rows(rp.value_distribution(few, "v", 5)) == [("(empty)", 1), ("x", 2)]
+    assert rp.top_values(few.limit(0), "v", 5).count() == 0
