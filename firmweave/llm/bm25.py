@@ -155,29 +155,35 @@ def search_shard(shard: dict[str, np.ndarray], query: np.ndarray, k: int, ids: n
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``query_id``, ``rank``, ``doc_id``, ``score`` of the best k documents for every query row with an id."""
+    """``query_id``, ``rank``, ``doc_id``, ``score`` of the best k documents for every query with an id.
+
+    Rows that repeat id and text are one query; rows of one id with different texts are queries of their own, each with k hits.
+    """
     spark = queries.sparkSession
     uri, shard_uri = arrays.shared_uri(spark, "bm25-queries"), index.uri
-    rows = queries.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("bigint").alias("id"))
+    text = F.col(text_col).cast("string")
+    rows = queries.where(F.col(id_col).isNotNull()).select(text.alias("text"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("key"))
+    rows = rows.dropDuplicates(["id", "key"])
 
-    def write(ids, terms) -> pa.RecordBatch:
+    def write(ids, keys, terms) -> pa.RecordBatch:
         ends = np.concatenate([[0], np.cumsum([len(t) for t in terms])])
-        names = [arrays.save(uri, np.array(ids, dtype="<i8")), arrays.save(uri, ends.astype("<i8")), arrays.save(uri, np.concatenate(terms).astype("<u8"))]
+        names = [arrays.save(uri, np.array(ids, dtype="<i8")), arrays.save(uri, ends.astype("<i8")), arrays.save(uri, np.concatenate(terms).astype("<u8")), arrays.save(uri, np.array(keys, dtype="<i8"))]
         return pa.RecordBatch.from_pydict({"query": pa.array([names], pa.list_(pa.string()))})
 
     def pack(batches):
-        ids, terms = [], []
+        ids, keys, terms = [], [], []
         for batch in batches:
-            own = batch.column(1).to_numpy()
+            own, own_keys = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for found in words(batch.column(0), ALNUM):
                 for r, (a, b) in enumerate(zip(found.bound[:-1], found.bound[1:])):
                     ids.append(own[found.first_row + r])
+                    keys.append(own_keys[found.first_row + r])
                     terms.append(np.unique(found.hash[a:b]))
                     if len(ids) >= QUERIES_PER_BLOCK:
-                        yield write(ids, terms)
-                        ids, terms = [], []
+                        yield write(ids, keys, terms)
+                        ids, keys, terms = [], [], []
         if ids:
-            yield write(ids, terms)
+            yield write(ids, keys, terms)
 
     blocks = staged(rows.mapInArrow(pack, "query array<string>"))
     # The stated queries against all documents, in blocks: one task for each block of queries and run of shards.
@@ -189,18 +195,18 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "doc_id"
     def work(batches):
         for batch in batches:
             for query, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                q_ids, ends, terms = (arrays.load(f"{uri}/{n}", d) for n, d in zip(query, ("<i8", "<i8", "<u8")))
+                q_ids, ends, terms, keys = (arrays.load(f"{uri}/{n}", d) for n, d in zip(query, ("<i8", "<i8", "<u8", "<i8")))
                 shards = [{c: arrays.load(f"{shard_uri}/{n}", d) for n, (c, d) in zip(s, DTYPES.items())} for s in names]
                 found = []
                 for i in range(len(q_ids)):
                     ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
                     for shard in shards:
                         ids, scores = search_shard(shard, terms[ends[i] : ends[i + 1]], k, ids, scores)
-                    found.append((np.full(len(ids), q_ids[i]), ids, scores))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["query_id", "doc_id", "score"])
+                    found.append((np.full(len(ids), q_ids[i]), np.full(len(ids), keys[i]), ids, scores))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["query_id", "key", "doc_id", "score"])
 
-    best = tasks.mapInArrow(work, "query_id bigint, doc_id bigint, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    best = tasks.mapInArrow(work, "query_id bigint, key bigint, doc_id bigint, score double")
+    rank = F.row_number().over(W.partitionBy("query_id", "key").orderBy(F.desc("score"), "doc_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 

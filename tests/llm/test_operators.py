@@ -428,3 +428,19 @@ def test_repeats_of_nul_bytes_and_of_long_texts_equal_brute_force(spark):
     found = suffixes.remove_repeats(docs(spark, rows).repartition(3)).collect()
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found)
     assert got == want
+
+
+def test_repeated_queries_count_once_and_one_id_may_ask_twice(spark):
+    corpus = docs(spark, [(i, f"w{i % 5} w{i % 7} x") for i in range(40)])
+    index = bm25.build_index(corpus)
+    one = {tuple(r) for r in bm25.search(index, docs(spark, [(20, "w1 w2")])).collect()}
+    assert len(one) == 10 and {tuple(r) for r in bm25.search(index, docs(spark, [(20, "w1 w2")] * 3)).collect()} == one
+    other = {tuple(r) for r in bm25.search(index, docs(spark, [(20, "w3")])).collect()}
+    both = [tuple(r) for r in bm25.search(index, docs(spark, [(20, "w1 w2"), (20, "w3"), (20, "w3")])).collect()]
+    assert sorted(both) == sorted([*one, *other])
+
+
+def test_one_word_phrases_are_refused(spark, empty):
+    with pytest.raises(ValueError, match="two words"):
+        licenses.scan(empty, phrases={"copyright": "c"})
+    assert licenses.scan(empty).count() == 0
