@@ -6,7 +6,8 @@ votes for diagonal p - q. Votes are counted per diagonal, diagonals that follow
 put in or left out shift the diagonal), and a span counts if the distinct pairs it covers are ``share`` of the
 template's. A phrase's places are its full diagonals. Templates are a parameter and stay few.
 
-Edge cases: a null text is an empty one; equal texts are matched once; a phrase may stand at many places.
+Edge cases: a null text is an empty one; equal texts are matched once; a phrase may stand at many places; phrases of one word are refused; a
+text of any length is read whole; an empty table gives no rows; of other columns only the carried ones are read, so they may have any name.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ def scan(
     """One row per input row: the carried columns, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
     plans = [(t, label, True) for t, label in phrases.items()] + [(t, label, False) for t, label in templates.items()]
+    if short := [t for t, _, _ in plans if len(t.split()) < 2]:
+        raise ValueError(f"phrases and templates need two words or more, unlike {short}")
     positions = [
         (i, label, base, len(t.split()) - 1, q, " ".join(pair))
         for i, (t, label, base) in enumerate(plans) for q, pair in enumerate(zip(t.split(), t.split()[1:]))
