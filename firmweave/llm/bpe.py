@@ -29,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmweave.llm.common import prepare
+from firmweave.llm.common import give_back, prepare
 
 END = "\n"  # stands for the end-of-word suffix; no byte-level symbol is a line break
-CACHED_WORDS, CACHED_PAIRS, LONG = 300_000, 300_000, 64  # words a task keeps, pairs a worker keeps
+CACHED_WORDS, CACHED_PAIRS, LONG = 150_000, 200_000, 64  # words a task keeps, pairs a worker keeps
 # Fixed value: white space of the pattern language that the vocabulary's file uses.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -252,6 +252,8 @@ def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), tex
             ids = words.encode(batch.column(0))
             found = {"ids": ids} | ({"decoded": _decoded(table, ids)} if decoded else {})
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *found.values()], names=[*kept.names, *found])
+        words.clear()
+        give_back()
 
     return rows.mapInArrow(work, f"{_fields(kept)}ids array<int>{', decoded string' if decoded else ''}")
 
