@@ -444,3 +444,32 @@ def test_one_word_phrases_are_refused(spark, empty):
     with pytest.raises(ValueError, match="two words"):
         licenses.scan(empty, phrases={"copyright": "c"})
     assert licenses.scan(empty).count() == 0
+
+
+def test_base_columns_of_the_licence_scan_equal_brute_force(spark):
+    rng = np.random.default_rng(41)
+    bits = ["cc", "BY", "by", "general", "public", "License", "all", "rights", "reserved", "é", "x", "-", ".", "_", "\n"]
+    rows = [(i, " ".join(rng.choice(bits, int(rng.integers(0, 40))))) for i in range(300)] + HARD + [(400, "ALL Rights Reserved " * 500)]
+    want = []
+    for i, t in rows:
+        ws = [w.decode() for w in bytes_words(t, ALNUM)]
+        found = [(p, label) for phrase, label in licenses.PHRASES.items() for p in range(len(ws)) if ws[p : p + len(phrase.split())] == phrase.split()]
+        starts, labels = [p for p, _ in found], sorted({label for _, label in found})
+        want.append((str(i), len(ws), len(found), min(starts, default=-1), max(starts, default=-1), ",".join(labels)))
+    got = licenses.scan(docs(spark, rows).repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_base, -1 if r.first_word is None else r.first_word, -1 if r.last_word is None else r.last_word, r.base_labels) for r in got) == sorted(want)
+    assert all(set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
+
+
+def test_rules_of_the_url_filter_equal_brute_force(spark):
+    rng = np.random.default_rng(42)
+    hosts, paths = ["example.com", "WWW.Example.com", "a.www.example.com", "notexample.com", "x.net", "net", "org", "com", ""], ["", "/", "/en/", "/en", "/es/a", "/fr/?q=/en/", "/EN/", "/en/b#c"]
+    urls = [f"{s}{rng.choice(hosts)}{rng.choice(paths)}" for s in ("http://", "HTTPS://", "", "a://b://") for _ in range(120)] + [None, "", "://", "x://?a", "x://com#/en/"]
+    frame = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id bigint, url string, host string")
+    got = {r.page_id: r for r in urlfilter.parsed(frame).withColumn("found", urlfilter.rule_for()).collect()}
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path, host = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0], host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        fits = [r for r in urlfilter.RULES for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        assert (got[i].host, got[i].path, got[i].found) == (host, path, max(fits, key=len, default=None)), u
