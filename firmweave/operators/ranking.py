@@ -9,7 +9,7 @@ group is cut at bounds taken from its own approximate quantiles:
   ``1/buckets`` of the rows is always one of the bounds, so no open bucket can be heavy.
 
 The number of buckets follows from the measured size of the largest group, so that an open bucket has about
-``TARGET_ROWS`` rows at any size; groups of at most that size are one bucket each and need no bounds. Counting the buckets gives each one's offset; the rank inside a bucket is a
+``TARGET_ROWS`` rows at any size; groups of at most WHOLE_ROWS rows are one bucket each and need no bounds. Counting the buckets gives each one's offset; the rank inside a bucket is a
 window over its rows. The bounds only steer the split. They never influence the result, which is exact. Rows
 of a group that is NULL have no rank.
 """
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from firmweave.session import Small, small_table
 
 TARGET_ROWS, LEAST_BUCKETS = 1_000_000, 16  # the least number where a group is cut at all
+WHOLE_ROWS = 100_000  # a group of more rows is never one bucket, whose values a task would hold
 MAX_GROUPS = 20_000
 MAX_BUCKET_ROWS = 2_000_000
 _SALTS = 64
@@ -47,10 +48,10 @@ class Grid(NamedTuple):
 
 
 def value_grid(rows: DataFrame, group: Sequence[str], value: str = "value", target_rows: int = TARGET_ROWS) -> Grid:
-    """Counts the groups and, if one has over ``target_rows`` rows, takes bounds of all by another summary pass."""
+    """Counts the groups and, if one has over ``target_rows`` rows, (or WHOLE_ROWS) takes bounds of all by another summary pass."""
     sizes = rows.groupBy(*group).agg(F.count(value).alias("n"))
     largest, groups = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
-    if largest <= target_rows and groups <= MAX_GROUPS:
+    if largest <= min(target_rows, WHOLE_ROWS) and groups <= MAX_GROUPS:
         return Grid(None, 1, True)
     buckets = buckets_for(largest, target_rows)
     shares = [i / buckets for i in range(1, buckets)]

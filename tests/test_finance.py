@@ -184,3 +184,17 @@ def test_latest_snapshot(spark):
     s = spark.createDataFrame([("1", "2021-12-31", 70.0)], "orgnr string, fiscal_year_end_date string, score_total double").withColumn("fiscal_year_end_date", F.col("fiscal_year_end_date").cast("date"))
     got = {r.orgnr: tuple(r)[2:] for r in fin.latest_financial_snapshot(df, s).collect()}
     assert got == {"1": (150, 70.0, 50.0, "up"), "2": (5, None, None, "unknown")}
+
+
+def test_a_year_of_many_rows_is_cut_by_default(spark, rows, monkeypatch):
+    """By default too, no task holds the values of a whole year that is large; results are those of the whole year."""
+    df = spark.range(300).selectExpr("'m' AS measure", "cast(2000 + id % 2 AS int) AS y", "cast(id * 37 % 61 AS double) AS value", "id")
+    group = ["y", "measure"]
+    assert ranking.value_grid(df, group).table is None
+    whole = ranking.value_grid(df, group)
+    monkeypatch.setattr(ranking, "WHOLE_ROWS", 100)
+    cut = ranking.value_grid(df, group)
+    assert cut.table is not None
+    take = lambda grid: rows(ranking.rank_below(df, grid, group, ["id"]), "id", "below_rows", "n")
+    assert take(cut) == take(whole)
+    assert rows(ranking.quantile_pairs(df, cut, group, 0.01), "y", "lo", "hi") == rows(ranking.quantile_pairs(df, whole, group, 0.01), "y", "lo", "hi")
