@@ -26,14 +26,18 @@ from firmweave.session import Small, small_table
 
 TARGET_ROWS, LEAST_BUCKETS = 1_000_000, 16  # the least number where a group is cut at all
 WHOLE_ROWS = 100_000  # a group of more rows is never one bucket, whose values a task would hold
+MOST_BUCKETS = 512  # no more than these, unless a bucket had over TARGET_ROWS rows then
 MAX_GROUPS = 20_000
 MAX_BUCKET_ROWS = 2_000_000
 _SALTS = 64
 
 
 def buckets_for(largest: int, target_rows: int = TARGET_ROWS) -> int:
-    """So many buckets that one of them has about ``target_rows`` of the rows of the largest group."""
-    return max(LEAST_BUCKETS, -(-largest // target_rows))
+    """So many buckets that one of them has about ``target_rows`` of the rows of the largest group.
+
+    More than MOST_BUCKETS only cost (bounds to look through in every row), so beyond them a bucket may have up to TARGET_ROWS rows.
+    """
+    return max(LEAST_BUCKETS, min(-(-largest // target_rows), max(MOST_BUCKETS, -(-largest // TARGET_ROWS))))
 
 
 class Grid(NamedTuple):

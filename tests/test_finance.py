@@ -198,3 +198,9 @@ def test_a_year_of_many_rows_is_cut_by_default(spark, rows, monkeypatch):
     take = lambda grid: rows(ranking.rank_below(df, grid, group, ["id"]), "id", "below_rows", "n")
     assert take(cut) == take(whole)
     assert rows(ranking.quantile_pairs(df, cut, group, 0.01), "y", "lo", "hi") == rows(ranking.quantile_pairs(df, whole, group, 0.01), "y", "lo", "hi")
+
+
+def test_small_buckets_stay_few():
+    """Beyond MOST_BUCKETS bounds, buckets get larger instead, up to a million rows."""
+    assert ranking.buckets_for(6_000, 20) == 300 and ranking.buckets_for(500_000, 100) == 512
+    assert ranking.buckets_for(1_000, 100) == 16 and ranking.buckets_for(3_000_000_000, 100) == 3_000
