@@ -449,9 +449,10 @@ def probe_result_pick(candidates: DataFrame, probes: DataFrame) -> DataFrame:
     """orgnr, found_website, status found / parked / not_found, err_reason from (domain, ok, parked, err).
 
     The first reachable, non-parked candidate wins. Nothing found after a timeout gives no row (retried later).
+    ``candidates`` is read twice: hand in a stored table.
     """
     # A common name part makes one domain a candidate of very many companies.
-    rows = lookup_join(candidates, probes, ["domain"], ["orgnr"]).where(F.col("ok").isNotNull())
+    rows = lookup_join(candidates, staged(probes), ["domain"], ["orgnr"]).where(F.col("ok").isNotNull())
     failed = ~F.col("ok") & F.coalesce(F.col("err") != "", F.lit(False))
     word = F.when(F.col("err").isin("403", "429", "timeout"), F.col("err")).otherwise("other")
     good = F.col("ok") & ~F.col("parked")

@@ -11,6 +11,7 @@ from firmweave.functions import fixed_values as fv
 from firmweave.operators import classify, filings, pages as pg
 from firmweave.plans.adapters import adapter, ctes, sql
 from firmweave.plans.finance_queries import keyed
+from firmweave.session import staged
 
 QUALITY = pg.QualityWords(
     cta=("the ", "of ", "que ", "der ", "thth"), services=("/the", "/in", "/de", "/que", "/der"), address=("adress", "thth"),
@@ -174,7 +175,7 @@ def domain_candidates(spark, sf_dir):
 
 
 def probe_result_pick(spark, sf_dir):
-    candidates = pg.domain_candidates(sql(spark, sf_dir, NAMES))
+    candidates = staged(pg.domain_candidates(sql(spark, sf_dir, NAMES)))  # read by the probes, the measuring and the join
     digit = F.substring(F.md5("domain"), 1, 1)
     probes = candidates.select("domain").distinct().select(
         "domain", digit.isin("0", "1", "2").alias("ok"), digit.isin("1", "2").alias("parked"),

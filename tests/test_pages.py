@@ -188,3 +188,13 @@ def test_a_broken_page_of_a_megabyte_takes_seconds(spark, piece):
     pg.page_text_extract(page).select(F.length("text")).collect()
     pg.address_sources(page).select(F.size("_sources")).collect()
     assert time.time() - start < 40
+
+
+def test_probes_are_stored_before_they_are_measured_and_joined(spark, rows, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pg, "staged", lambda df: seen.append(df.columns) or df, raising=False)
+    candidates = spark.createDataFrame([("1", 0, "a.se"), ("1", 1, "b.se"), ("2", 0, "a.se")], "orgnr string, rank int, domain string")
+    probes = spark.createDataFrame([("a.se", False, False, "403"), ("b.se", True, False, "")], "domain string, ok boolean, parked boolean, err string")
+    got = rows(pg.probe_result_pick(candidates, probes))
+    assert got == [("1", "https://b.se", "found", ""), ("2", "", "not_found", "403")]
+    assert seen == [["domain", "ok", "parked", "err"]]
