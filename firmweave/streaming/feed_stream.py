@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,11 +68,17 @@ def _line_numbers():
     def numbered(batches):
         seen: Counter = Counter()
         for batch in batches:
-            numbers = []
-            for place in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                numbers.append(seen[place])
-                seen[place] += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=["value", "file_path", "block_start", "line_no"])
+            numbers = np.zeros(batch.num_rows, dtype=np.int64)
+            paths, blocks = batch.column(1).dictionary_encode(), batch.column(2).to_numpy()
+            names, codes = paths.dictionary.to_pylist(), paths.indices.to_numpy()
+            cuts = np.flatnonzero((codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+            # Lines of one place follow each other, so they are numbered run by run.
+            for a, b in zip([0, *cuts], [*cuts, len(numbers)]):
+                if b > a:
+                    place = (names[codes[a]], int(blocks[a]))
+                    numbers[a:b] = np.arange(seen[place], seen[place] + b - a)
+                    seen[place] += int(b - a)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], names=["value", "file_path", "block_start", "line_no"])
 
     return numbered
 

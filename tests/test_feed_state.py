@@ -67,3 +67,13 @@ def test_a_version_left_half_written_is_replaced(spark, tmp_path, rows):
     (tmp_path / "changes" / "v=0" / "part-broken.parquet").write_text("no parquet")
     feed_stream.feed_state(spark, {"website": str(tmp_path / "website")}, changes, str(tmp_path / "ckpt")).awaitTermination()
     assert [r.website for r in feed_stream.current_master(master(spark, 2), changes, ["website"]).orderBy("orgnr").collect()] == [None, "w"]
+
+
+def test_lines_are_numbered_by_place():
+    import pyarrow as pa
+
+    places = [("a", 0)] * 3 + [("b", 0)] * 2 + [("b", 9)] + [("a", 0)] * 2
+    batch = lambda part: pa.RecordBatch.from_arrays(
+        [pa.array(["x"] * len(part)), pa.array([p for p, _ in part], pa.string()), pa.array([b for _, b in part], pa.int64())], names=["value", "file_path", "block_start"])
+    out = feed_stream._line_numbers()([batch(places), batch([]), batch(places[-4:])])
+    assert [b.column(3).to_pylist() for b in out] == [[0, 1, 2, 0, 1, 0, 3, 4], [], [2, 1, 5, 6]]
