@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from firmweave.llm import collocations, mixing, spelling
+from firmweave.llm import collocations, mixing, queries, spelling
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n string, size string, g string, word string, label string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -116,6 +116,46 @@ def test_mix_tilts_documents(spark):
     assert math.isclose(math.exp(lam[0]), 1.99, rel_tol=1e-9)
 
 
+def test_mix_of_the_query_tilts_documents(spark, tmp_path):
+    """Rates differ by document and make sources alike; words, limit and optimum hold. One source is short of words, one of kinds."""
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(["é" * int(rng.integers(1, 4)) + "w" * int(rng.integers(1, 3 + i % 4))] * int(rng.integers(1, 40 + 80 * (i % 4 == 1)))), "en", f"s{i % 4}") for i in range(600)]
+    rows += [(700, "alone here", "en", "z"), (701, None, None, "s1"), (702, " ", "en", None), (703, "x" * 900, None, None), (rows[0][0], *rows[0][1:]), (None, "a b c", None, "s2")]
+    docs(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op11_mix_sources(spark, str(tmp_path)).collect()
+    taken, aims = Counter(), {}
+    for r in found:
+        assert 0 <= r.rate <= 2 and r.copies <= 2 and r.taken == r.copies * r["size"]
+        aims[r.target, r.source_size] = r.target
+        taken[r.target, r.source_size] += r.rate * r["size"]
+    for s in aims:
+        assert math.isclose(taken[s], aims[s], rel_tol=1e-6)
+    # The optimum itself, from rates alone: log odds are linear in the columns, and slopes are what is missing.
+    text = {r[0]: r[1] or "" for r in rows}
+    kept = [r for r in found if r["size"]]
+    n = np.array([r["size"] for r in kept])
+    step = lambda x, k: math.floor(x * k + 0.5) / k
+    z = np.array([[step(math.log2(len(text[r.doc_id]) + 1), 4), min(step(len(text[r.doc_id]) / r["size"], 4), 32),
+                   step(len(text[r.doc_id].encode()) / len(text[r.doc_id]), 32)] for r in kept])
+    mean = n @ z / n.sum()
+    z = np.clip((z - mean) / np.sqrt(n @ (z - mean) ** 2 / n.sum()), -3, 3)
+    rate = np.array([r.rate for r in kept])
+    differ = 0
+    for s in aims:
+        own = np.array([(r.target, r.source_size) == s for r in kept])
+        if own.sum() < 50 or rate[own].min() == 2:
+            continue
+        differ += len(set(rate[own])) > 20
+        was = n[own] @ z[own] / n[own].sum()
+        x = np.c_[np.ones(own.sum()), z[own] - was]
+        lam, *_ = np.linalg.lstsq(x, np.log(rate[own] / (2 - rate[own])), rcond=None)
+        assert np.allclose(x @ lam, np.log(rate[own] / (2 - rate[own])), atol=1e-6)
+        now = (n[own] * rate[own]) @ x[:, 1:] / aims[s]
+        assert np.allclose(now - np.clip(-was, -0.5, 0.5), -0.1 * lam[1:], atol=1e-6)
+        assert np.linalg.norm(now + was) < np.linalg.norm(was)
+    assert differ >= 2
+
+
 def test_mix_refuses_targets_out_of_reach(spark):
     cells = spark.createDataFrame([("0s", [], 100)], "grp string, z array<double>, words bigint")
     aims = spark.createDataFrame([("0s", 100, 300.0)], "grp string, words bigint, target double")
