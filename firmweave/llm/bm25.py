@@ -3,9 +3,12 @@
 A first pass counts, over all documents, their number, their words and the documents of every term; these global figures
 make scores of different shards comparable. A second pass cuts the documents into shards of bounded size, in the
 task that reads them. A shard's files hold postings by term, and for each term the largest contribution it can
-make within a block of ``BLOCK`` documents. For a query, the sum of the block maxima of its terms bounds every score in
-a block: blocks are opened in falling order of that bound until it is below the k-th score so far, which a task
-carries from shard to shard. A query's best of all shard runs are then ranked.
+make within a block of ``BLOCK`` documents. Queries are long, and most of their postings belong to few terms. So for a query
+the postings of its rarer terms are summed, which costs little, and the block maxima of its frequent terms (those of at least
+``SHARE`` of a shard's documents, ``DENSE`` at most) are added to the largest such sum of a block: this bounds every score in the
+block. The best blocks are opened first, then all whose bound reaches the k-th score so far, which a task carries from shard to
+shard. To open a block is to add what its frequent terms give, as one product of matrices for all queries that need the block.
+A query's best of all shard runs are then ranked.
 
     score = sum over the query's distinct terms of ln(1 + (N - n + 0.5) / (n + 0.5)) * f (k1 + 1) / (f + k1 (1 - b + b d / mean d))
 
@@ -32,6 +35,7 @@ from firmweave.session import staged
 
 K1, B = 1.2, 0.75
 BLOCK, SHARD_DOCS, SHARD_POSTINGS, QUERIES_PER_BLOCK, SHARDS_PER_RUN = 64, 16_384, 4_000_000, 500, 4
+SHARE, DENSE, FIRST_BLOCKS, PENDING = 1 / 16, 1024, 4, 500_000
 DTYPES = {"ids": "<i8", "terms": "<u8", "runs": "<i8", "run_block": "<i4", "run_most": "<f8", "run_start": "<i8", "doc": "<i4", "part": "<f8"}
 
 
@@ -124,34 +128,84 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
 
 
-def search_shard(shard: dict[str, np.ndarray], query: np.ndarray, k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The best k of those so far and of a shard, by rounded score and id."""
-    place = np.searchsorted(shard["terms"], query)
-    place[place == len(shard["terms"])] = 0
-    place = place[shard["terms"][place] == query] if len(shard["terms"]) else place[:0]
-    run = _ranges(shard["runs"][place], shard["runs"][place + 1])
-    block = shard["run_block"][run]
-    bound = np.bincount(block, shard["run_most"][run])
-    by_block = np.argsort(block, kind="stable")
-    first = np.searchsorted(block[by_block], np.arange(len(bound) + 1))
-    order = np.argsort(-bound, kind="stable")
-    done, step = 0, 2
-    while done < len(order) and bound[order[done]] > 0:
-        least = scores[k - 1] - 1e-6 if len(scores) >= k else 0.0
-        chosen = order[done : done + step]
-        chosen = chosen[bound[chosen] >= least]
-        if not len(chosen):
-            break
-        own = run[np.sort(by_block[_ranges(first[chosen], first[chosen + 1])])]
-        posting = _ranges(shard["run_start"][own], shard["run_start"][own + 1])
-        doc, which = np.unique(shard["doc"][posting], return_inverse=True)
-        new = np.round(np.bincount(which, shard["part"][posting]), 6)
-        ids, scores = np.concatenate([ids, shard["ids"][doc]]), np.concatenate([scores, new])
-        best = np.lexsort((ids, -scores))[:k]
-        ids, scores = ids[best], scores[best]
-        done += len(chosen)
-        step = min(2 * step, 64)
-    return ids, scores
+class Best(NamedTuple):
+    """The best hits of a block of queries so far: query (its number in the block), id, score, by query, falling score and id."""
+
+    query: np.ndarray
+    ids: np.ndarray
+    scores: np.ndarray
+
+
+def best_of(parts: list[Best], k: int) -> Best:
+    query, ids, scores = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((ids, -scores, query))
+    query = query[order]
+    first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, dtype=np.int64)
+    kept = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) < k
+    return Best(query[kept], ids[order][kept], scores[order][kept])
+
+
+def no_hits() -> Best:
+    return Best(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+
+
+def least_scores(best: Best, n: int, k: int) -> np.ndarray:
+    """What a score must reach to be among the best k of each query, less the rounding; 0 for a query with fewer hits."""
+    out = np.zeros(n)
+    full = np.flatnonzero(np.bincount(best.query, minlength=n) >= k)
+    out[full] = best.scores[np.searchsorted(best.query, full, side="right") - 1] - 1e-6
+    return out
+
+
+def search_shard(shard: dict[str, np.ndarray], queries: list[np.ndarray], k: int, best: Best, size: int) -> Best:
+    """The best k of those so far and of a shard in blocks of ``size``, by rounded score and id, for each of some queries (sorted terms)."""
+    n, terms, runs, starts = len(shard["ids"]), shard["terms"], shard["runs"], shard["run_start"]
+    if not n or not len(terms) or not queries:
+        return best
+    ids, doc, part = np.asarray(shard["ids"]), np.asarray(shard["doc"]).astype(np.int64), np.asarray(shard["part"])
+    begin, end = starts[runs[:-1]], starts[runs[1:]]
+    frequent = np.argsort(begin - end, kind="stable")[:DENSE]
+    frequent = np.sort(frequent[(end - begin)[frequent] >= SHARE * n])
+    column = np.full(len(terms), -1)
+    column[frequent] = np.arange(len(frequent))
+    n_blocks = -(-n // size)
+    given, most = np.zeros((n, len(frequent))), np.zeros((n_blocks, len(frequent)))
+    for i, t in enumerate(frequent):
+        given[doc[begin[t] : end[t]], i] = part[begin[t] : end[t]]
+        most[shard["run_block"][runs[t] : runs[t + 1]], i] = shard["run_most"][runs[t] : runs[t + 1]]
+
+    asked, rare = np.zeros((len(queries), len(frequent))), np.zeros((len(queries), n))
+    for i, query in enumerate(queries):
+        place = np.searchsorted(terms, query)
+        place[place == len(terms)] = 0
+        place = place[terms[place] == query]
+        own = column[place]
+        asked[i, own[own >= 0]] = 1
+        place = place[own < 0]
+        posting = _ranges(begin[place], end[place])
+        rare[i] = np.bincount(doc[posting], part[posting], minlength=n)
+    bound = asked @ most.T + np.maximum.reduceat(rare, np.arange(0, n, size), axis=1)
+
+    least, parts, held = least_scores(best, len(queries), k), [best], 0
+    first = np.argpartition(-bound, min(FIRST_BLOCKS, n_blocks) - 1, axis=1)[:, :FIRST_BLOCKS]
+    early = np.zeros(bound.shape, dtype=bool)
+    np.put_along_axis(early, first, True, axis=1)
+    for wave in (early, ~early):
+        for b in range(n_blocks):
+            need = np.flatnonzero(wave[:, b] & (bound[:, b] > 0) & (bound[:, b] >= least))
+            if not len(need):
+                continue
+            here = slice(b * size, min((b + 1) * size, n))
+            scores = rare[need, here] + asked[need] @ given[here].T
+            row, at = np.nonzero((scores > 0) & (scores >= least[need, None]))
+            parts.append(Best(need[row], ids[here][at], np.round(scores[row, at], 6)))
+            held += len(row)
+            if held > PENDING:
+                parts, held = [best_of(parts, k)], 0
+                least = least_scores(parts[0], len(queries), k)
+        parts, held = [best_of(parts, k)], 0
+        least = least_scores(parts[0], len(queries), k)
+    return parts[0]
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,13 +251,11 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "doc_id"
             for query, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 q_ids, ends, terms, keys = (arrays.load(f"{uri}/{n}", d) for n, d in zip(query, ("<i8", "<i8", "<u8", "<i8")))
                 shards = [{c: arrays.load(f"{shard_uri}/{n}", d) for n, (c, d) in zip(s, DTYPES.items())} for s in names]
-                found = []
-                for i in range(len(q_ids)):
-                    ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-                    for shard in shards:
-                        ids, scores = search_shard(shard, terms[ends[i] : ends[i + 1]], k, ids, scores)
-                    found.append((np.full(len(ids), q_ids[i]), np.full(len(ids), keys[i]), ids, scores))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["query_id", "key", "doc_id", "score"])
+                asked, best = [np.asarray(terms[a:b]) for a, b in zip(ends[:-1], ends[1:])], no_hits()
+                for shard in shards:
+                    best = search_shard(shard, asked, k, best, BLOCK)
+                found = (q_ids[best.query], keys[best.query], best.ids, best.scores)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "key", "doc_id", "score"])
 
     best = tasks.mapInArrow(work, "query_id bigint, key bigint, doc_id bigint, score double")
     rank = F.row_number().over(W.partitionBy("query_id", "key").orderBy(F.desc("score"), "doc_id"))

@@ -363,6 +363,36 @@ def test_search_equals_brute_force(spark, monkeypatch, empty):
     assert bm25.search(bm25.build_index(empty), empty).count() == 0
 
 
+@pytest.mark.parametrize("share, dense, pending", [(0.0, 1000, 10), (0.2, 1000, 500), (0.2, 3, 500_000), (2.0, 1000, 500_000)])
+def test_search_of_a_block_of_queries_equals_brute_force(monkeypatch, share, dense, pending):
+    """Terms as columns, as postings, and some of either; ties; a later shard; a query without hits."""
+    for name, value in {"SHARE": share, "DENSE": dense, "FIRST_BLOCKS": 2, "PENDING": pending}.items():
+        monkeypatch.setattr(bm25, name, value)
+    rng = np.random.default_rng(17)
+    given = np.where(rng.random((2, 150, 60)) < np.linspace(0.01, 0.6, 60), np.round(rng.random((2, 150, 60)), 2), 0)
+    given[:, 100:] = given[:, 50:100]
+    shards = []
+    for s, part in enumerate(given):
+        term, doc = np.nonzero(part.T)
+        new_term = np.append(True, term[1:] != term[:-1])
+        start = np.flatnonzero(new_term | np.append(True, doc[1:] // 8 != doc[:-1] // 8))
+        shards.append({
+            "ids": np.arange(150) * 2 + s, "terms": term[new_term].astype("<u8"), "runs": np.append(np.flatnonzero(new_term[start]), len(start)),
+            "run_block": doc[start] // 8, "run_most": np.maximum.reduceat(part.T[term, doc], start), "run_start": np.append(start, len(doc)),
+            "doc": doc, "part": part.T[term, doc],
+        })
+    queries = [np.sort(rng.choice(60, int(rng.integers(1, 50)), replace=False)).astype("<u8") for _ in range(20)] + [np.array([99], dtype="<u8"), np.zeros(0, dtype="<u8")]
+    best = bm25.no_hits()
+    for shard in shards:
+        best = bm25.search_shard(shard, queries, 10, best, 8)
+    got = [(int(q), int(i), round(float(s), 5)) for q, i, s in zip(*best)]
+    want = []
+    for q, terms in enumerate(queries):
+        hits = [(-round(float(part[d, [t for t in terms if t < 60]].sum()), 6), 2 * d + s) for s, part in enumerate(given) for d in range(150)]
+        want += [(q, i, round(-s, 5)) for s, i in sorted(hits)[:10] if s < 0]
+    assert got == want
+
+
 # 8 tokens
 
 
