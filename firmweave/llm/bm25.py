@@ -2,7 +2,7 @@
 
 A first pass counts, over all documents, their number, their words and the documents of every term; these global figures
 make scores of different shards comparable. A second pass cuts the documents into shards of bounded size, in the
-task that reads them. A shard's files hold postings by term, and for each term the largest contribution it can
+task that reads them. A shard's files hold postings by term, and for each frequent term the largest contribution it can
 make within a block of ``BLOCK`` documents. Queries are long, and most of their postings belong to few terms. So for a query
 the postings of its rarer terms are summed, which costs little, and the block maxima of its frequent terms (those of at least
 ``SHARE`` of a shard's documents, ``DENSE`` at most) are added to the largest such sum of a block: this bounds every score in the
@@ -34,9 +34,9 @@ from firmweave.llm.words import ALNUM, words
 from firmweave.session import staged
 
 K1, B = 1.2, 0.75
-BLOCK, SHARD_DOCS, SHARD_POSTINGS, QUERIES_PER_BLOCK, SHARDS_PER_RUN = 64, 16_384, 4_000_000, 500, 4
+BLOCK, SHARD_DOCS, SHARD_POSTINGS, QUERIES_PER_BLOCK, RUNS = 64, 16_384, 4_000_000, 500, 2
 SHARE, DENSE, FIRST_BLOCKS, PENDING = 1 / 16, 1024, 4, 500_000
-DTYPES = {"ids": "<i8", "terms": "<u8", "runs": "<i8", "run_block": "<i4", "run_most": "<f8", "run_start": "<i8", "doc": "<i4", "part": "<f8"}
+DTYPES = {"ids": "<i8", "terms": "<u8", "starts": "<i8", "frequent": "<i8", "most": "<f8", "doc": "<i4", "part": "<f8"}
 
 
 def _counts(found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,6 +54,21 @@ class Index(NamedTuple):
     runs: int
 
 
+def shard_of(ids: np.ndarray, doc: np.ndarray, term: np.ndarray, part: np.ndarray, size: int) -> dict[str, np.ndarray]:
+    """The arrays of a shard in blocks of ``size``, from its postings by term and document."""
+    start = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])[: len(term)])
+    starts = np.append(start, len(term))
+    uses = np.diff(starts)
+    frequent = np.argsort(-uses, kind="stable")[:DENSE]
+    frequent = np.sort(frequent[uses[frequent] >= SHARE * len(ids)])
+    most = np.zeros((-(-len(ids) // size), len(frequent)))
+    for i, t in enumerate(frequent):
+        block = doc[starts[t] : starts[t + 1]] // size
+        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        most[block[first], i] = np.maximum.reduceat(part[starts[t] : starts[t + 1]], first)
+    return {"ids": ids, "terms": term[start], "starts": starts, "frequent": frequent, "most": most.ravel(), "doc": doc, "part": part}
+
+
 def statistics(docs: DataFrame) -> arrays.Sorted:
     """Per term its documents and uses; at key 0 the documents and words of the corpus."""
     bits = arrays.bits_for(docs.rdd.getNumPartitions() * 100_000)
@@ -89,14 +104,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         doc, term, uses = doc[order], term[order], uses[order]
         n = known.find(term, (1,))[1][0]
         part = np.log(1 + (n_docs - n + 0.5) / (n + 0.5)) * uses * (K1 + 1) / (uses + K1 * (1 - B + B * length[doc] / mean))
-        new_term = np.concatenate([[True], term[1:] != term[:-1]])[: len(term)]
-        new_run = new_term | np.concatenate([[True], (doc[1:] // BLOCK) != (doc[:-1] // BLOCK)])[: len(term)]
-        start = np.flatnonzero(new_run)
-        most = np.maximum.reduceat(part, start) if len(start) else part
-        found = {
-            "ids": ids, "terms": term[new_term], "runs": np.append(np.flatnonzero(new_term[start]), len(start)), "run_block": doc[start] // BLOCK,
-            "run_most": most, "run_start": np.append(start, len(doc)), "doc": doc, "part": part,
-        }
+        found = shard_of(ids, doc, term, part, BLOCK)
         names = [arrays.save(uri, found[k].astype(d)) for k, d in DTYPES.items()]
         return pa.RecordBatch.from_pydict({"names": pa.array([names], pa.list_(pa.string()))})
 
@@ -117,7 +125,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield write(*held)
 
     made = staged(docs.mapInArrow(work, "names array<string>"))
-    runs = max(1, -(-made.count() // SHARDS_PER_RUN))
+    runs = max(1, min(RUNS, made.count()))
     shards = staged(made.withColumn("run", F.pmod(F.xxhash64("names"), F.lit(runs)).cast("int")))
     return Index(shards, uri, runs)
 
@@ -159,20 +167,17 @@ def least_scores(best: Best, n: int, k: int) -> np.ndarray:
 
 def search_shard(shard: dict[str, np.ndarray], queries: list[np.ndarray], k: int, best: Best, size: int) -> Best:
     """The best k of those so far and of a shard in blocks of ``size``, by rounded score and id, for each of some queries (sorted terms)."""
-    n, terms, runs, starts = len(shard["ids"]), shard["terms"], shard["runs"], shard["run_start"]
+    ids, terms, frequent, part = (np.asarray(shard[c]) for c in ("ids", "terms", "frequent", "part"))
+    n = len(ids)
     if not n or not len(terms) or not queries:
         return best
-    ids, doc, part = np.asarray(shard["ids"]), np.asarray(shard["doc"]).astype(np.int64), np.asarray(shard["part"])
-    begin, end = starts[runs[:-1]], starts[runs[1:]]
-    frequent = np.argsort(begin - end, kind="stable")[:DENSE]
-    frequent = np.sort(frequent[(end - begin)[frequent] >= SHARE * n])
+    doc, begin, end = np.asarray(shard["doc"]).astype(np.int64), np.asarray(shard["starts"][:-1]), np.asarray(shard["starts"][1:])
     column = np.full(len(terms), -1)
     column[frequent] = np.arange(len(frequent))
     n_blocks = -(-n // size)
-    given, most = np.zeros((n, len(frequent))), np.zeros((n_blocks, len(frequent)))
+    given, most = np.zeros((n, len(frequent))), np.asarray(shard["most"]).reshape(n_blocks, len(frequent))
     for i, t in enumerate(frequent):
         given[doc[begin[t] : end[t]], i] = part[begin[t] : end[t]]
-        most[shard["run_block"][runs[t] : runs[t + 1]], i] = shard["run_most"][runs[t] : runs[t + 1]]
 
     asked, rare = np.zeros((len(queries), len(frequent))), np.zeros((len(queries), n))
     for i, query in enumerate(queries):
@@ -240,19 +245,20 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "doc_id"
             yield write(ids, keys, terms)
 
     blocks = staged(rows.mapInArrow(pack, "query array<string>"))
-    # The stated queries against all documents, in blocks: one task for each block of queries and run of shards.
+    # The stated queries against all documents, in blocks: about one task for each block of queries and run of shards. Runs are few, so
+    # that a task knows high scores early and the hits it passes on grow with the queries only; it holds one shard at a time.
     pairs = blocks.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(index.runs - 1)))).join(
         index.shards.groupBy("run").agg(F.collect_list("names").alias("shards")), "run"
     )
-    tasks = pairs.select("query", "shards").repartition(max(spark.sparkContext.defaultParallelism, index.runs * 4))
+    tasks = pairs.select("query", "shards").repartition(max(spark.sparkContext.defaultParallelism, blocks.count() * index.runs))
 
     def work(batches):
         for batch in batches:
             for query, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 q_ids, ends, terms, keys = (arrays.load(f"{uri}/{n}", d) for n, d in zip(query, ("<i8", "<i8", "<u8", "<i8")))
-                shards = [{c: arrays.load(f"{shard_uri}/{n}", d) for n, (c, d) in zip(s, DTYPES.items())} for s in names]
                 asked, best = [np.asarray(terms[a:b]) for a, b in zip(ends[:-1], ends[1:])], no_hits()
-                for shard in shards:
+                for own in names:
+                    shard = {c: arrays.load(f"{shard_uri}/{n}", d) for n, (c, d) in zip(own, DTYPES.items())}
                     best = search_shard(shard, asked, k, best, BLOCK)
                 found = (q_ids[best.query], keys[best.query], best.ids, best.scores)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "key", "doc_id", "score"])

@@ -374,13 +374,7 @@ def test_search_of_a_block_of_queries_equals_brute_force(monkeypatch, share, den
     shards = []
     for s, part in enumerate(given):
         term, doc = np.nonzero(part.T)
-        new_term = np.append(True, term[1:] != term[:-1])
-        start = np.flatnonzero(new_term | np.append(True, doc[1:] // 8 != doc[:-1] // 8))
-        shards.append({
-            "ids": np.arange(150) * 2 + s, "terms": term[new_term].astype("<u8"), "runs": np.append(np.flatnonzero(new_term[start]), len(start)),
-            "run_block": doc[start] // 8, "run_most": np.maximum.reduceat(part.T[term, doc], start), "run_start": np.append(start, len(doc)),
-            "doc": doc, "part": part.T[term, doc],
-        })
+        shards.append(bm25.shard_of(np.arange(150) * 2 + s, doc, term.astype("<u8"), part.T[term, doc], 8))
     queries = [np.sort(rng.choice(60, int(rng.integers(1, 50)), replace=False)).astype("<u8") for _ in range(20)] + [np.array([99], dtype="<u8"), np.zeros(0, dtype="<u8")]
     best = bm25.no_hits()
     for shard in shards:
