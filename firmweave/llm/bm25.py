@@ -2,12 +2,14 @@
 
 A first pass counts, over all documents, their number, their words and the documents of every term; these global figures
 make scores of different shards comparable. A second pass cuts the documents into shards of bounded size, in the
-task that reads them. A shard's files hold postings by term, and for each frequent term the largest contribution it can
-make within a block of ``BLOCK`` documents. Queries are long, and most of their postings belong to few terms. So for a query
-the postings of its rarer terms are summed, which costs little, and the block maxima of its frequent terms (those of at least
-``SHARE`` of a shard's documents, ``DENSE`` at most) are added to the largest such sum of a block: this bounds every score in the
-block. The best blocks are opened first, then all whose bound reaches the k-th score so far, which a task carries from shard to
-shard. To open a block is to add what its frequent terms give, as one product of matrices for all queries that need the block.
+task that reads them. A shard's files hold the postings of its rarer terms by term, and those of its frequent terms (of at least
+``SHARE`` of its documents, ``DENSE`` at most) by blocks of ``BLOCK`` documents, with the largest contribution of each to a block.
+Documents of alike frequent terms stand together in a shard, so that a block holds few of them and its maxima are close. Queries are
+long, and most of their postings belong to few terms. So for a query the postings of its rarer terms are summed, which costs little, and
+the block maxima of its frequent terms are added to the largest such sum of a block: this bounds every score in the block. The best
+blocks are opened first, then all whose bound reaches the k-th score so far, which a task carries from shard to shard. To open a block
+is to add what its frequent terms give, as one product of matrices for all queries that need the block: in single precision, then
+in double precision for the queries with a hit that reaches the k-th score within the error of the first.
 A query's best of all shard runs are then ranked.
 
     score = sum over the query's distinct terms of ln(1 + (N - n + 0.5) / (n + 0.5)) * f (k1 + 1) / (f + k1 (1 - b + b d / mean d))
@@ -34,9 +36,13 @@ from firmweave.llm.words import ALNUM, words
 from firmweave.session import staged
 
 K1, B = 1.2, 0.75
-BLOCK, SHARD_DOCS, SHARD_POSTINGS, QUERIES_PER_BLOCK, RUNS = 64, 16_384, 4_000_000, 500, 2
-SHARE, DENSE, FIRST_BLOCKS, PENDING = 1 / 16, 1024, 4, 500_000
-DTYPES = {"ids": "<i8", "terms": "<u8", "starts": "<i8", "frequent": "<i8", "most": "<f8", "doc": "<i4", "part": "<f8"}
+BLOCK, SHARD_DOCS, SHARD_POSTINGS, QUERIES_PER_BLOCK, RUNS = 64, 16_384, 4_000_000, 1000, 2
+SHARE, DENSE, FIRST_BLOCKS, PENDING = 1 / 32, 2048, 4, 500_000
+GROUPS, GROUP_TERMS, ROUNDS = 16, 512, 4
+DTYPES = {
+    "ids": "<i8", "terms": "<u8", "starts": "<i8", "frequent": "<i8", "most": "<f4", "doc": "<i4", "part": "<f8",
+    "block_starts": "<i8", "spot": "<i4", "block_part": "<f8",
+}
 
 
 def _counts(found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,19 +60,65 @@ class Index(NamedTuple):
     runs: int
 
 
+def alike(n: int, doc: np.ndarray, column: np.ndarray, part: np.ndarray, uses: np.ndarray) -> np.ndarray:
+    """The documents in an order that puts those of alike terms together: a few rounds of k-means, then by postings.
+
+    ``uses`` are those of each column; the ``GROUP_TERMS`` most used ones decide. Each group is followed by the most alike of those left.
+    """
+    taken = np.full(len(uses), -1)
+    best = np.argsort(-uses, kind="stable")[:GROUP_TERMS]
+    taken[best] = np.arange(len(best))
+    own = taken[column] >= 0
+    rows = np.zeros((n, len(best)), dtype=np.float32)
+    rows[doc[own], taken[column[own]]] = part[own]
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    middles = rows[np.linspace(0, n - 1, min(GROUPS, n)).astype(np.int64)]
+    for _ in range(ROUNDS):
+        group = np.argmax(rows @ middles.T, axis=1)
+        sums = (group == np.arange(len(middles))[:, None]).astype(np.float32) @ rows
+        middles = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    near, rank, last = middles @ middles.T, np.zeros(len(middles), dtype=np.int64), 0
+    for i in range(1, len(middles)):
+        near[:, last] = -1
+        last = int(np.argmax(near[last]))
+        rank[last] = i
+    return np.lexsort((np.bincount(doc, minlength=n), rank[np.argmax(rows @ middles.T, axis=1)]))
+
+
 def shard_of(ids: np.ndarray, doc: np.ndarray, term: np.ndarray, part: np.ndarray, size: int) -> dict[str, np.ndarray]:
-    """The arrays of a shard in blocks of ``size``, from its postings by term and document."""
+    """The arrays of a shard in blocks of ``size``, from its postings by term and document.
+
+    ``spot`` is where a frequent term's posting stands in the matrix of its block, whose columns are the terms with a ``most`` there.
+    """
+    n, n_blocks = len(ids), -(-len(ids) // size)
     start = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])[: len(term)])
-    starts = np.append(start, len(term))
-    uses = np.diff(starts)
+    uses = np.diff(np.append(start, len(term)))
     frequent = np.argsort(-uses, kind="stable")[:DENSE]
-    frequent = np.sort(frequent[uses[frequent] >= SHARE * len(ids)])
-    most = np.zeros((-(-len(ids) // size), len(frequent)))
-    for i, t in enumerate(frequent):
-        block = doc[starts[t] : starts[t + 1]] // size
-        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        most[block[first], i] = np.maximum.reduceat(part[starts[t] : starts[t + 1]], first)
-    return {"ids": ids, "terms": term[start], "starts": starts, "frequent": frequent, "most": most.ravel(), "doc": doc, "part": part}
+    frequent = np.sort(frequent[uses[frequent] >= SHARE * n])
+    column = np.full(len(start), -1)
+    column[frequent] = np.arange(len(frequent))
+    columns = np.repeat(column, uses)
+    dense = columns >= 0
+    if len(frequent):
+        order = alike(n, doc[dense], columns[dense], part[dense], uses[frequent])
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        ids, doc = ids[order], place[doc]
+    block, row = np.divmod(doc[dense].astype(np.int64), size)
+    cell = block * len(frequent) + columns[dense]
+    by_cell = np.argsort(cell, kind="stable")
+    cell, block, row, block_part = cell[by_cell], block[by_cell], row[by_cell], part[dense][by_cell]
+    new = np.concatenate([[True], cell[1:] != cell[:-1]])[: len(cell)]
+    first = np.flatnonzero(new)
+    most = np.zeros(n_blocks * len(frequent))
+    most[cell[first]] = np.maximum.reduceat(block_part, first) if len(first) else 0
+    width = np.bincount(block[first], minlength=n_blocks)
+    spot = row * width[block] + np.cumsum(new) - 1 - (np.cumsum(width) - width)[block]
+    return {
+        "ids": ids, "terms": term[start], "starts": np.append(0, np.cumsum(np.where(column < 0, uses, 0))), "frequent": frequent,
+        "most": most.astype(np.float32), "doc": doc[~dense], "part": part[~dense],
+        "block_starts": np.searchsorted(block, np.arange(n_blocks + 1)), "spot": spot, "block_part": block_part,
+    }
 
 
 def statistics(docs: DataFrame) -> arrays.Sorted:
@@ -133,7 +185,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """All numbers of the half-open ranges, one after the other."""
     size = stop - start
-    return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    out = np.repeat(start - (np.cumsum(size) - size), size)
+    out += np.arange(len(out))
+    return out
 
 
 class Best(NamedTuple):
@@ -165,33 +219,58 @@ def least_scores(best: Best, n: int, k: int) -> np.ndarray:
     return out
 
 
-def search_shard(shard: dict[str, np.ndarray], queries: list[np.ndarray], k: int, best: Best, size: int) -> Best:
+class Asked(NamedTuple):
+    """The terms of a block of queries, each once and sorted, and for every term of a query (its number in the block) the place among them."""
+
+    n: int
+    terms: np.ndarray
+    query: np.ndarray
+    place: np.ndarray
+
+
+def asked_by(queries: list[np.ndarray]) -> Asked:
+    terms, place = np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *queries]), return_inverse=True)
+    return Asked(len(queries), terms, np.repeat(np.arange(len(queries)), [len(q) for q in queries]), place)
+
+
+def search_shard(shard: dict[str, np.ndarray], queries: Asked | list[np.ndarray], k: int, best: Best, size: int) -> Best:
     """The best k of those so far and of a shard in blocks of ``size``, by rounded score and id, for each of some queries (sorted terms)."""
-    ids, terms, frequent, part = (np.asarray(shard[c]) for c in ("ids", "terms", "frequent", "part"))
+    own = queries if isinstance(queries, Asked) else asked_by(queries)
+    ids, terms, frequent, part, block_starts, spot, block_part = (
+        np.asarray(shard[c]) for c in ("ids", "terms", "frequent", "part", "block_starts", "spot", "block_part")
+    )
     n = len(ids)
-    if not n or not len(terms) or not queries:
+    if not n or not len(terms) or not own.n:
         return best
     doc, begin, end = np.asarray(shard["doc"]).astype(np.int64), np.asarray(shard["starts"][:-1]), np.asarray(shard["starts"][1:])
     column = np.full(len(terms), -1)
     column[frequent] = np.arange(len(frequent))
     n_blocks = -(-n // size)
-    given, most = np.zeros((n, len(frequent))), np.asarray(shard["most"]).reshape(n_blocks, len(frequent))
-    for i, t in enumerate(frequent):
-        given[doc[begin[t] : end[t]], i] = part[begin[t] : end[t]]
-
-    asked, rare = np.zeros((len(queries), len(frequent))), np.zeros((len(queries), n))
-    for i, query in enumerate(queries):
-        place = np.searchsorted(terms, query)
-        place[place == len(terms)] = 0
-        place = place[terms[place] == query]
-        own = column[place]
-        asked[i, own[own >= 0]] = 1
-        place = place[own < 0]
-        posting = _ranges(begin[place], end[place])
-        rare[i] = np.bincount(doc[posting], part[posting], minlength=n)
-    bound = asked @ most.T + np.maximum.reduceat(rare, np.arange(0, n, size), axis=1)
-
-    least, parts, held = least_scores(best, len(queries), k), [best], 0
+    most = np.asarray(shard["most"], dtype=np.float32).reshape(n_blocks, len(frequent))
+
+    found = np.searchsorted(terms, own.terms)
+    found[found == len(terms)] = 0
+    found[terms[found] != own.terms] = -1
+    place, query = found[own.place], own.query
+    place, query = place[place >= 0], query[place >= 0]
+    is_frequent = column[place] >= 0
+    asked, rare = np.zeros((own.n, len(frequent)), dtype=np.float32), np.zeros((own.n, n))
+    asked[query[is_frequent], column[place[is_frequent]]] = 1
+    place, query = place[~is_frequent], query[~is_frequent]
+    cut = np.searchsorted(query, np.arange(own.n + 1))
+    docs_here, parts_here = np.empty(len(doc), dtype=np.int64), np.empty(len(doc))  # filled anew for each query: cheaper than new arrays
+    for i in range(own.n):
+        mine = place[cut[i] : cut[i + 1]]
+        posting = _ranges(begin[mine], end[mine])
+        m = len(posting)
+        np.take(doc, posting, out=docs_here[:m], mode="clip")
+        np.take(part, posting, out=parts_here[:m], mode="clip")
+        rare[i] = np.bincount(docs_here[:m], parts_here[:m], minlength=n)
+    # All parts are above 0, so a sum of m of them in single precision is off by less than the share m * 2 ** -23 of itself.
+    above = 1 + (len(frequent) + 2) * 2.0**-23
+    bound = (asked @ most.T) * above + np.maximum.reduceat(rare, np.arange(0, n, size), axis=1)
+
+    least, parts, held = least_scores(best, own.n, k), [best], 0
     first = np.argpartition(-bound, min(FIRST_BLOCKS, n_blocks) - 1, axis=1)[:, :FIRST_BLOCKS]
     early = np.zeros(bound.shape, dtype=bool)
     np.put_along_axis(early, first, True, axis=1)
@@ -201,15 +280,24 @@ def search_shard(shard: dict[str, np.ndarray], queries: list[np.ndarray], k: int
             if not len(need):
                 continue
             here = slice(b * size, min((b + 1) * size, n))
-            scores = rare[need, here] + asked[need] @ given[here].T
+            columns, held_here = np.flatnonzero(most[b]), slice(block_starts[b], block_starts[b + 1])
+            given = np.zeros((here.stop - here.start) * len(columns))
+            given[spot[held_here]] = block_part[held_here]
+            given = given.reshape(here.stop - here.start, len(columns))
+            chosen = asked[need][:, columns]
+            rough = (chosen @ given.astype(np.float32).T) * above + rare[need, here]
+            highest = rough.max(axis=1)
+            hopeful = np.flatnonzero((highest > 0) & (highest >= least[need]))
+            need = need[hopeful]
+            scores = rare[need, here] + chosen[hopeful].astype(np.float64) @ given.T
             row, at = np.nonzero((scores > 0) & (scores >= least[need, None]))
             parts.append(Best(need[row], ids[here][at], np.round(scores[row, at], 6)))
             held += len(row)
             if held > PENDING:
                 parts, held = [best_of(parts, k)], 0
-                least = least_scores(parts[0], len(queries), k)
+                least = least_scores(parts[0], own.n, k)
         parts, held = [best_of(parts, k)], 0
-        least = least_scores(parts[0], len(queries), k)
+        least = least_scores(parts[0], own.n, k)
     return parts[0]
 
 
@@ -256,7 +344,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "doc_id"
         for batch in batches:
             for query, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 q_ids, ends, terms, keys = (arrays.load(f"{uri}/{n}", d) for n, d in zip(query, ("<i8", "<i8", "<u8", "<i8")))
-                asked, best = [np.asarray(terms[a:b]) for a, b in zip(ends[:-1], ends[1:])], no_hits()
+                asked, best = asked_by([np.asarray(terms[a:b]) for a, b in zip(ends[:-1], ends[1:])]), no_hits()
                 for own in names:
                     shard = {c: arrays.load(f"{shard_uri}/{n}", d) for n, (c, d) in zip(own, DTYPES.items())}
                     best = search_shard(shard, asked, k, best, BLOCK)

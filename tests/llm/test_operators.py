@@ -387,6 +387,29 @@ def test_search_of_a_block_of_queries_equals_brute_force(monkeypatch, share, den
     assert got == want
 
 
+def test_documents_of_alike_terms_share_blocks_of_a_shard():
+    """Two vocabularies whose documents take turns: a block holds terms of one of them, so its bounds rule it out for the other's queries."""
+    rng = np.random.default_rng(23)
+    given = np.where(rng.random((128, 40)) < 0.6, 1 + rng.random((128, 40)), 0)
+    given[::2, 20:], given[1::2, :20] = 0, 0
+    term, doc = np.nonzero(given.T)
+    shard = bm25.shard_of(np.arange(128), doc, term.astype("<u8"), given.T[term, doc], 8)
+    most = shard["most"].reshape(16, 40)
+    assert not (most[:, :20].any(axis=1) & most[:, 20:].any(axis=1)).any()
+    assert sorted(shard["ids"]) == list(range(128))
+    for b in range(16):
+        assert np.allclose(most[b], given[shard["ids"][b * 8 : b * 8 + 8]].max(axis=0))
+
+
+def test_search_tells_scores_apart_that_are_equal_in_single_precision():
+    given = 100 + np.arange(300)[:, None] * np.array([1e-6, 0, 0, 0, 1e-6]) + np.zeros((300, 5))
+    term, doc = np.nonzero(given.T)
+    shard = bm25.shard_of(np.arange(300), doc, term.astype("<u8"), given.T[term, doc], 8)
+    best = bm25.search_shard(shard, [np.arange(5, dtype="<u8")], 10, bm25.no_hits(), 8)
+    assert best.ids.tolist() == list(range(299, 289, -1))
+    assert best.scores == pytest.approx([500 + 2e-6 * i for i in range(299, 289, -1)], abs=1e-6)
+
+
 # 8 tokens
 
 
