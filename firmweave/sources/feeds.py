@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from firmweave.functions.text import blank_to_null, full_strip
+from firmweave.session import once
 from firmweave.sources import schemas
 
 
@@ -48,15 +49,16 @@ def feed_lines(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def json_line(text: Column) -> Column:
-    """The VARIANT of a line that is exactly one JSON value, else NULL.
+def with_json(lines: DataFrame, name: str, text: str) -> DataFrame:
+    """Adds the VARIANT of a line that is exactly one JSON value, else NULL.
 
     The parser stops behind the first value, so the line is parsed as the first element of an array whose second
     is the line's own digest: whatever follows the value, or ends the array early, puts the digest out of its place.
     """
-    mark = F.md5(text.cast("binary"))
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
-    return F.when(F.try_variant_get(pair, "$[1]", "string") == mark, F.try_variant_get(pair, "$[0]", "variant"))
+    mark = F.md5(F.col(text).cast("binary"))
+    step = once(lines, "_pair", F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))))
+    own = F.when(F.try_variant_get("_pair", "$[1]", "string") == mark, F.try_variant_get("_pair", "$[0]", "variant"))
+    return once(step, name, own).drop("_pair")
 
 
 def parse_lines(lines: DataFrame, schema: str, needs_time: bool) -> DataFrame:
@@ -69,16 +71,19 @@ def parse_lines(lines: DataFrame, schema: str, needs_time: bool) -> DataFrame:
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = full_strip("value")
     wanted = StructType.fromDDL(schema)
-    step = lines.where(text != "").withColumn("_line", text).withColumn("_r", json_line(F.col("_line")))
-    step = step.withColumn("_type", F.schema_of_variant("_r"))
+    step = with_json(once(lines, "_line", text).where(F.col("_line") != ""), "_r", "_line")
+    step = once(step, "_type", F.schema_of_variant("_r"))
+    for name in ("orgnr", "checked_at"):
+        step = once(step, f"_{name}", _typed(wanted[name]))
     not_object = ~F.coalesce(F.startswith("_type", F.lit("OBJECT<")) & (F.col("_type") != "OBJECT<>"), F.lit(False))
-    no_key = blank_to_null(_typed(wanted["orgnr"])).isNull()
-    no_time = blank_to_null(_typed(wanted["checked_at"])).isNull() if needs_time else F.lit(False)
+    no_key = blank_to_null("_orgnr").isNull()
+    no_time = blank_to_null("_checked_at").isNull() if needs_time else F.lit(False)
     reject = F.when(not_object, "error").when(no_key | no_time, "skipped")
-    names = [c for c in step.columns if c not in ("_r", "_line", "_type", "value")]
+    read = {"orgnr": F.col("_orgnr"), "checked_at": F.col("_checked_at")}
+    names = [c for c in step.columns if c not in ("_r", "_line", "_type", "_orgnr", "_checked_at", "value")]
     order = [c for c in ("pattern_rank", "file_path", "block_start", "line_no") if c in step.columns]
     return step.withColumn("reject", reject).select(
-        *names, F.struct(*order).alias("feed_order"), "reject", "_line", *(_typed(f).alias(f.name) for f in wanted)
+        *names, F.struct(*order).alias("feed_order"), "reject", "_line", *(read.get(f.name, _typed(f)).alias(f.name) for f in wanted)
     )
 
 

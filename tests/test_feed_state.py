@@ -77,3 +77,11 @@ def test_lines_are_numbered_by_place():
         [pa.array(["x"] * len(part)), pa.array([p for p, _ in part], pa.string()), pa.array([b for _, b in part], pa.int64())], names=["value", "file_path", "block_start"])
     out = feed_stream._line_numbers()([batch(places), batch([]), batch(places[-4:])])
     assert [b.column(3).to_pylist() for b in out] == [[0, 1, 2, 0, 1, 0, 3, 4], [], [2, 1, 5, 6]]
+
+
+def test_a_line_is_parsed_once_however_often_its_value_is_read(spark, tmp_path):
+    (tmp_path / "f.ndjson").write_text("\n".join([line(1, found_website="w"), "{torn"]))
+    found, _ = feeds.feed_scan(spark, [str(tmp_path / "f.ndjson")], "website")
+    read, _ = merge.observations({"website": found})
+    assert read.count() == 1
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 1
