@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmweave.operators import merge, queues, standardize as std
@@ -311,13 +313,17 @@ KINDS = ("website", "email", "tech", "site_review", "hiring", "line_of_work", "s
 ALL_TIMES = (*TIMES, "line_of_work_updated_at", "segment_groups_checked_at")
 
 
-def _feed_lines(spark, sf_dir, kind):
-    """A feed as the lines its writers leave behind, with torn lines, doubled ones and text behind the object among them."""
+def _feed_rows(spark, sf_dir, kind):
     rows = _in(spark, sf_dir, f"feed_{kind}")
     if kind == "site_review":
         rows = rows.withColumn("site_flags", F.array(F.lit("no_https"), F.concat(F.lit("low_"), F.col("site_score"))))
     if kind == "hiring":
         rows = rows.withColumn("external_job_urls", F.array("external_url")).drop("external_url")
+    return rows
+
+
+def _feed_lines(rows):
+    """A feed as the lines its writers leave behind, with torn lines, doubled ones and text behind the object among them."""
     good = F.to_json(F.struct(*[c for c in rows.columns if c != "feed_order"]))
     o = F.col("feed_order")
     value = F.when(o % 23 == 0, F.concat(good, good)).when(o % 29 == 0, F.concat(good, F.lit(" trailing"))).when(
@@ -325,12 +331,26 @@ def _feed_lines(spark, sf_dir, kind):
     return rows.select("feed_order", value.alias("value"))
 
 
+def _file_bounds(feeds):
+    """Per feed the places in ``feed_order`` that cut it into files of about one size, as many as its table has splits, two to 64. One job."""
+    files = min(64, max(2, *(df.rdd.getNumPartitions() for df in feeds.values())))
+    orders = reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("kind"), "feed_order") for k, df in feeds.items()])
+    found = dict(orders.groupBy("kind").agg(F.percentile_approx("feed_order", [i / files for i in range(1, files)])).collect())
+    return {k: found.get(k) or [] for k in feeds}
+
+
 def _feed_portions(spark, sf_dir):
-    """The seven feeds as files in three portions; yields their folder as each portion is there."""
-    root, lines = _run_dir(spark, "feeds"), {k: _feed_lines(spark, sf_dir, k) for k in KINDS}
+    """The seven feeds as files in three portions; yields their folder as each portion is there.
+
+    Rows go straight to their file, in the order of the feed; their text is made there, once.
+    """
+    root, rows = _run_dir(spark, "feeds"), {k: _feed_rows(spark, sf_dir, k) for k in KINDS}
+    bounds = _file_bounds(rows)
     for portion in range(3):
-        for kind, df in lines.items():
-            _write_lines(df.where(F.col("feed_order") % 3 == portion), f"{root}/{kind}/portion_{portion}", files=2)
+        for kind, df in rows.items():
+            file = sum(((F.col("feed_order") > b).cast("int") for b in bounds[kind]), F.lit(0))
+            own = df.where(F.col("feed_order") % 3 == portion).repartitionById(len(bounds[kind]) + 1, file).sortWithinPartitions("feed_order")
+            _feed_lines(own).select("value").write.mode("append").text(f"{root}/{kind}/portion_{portion}")
         yield root
 
 

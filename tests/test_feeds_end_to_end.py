@@ -1,11 +1,14 @@
 """Feed files with values of other types, from the file to the rows that the merge reads."""
 
 import json
+import re
 import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from firmweave.operators import merge, pages
+from firmweave.plans import register_queries
 from firmweave.sources import feeds
 
 TIME = "2024-01-01T00:00:00Z"
@@ -42,3 +45,20 @@ def test_address_pattern_is_linear_and_finds_the_same(spark):
     start = time.time()
     found = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(pages._EMAIL), F.lit(0))).first()[0]
     assert found == ["info@example.se", "a@b.co", "-x@y.se"] and time.time() - start < 20
+
+
+def test_feeds_are_written_in_order_to_a_file_for_each_split(spark, tmp_path):
+    rows = spark.range(300).selectExpr(
+        "id AS event_id", "timestamp_seconds(1700000000 + id) AS ts", "id % 7 AS user_id", "'view' AS event_type", "CAST(id AS double) AS value", "uuid() AS props")
+    rows.coalesce(1).sortWithinPartitions(F.desc("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        roots = list(register_queries._feed_portions(spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for portion in range(3):
+        files = sorted((Path(roots[-1]) / "website" / f"portion_{portion}").glob("part-*"))
+        found = [int(re.search(r"https://f(\d+)", line)[1]) for f in files for line in f.read_text().splitlines()]
+        assert found == list(range(portion, 300, 3))
+        assert len(files) > 2
