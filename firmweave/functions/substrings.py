@@ -7,7 +7,7 @@ import pyarrow as pa
 
 CHUNK = 1 << 16  # bytes of text that are searched together: their arrays stay in the processor's cache
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-FINER = 3  # bits of the hash by which the marks of filled slots are finer than the slots
+FINER = 2  # bits of the hash by which the marks of filled slots are finer than the slots
 
 
 def keyword_arrays(words: pa.Table) -> dict:
@@ -35,7 +35,12 @@ def keyword_arrays(words: pa.Table) -> dict:
                 power = power * BASE % (1 << 64)
             parts = [hashes]
             hashes = hashes * np.uint64(MIX)
-        bits = min(27, max(8, len(at).bit_length() + 5))
+        if n <= 2:  # one place for each value there is
+            table = np.zeros(1 << 8 * n, dtype=np.int32)
+            table[parts[0].astype(np.int64)] = np.arange(1, len(at) + 1)
+            by_size.append((n, 0, None, table, None, None, at))
+            continue
+        bits = min(27, max(8, len(at).bit_length() + 2 + FINER))
         fine = (hashes >> np.uint64(64 - bits)).astype(np.int64)
         filled = np.zeros(1 << bits, dtype=bool)
         filled[fine] = True
@@ -67,8 +72,21 @@ def category_counts(shared):
         power, back = (steps(base), steps(pow(base, -1, 1 << 64))) if longest > 16 else (None, None)
         n_words, n_cats = len(d["counts"]), len(d["cats"])
 
-        def hits(piece, n_starts, left):
-            """(position, keyword number) of every keyword in a piece at one of its first places; ``left`` bytes follow a place in its text."""
+        def distinct(text, at, n_texts, n_own):
+            """Each pair of text and keyword (its number within its length) once."""
+            pairs = text * n_own + at
+            if n_texts * n_own > 32 * len(pairs) + 1024:
+                return np.divmod(np.unique(pairs), n_own)
+            marks = np.zeros(n_texts * n_own, dtype=bool)
+            marks[pairs] = True
+            return np.divmod(np.flatnonzero(marks), n_own)
+
+        def hits(piece, text, left):
+            """(number of the text within the piece, keyword number), each pair once, of the keywords that begin at the piece's first places.
+
+            For each of these places ``text`` is its text, ``left`` the bytes from there to the text's end.
+            """
+            n_starts, n_texts = len(text), int(text[-1]) + 1
             padded = np.zeros(n_starts + 24, dtype=np.uint8)
             padded[: min(len(piece), len(padded))] = piece[: len(padded)]
             word = np.ndarray(n_starts + 16, dtype="<u8", buffer=padded, strides=(1,)).copy()
@@ -77,6 +95,11 @@ def category_counts(shared):
                 starts = min(n_starts, len(piece) - n + 1)
                 if starts <= 0:
                     continue
+                if n <= 2:
+                    at = first[(word[:starts] & np.uint64((1 << 8 * n) - 1)).view(np.int64)] * (left[:starts] >= n)
+                    t, at = distinct(text[:starts], at, n_texts, len(numbers) + 1)
+                    yield t[at > 0], numbers[at[at > 0] - 1]
+                    continue
                 if n <= 8:
                     own = (word[:starts] & np.uint64((1 << 8 * n) - 1), )
                     hashes = own[0] * mix64
@@ -91,7 +114,7 @@ def category_counts(shared):
                 fine = (hashes >> np.uint64(64 - bits)).view(np.int64)
                 p = np.flatnonzero(filled[fine])
                 p = p[left[p] >= n]
-                slot = fine[p] >> finer
+                slot, same_text, same_word = fine[p] >> finer, [], []
                 at, end = first[slot], first[slot + 1]
                 while len(p):
                     same = np.ones(len(p), dtype=bool)
@@ -101,9 +124,13 @@ def category_counts(shared):
                     if letters is not None and len(p_same):
                         equal = (np.lib.stride_tricks.sliding_window_view(piece, n)[p_same] == letters[at_same]).all(axis=1)
                         at_same, p_same = at_same[equal], p_same[equal]
-                    yield p_same, numbers[at_same]
+                    same_text.append(text[p_same])
+                    same_word.append(at_same)
                     more = at + 1 < end
                     p, at, end = p[more], at[more] + 1, end[more]
+                if same_text:
+                    t, at = distinct(np.concatenate(same_text), np.concatenate(same_word).astype(np.int64), n_texts, len(numbers))
+                    yield t, numbers[at]
 
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
@@ -118,11 +145,14 @@ def category_counts(shared):
                 b = int(np.searchsorted(ends, at + n_starts, side="left"))
                 text = np.repeat(np.arange(a, b), np.diff(np.clip(ends[a : b + 1], at, at + n_starts)))
                 left = ends[text + 1] - np.arange(at, at + n_starts)
-                found = np.unique(np.concatenate([open_met, *(text[p] * n_words + w for p, w in hits(piece, n_starts, left))]))
+                found = np.concatenate([open_met[:0], *((a + t) * n_words + w for t, w in hits(piece, text - a, left))])
                 # A long text goes through several pieces; what it has is counted once.
-                cut = np.searchsorted(found, (b - 1) * n_words) if ends[b] > at + n_starts else len(found)
-                met.append(found[:cut])
-                open_met = found[cut:]
+                if len(open_met):
+                    own = found < (a + 1) * n_words
+                    found = np.concatenate([found[~own], np.unique(np.concatenate([open_met, found[own]]))])
+                own = found >= ((b - 1) * n_words if ends[b] > at + n_starts else len(texts) * n_words)
+                open_met = found[own]
+                met.append(found[~own])
             met = np.concatenate([*met, open_met])
             text, word = met // n_words, met % n_words
             per = d["counts"][word]
